@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import warc
 from .minhash import op8_minhash
+from .sharding import op2_karmarkar_karp
 
 QUERIES = {
+    "op2_karmarkar_karp": op2_karmarkar_karp,
+    "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op8_minhash": op8_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc_dictionary": warc.ORACLE,
+}
