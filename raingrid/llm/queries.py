@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from . import warc
 from .minhash import op8_minhash
+from .packing import op7_best_two_fit
 from .sharding import op2_karmarkar_karp
 
 QUERIES = {
     "op2_karmarkar_karp": op2_karmarkar_karp,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
+    "op7_best_two_fit": op7_best_two_fit,
     "op8_minhash": op8_minhash,
 }
 
