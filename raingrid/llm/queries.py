@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import vectors, warc
 from .minhash import op8_minhash
 from .packing import op7_best_two_fit
 from .sharding import op2_karmarkar_karp
 
 QUERIES = {
     "op2_karmarkar_karp": op2_karmarkar_karp,
+    "op5_product_quantisation": vectors.op5_product_quantisation,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_minhash": op8_minhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_product_quantisation": vectors.ORACLE,
     "op6_warc_dictionary": warc.ORACLE,
 }
