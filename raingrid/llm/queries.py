@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import vectors, warc
+from . import licences, vectors, warc
+from .decontaminate import op1_qgram_lemma
 from .minhash import op8_minhash
 from .packing import op7_best_two_fit
 from .sharding import op2_karmarkar_karp
 
 QUERIES = {
+    "op1_qgram_lemma": op1_qgram_lemma,
     "op2_karmarkar_karp": op2_karmarkar_karp,
+    "op3_sentence_rules": licences.op3_sentence_rules,
     "op5_product_quantisation": vectors.op5_product_quantisation,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op7_best_two_fit": op7_best_two_fit,
@@ -16,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_sentence_rules": licences.ORACLE,
     "op5_product_quantisation": vectors.ORACLE,
     "op6_warc_dictionary": warc.ORACLE,
 }
