@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from . import licences, vectors, warc
 from .decontaminate import op1_qgram_lemma
+from .language import op9_ftrl_language
 from .minhash import op8_minhash
 from .packing import op7_best_two_fit
+from .quality import op10_ordinal_quality
 from .sharding import op2_karmarkar_karp
+from .toxicity import op4_counterfactual_toxicity
 
 QUERIES = {
     "op1_qgram_lemma": op1_qgram_lemma,
     "op2_karmarkar_karp": op2_karmarkar_karp,
     "op3_sentence_rules": licences.op3_sentence_rules,
+    "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_product_quantisation": vectors.op5_product_quantisation,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_minhash": op8_minhash,
+    "op9_ftrl_language": op9_ftrl_language,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 
 ORACLES: dict[str, str] = {

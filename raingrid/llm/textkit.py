@@ -60,12 +60,16 @@ def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int,
         at = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word (a run of other bytes than white space) of concatenated documents."""
+#: What is no ASCII letter or digit and no part of a longer character.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word (a run of other bytes than those ``between``) of concatenated documents."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = inside.copy()
