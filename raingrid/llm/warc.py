@@ -203,8 +203,9 @@ def read_archives(written: DataFrame) -> DataFrame:
 
     Each payload is checked against its digest and length, each archive against the number of records written.
     """
-    files = written.groupBy("path").agg(F.count("*").alias("records"))
-    return files.repartition("path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = materialise(written.groupBy("path").agg(F.count("*").alias("records")), "files")
+    # an archive for each task: their rows are too small for the number of tasks to be told by their size
+    return files.repartition(max(1, files.count())).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op6_warc_dictionary(spark, sf_dir: str) -> DataFrame:
