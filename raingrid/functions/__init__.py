@@ -1 +1 @@
-
+"""Column expressions: missing values, bins, scalar formulas."""
