@@ -20,42 +20,72 @@ from pyspark.sql import functions as F
 from .common import bounded, materialise
 
 CAPACITY, END = 2048, 0
-#: Words that one task keeps the ids of, and pieces of a numbering block as a mean.
-KEPT_WORDS, BLOCK_ROWS = 400_000, 20_000
+#: Words that one task keeps the ids of (twice so many for a time), and pieces of a numbering block as a mean.
+KEPT_WORDS, BLOCK_ROWS = 150_000, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that some notions of white space hold and others don't; texts with them go to the tokenizer whole.
-_UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85")
+_UNSURE = "\x1c\x1d\x1e\x1f\x85"
+_MARKS = ".,;:!?"
+#: The last of the letters whose normal form is themselves, but for their case.
+_LATIN = "\u0233"
 
 
 class WordTokens:
-    """Ids of whole texts, by the ids of their words (kept, as few bytes, for words seen before).
+    """Ids of whole texts, by the ids of their words (kept, as few bytes, for words seen lately).
 
-    The tokenizer of the files drops white space before anything else splits, so a text's ids are its words' ids in order.
+    The tokenizer of the files drops white space before anything else splits, so a text's ids are its words'
+    ids in order. A word of Latin letters, or one with a run of marks after it, is one pre-token or two, whose
+    ids the vocabulary's model gives at once; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: What the byte-level step makes of each byte of a letter beyond ASCII.
+        self.bytes = {b: alphabet.pre_tokenize_str(bytes([195, b]).decode())[0][0][1] for b in range(128, 192)}
+        self.bytes |= {b: alphabet.pre_tokenize_str(bytes([b, 128]).decode())[0][0][0] for b in range(195, 201)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in ask(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in ask(texts, add_special_tokens=False)] if texts else []
+
+    def _letters(self, low: str) -> bytes:
+        """Ids of a lower-case word of Latin letters, which normalisation leaves as they are."""
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.bytes)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        # a word of ASCII letters and one mark after it is two pre-tokens
-        cut = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in ".,;:!?" and w.isascii() and w[:-1].isalpha()}
-        ask = list({*(cut.get(w, w) for w in new), *(w[-1] for w in cut)} - self.known.keys())
-        self.known.update(zip(ask, self._ask(ask), strict=True))
-        for w, stem in cut.items():
-            self.known[w] = self.known[stem] + self.known[w[-1]]
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, hard = self.known, self.older, []
+        for w in words:
+            if w in known:
+                continue
+            ids = older.get(w)
+            if ids is None:
+                stem, mark = (w[:-1], w[-1]) if w[-1] in _MARKS else (w, "")
+                low = stem.lower()
+                if low.isalpha() and (low.isascii() or max(low) <= _LATIN):
+                    ids = known.get(stem) or older.get(stem) or self._letters(low)
+                    if mark:
+                        known[stem] = ids
+                        if mark not in known:
+                            known[mark] = self._ask([mark])[0]
+                        ids = ids + known[mark]
+            if ids is None:
+                hard.append(w)
+            else:
+                known[w] = ids
+        known.update(zip(hard, self._ask(hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _UNSURE.intersection(t) else t.split() for t in texts]
+        split = [None if any(c in t for c in _UNSURE) else t.split() for t in texts]
         words = set().union(*(w for w in split if w))
         if not words <= self.known.keys():
             self._learn(words)
