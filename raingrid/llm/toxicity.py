@@ -43,18 +43,6 @@ def _place(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _swaps() -> dict[int, int]:
-    """The place of each identity term and of the term that replaces it."""
-    out = {}
-    for kind in IDENTITY:
-        text = " ".join(kind).encode()
-        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-        starts, ends, _ = word_spans(data, offsets, MARKS)
-        at = _place(word_hashes(data, starts, ends)).tolist()
-        out |= dict(zip(at, at[1:] + at[:1], strict=True))
-    return out
-
-
 def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts: first row, end row, and the place and text of each word and, apart from words, of each beginning."""
     for start, end, data, offsets in slices(column):
@@ -78,6 +66,17 @@ def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _swaps() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By the place of each identity term: all its features, and those of the term that replaces it."""
+    out = {}
+    for kind in IDENTITY:
+        own = [p for p, _ in features(pa.array(kind))]
+        data = [np.frombuffer(t.encode(), np.uint8) for t in kind]
+        at = [int(_place(word_hashes(d, np.array([0]), np.array([len(d)])))[0]) for d in data]
+        out |= dict(zip(at, zip(own, own[1:] + own[:1], strict=True), strict=True))
+    return out
+
+
 class Toxicity:
     def __init__(self):
         self.w, self.bias = np.zeros(1 << BITS), -4.0
@@ -95,22 +94,21 @@ class Toxicity:
         usual = label.mean()
         often = times >= LEAST_DOCS
         known = often & (np.abs(toxic - times * usual) >= LEAST_DEVIATIONS * np.sqrt(times * usual * (1 - usual)))
-        for a, b in identity.items():
+        for a, (gone, come) in identity.items():
             if often[a]:
-                known[[a, b]] = True
+                known[gone] = known[come] = True
         places = [p[known[p]] for p in places]
         vocabulary = np.flatnonzero(known)
         to = np.zeros(1 << BITS, np.int64)
         to[vocabulary] = np.arange(len(vocabulary))
         rows = Rows([to[p] for p in places], [np.ones(len(p)) for p in places], len(vocabulary))
         changed = [(k, p[terms[p]]) for k, p in enumerate(places) if terms[p].any()]
-        # the change of a row's score: its terms leave, their replacements come
-        gone = Rows(
-            [np.concatenate((to[t], to[[identity[int(x)] for x in t]])) for _, t in changed],
-            [np.concatenate((np.ones(len(t)), -np.ones(len(t)))) for _, t in changed],
-            len(vocabulary),
-        )
-        changed_weight = np.array([weight[k] for k, _ in changed]) / weight.sum()
+        # the change of a row's score: features of its terms leave, those of the replacements come
+        leave = [np.concatenate([identity[int(x)][0] for x in t]) for _, t in changed]
+        come = [np.concatenate([identity[int(x)][1] for x in t]) for _, t in changed]
+        gone = Rows([to[np.concatenate(x)] for x in zip(leave, come, strict=True)], [np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in zip(leave, come, strict=True)], len(vocabulary))
+        changed_weight = np.array([weight[k] for k, _ in changed])
+        changed_weight = changed_weight / (changed_weight.sum() or 1.0)  # the mean is over texts that a swap changes
         weight = weight / weight.sum()
         w, bias = np.zeros(len(vocabulary)), float(np.log(max((weight * label).sum(), 1e-6) / max((weight * (1 - label)).sum(), 1e-6)))
         g2, b2 = np.full(len(w), 1e-8), 1e-8
