@@ -102,7 +102,7 @@ def _write_archive(path: str, records: list[bytes]) -> tuple[list[int], list[int
     offsets, lengths, at = [], [], 0
     system, name = _open(path)
     system.create_dir(os.path.dirname(name), recursive=True)
-    with system.open_output_stream(name) as out:
+    with system.open_output_stream(name, compression=None) as out:
         at += out.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
         for r in records:
             frame = packer.compress(r)
@@ -144,7 +144,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             system, name = _open(path)
             rows: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")}
-            with system.open_input_stream(name) as file:
+            with system.open_input_stream(name, compression=None) as file:
                 magic, n = struct.unpack("<II", file.read(8))
                 if magic != SKIPPABLE:
                     raise ValueError(f"{path}: no leading dictionary frame")
