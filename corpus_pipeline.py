@@ -27,16 +27,25 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return docs.join(bounded(materialise(ids.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _folded(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, row)``: other columns in a struct, so that their names can't clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+
+
+def _unfolded(folded: DataFrame, names: list[str]) -> DataFrame:
+    return folded.select(*(F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in names))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is likely enough above the lowest (ordinal regression on the ratings of ``labels``)."""
-    told = rate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return told.filter("kept").select(*docs.columns)
+    told = rate(_folded(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unfolded(told.filter("kept"), docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned, with enough confidence; those without a letter go."""
-    told = identify(docs, fit_language(docs.filter(remainder() != 2)))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = identify(_folded(docs), fit_language(docs.filter(remainder() != 2)))
+    return _unfolded(told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .sampling import Rows, fractions, sparse, taken
@@ -110,8 +111,7 @@ def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
             tails = [float(t[0]) if len(t) else 1.0 for t in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grades, pa.float64()), pa.array(tails, pa.float64())], [*names, "expected_grade", "tail_probability"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(score, f"{schema}, expected_grade double, tail_probability double")
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())]))
 
 
 def grades_of(labels: DataFrame) -> Column:
