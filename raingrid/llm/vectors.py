@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,10 @@ FIT_ROWS = 20_000
 #: Vectors of a list as a mean, and the most lists.
 LIST_ROWS, MOST_LISTS = 400, 1_024
 SUBSPACES, CODES = 8, 64
-#: A neighbour at the link distance in a direction that knows nothing of a border is beyond it by more than
-#: so many standard deviations once in some ten thousand times.
-DEVIATIONS = 4.0
+#: Vectors at the link distance, apart in a direction that knows nothing of a border, have the border between
+#: them with both further from it than so many standard deviations about three times in 100,000 (four in all):
+#: a pair is found if either of the two probes the list of the other.
+DEVIATIONS = 2.0
 #: Rows of a block of a list, or of the queries of a list.
 BLOCK = 1_024
 
@@ -87,36 +88,40 @@ class Index:
         return np.sqrt(total)
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), np.float64)
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors in double precision of a list column whose lists are equally long and not empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(index: Index, blocks: dict[tuple[int, int], int] | None):
-    """Without ``blocks``: the list of each vector. With: also a row for each list to probe and each of that list's blocks."""
+def _assign(index: Index, probe: bool):
+    """The list of each vector; or, to ``probe``, a row for each list it probes, with its own list too."""
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
-            x = _unit(rows["embedding"])
-            own, _, _ = index.encode(x)
-            if blocks is None:
-                yield rows.assign(list=own.astype(np.int32))
-                continue
-            row, at = np.nonzero(index.probes(x, own))
-            yield rows.iloc[row].assign(own=own[row].astype(np.int32), list=at.astype(np.int32))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 1_000):
+                part = batch.slice(low, 1_000)
+                x = _unit(part.column("embedding"))
+                own = _nearest(x, index.coarse)
+                if not probe:
+                    yield part.append_column("list", pa.array(own, pa.int32()))
+                    continue
+                row, at = np.nonzero(index.probes(x, own))
+                yield part.take(pa.array(row)).append_column("own", pa.array(own[row], pa.int32())).append_column("list", pa.array(at, pa.int32()))
 
     return assign
 
 
+_FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
 def _meet(index: Index, least: float):
-    def meet(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rep": [], "links": [], "other": []}, dtype="int64")
+    def meet(members: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(members) or not len(queries):
-            return empty
+            return _FOUND.empty_table()
         y, x = _unit(members["embedding"]), _unit(queries["embedding"])
-        at = int(members["list"].iloc[0])
+        at = members["list"][0].as_py()
         own, codes, lost = index.encode(y)
         ids, mine = members["rep"].to_numpy(), queries["rep"].to_numpy()
         weight, my_weight = members["copies"].to_numpy(), queries["copies"].to_numpy()
@@ -150,18 +155,21 @@ def _meet(index: Index, least: float):
                 if s != t:
                     root[s] = t
                     forest.append((s, t))
-        parts = [pd.DataFrame({"rep": mine[counts > 0], "links": counts[counts > 0], "other": mine[counts > 0]}), pd.DataFrame({"rep": ids[back > 0], "links": back[back > 0], "other": ids[back > 0]})]
-        if forest:
-            f = np.array(forest, np.int64)
-            parts.append(pd.DataFrame({"rep": f[:, 0], "links": np.zeros(len(f), np.int64), "other": f[:, 1]}))
-        return pd.concat(parts).astype("int64")
+        f = np.array(forest, np.int64).reshape(-1, 2)
+        some, also = counts > 0, back > 0
+        rows = [
+            np.concatenate((mine[some], ids[also], f[:, 0])),
+            np.concatenate((counts[some], back[also], np.zeros(len(f), np.int64))),
+            np.concatenate((mine[some], ids[also], f[:, 1])),
+        ]
+        return pa.Table.from_arrays([pa.array(r, pa.int64()) for r in rows], schema=_FOUND)
 
     return meet
 
 
 def fit_index(vectors: DataFrame, rows: int, least_cosine: float, fit_rows: int = FIT_ROWS) -> Index | None:
     """Fit on the ``fit_rows`` vectors with the smallest hash; the number of lists follows the number of vectors."""
-    sample = vectors.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(fit_rows).select("embedding").toPandas()
+    sample = vectors.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(fit_rows).select("embedding").toArrow()
     if not len(sample):
         return None
     lists = int(max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // 4)))
@@ -194,10 +202,10 @@ def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     schema = "rep long, label int, embedding array<float>, copies long"
     schema = schema.replace("label int", f"label {dict(rows.dtypes)['label']}").replace("array<float>", dict(rows.dtypes)["embedding"])
-    listed = materialise(distinct.mapInPandas(_assign(index, None), schema + ", list int"), "listed")
+    listed = materialise(distinct.mapInArrow(_assign(index, False), schema + ", list int"), "listed")
     sizes = listed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = listed.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
-    probing = materialise(distinct.mapInPandas(_assign(index, {}), schema + ", own int, list int"), "probing")
+    probing = materialise(distinct.mapInArrow(_assign(index, True), schema + ", own int, list int"), "probing")
     many = probing.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     # a block of a list meets every part of the list's queries
     grid = materialise(sizes.join(many, ["label", "list"]), "grid")
@@ -209,7 +217,7 @@ def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
         .drop("parts", "blocks")
     )
     found = materialise(
-        left.groupBy("label", "list", "block", "part").cogroup(right.groupBy("label", "list", "block", "part")).applyInPandas(_meet(index, least_cosine), "rep long, links long, other long"),
+        left.groupBy("label", "list", "block", "part").cogroup(right.groupBy("label", "list", "block", "part")).applyInArrow(_meet(index, least_cosine), "rep long, links long, other long"),
         "found",
     )
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
