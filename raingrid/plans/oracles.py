@@ -69,6 +69,7 @@ def blocks(b: int) -> str:
 FROM c WHERE y BETWEEN {y0} AND {last} AND x BETWEEN {y0} AND {last} GROUP BY ALL HAVING count(*) >= {need}"""
 
 
+SIZES = "(VALUES (1), (2), (3), (5)) sizes(block)"
 BLOCKS = f"{G}, bl AS ({' UNION ALL '.join(blocks(b) for b in (1, 2, 3, 5))})"
 
 
@@ -165,14 +166,14 @@ SELECT product, CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (m > thr
 SELECT CASE WHEN a < b THEN 'est' WHEN b < a THEN 'syn' ELSE 'tie_or_unavailable' END AS winner, count(*) AS hours FROM a GROUP BY 1""",
     "block_metrics_multiscale": f"""{BLOCKS}, a AS (SELECT block, count(*) AS n, avg(abs(est - truth)) AS mae, sqrt(avg((est - truth) ** 2)) AS rmse, avg(est - truth) AS bias, count(DISTINCT t) AS valid_hours,
 count(*) FILTER (truth >= 1 AND est >= 1) AS hits, count(*) FILTER (truth < 1 AND est >= 1) AS false_alarms, count(*) FILTER (truth >= 1 AND est < 1) AS misses FROM bl GROUP BY block)
-SELECT n, {R('mae', 'rmse', 'bias')}, valid_hours, hits, false_alarms, misses, round(hits / nullif(hits + false_alarms + misses, 0), 6) AS csi,
-round(1 - (false_alarms + misses) / nullif(2 * hits + false_alarms + misses, 0), 6) AS fss, CAST(block AS BIGINT) AS block FROM a""",
+SELECT coalesce(n, 0) AS n, {R('mae', 'rmse', 'bias')}, coalesce(valid_hours, 0) AS valid_hours, coalesce(hits, 0) AS hits, coalesce(false_alarms, 0) AS false_alarms, coalesce(misses, 0) AS misses, round(hits / nullif(hits + false_alarms + misses, 0), 6) AS csi,
+round(1 - (false_alarms + misses) / nullif(2 * hits + false_alarms + misses, 0), 6) AS fss, CAST(block AS BIGINT) AS block FROM {SIZES} LEFT JOIN a USING (block)""",
     "block_coverage": f"""{BLOCKS}, p AS (SELECT count(DISTINCT t) AS times FROM g), a AS (SELECT block, count(*) AS valid_cells, avg(support_fraction) AS mean_support FROM bl GROUP BY block)
-SELECT valid_cells, round(mean_support, 6) AS mean_support, times * (12 // block) * (12 // block) AS possible_cells, round(valid_cells / (times * (12 // block) * (12 // block)), 6) AS valid_cells_fraction, CAST(block AS BIGINT) AS block FROM a CROSS JOIN p""",
+SELECT coalesce(valid_cells, 0) AS valid_cells, round(mean_support, 6) AS mean_support, times * (12 // block) * (12 // block) AS possible_cells, round(coalesce(valid_cells, 0) / (times * (12 // block) * (12 // block)), 6) AS valid_cells_fraction, CAST(block AS BIGINT) AS block FROM {SIZES} LEFT JOIN a USING (block) CROSS JOIN p""",
     "disk_neighbourhood_scores": f"""{G}, k AS ({' UNION ALL '.join(disk(r) for r in (1, 2, 3))}), z AS (SELECT *, o / s AS fo, f / s AS ff FROM k),
-a AS (SELECT radius_cells, disk_cells, count(*) AS valid_centers, count(DISTINCT t) AS valid_hours, sum(fo * ff) AS h, sum(ff * (1 - fo)) AS fa, sum((1 - ff) * fo) AS mi, sum((ff - fo) ** 2) AS num, sum(ff * ff + fo * fo) AS den FROM z GROUP BY ALL)
-SELECT CAST(radius_cells AS BIGINT) AS radius_cells, CAST(disk_cells AS BIGINT) AS disk_cells, 1.0::DOUBLE AS threshold, valid_centers, valid_hours, round(h, 6) AS fractional_hits, round(fa, 6) AS fractional_false_alarms, round(mi, 6) AS fractional_misses,
-round(h / nullif(h + fa + mi, 0), 6) AS neighborhood_csi_fractional, round(1 - num / nullif(den, 0), 6) AS fss FROM a""",
+rc(radius_cells, disk_cells) AS (VALUES (1, 5), (2, 13), (3, 29)), a AS (SELECT radius_cells, count(*) AS valid_centers, count(DISTINCT t) AS valid_hours, sum(fo * ff) AS h, sum(ff * (1 - fo)) AS fa, sum((1 - ff) * fo) AS mi, sum((ff - fo) ** 2) AS num, sum(ff * ff + fo * fo) AS den FROM z GROUP BY ALL)
+SELECT CAST(radius_cells AS BIGINT) AS radius_cells, CAST(disk_cells AS BIGINT) AS disk_cells, 1.0::DOUBLE AS threshold, coalesce(valid_centers, 0) AS valid_centers, coalesce(valid_hours, 0) AS valid_hours, round(h, 6) AS fractional_hits, round(fa, 6) AS fractional_false_alarms, round(mi, 6) AS fractional_misses,
+round(h / nullif(h + fa + mi, 0), 6) AS neighborhood_csi_fractional, round(1 - num / nullif(den, 0), 6) AS fss FROM rc LEFT JOIN a USING (radius_cells)""",
     "regrid_bilinear": f"WITH {FIELD_SQL}, {MAP} SELECT t, y, x, round(CASE WHEN count(w * v) = 4 THEN sum(w * v) END, 6) + 0.0 AS v FROM f JOIN m USING (i, j) GROUP BY t, y, x",
     "regrid_mask": f"WITH {FIELD_SQL}, {MAP}, a AS (SELECT t, y, x, count(v) = 4 AS valid FROM f JOIN m USING (i, j) GROUP BY t, y, x) SELECT t, count(*) FILTER (valid) AS valid_cells, count(*) AS cells FROM a GROUP BY t",
     "regrid_area_average": f"""WITH {FIELD_SQL}, ax AS (SELECT a, b, least(a + 1, (b + 1) * 8 / 3.0) - greatest(a, b * 8 / 3.0) AS w FROM (SELECT unnest(range(8)) AS a) CROSS JOIN (SELECT unnest(range(3)) AS b)),
@@ -183,7 +184,7 @@ SELECT t, i, j, CASE WHEN s >= 0.95 THEN round(mean, 6) + 0.0 END AS v, round(s,
     "patch_prefix_sums": f"{G}, {PATCHES} SELECT t, CAST(patch_y AS BIGINT) AS patch_y, CAST(patch_x AS BIGINT) AS patch_x, value FROM pt WHERE value > 0",
     "patch_choice": f"{CHOICE} SELECT CAST(epoch AS BIGINT) AS epoch, t, CAST(patch_y AS BIGINT) AS patch_y, CAST(patch_x AS BIGINT) AS patch_x, eligible FROM ch",
     "patch_exceedance": f"""{CHOICE}, mx AS (SELECT epoch, ch.t, max(truth) AS m FROM ch LEFT JOIN c ON c.t = ch.t AND c.y >= patch_y AND c.y < patch_y + 5 AND c.x >= patch_x AND c.x < patch_x + 5 GROUP BY ALL)
-SELECT coalesce(CAST(epoch AS VARCHAR), 'all') AS epoch, count(*) AS eligible_patches, count(*) FILTER (m > 1) AS max_gt_1, count(*) FILTER (m > 5) AS max_gt_5, count(*) FILTER (m > 10) AS max_gt_10 FROM mx GROUP BY ROLLUP (epoch)""",
+SELECT coalesce(CAST(epoch AS VARCHAR), 'all') AS epoch, count(*) AS eligible_patches, count(*) FILTER (m > 1) AS max_gt_1, count(*) FILTER (m > 5) AS max_gt_5, count(*) FILTER (m > 10) AS max_gt_10 FROM mx GROUP BY ROLLUP (epoch) HAVING count(*) > 0""",
     "pixel_sample": f"""{G}, r AS (SELECT t, y, x, truth, row_number() OVER (PARTITION BY t ORDER BY md5(concat_ws(':', '3', t, y, x)), y, x) AS r, count(*) OVER (PARTITION BY t) AS n FROM c)
 SELECT t, y, x, round(truth, 6) AS truth FROM r WHERE r <= least(n, 16, greatest(4, n // 5))""",
     "qc_sample": f"""WITH {ORDER_HOURS}, h AS (SELECT month, t, md5(concat_ws(':', '20260927', t)) AS h FROM om), f AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY h, t) = 1 AS picked FROM h)
