@@ -19,9 +19,9 @@ def common_support(*values: str) -> Column:
     return out
 
 
-def input_support(target: str, era: str, available: str, overlap: str) -> Column:
+def input_support(target: str, coarse: str, available: str, overlap: str) -> Column:
     """The three-way mask: overlap, target, coarse field and synthetic input are all there."""
-    return F.coalesce(F.col(overlap), F.lit(False)) & common_support(target, era) & F.coalesce(F.col(available), F.lit(False))
+    return F.coalesce(F.col(overlap), F.lit(False)) & common_support(target, coarse) & F.coalesce(F.col(available), F.lit(False))
 
 
 def pair_support(a: str, b: str) -> Column:
@@ -40,14 +40,14 @@ def require_finite(df: DataFrame, value: str, support: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(check)).filter("lost = 0").drop("lost")
 
 
-def support_totals(df: DataFrame, target: str, era: str, available: str, overlap: str) -> DataFrame:
+def support_totals(df: DataFrame, target: str, coarse: str, available: str, overlap: str) -> DataFrame:
     """Cells in the overlap, with target, with all three, and the share."""
     inside = F.coalesce(F.col(overlap), F.lit(False))
     return df.agg(
         F.count_if(inside).alias("overlap_cells"),
         F.count_if(inside & F.col(target).isNotNull()).alias("target_cells"),
-        F.count_if(input_support(target, era, available, overlap)).alias("support_cells"),
-        F.count_if(pair_support(target, era)).alias("pair_cells"),
+        F.count_if(input_support(target, coarse, available, overlap)).alias("support_cells"),
+        F.count_if(pair_support(target, coarse)).alias("pair_cells"),
     ).withColumn("support_fraction", ratio(F.col("support_cells"), F.col("target_cells")))
 
 

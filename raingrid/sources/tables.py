@@ -10,9 +10,9 @@ from ..functions.scalar import month_stem
 
 # Declared schemas of the tables that stages exchange.
 SCHEMAS = {
-    "era5": "time_epoch long, lat_idx int, lon_idx int, precipitation float",
-    "radklim": "time_epoch long, y_idx int, x_idx int, precipitation float",
-    "aligned": "time_epoch long, y_idx int, x_idx int, era5 float, radklim float",
+    "coarse": "time_epoch long, lat_idx int, lon_idx int, precipitation float",
+    "radar": "time_epoch long, y_idx int, x_idx int, precipitation float",
+    "aligned": "time_epoch long, y_idx int, x_idx int, coarse float, radar float",
     "synthetic_lr": "time_epoch long, lat_idx int, lon_idx int, precipitation float, source_valid_fraction float",
     "regrid_map": "y int, x int, overlap boolean, corner int, i int, j int, w double",
     "splits": "time_epoch long, date_utc date, split string",

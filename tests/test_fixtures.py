@@ -36,9 +36,9 @@ N = None
 
 
 def test_common_support(spark):
-    df = cells(spark, [[1, N, 1], [1, 1, 1]], [[1, 1, 1], [1, N, 1]], [[1, 1, 0], [1, 1, 1]], [[1, 1, 1], [1, 1, 0]], names="target era a o")
+    df = cells(spark, [[1, N, 1], [1, 1, 1]], [[1, 1, 1], [1, N, 1]], [[1, 1, 0], [1, 1, 1]], [[1, 1, 1], [1, 1, 0]], names="target coarse a o")
     df = df.withColumns({"a": F.col("a") == 1, "o": F.col("o") == 1})
-    got = {(r["y"], r["x"]) for r in df.filter(support.input_support("target", "era", "a", "o")).collect()}
+    got = {(r["y"], r["x"]) for r in df.filter(support.input_support("target", "coarse", "a", "o")).collect()}
     assert got == {(0, 0), (1, 0)}
 
 

@@ -25,7 +25,7 @@ def test_months_are_written_once_unless_replaced(spark, tmp_path):
 
 
 def test_month_audit(spark, tmp_path):
-    for name in ("era5_2019_01.nc", "era5_2019_03.nc", "x_2019_03.nc"):
+    for name in ("coarse_2019_01.nc", "coarse_2019_03.nc", "x_2019_03.nc"):
         (tmp_path / name).write_bytes(b"123")
     months = spark.createDataFrame([("2019_01",), ("2019_02",), ("2019_03",)], "month string")
     got = {r["month"]: (r["files"], r["bytes"], r["ok"]) for r in tables.month_audit(tables.inventory(spark, str(tmp_path), "*.nc"), months).collect()}
