@@ -7,6 +7,7 @@ t_0 < t_1 < ..., so the model gives an expected grade and the probability of eac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +20,25 @@ from .sampling import Rows, fractions, sparse, taken
 from .textkit import char_ngram_counts
 
 ORDERS, BITS = (1, 2, 3), 14
+#: Places of features: hashed n-grams, then the tenths of repeated words, and the weight of the latter.
+WIDTH, REPEATS = (1 << BITS) + 10, 0.5
 #: The model is fitted on about so many rated rows, even over grades.
 FIT_ROWS = 4_000
 ROUNDS, RATE, L2 = 150, 0.05, 1e-5
 #: A document is kept if its grade is above the lowest with at least this probability.
-LEAST_TAIL = 0.5
+LEAST_TAIL = 0.3
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places and weights (logarithms of counts, of length 1) of the hashed character n-grams of each text, as they are."""
+    """Places and weights of each text: logarithms of counts of hashed character n-grams (of length 1), and the tenth that the share of words equal to the word before is in."""
     out = []
     for text in column.to_pylist():
         counts = char_ngram_counts(text or "", ORDERS, BITS)
         on = np.flatnonzero(counts)
         x = 1 + np.log(np.maximum(counts[on], 1))
-        out.append((on, x / (np.sqrt(x @ x) or 1.0)))
+        words = (text or "").split()
+        share = sum(map(eq, words, words[1:])) / len(words) if words else 0.0
+        out.append((np.append(on, (1 << BITS) + min(9, int(10 * share))), np.append(x / (np.sqrt(x @ x) or 1.0), REPEATS)))
     return out
 
 
@@ -91,12 +96,12 @@ def fit_quality(rated: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
     rated = rated.select("doc_id", "text", "grade").filter("grade >= 0 and text is not null")
     shares = fractions(rated.select("grade"), "grade", fit_rows)
     if not shares:
-        return Ordinal(1, 1 << BITS)
+        return Ordinal(1, WIDTH)
     rows = sparse(rated.filter(taken("grade", shares, 10)), features, "grade").toPandas().sort_values("doc_id", kind="stable")
     grade = rows["grade"].to_numpy(np.int64)
     weight = np.array([1 / shares[g] for g in grade])
-    data = Rows([np.asarray(p) for p in rows["places"]], [np.asarray(a) for a in rows["amounts"]], 1 << BITS)
-    return Ordinal(int(max(shares)) + 1, 1 << BITS).fit(data, grade, weight)
+    data = Rows([np.asarray(p) for p in rows["places"]], [np.asarray(a) for a in rows["amounts"]], WIDTH)
+    return Ordinal(int(max(shares)) + 1, WIDTH).fit(data, grade, weight)
 
 
 def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
