@@ -21,11 +21,12 @@ from .common import bounded, materialise
 
 CAPACITY, END = 2048, 0
 #: Words that one task keeps the ids of (twice so many for a time), and pieces of a numbering block as a mean.
-KEPT_WORDS, BLOCK_ROWS = 150_000, 20_000
+KEPT_WORDS, BLOCK_ROWS = 300_000, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that some notions of white space hold and others don't; texts with them go to the tokenizer whole.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
-_MARKS = ".,;:!?"
+#: ASCII marks but the apostrophe, which begins pre-tokens of its own; a run of them is one pre-token.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The last of the letters whose normal form is themselves, but for their case.
 _LATIN = "\u0233"
 
@@ -69,10 +70,11 @@ class WordTokens:
                 continue
             ids = older.get(w)
             if ids is None:
-                stem, mark = (w[:-1], w[-1]) if w[-1] in _MARKS else (w, "")
+                stem = w.rstrip(_MARKS)
+                mark = w[len(stem) :]
                 low = stem.lower()
                 if low.isalpha() and (low.isascii() or max(low) <= _LATIN):
-                    ids = known.get(stem) or older.get(stem) or self._letters(low)
+                    ids = known.get(stem) or older.get(stem) or known.get(low) or self._letters(low)
                     if mark:
                         known[stem] = ids
                         if mark not in known:
