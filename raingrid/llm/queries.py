@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from . import licences, vectors, warc
+from . import licences, minhash, vectors, warc
 from .decontaminate import op1_qgram_lemma
 from .language import op9_ftrl_language
-from .minhash import op8_minhash
 from .packing import op7_best_two_fit
 from .quality import op10_ordinal_quality
 from .sharding import op2_karmarkar_karp
@@ -19,7 +18,7 @@ QUERIES = {
     "op5_product_quantisation": vectors.op5_product_quantisation,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op7_best_two_fit": op7_best_two_fit,
-    "op8_minhash": op8_minhash,
+    "op8_minhash": minhash.op8_minhash,
     "op9_ftrl_language": op9_ftrl_language,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
@@ -28,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_sentence_rules": licences.ORACLE,
     "op5_product_quantisation": vectors.ORACLE,
     "op6_warc_dictionary": warc.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
