@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder
-from .sampling import fractions, sparse, taken
+from .sampling import Rows, fractions, sparse, taken
 from .textkit import char_ngram_counts
 
 ORDERS, BITS = (1, 2, 3), 15
@@ -131,10 +131,11 @@ def fit_language(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel
     frequency, n = document_frequencies(labelled)
     model = LanguageModel(languages, np.log((1 + n) / (1 + frequency)) + 1)
     chosen = labelled.filter(taken("lang", shares, 9))
-    rows = sparse(chosen, raw_features, "lang").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    aside = np.arange(len(rows)) % 5 == 4
-    data = [(np.asarray(p), np.asarray(a), languages.index(x)) for p, a, x in zip(rows["places"], rows["amounts"], rows["lang"], strict=True)]
+    table = sparse(chosen, raw_features, "lang").toArrow()
+    rows, names = Rows.of_table(table, 1 << BITS), [languages.index(x) for x in table["lang"].to_pylist()]
+    order = np.argsort(table["doc_id"].fill_null(-1).to_numpy(), kind="stable")
+    data = [(rows.place[rows.starts[k] : rows.starts[k + 1]], rows.amount[rows.starts[k] : rows.starts[k + 1]], names[k]) for k in order]
+    aside = np.arange(len(data)) % 5 == 4
     learn = [d for d, out in zip(data, aside, strict=True) if not out]
     rng = np.random.default_rng(0)
     for _ in range(ROUNDS):

@@ -97,11 +97,10 @@ def fit_quality(rated: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
     shares = fractions(rated.select("grade"), "grade", fit_rows)
     if not shares:
         return Ordinal(1, WIDTH)
-    rows = sparse(rated.filter(taken("grade", shares, 10)), features, "grade").toPandas().sort_values("doc_id", kind="stable")
-    grade = rows["grade"].to_numpy(np.int64)
-    weight = np.array([1 / shares[g] for g in grade])
-    data = Rows([np.asarray(p) for p in rows["places"]], [np.asarray(a) for a in rows["amounts"]], WIDTH)
-    return Ordinal(int(max(shares)) + 1, WIDTH).fit(data, grade, weight)
+    rows = sparse(rated.filter(taken("grade", shares, 10)), features, "grade").toArrow()
+    grade = rows["grade"].to_numpy().astype(np.int64)
+    weight = np.array([1 / shares[g] for g in grade.tolist()])
+    return Ordinal(int(max(shares)) + 1, WIDTH).fit(Rows.of_table(rows, WIDTH), grade, weight)
 
 
 def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:

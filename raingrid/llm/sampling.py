@@ -42,16 +42,52 @@ def sparse(docs: DataFrame, features: Callable[[pa.Array], list[tuple[np.ndarray
 
 
 class Rows:
-    """Sparse rows on the driver: products with a vector or matrix, both ways."""
+    """Sparse rows on the driver: products with a vector, both ways, a piece at a time so that nothing beside the rows is large."""
 
-    def __init__(self, places: list[np.ndarray], amounts: list[np.ndarray], width: int):
-        self.n, self.width = len(places), width
-        self.row = np.repeat(np.arange(self.n), [len(p) for p in places])
-        self.place = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
-        self.amount = np.concatenate([np.zeros(0), *amounts]).astype(np.float64)
+    PIECE = 1 << 20
+
+    def __init__(self, starts: np.ndarray, place: np.ndarray, amount: np.ndarray, width: int):
+        self.n, self.width, self.starts = len(starts) - 1, width, starts
+        self.place, self.amount = place, amount
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
+
+    @classmethod
+    def of_table(cls, table: pa.Table, width: int) -> Rows:
+        """Of the columns ``places`` and ``amounts``, without copying them."""
+        places, amounts = (table[c].combine_chunks() for c in ("places", "amounts"))
+        if not len(table):
+            return cls.of_lists([], [], width)
+        starts = places.offsets.to_numpy().astype(np.int64)
+        return cls(starts - starts[0], places.flatten().to_numpy(), amounts.flatten().to_numpy(), width)
+
+    @classmethod
+    def of_lists(cls, places: list[np.ndarray], amounts: list[np.ndarray], width: int) -> Rows:
+        starts = np.concatenate(([0], np.cumsum([len(p) for p in places], dtype=np.int64)))
+        return cls(starts, np.concatenate([np.zeros(0, np.int32), *places]).astype(np.int32), np.concatenate([np.zeros(0, np.float32), *amounts]).astype(np.float32), width)
+
+    def _pieces(self):
+        for low in range(0, len(self.place), self.PIECE):
+            yield slice(low, low + self.PIECE)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.amount * w[self.place], minlength=self.n)
+        out = np.zeros(self.n)
+        for k in self._pieces():
+            first = self.row[k.start]
+            own = np.bincount(self.row[k] - first, self.amount[k] * w[self.place[k]])
+            out[first : first + len(own)] += own
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, self.amount * g[self.row], minlength=self.width)
+        out = np.zeros(self.width)
+        for k in self._pieces():
+            out += np.bincount(self.place[k], self.amount[k] * g[self.row[k]], minlength=self.width)
+        return out
+
+    def only(self, known: np.ndarray) -> tuple[Rows, np.ndarray]:
+        """The rows with the known places alone, numbered anew, and those places."""
+        names = np.flatnonzero(known)
+        to = np.zeros(self.width, np.int32)
+        to[names] = np.arange(len(names))
+        kept = known[self.place]
+        starts = np.concatenate(([0], np.cumsum(kept)))[self.starts]
+        return Rows(starts, to[self.place[kept]], self.amount[kept], len(names)), names

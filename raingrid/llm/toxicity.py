@@ -81,32 +81,27 @@ class Toxicity:
     def __init__(self):
         self.w, self.bias = np.zeros(1 << BITS), -4.0
 
-    def fit(self, places: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swap: float = SWAP) -> Toxicity:
+    def fit(self, rows: Rows, label: np.ndarray, weight: np.ndarray, swap: float = SWAP) -> Toxicity:
         """Weighted logistic loss, plus ``swap`` times the mean squared change of the log odds under swaps, plus L1; proximal steps of their own size for each weight."""
-        if not len(places):
+        if not rows.n:
             return self
         identity = _swaps()
-        terms = np.zeros(1 << BITS, bool)
-        terms[list(identity)] = True
-        every = np.concatenate(places)
-        times = np.bincount(every, minlength=1 << BITS)
-        toxic = np.bincount(every, np.repeat(label, [len(p) for p in places]), minlength=1 << BITS)
-        usual = label.mean()
+        times, toxic, usual = rows.back(np.ones(rows.n)), rows.back(label), label.mean()
         often = times >= LEAST_DOCS
         known = often & (np.abs(toxic - times * usual) >= LEAST_DEVIATIONS * np.sqrt(times * usual * (1 - usual)))
+        terms = np.zeros(1 << BITS, bool)
         for a, (gone, come) in identity.items():
             if often[a]:
-                known[gone] = known[come] = True
-        places = [p[known[p]] for p in places]
-        vocabulary = np.flatnonzero(known)
+                known[gone] = known[come] = terms[a] = True
+        rows, vocabulary = rows.only(known)
         to = np.zeros(1 << BITS, np.int64)
         to[vocabulary] = np.arange(len(vocabulary))
-        rows = Rows([to[p] for p in places], [np.ones(len(p)) for p in places], len(vocabulary))
-        changed = [(k, p[terms[p]]) for k, p in enumerate(places) if terms[p].any()]
         # the change of a row's score: features of its terms leave, those of the replacements come
+        at = np.flatnonzero(terms[vocabulary][rows.place])
+        changed = [(k, vocabulary[rows.place[at[rows.row[at] == k]]]) for k in np.unique(rows.row[at])]
         leave = [np.concatenate([identity[int(x)][0] for x in t]) for _, t in changed]
         come = [np.concatenate([identity[int(x)][1] for x in t]) for _, t in changed]
-        gone = Rows([to[np.concatenate(x)] for x in zip(leave, come, strict=True)], [np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in zip(leave, come, strict=True)], len(vocabulary))
+        gone = Rows.of_lists([to[np.concatenate(x)] for x in zip(leave, come, strict=True)], [np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in zip(leave, come, strict=True)], len(vocabulary))
         changed_weight = np.array([weight[k] for k, _ in changed])
         changed_weight = changed_weight / (changed_weight.sum() or 1.0)  # the mean is over texts that a swap changes
         weight = weight / weight.sum()
@@ -117,12 +112,13 @@ class Toxicity:
             g = rows.back(e)
             if changed:
                 g += 2 * swap * gone.back(changed_weight * gone.times(w))
+            # steps shrink with all gradients so far, which ends the fit before single features are trusted fully
             g2 += g * g
             b2 += e.sum() ** 2
             step = RATE / np.sqrt(g2)
             w = w - step * g
             w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
-            bias -= RATE / np.sqrt(b2) * e.sum()
+            bias -= RATE / 5 / np.sqrt(b2) * e.sum()
         self.w[vocabulary], self.bias = w, bias
         return self
 
@@ -142,9 +138,9 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, swap: float = SW
     shares = fractions(labelled.select("toxic"), "toxic", fit_rows)
     if len(shares) < 2:
         return Toxicity()
-    rows = sparse(labelled.filter(taken("toxic", shares, 4)), features, "toxic").drop("amounts").toPandas().sort_values("doc_id", kind="stable")
-    label = rows["toxic"].to_numpy(float)
-    return Toxicity().fit([np.asarray(p, np.int64) for p in rows["places"]], label, np.array([1 / shares[int(x)] for x in label]), swap)
+    table = sparse(labelled.filter(taken("toxic", shares, 4)), features, "toxic").toArrow()
+    label = table["toxic"].to_numpy().astype(float)
+    return Toxicity().fit(Rows.of_table(table, 1 << BITS), label, np.array([1 / shares[int(x)] for x in label]), swap)
 
 
 def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:

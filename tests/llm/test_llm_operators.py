@@ -479,9 +479,9 @@ def test_thresholds_are_in_order_and_found():
     from raingrid.llm.sampling import Rows
 
     model = quality.Ordinal(4, 1)
-    model.fit(Rows([np.array([0])] * 3000, [np.array([v]) for v in x], 1), grade, np.ones(3000))
+    model.fit(Rows.of_lists([np.array([0])] * 3000, [np.array([v]) for v in x], 1), grade, np.ones(3000))
     for _ in range(3):
-        model.fit(Rows([np.array([0])] * 3000, [np.array([v]) for v in x], 1), grade, np.ones(3000))
+        model.fit(Rows.of_lists([np.array([0])] * 3000, [np.array([v]) for v in x], 1), grade, np.ones(3000))
     assert abs(model.w[0] - 2) < 0.3 and np.abs(model.thresholds - edges).max() < 0.4 and (np.diff(model.thresholds) > 0).all()
 
 
