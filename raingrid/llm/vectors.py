@@ -61,7 +61,8 @@ class Index:
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, c], CODES, seed=2 + k) for k, c in enumerate(self.cuts)]
-        self.apart = np.sqrt(np.maximum(0, np.square(self.coarse[:, None] - self.coarse[None]).sum(2)))
+        square = np.square(self.coarse).sum(1)
+        self.apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * self.coarse @ self.coarse.T))
         self.margin = min(self.reach, DEVIATIONS * self.reach / np.sqrt(sample.shape[1]))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
