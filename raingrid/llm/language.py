@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import remainder
 from .sampling import Rows, fractions, sparse, taken
-from .textkit import char_ngram_counts
+from .textkit import char_ngram_counts, texts
 
 ORDERS, BITS = (1, 2, 3), 15
 #: The model is fitted on about so many rows, even over languages, a fifth of them kept aside for the temperature.
@@ -28,14 +28,12 @@ LEAST_SCORE = 0.35
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def raw_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def raw_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and counts of the hashed character n-grams of each lower-cased text."""
-    out = []
-    for text in column.to_pylist():
+    for text in texts(column):
         counts = char_ngram_counts((text or "").lower(), ORDERS, BITS)
         on = np.flatnonzero(counts)
-        out.append((on, counts[on]))
-    return out
+        yield on, counts[on]
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -44,7 +42,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts(batch.column(0)):
                 total[:-1] += char_ngram_counts((text or "").lower(), ORDERS, BITS) > 0
             total[-1] += len(batch)
         on = np.flatnonzero(total)
@@ -154,7 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(at).to_pylist()]
+            got = [model.predict(t) for t in texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
     docs = docs.select(*kept)

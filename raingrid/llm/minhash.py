@@ -98,7 +98,7 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the edges whose full sets are similar enough. Rows come by centre, whose set is made once for a run of rows."""
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
         centres = batch.column(1).to_numpy(zero_copy_only=False)
         new = np.ones(len(centres), bool)
         new[1:] = centres[1:] != centres[:-1]

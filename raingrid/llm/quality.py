@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import materialise
 from .sampling import Rows, fractions, sparse, taken
-from .textkit import char_ngram_counts
+from .textkit import char_ngram_counts, texts
 
 ORDERS, BITS = (1, 2, 3), 14
 #: Places of features: hashed n-grams, then the tenths of repeated words, and the weight of the latter.
@@ -29,17 +29,15 @@ ROUNDS, RATE, L2 = 150, 0.05, 1e-5
 LEAST_TAIL = 0.3
 
 
-def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and weights of each text: logarithms of counts of hashed character n-grams (of length 1), and the tenth that the share of words equal to the word before is in."""
-    out = []
-    for text in column.to_pylist():
+    for text in texts(column):
         counts = char_ngram_counts(text or "", ORDERS, BITS)
         on = np.flatnonzero(counts)
         x = 1 + np.log(np.maximum(counts[on], 1))
         words = (text or "").split()
         share = sum(map(eq, words, words[1:])) / len(words) if words else 0.0
-        out.append((np.append(on, (1 << BITS) + min(9, int(10 * share))), np.append(x / (np.sqrt(x @ x) or 1.0), REPEATS)))
-    return out
+        yield (np.append(on, (1 << BITS) + min(9, int(10 * share))), np.append(x / (np.sqrt(x @ x) or 1.0), REPEATS))
 
 
 def _s(x: np.ndarray) -> np.ndarray:

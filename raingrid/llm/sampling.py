@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,14 @@ def taken(label: str, shares: dict, seed: int) -> F.Column:
     return place < share
 
 
-def sparse(docs: DataFrame, features: Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]], label: str) -> DataFrame:
+def sparse(docs: DataFrame, features: Callable[[pa.Array], Iterable[tuple[np.ndarray, np.ndarray]]], label: str) -> DataFrame:
     """``docs(doc_id, text, label)`` to ``(doc_id, places, amounts, label)``, the sparse features of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
-                got = features(part.column(1))
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                got = list(features(part.column(1)))
                 lists = [pa.array([x[k].astype(t) for x in got], pa.list_(pa.from_numpy_dtype(t))) for k, t in enumerate((np.int32, np.float32))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists, part.column(2)], ["doc_id", "places", "amounts", label])
 

@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of a text column of about ``most`` bytes: first row, end row, bytes, offsets. Null is read as empty.
 
     A text is never cut, so that one longer than ``most`` is a run by itself.
@@ -115,6 +115,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     return out
 
 
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column one by one, so that they aren't all there at once."""
+    return (x.as_py() for x in column)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
