@@ -1,10 +1,11 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table distances, exact rerank.
 
 Vectors are compared within a label. Each distinct vector is indexed in the list of its nearest coarse
-centroid with the codes of its residual. As a query it probes every list that a neighbour within the link
-distance could be in, as told by its distance from the border between its own list and that one. A block of a
-list meets a block of queries in one task: table distances rule out what the quantisation error allows, and
-the rest gets its cosine in double precision. Tasks return counts of links and a spanning forest of them, so
+centroid with the codes of its residual. As a query it probes every list whose border with its own is within
+half the link distance: of two vectors so near, one at least probes the list of the other. Lists are dealt in
+groups, so that a vector is sent once for all lists of a group. A block of a group meets a block of queries in
+one task: table distances rule out what the quantisation error allows, and the rest gets its cosine in double
+precision. Tasks return counts of links and a spanning forest of them, so
 results grow with the vectors even where thousands are linked with one another.
 """
 
@@ -25,12 +26,10 @@ FIT_ROWS = 20_000
 #: Vectors of a list as a mean, and the most lists.
 LIST_ROWS, MOST_LISTS = 400, 1_024
 SUBSPACES, CODES = 8, 64
-#: Vectors at the link distance, apart in a direction that knows nothing of a border, have the border between
-#: them with both further from it than so many standard deviations about three times in 100,000 (four in all):
-#: a pair is found if either of the two probes the list of the other.
-DEVIATIONS = 2.0
-#: Rows of a block of a list, or of the queries of a list.
+#: Rows of a block of a group of lists, or of the queries of a group.
 BLOCK = 1_024
+#: Vectors of the largest label in a group of lists, as a mean.
+GROUP_ROWS = 512
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -55,7 +54,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and residual code books, fitted on a sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int, least_cosine: float = LEAST_COSINE):
+    def __init__(self, sample: np.ndarray, lists: int, least_cosine: float = LEAST_COSINE, groups: int = 1):
         self.reach = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
         self.coarse = _kmeans(sample, lists)
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
@@ -63,11 +62,13 @@ class Index:
         self.books = [_kmeans(rest[:, c], CODES, seed=2 + k) for k, c in enumerate(self.cuts)]
         square = np.square(self.coarse).sum(1)
         self.apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * self.coarse @ self.coarse.T))
-        self.margin = min(self.reach, DEVIATIONS * self.reach / np.sqrt(sample.shape[1]))
+        # the distances of two vectors from the border between them sum to their distance at most, so one has half of it or less
+        self.margin = self.reach / 2 + 1e-9
+        self.group = _nearest(self.coarse, _kmeans(self.coarse, groups, seed=99))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and quantisation error of each vector."""
-        own = _nearest(x, self.coarse)
+    def encode(self, x: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List (``own`` if it is known), codes and quantisation error of each vector."""
+        own = _nearest(x, self.coarse) if own is None else own
         rest = x - self.coarse[own]
         codes = np.stack([_nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1)
         lost = sum(np.square(rest[:, c] - b[codes[:, k]]).sum(1) for k, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)))
@@ -97,7 +98,7 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _assign(index: Index, probe: bool):
-    """The list of each vector; or, to ``probe``, a row for each list it probes, with its own list too."""
+    """The list of each vector and its group; or, to ``probe``, a row for each group with the lists in it that the vector probes, and its own list too."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +107,15 @@ def _assign(index: Index, probe: bool):
                 x = _unit(part.column("embedding"))
                 own = _nearest(x, index.coarse)
                 if not probe:
-                    yield part.append_column("list", pa.array(own, pa.int32()))
+                    yield part.append_column("list", pa.array(own, pa.int32())).append_column("grp", pa.array(index.group[own], pa.int32()))
                     continue
                 row, at = np.nonzero(index.probes(x, own))
-                yield part.take(pa.array(row)).append_column("own", pa.array(own[row], pa.int32())).append_column("list", pa.array(at, pa.int32()))
+                order = np.lexsort((at, index.group[at], row))
+                row, at = row[order], at[order]
+                first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(index.group[at], prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+                row, grp = row[first], index.group[at[first]]
+                yield part.take(pa.array(row)).append_column("own", pa.array(own[row], pa.int32())).append_column("lists", lists).append_column("grp", pa.array(grp, pa.int32()))
 
     return assign
 
@@ -122,8 +128,10 @@ def _meet(index: Index, least: float):
         if not len(members) or not len(queries):
             return _FOUND.empty_table()
         y, x = _unit(members["embedding"]), _unit(queries["embedding"])
-        at = members["list"][0].as_py()
-        own, codes, lost = index.encode(y)
+        own = members["list"].to_numpy()
+        _, codes, lost = index.encode(y, own)
+        lists = queries["lists"].combine_chunks()
+        asked, asks = lists.flatten().to_numpy(), lists.value_parent_indices().to_numpy()
         ids, mine = members["rep"].to_numpy(), queries["rep"].to_numpy()
         weight, my_weight = members["copies"].to_numpy(), queries["copies"].to_numpy()
         back = np.zeros(len(y), np.int64)
@@ -140,22 +148,23 @@ def _meet(index: Index, least: float):
 
         # y finds x by itself if it probes the list of x; if not, x counts for both
         reaches = index.probes(y, own)
-        for low in range(0, len(x), 256):
-            q = slice(low, low + 256)
-            maybe = index.table_distances(x[q], at, codes) <= index.reach + lost[None, :] + 1e-9
-            a, b = np.nonzero(maybe)
-            sure = np.einsum("ij,ij->i", x[q][a], y[b]) >= least
-            a, b = a[sure] + low, b[sure]
-            other = mine[a] != ids[b]
-            a, b = a[other], b[other]
-            np.add.at(counts, a, weight[b])
-            alone = ~reaches[b, seen_x[a]]
-            np.add.at(back, b[alone], my_weight[a[alone]])
-            for s, t in zip(mine[a].tolist(), ids[b].tolist(), strict=True):
-                s, t = find(s), find(t)
-                if s != t:
-                    root[s] = t
-                    forest.append((s, t))
+        for at in np.unique(own).tolist():
+            mem, ask = np.flatnonzero(own == at), asks[asked == at]
+            for low in range(0, len(ask), 256):
+                q = ask[low : low + 256]
+                maybe = index.table_distances(x[q], at, codes[mem]) <= index.reach + lost[mem][None, :] + 1e-9
+                a, b = np.nonzero(maybe)
+                a, b = q[a], mem[b]
+                sure = (np.einsum("ij,ij->i", x[a], y[b]) >= least) & (mine[a] != ids[b])
+                a, b = a[sure], b[sure]
+                np.add.at(counts, a, weight[b])
+                alone = ~reaches[b, seen_x[a]]
+                np.add.at(back, b[alone], my_weight[a[alone]])
+                for s, t in zip(mine[a].tolist(), ids[b].tolist(), strict=True):
+                    s, t = find(s), find(t)
+                    if s != t:
+                        root[s] = t
+                        forest.append((s, t))
         f = np.array(forest, np.int64).reshape(-1, 2)
         some, also = counts > 0, back > 0
         rows = [
@@ -169,12 +178,13 @@ def _meet(index: Index, least: float):
 
 
 def fit_index(vectors: DataFrame, rows: int, least_cosine: float, fit_rows: int = FIT_ROWS) -> Index | None:
-    """Fit on the ``fit_rows`` vectors with the smallest hash; the number of lists follows the number of vectors."""
+    """Fit on the ``fit_rows`` vectors with the smallest hash; the number of lists follows the number of vectors, that of their groups the largest label."""
     sample = vectors.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(fit_rows).select("embedding").toArrow()
     if not len(sample):
         return None
     lists = int(max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // 4)))
-    return Index(_unit(sample["embedding"]), lists, least_cosine)
+    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0]
+    return Index(_unit(sample["embedding"]), lists, least_cosine, int(max(1, min(lists, -(-largest // GROUP_ROWS)))))
 
 
 def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -203,22 +213,22 @@ def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     schema = "rep long, label int, embedding array<float>, copies long"
     schema = schema.replace("label int", f"label {dict(rows.dtypes)['label']}").replace("array<float>", dict(rows.dtypes)["embedding"])
-    listed = materialise(distinct.mapInArrow(_assign(index, False), schema + ", list int"), "listed")
-    sizes = listed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = listed.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
-    probing = materialise(distinct.mapInArrow(_assign(index, True), schema + ", own int, list int"), "probing")
-    many = probing.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    # a block of a list meets every part of the list's queries
-    grid = materialise(sizes.join(many, ["label", "list"]), "grid")
-    left = members.join(grid.select("label", "list", "parts"), ["label", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    listed = materialise(distinct.mapInArrow(_assign(index, False), schema + ", list int, grp int"), "listed")
+    sizes = listed.groupBy("label", "grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = listed.join(sizes, ["label", "grp"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
+    probing = materialise(distinct.mapInArrow(_assign(index, True), schema + ", own int, lists array<int>, grp int"), "probing")
+    many = probing.groupBy("label", "grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    # a block of a group meets every part of the group's queries
+    grid = materialise(sizes.join(many, ["label", "grp"]), "grid")
+    left = members.join(grid.select("label", "grp", "parts"), ["label", "grp"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     right = (
-        probing.join(grid, ["label", "list"])
+        probing.join(grid, ["label", "grp"])
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .drop("parts", "blocks")
     )
     found = materialise(
-        left.groupBy("label", "list", "block", "part").cogroup(right.groupBy("label", "list", "block", "part")).applyInArrow(_meet(index, least_cosine), "rep long, links long, other long"),
+        left.groupBy("label", "grp", "block", "part").cogroup(right.groupBy("label", "grp", "block", "part")).applyInArrow(_meet(index, least_cosine), "rep long, links long, other long"),
         "found",
     )
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -404,6 +404,25 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_of_dense_groups_with_a_border_between(spark):
+    rng = np.random.default_rng(8)
+    size, dim = 400, 64
+    for cosine in (0.94, 0.96):
+        centre = np.zeros((2, dim))
+        centre[:, 0], centre[0, 1], centre[1, 1] = np.sqrt((1 + cosine) / 2), np.sqrt((1 - cosine) / 2), -np.sqrt((1 - cosine) / 2)
+        e = (centre.repeat(size, axis=0) + rng.normal(size=(2 * size, dim)) * 0.002).astype(np.float32)
+        x = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1, keepdims=True)
+        # two lists: k-means has a centroid on each group
+        index = vectors.Index(x, 2)
+        own = vectors._nearest(x, index.coarse)
+        probes = index.probes(x, own)[np.arange(2 * size)[:, None], own[None, :]]
+        linked = x @ x.T >= 0.93
+        assert not (linked & ~probes & ~probes.T).any() and (own[:size] != own[size:]).all()
+        got = table(vectors.near_vectors(spark.createDataFrame([(k, v, 1) for k, v in enumerate(e.tolist())], "vec_id long, embedding array<float>, label int")), "vec_id")
+        assert [got[k]["n_links"] for k in range(2 * size)] == (linked.sum(1) - 1).tolist()
+        assert {r["component_id"] for r in got.values()} == {0}
+
+
 def test_table_distances_bound_true_distances():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 24))
