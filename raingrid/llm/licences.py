@@ -92,6 +92,32 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense_free", "unlicense_anyone"]),
 ]
 
+# Sentences of the GPL family's and the MPL's notices as both ways of cutting give them: they end at a colon
+# or semicolon before white space, and at the point of "v. 2.0" (that "2.0" is no sentence of its own here: the address has it).
+# The SQL knows SENTENCES and RULES alone.
+CUT_SENTENCES: dict[str, str] = {
+    **{f"gnu_free_{k}": f"this {k} is free software" for k in ("program", "library")},
+    **{f"gnu_hope_{k}": f"this {k} is distributed in the hope that it will be useful but without any warranty" for k in ("program", "library")},
+    **{
+        f"{k}_terms{mark}": f"you can redistribute it and or modify it under the terms of the gnu {name}general public license as published by the free software foundation{end}"
+        for k, name in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))
+        for mark, end in (("", ""), *((f"_{v.replace(' ', '_')}", f" either version {v} of the license or at your option any later version") for v in ("2", "2 1", "3")))
+    },
+    **{f"gnu_either_{v.replace(' ', '_')}": f"either version {v} of the license or at your option any later version" for v in ("2", "2 1", "3")},
+    "gnu_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl_subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl_copy_https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+}
+
+# The same licences as in RULES, over sentences as they are cut.
+CUT_RULES: list[tuple[str, list[str]]] = [
+    *((name, ["gnu_free_program", *terms, "gnu_hope_program", "gnu_implied", f"{k}_see"])
+      for name, k, v in (("GPL-2.0-or-later", "gpl", "2"), ("GPL-3.0-or-later", "gpl", "3"), ("AGPL-3.0-or-later", "agpl", "3"))
+      for terms in ([f"{k}_terms_{v}"], [f"{k}_terms", f"gnu_either_{v}"])),
+    *(("LGPL", [f"gnu_hope_{what}", "gnu_implied", "lgpl_see"]) for what in ("program", "library")),
+    *(("MPL-2.0", [subject, copy]) for subject, copy in (("mpl_subject", "mpl_copy"), ("mpl_subject", "mpl_copy_https"), ("mpl_notice", "mpl_copy_https"))),
+]
+
 _SPACE = r"[ \t\r\n]"
 
 
@@ -114,7 +140,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     # known sentences are found in a narrow stage: parts explode, are normalised and meet the broadcast table
     parts = rows.select("doc_id", F.explode("ways").alias("w")).select("doc_id", "w.way", F.posexplode("w.parts").alias("place", "part"))
     plain = F.trim(F.regexp_replace(F.lower("part"), r"[^a-z0-9]+", " "))
-    known = spark.createDataFrame([(s, k) for k, s in SENTENCES.items()], "plain string, sentence string")
+    known = spark.createDataFrame([(s, k) for k, s in (SENTENCES | CUT_SENTENCES).items()], "plain string, sentence string")
     sequences = (
         parts.select("doc_id", "way", "place", plain.alias("plain"))
         .join(F.broadcast(known), "plain")
@@ -122,7 +148,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set(F.struct("place", "sentence"))).alias("found"))
         .select("doc_id", F.concat(F.lit(","), F.array_join("found.sentence", ","), F.lit(",")).alias("sequence"), F.size("found").alias("n"))
     )
-    told = F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(*(F.when(F.contains("sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES)), lambda x: x.isNotNull()))))
+    told = F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(*(F.when(F.contains("sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES + CUT_RULES)), lambda x: x.isNotNull()))))
     per_row = sequences.groupBy(F.col("doc_id").alias("id")).agg(F.array_join(F.sort_array(told), ",").alias("licences"), F.max("n").alias("sentences"))
     return (
         docs.select("doc_id")

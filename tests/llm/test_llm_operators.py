@@ -210,6 +210,35 @@ def test_licences(spark):
     assert licences.licence_scan(documents(spark, [])).collect() == []
 
 
+def gnu(what, sign, licence, version):
+    return (
+        f"This {what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {licence} as published by\nthe Free Software Foundation{';' if sign == ';' else ','} either version {version} of the License, or\n(at your option) any later version.\n\n"
+        f"This {what} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n{'GNU ' + licence} for more details.\n"
+    )
+
+
+def test_licences_of_standard_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    notices = {
+        gnu("program", ":", "General Public License", "3"): "GPL-3.0-or-later",
+        gnu("program", ";", "General Public License", "2"): "GPL-2.0-or-later",
+        gnu("program", ":", "Affero General Public License", "3"): "AGPL-3.0-or-later",
+        gnu("library", ";", "Lesser General Public License", "2.1"): "LGPL",
+        gnu("program", ":", "Lesser General Public License", "3"): "LGPL",
+        mpl: "MPL-2.0",
+        mpl.replace("http:", "https:"): "MPL-2.0",
+    }
+    rows = [(k, v) for k, n in enumerate(notices) for v in [n]] + [(100 + k, "/*\n" + "\n".join(f" * {x}".rstrip() for x in n.splitlines()) + "\n */") for k, n in enumerate(notices)]
+    got = table(licences.licence_scan(documents(spark, rows)))
+    want = list(notices.values())
+    assert [got[k]["licences"] for k in range(len(want))] == want
+    one_line = [(k, " ".join(n.split())) for k, n in enumerate(notices)]
+    assert [r["licences"] for r in sorted(licences.licence_scan(documents(spark, one_line)).collect(), key=lambda r: r["doc_id"])] == want
+    # a notice without its first half tells no version
+    assert table(licences.licence_scan(documents(spark, [(1, list(notices)[0].split("\n\n")[1])])))[1]["licences"] == ""
+    assert [got[100 + k]["licences"] for k in range(len(want))] == want
+
+
 # --- decontamination
 
 
