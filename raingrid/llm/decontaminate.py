@@ -23,6 +23,9 @@ Q = 10
 EDIT_SHARE = 0.08
 #: Longer items are cut into windows of so many characters that overlap by half; one found window tells the item.
 WINDOW = 512
+#: Items longer than this are also cut into windows of so many characters, so many apart: an excerpt of PASSAGE + STRIDE - 1
+#: characters covers one, wherever it is taken from.
+PASSAGE, STRIDE = 200, 40
 #: The benchmark goes to tasks in blocks of at most so many characters, one pass over the documents for each.
 BLOCK_CHARS = 4_000_000
 FOUND = "doc_id long, item_id long, edits int, start long, stop long"
@@ -45,29 +48,33 @@ def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
 @dataclass
 class Pattern:
     item: int
+    source: int  # its place in ``sources`` and, in characters, there
+    offset: int
     text: str
     edits: int
     needed: int
     band: int
+    part: bool  # a window of PASSAGE characters: told only where no larger one of the item is found
 
 
 @dataclass
 class Benchmark:
-    """Index of one block of the benchmark: each q-gram with the passages and places that have it."""
+    """Index of one block of the benchmark: each q-gram with the items and places that have it, and the passages of each item."""
 
+    sources: list[str] = field(default_factory=list)
     patterns: list[Pattern] = field(default_factory=list)
     short: list[tuple[int, str]] = field(default_factory=list)  # shorter than a q-gram: found only as they are
 
     def build(self) -> Benchmark:
-        keys, pattern, place = [], [], []
-        for k, p in enumerate(self.patterns):
-            g = grams(code_points(p.text).astype(np.uint64))
+        keys, source, place = [], [], []
+        for k, text in enumerate(self.sources):
+            g = grams(code_points(text).astype(np.uint64))
             keys.append(g)
-            pattern.append(np.full(len(g), k))
+            source.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
         keys = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(keys, kind="stable")
-        self.pattern = np.concatenate([np.zeros(0, np.int64), *pattern])[order]
+        self.source = np.concatenate([np.zeros(0, np.int64), *source])[order]
         self.place = np.concatenate([np.zeros(0, np.int64), *place])[order]
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
@@ -76,9 +83,31 @@ class Benchmark:
         self.filter[(self.keys >> self.shift).astype(np.int64)] = True
         self.needed = np.array([p.needed for p in self.patterns], np.int64)
         self.step = np.array([p.band for p in self.patterns], np.int64)
+        self.offset = np.array([p.offset for p in self.patterns], np.int64)
+        self.length = np.array([len(p.text) for p in self.patterns], np.int64)
+        # the patterns of a source follow one another; its bands are wide enough for all of them, and it needs what the least of them needs
+        self.begin = np.searchsorted([p.source for p in self.patterns], np.arange(len(self.sources) + 1))
+        self.source_needed = np.minimum.reduceat(self.needed, self.begin[:-1]) if self.sources else self.needed
+        self.source_step = np.maximum.reduceat(self.step, self.begin[:-1]) if self.sources else self.step
+        self.longest = max(map(len, self.sources), default=0)
         return self
 
 
+def _starts(text: str, size: int, stride: int) -> list[int]:
+    """Places of windows of ``size`` characters at every ``stride`` and at the end; a text that isn't longer is one."""
+    return [0] if len(text) <= size else [*range(0, len(text) - size, stride), len(text) - size]
+
+
+def _near(key: np.ndarray, needed: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of ``key`` that with the value after it have what is ``needed`` (by the value // ``per``), all values, and the place of each key among them."""
+    values, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+    pair = counts.copy()
+    after = np.searchsorted(values, values + 1)
+    has = (after < len(values)) & (values[np.minimum(after, len(values) - 1)] == values + 1)
+    pair[has] += counts[after[has]]
+    return pair >= needed[(values // per) % max(1, len(needed))], values, back
+
+
 def benchmark_index(rows: list[tuple[int, str | None]], edit_share: float = EDIT_SHARE) -> Benchmark:
     out = Benchmark()
     for item, text in rows:
@@ -88,12 +117,14 @@ def benchmark_index(rows: list[tuple[int, str | None]], edit_share: float = EDIT
         if len(text) < Q:
             out.short.append((item, text))
             continue
-        starts = [0] if len(text) <= WINDOW else [*range(0, len(text) - WINDOW, WINDOW // 2), len(text) - WINDOW]
-        for own in dict.fromkeys(text[s : s + WINDOW] for s in starts):
+        windows = [(k, WINDOW, False) for k in _starts(text, WINDOW, WINDOW // 2)] + [(k, PASSAGE, True) for k in _starts(text, PASSAGE, STRIDE) if len(text) > PASSAGE]
+        first = {(text[k : k + size], part): k for k, size, part in reversed(windows)}
+        for (own, part), offset in reversed(first.items()):
             m = len(own)
             edits = min(int(edit_share * m), m // Q - 1)  # the lemma must ask for one q-gram at least
             edits = max(edits, 0)
-            out.patterns.append(Pattern(item, own, edits, max(1, m + 1 - Q * (edits + 1)), max(8, edits + 1)))
+            out.patterns.append(Pattern(item, len(out.sources), offset, own, edits, max(1, m + 1 - Q * (edits + 1)), max(8, edits + 1), part))
+        out.sources.append(text)
     return out.build()
 
 
@@ -134,7 +165,7 @@ def align(pattern: str, text: str, low: int, high: int, most: int) -> tuple[int,
 
 def search(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each normalised text the best place of each item in it: ``(item, edits, start, stop)``."""
-    found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+    found: list[dict[int, tuple[bool, int, int, int]]] = [{} for _ in texts]
     if index.patterns and texts:
         lengths = np.array([len(t) for t in texts])
         begins = np.concatenate(([0], np.cumsum(lengths + 1)))
@@ -147,37 +178,40 @@ def search(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int,
         many = index.first[at + 1] - index.first[at]
         row = np.repeat(np.arange(len(hits)), many)
         entry = index.first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        pattern, doc = index.pattern[entry], np.searchsorted(begins, hits, "right")[row] - 1
-        diagonal = hits[row] - begins[doc] - index.place[entry]
+        source, doc, place = index.source[entry], np.searchsorted(begins, hits, "right")[row] - 1, index.place[entry]
+        diagonal = hits[row] - begins[doc] - place
         # bands are two steps wide and begin a step apart, so that step + 1 neighbouring diagonals share one
-        band = np.floor_divide(diagonal, index.step[pattern])
-        shift = int(lengths.max()) + WINDOW + 4
+        shift = int(lengths.max()) + index.longest + 4
         span = 2 * shift
-        key = (doc * len(index.patterns) + pattern) * span + band + shift
-        values, counts = np.unique(key, return_counts=True)
-        # matches of a band and of the next one together
-        pair = counts.copy()
-        after = np.searchsorted(values, values + 1)
-        has = (after < len(values)) & (values[np.minimum(after, len(values) - 1)] == values + 1)
-        pair[has] += counts[after[has]]
-        which = (values // span) % max(1, len(index.patterns))
-        for v in values[pair >= index.needed[which]].tolist():
+        # first by items, to leave most matches behind, then by the passages of those items
+        full, values, back = _near((doc * len(index.sources) + source) * span + np.floor_divide(diagonal, index.source_step[source]) + shift, index.source_needed, span)
+        near = full | np.isin(values, values[full] + 1)
+        source, doc, place, diagonal = (x[near[back]] for x in (source, doc, place, diagonal))
+        many = index.begin[source + 1] - index.begin[source]
+        row = np.repeat(np.arange(len(source)), many)
+        pattern = index.begin[source][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        inside = place[row] - index.offset[pattern]
+        inside = (inside >= 0) & (inside <= index.length[pattern] - Q)
+        row, pattern = row[inside], pattern[inside]
+        band = np.floor_divide(diagonal[row] + index.offset[pattern], index.step[pattern])
+        full, values, _ = _near((doc[row] * len(index.patterns) + pattern) * span + band + shift, index.needed, span)
+        for v in values[full].tolist():
             rest, b = divmod(v, span)
             d, k = divmod(rest, len(index.patterns))
             p = index.patterns[k]
             before = found[d].get(p.item)
-            if before and before[0] == 0:
+            if before and (before[0], before[1]) <= (p.part, 0):
                 continue
             low = (b - shift) * p.band
             place = align(p.text, texts[d], low - p.edits, low + 2 * p.band - 1 + p.edits, p.edits)
-            if place and (before is None or (place[0], place[1]) < before[:2]):
-                found[d][p.item] = place
+            if place and (before is None or (p.part, *place[:2]) < before[:3]):
+                found[d][p.item] = (p.part, *place)
     for item, text in index.short:
         for d, own in enumerate(texts):
             k = f" {own} ".find(f" {text} ")
             if k >= 0 and item not in found[d]:
-                found[d][item] = (0, k, k + len(text))
-    return [[(item, *place) for item, place in f.items()] for f in found]
+                found[d][item] = (False, 0, k, k + len(text))
+    return [[(item, *place[1:]) for item, place in f.items()] for f in found]
 
 
 def original_places(text: str) -> np.ndarray:
@@ -224,7 +258,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
 
     A row for each document and item of which the document holds a passage with at most ``edit_share`` times
     its length of edits (fewer for passages so short that the lemma asks for no q-gram), after lower-casing
-    and taking white space as one space. ``start`` and ``stop`` are characters of the whole text as it is. The
+    and taking white space as one space. A passage is the whole item, a window of ``WINDOW`` characters of a
+    longer one, or, where no such is found, a window of ``PASSAGE`` characters, so that any excerpt of
+    ``PASSAGE + STRIDE - 1`` characters is found. ``start`` and ``stop`` are characters of the whole text as it is. The
     place with the fewest edits is told, of equal ones the first. Null and empty texts and items hold and are
     found nowhere; items shorter than a q-gram are found only as whole words without edits; repeated rows are
     each searched. A null doc_id is searched too; a null item_id is not. Either table may be empty. Other

@@ -288,6 +288,18 @@ def test_passages_in_documents(spark):
     assert decontaminate.find_passages(documents(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_excerpts_of_longer_items(spark):
+    items = {1: words(95, 21)[:460], 2: words(400, 22), 3: words(30, 23)}
+    enough = decontaminate.PASSAGE + decontaminate.STRIDE - 1
+    rows = [(10 * k + j, f"{words(60, 30 + k)} {t[at : at + enough + 60].strip()} {words(60, 40 + k)}") for k, t in items.items() if k < 3 for j, at in enumerate((0, 37, len(t) // 3, len(t) - enough - 60))]
+    rows += [(100, f"{words(50, 51)} {items[1]} x"), (101, f"{words(50, 52)} {items[1][100:200]} {words(50, 53)}"), (102, items[3][: len(items[3]) // 2])]
+    got = decontaminate.find_passages(documents(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i // 10) for i, _ in rows if i < 100} | {(100, 1)}
+    # an item that stands there whole is told whole, not by a window
+    (whole,) = [r for r in got if r["doc_id"] == 100]
+    assert dict(rows)[100][whole["start"] : whole["stop"]] == decontaminate.normalise(items[1]) and whole["edits"] == 0
+
+
 def test_passages_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
     items = [(k, words(20, 50 + k)) for k in range(8)]
