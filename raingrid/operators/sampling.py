@@ -42,6 +42,16 @@ def epoch_order(times: DataFrame, seed: int, epoch: int, time: str = "t") -> Dat
     return times.select(time).distinct().orderBy(hash_key(seed + 1000 + epoch, time), time)
 
 
+def epoch_places(times: DataFrame, seed: int, epoch: int, time: str = "t") -> DataFrame:
+    """Every time with its ``place``, from 0, in the shuffled order of an epoch (F8): sorted within 4,096 ranges of the hash, after the rows of the ranges before."""
+    h = hash_key(seed + 1000 + epoch, time)
+    own = times.select(time).distinct().withColumns({"h": h, "range": F.substring(h, 1, 3)})
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows
+    offsets = own.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = own.withColumn("within", F.row_number().over(Window.partitionBy("range").orderBy("h", time)))
+    return ranked.join(F.broadcast(offsets), "range").select((F.col("offset") + F.col("within") - 1).alias("place"), time)
+
+
 def typical_hours(stats: DataFrame, time: str = "t") -> DataFrame:
     """A dry hour, hours nearest to the 25th, 50th and 90th percentile of wet maxima, and the peak.
 

@@ -190,6 +190,7 @@ SELECT t, y, x, round(truth, 6) AS truth FROM r WHERE r <= least(n, 16, greatest
     "qc_sample": f"""WITH {ORDER_HOURS}, h AS (SELECT month, t, md5(concat_ws(':', '20260927', t)) AS h FROM om), f AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY h, t) = 1 AS picked FROM h)
 SELECT month, t, CASE WHEN picked THEN 'month' ELSE 'fill' END AS reason FROM f ORDER BY NOT picked, h, t LIMIT 100""",
     "epoch_order": f"WITH {series_sql(1800)} SELECT t FROM s ORDER BY md5(concat_ws(':', '1007', t)), t LIMIT 20",
+    "epoch_order_all": f"WITH {series_sql(1800)} SELECT row_number() OVER (ORDER BY md5(concat_ws(':', '1007', t)), t) - 1 AS place, t FROM s",
     "chronological_splits": f"{SPLITS} SELECT t, date_utc, split FROM sp",
     "split_checks": f"""{SPLITS} SELECT split, count(*) AS hours, count(DISTINCT date_utc) AS days, min(t) AS first, max(t) AS last,
 (SELECT count(*) FROM (SELECT date_utc FROM sp GROUP BY date_utc HAVING count(DISTINCT split) > 1)) AS shared_days FROM sp GROUP BY split""",

@@ -237,6 +237,11 @@ def epoch_order(spark: SparkSession, d: str) -> DataFrame:
     return rounded(w)
 
 
+def epoch_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """All times with their places; ``epoch_order`` shows the first 20."""
+    return rounded(sampling.epoch_places(series(spark, d, 1800), 5, 2))
+
+
 def chronological_splits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(splits.chronological_splits(series(spark, d, 1800)))
 
@@ -416,7 +421,7 @@ QUERIES = {
         cadence_gaps, missing_steps, time_axis_parity, hourly_area_means, support_counts, mask_digests, point_metrics_overall, point_metrics_by_time, csi_by_threshold, fss_one_cell,
         event_scores_by_time, distribution_summary, value_stats, stat_ranges, log_histogram, bin_cells, hourly_maxima, exceedance_hours, masked_log_l1, method_deltas, mae_winner,
         block_metrics_multiscale, block_coverage, disk_neighbourhood_scores, regrid_bilinear, regrid_mask, regrid_area_average, patch_eligibility, patch_prefix_sums, patch_choice, patch_exceedance,
-        pixel_sample, qc_sample, epoch_order, chronological_splits, split_checks, split_filter, split_classify, quantile_map_fit, quantile_map_apply, quantile_map_delta, typical_hours,
+        pixel_sample, qc_sample, epoch_order, epoch_order_all, chronological_splits, split_checks, split_filter, split_classify, quantile_map_fit, quantile_map_apply, quantile_map_delta, typical_hours,
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
         typical_per_bin, tiled_inference, stream_hourly_sum,
     )
