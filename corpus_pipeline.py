@@ -2,8 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before kept; all but the last
 return the columns of ``documents``. Null and empty texts, repeated rows and empty tables have the results
-that the operators' docstrings tell. Documents with a null id are judged by the stages that look at texts
-alone (quality, language); the two that decide by id let them stay.
+that the operators' docstrings tell. The two stages that remove rows by id (near duplicates, passages) run on
+a key of each row, so rows with a null id, repeated rows and rows that share an id are judged each by its text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,15 @@ from raingrid.llm.quality import rate
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` less the rows of these ids; broadcast where a count shows them to be few, else by a shuffle."""
-    return docs.join(bounded(materialise(ids.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, row)`` with a key for each row in place of the id, in the order of ids (null ones last), then of a hash of the text. Written, so that the keys stay."""
+    own = docs.select(F.struct(*docs.columns).alias("row")).sort(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    return materialise(own.select(F.monotonically_increasing_id().alias("doc_id"), "row"), "keyed").select("doc_id", F.col("row.text").alias("text"), "row")
+
+
+def _without(keyed: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``keyed`` less those of these keys; broadcast where a count shows them to be few, else by a shuffle."""
+    return keyed.join(bounded(materialise(keys.select("doc_id").distinct(), name)), "doc_id", "left_anti").select("row.*")
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -49,13 +55,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return _without(docs, near_duplicates(docs).filter("not kept and doc_id is not null"), "copies")
+    """The row with the smallest id of each group of near copies; one of those with equal ids."""
+    keyed = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed).filter("not kept"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
-    return _without(docs, find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("doc_id is not null"), "leaks")
+    keyed = _keyed(docs)
+    return _without(keyed, find_passages(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,22 @@ def test_odd_rows(spark, tmp_path):
     assert 50 not in ids(docs) and 904 in ids(docs)
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null ids, repeated rows and shared ids are judged row by row."""
+    bench, a, b, c = words(40, 9), words(60, 61), words(60, 62), words(60, 63)
+    texts = [(1, a), (None, a), (2, b), (2, b), (None, c), (None, f"x {bench} y"), (3, f"{words(9, 64)} {bench}"), (3, words(60, 65)), (None, None), (None, ""), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "mine", 1, "x") for i, t in texts], SCHEMA)
+    d = str(tmp_path)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    once = corpus_pipeline.near_duplicate(spark, docs, d)
+    assert once.columns == docs.columns
+    left = rows(once)
+    assert left.count((1, a)) == 1 and (None, a) not in left and left.count((2, b)) == 1 and (None, c) in left and left.count((4, None)) == 2 and (None, None) in left and (None, "") in left
+    clean = corpus_pipeline.decontaminate(spark, docs, d)
+    assert rows(clean) == sorted(((i, t) for i, t in texts if bench not in (t or "")), key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     docs, d = spark.createDataFrame([], SCHEMA), str(tmp_path)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
