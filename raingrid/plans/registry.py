@@ -317,7 +317,7 @@ def projection_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_scale(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey % 8 = 0").select(((F.col("p_partkey") % 900 - 450) * 1.0).alias("px"), (-(F.col("p_partkey") % 1100) - 3600.0).alias("py"))
+    p = table(spark, d, "part").select(((F.col("p_partkey") % 900 - 450) * 1.0).alias("px"), (-(F.col("p_partkey") % 1100) - 3600.0).alias("py"))
     lon, lat = scalar.stereographic_inverse(F.col("px") * 1000, F.col("py") * 1000)
     return rounded(regrid.unit_scale(p.withColumns({"lon": lon + 0.001, "lat": lat})).select("scale", "accepted"))
 

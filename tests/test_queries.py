@@ -51,6 +51,10 @@ def test_every_query_has_its_sql():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_unit_scale_reads_all_of_part(spark):
+    assert "% 8" not in QUERIES["unit_scale"](spark, DATA)._jdf.queryExecution().toString()
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"day", "daily_mean", "valid_hours", "centred_mean"}
