@@ -402,8 +402,8 @@ def stream_hourly_sum(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.hourly import run_to_table, stream_hourly_sum as stream
     from ..streaming.replay import steps_as_stream
 
-    source, checkpoint = steps_as_stream(series(spark, d, 1800).filter("v is not null"))
-    return rounded(run_to_table(stream(source, [], "ts", "v", 2), "stream_hourly_sum", checkpoint).select(F.unix_seconds(F.col("hour_end")).alias("hour_end"), "amount", "steps"))
+    source, folder = steps_as_stream(series(spark, d, 1800).filter("v is not null"))
+    return rounded(run_to_table(stream(source, [], "ts", "v", 2), folder).select(F.unix_seconds(F.col("hour_end")).alias("hour_end"), "amount", "steps"))
 
 
 QUERIES = {

@@ -21,8 +21,8 @@ def stream_hourly_sum(steps: DataFrame, keys: list[str], time: str, value: str,
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str):
-    """Run a bounded stream to its end into an in-memory table, for tests and the registered query."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a bounded stream to its end into a Parquet table under ``folder`` (with its checkpoint) and read it."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

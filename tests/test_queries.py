@@ -3,12 +3,16 @@
 import glob
 import math
 import os
+import sys
+import warnings
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from raingrid.plans.registry import ORACLES, QUERIES
+from raingrid.sources.shared import shared_folder
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,6 +65,22 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
+def test_core_queries_stay_where_a_library_of_the_optional_part_is_lacking(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("raingrid.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+
+
+def test_no_local_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y"}, sparkContext=context)) == "hdfs://x/y"
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["point_metrics_by_time"](spark, DATA)._jdf.queryExecution().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_discount:double" in plan
