@@ -3,42 +3,49 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A set of ids is broadcast up to so many rows (8 bytes each, about 8 MB); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+from ..sources.shared import shared_folder
 
+#: A table is broadcast up to so many bytes (a row counts 16 for itself and 8 for each column); larger ones are joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where no such folder is set, as in tests, a local one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = tempfile.mkdtemp(prefix="spark-raingrid-")
-            spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"raingrid-{uuid.uuid4().hex}", name)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return os.path.join(shared_folder(spark), f"raingrid-{uuid.uuid4().hex}", name)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later jobs neither repeat its work nor depend on executors that may be lost."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, name)
+
+
+class Tables:
+    """Tables of one run in a folder of its own in the shared folder. What later tables have used up can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, os.path.join(shared_folder(spark), f"raingrid-{uuid.uuid4().hex}")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(self.folder, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``ids`` with a broadcast hint if a count shows that it has at most ``rows`` rows. ``ids`` should be cheap to count (a table)."""
-    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+def bounded(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``table``, of numbers alone, with a broadcast hint if a count shows that it has at most ``most`` bytes. It should be cheap to count (a written table)."""
+    rows = most // (16 + 8 * len(table.columns))
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def remainder(doc_id: str | Column = "doc_id") -> Column:
@@ -51,9 +58,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Rounds of large-star and small-star: each round is aggregations and equi-joins, so a hub's edges are
     summed before they are shuffled and a skewed join can be split. Each round's edges are a table in the
-    shared folder; the loop ends when a round changes nothing (two numbers on the driver).
+    shared folder, dropped after the next; the loop ends when a round changes nothing (two numbers on the driver).
     """
-    now = materialise(
+    tables = Tables(edges.sparkSession)
+    now = tables.write(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(),
         f"{name}-0",
     )
@@ -61,8 +69,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     step = 0
     while mark[0]:
         step += 1
-        now = materialise(_small_star(_large_star(now)), f"{name}-{step}")
+        now = tables.write(_small_star(_large_star(now)), f"{name}-{step}")
         then, mark = mark, _mark(now)
+        tables.drop(f"{name}-{step - 1}")
         if mark == then:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

@@ -1,12 +1,13 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table distances, exact rerank.
 
-Vectors are compared within a label. Each distinct vector is indexed in the list of its nearest coarse
+Vectors are compared within a label and a width. Each distinct vector is indexed in the list of its nearest coarse
 centroid with the codes of its residual. As a query it probes every list whose border with its own is within
 half the link distance: of two vectors so near, one at least probes the list of the other. Lists are dealt in
-groups, so that a vector is sent once for all lists of a group. A block of a group meets a block of queries in
-one task: table distances rule out what the quantisation error allows, and the rest gets its cosine in double
-precision. Tasks return counts of links and a spanning forest of them, so
-results grow with the vectors even where thousands are linked with one another.
+groups, so that a vector is sent once for all lists of a group. A group that has grown large is cut at a second level,
+by centroids fitted on a sample of its own members in a task, and a query goes to the parts that it can have
+links in. A block of a part meets a block of queries in one task: table distances rule out what the quantisation
+error allows, and the rest gets its cosine in double precision. Tasks return counts of links and a spanning
+forest of them, so results grow with the vectors even where thousands are linked with one another.
 """
 
 from __future__ import annotations
@@ -17,14 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import connected_components, materialise
+from .common import Tables, bounded, connected_components
 
 LEAST_COSINE = 0.93
 #: The index is fitted on up to so many vectors, those with the smallest hash of their id.
 FIT_ROWS = 20_000
-#: Vectors of a list as a mean, and the most lists.
+#: Vectors of a list as a mean, and the most lists of the first level (as many as the fit's vectors can carry).
 LIST_ROWS, MOST_LISTS = 400, 1_024
+#: A group of one label with more vectors than this is cut at the second level, into parts of PART_ROWS as a mean, MOST_PARTS at most.
+SPLIT_ROWS, PART_ROWS, MOST_PARTS = 8_192, 1_024, 1_024
+#: Vectors of a group that one task sees at a time at the second level, and of its sample for each part.
+CHUNK_ROWS, SAMPLE_ROWS = 16_384, 16
+#: Widths that have no more vectors than this need no fitted index: their vectors are one list.
+LEAST_WIDTH_ROWS = 2_048
 SUBSPACES, CODES = 8, 64
 #: Rows of a block of a group of lists, or of the queries of a group.
 BLOCK = 1_024
@@ -97,42 +105,93 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(index: Index, probe: bool):
-    """The list of each vector and its group; or, to ``probe``, a row for each group with the lists in it that the vector probes, and its own list too."""
+def _lists_of(asked: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, asked)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *asked]), pa.int32()))
+
+
+def _assign(indexes: dict[int, Index], probe: bool):
+    """The list of each vector and its group; or, to ``probe``, a row for each group with the lists in it that the vector probes, and its own list too. Widths without an index are one list."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 1_000):
-                part = batch.slice(low, 1_000)
-                x = _unit(part.column("embedding"))
-                own = _nearest(x, index.coarse)
+        for batch in (b.slice(k, 1_000) for b in batches for k in range(0, len(b), 1_000)):
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                part = batch.filter(pa.array(widths == width)) if (widths != width).any() else batch
+                index = indexes.get(width)
+                own = np.zeros(len(part), np.int64) if index is None else _nearest(x := _unit(part.column("embedding")), index.coarse)
+                grp = np.zeros(len(part), np.int64) if index is None else index.group[own]
                 if not probe:
-                    yield part.append_column("list", pa.array(own, pa.int32())).append_column("grp", pa.array(index.group[own], pa.int32()))
+                    yield part.append_column("list", pa.array(own, pa.int32())).append_column("grp", pa.array(grp, pa.int32()))
                     continue
-                row, at = np.nonzero(index.probes(x, own))
-                order = np.lexsort((at, index.group[at], row))
-                row, at = row[order], at[order]
-                first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(index.group[at], prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
-                row, grp = row[first], index.group[at[first]]
+                if index is None:
+                    row, lists = np.arange(len(part)), _lists_of([np.zeros(1, np.int64)] * len(part))
+                else:
+                    row, at = np.nonzero(index.probes(x, own))
+                    order = np.lexsort((at, index.group[at], row))
+                    row, at = row[order], at[order]
+                    first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(index.group[at], prepend=-1))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+                    row, grp = row[first], index.group[at[first]]
                 yield part.take(pa.array(row)).append_column("own", pa.array(own[row], pa.int32())).append_column("lists", lists).append_column("grp", pa.array(grp, pa.int32()))
 
     return assign
 
 
-_FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+def _fit_parts(part_rows: int, most: int):
+    """Centroids of a large group, from the sample of its members."""
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = _unit(rows["embedding"])
+        k = int(min(most, max(2, rows["n"][0].as_py() // part_rows), max(2, len(x) // 2)))
+        centres = _kmeans(x, k, rounds=6, seed=7)
+        return rows.slice(0, 1).select(["label", "width", "grp"]).append_column("centres", pa.array([centres.reshape(-1)], pa.list_(pa.float64())))
+
+    return fit
+
 
+def _cut(reach: float, probe: bool):
+    """Rows of a chunk of a large group with their part; or, to ``probe``, a row for each part that has vectors within ``reach``.
 
-def _meet(index: Index, least: float):
+    A vector within ``reach`` that lies in another part lies beyond the border with it, so that border is within ``reach`` too.
+    """
+
+    def cut(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        if not len(rows) or not len(centres):
+            return rows.append_column("part", pa.array(np.zeros(len(rows)), pa.int32()))
+        x = _unit(rows["embedding"])
+        c = centres["centres"].combine_chunks().flatten().to_numpy().reshape(-1, x.shape[1])
+        own = _nearest(x, c)
+        if not probe:
+            return rows.append_column("part", pa.array(own, pa.int32()))
+        square = np.square(c).sum(1)
+        apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * c @ c.T))
+        row, part = [], []
+        for low in range(0, len(x), 1_024):
+            here = own[low : low + 1_024]
+            away = square - 2 * x[low : low + 1_024] @ c.T
+            near = away - away[np.arange(len(here)), here][:, None] <= 2 * (reach + 1e-9) * apart[here]
+            r, p = np.nonzero(near)
+            row.append(r + low)
+            part.append(p)
+        return rows.take(pa.array(np.concatenate(row))).append_column("part", pa.array(np.concatenate(part), pa.int32()))
+
+    return cut
+
+
+_FOUND = pa.schema([("key", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
+def _meet(indexes: dict[int, Index], least: float):
     def meet(members: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(members) or not len(queries):
             return _FOUND.empty_table()
         y, x = _unit(members["embedding"]), _unit(queries["embedding"])
+        index = indexes.get(y.shape[1]) or Index(y, 1, least)
         own = members["list"].to_numpy()
         _, codes, lost = index.encode(y, own)
         lists = queries["lists"].combine_chunks()
         asked, asks = lists.flatten().to_numpy(), lists.value_parent_indices().to_numpy()
-        ids, mine = members["rep"].to_numpy(), queries["rep"].to_numpy()
+        ids, mine = members["key"].to_numpy(), queries["key"].to_numpy()
         weight, my_weight = members["copies"].to_numpy(), queries["copies"].to_numpy()
         back = np.zeros(len(y), np.int64)
         counts = np.zeros(len(x), np.int64)
@@ -177,71 +236,99 @@ def _meet(index: Index, least: float):
     return meet
 
 
-def fit_index(vectors: DataFrame, rows: int, least_cosine: float, fit_rows: int = FIT_ROWS) -> Index | None:
+def fit_index(vectors: DataFrame, rows: int, largest: int, least_cosine: float, fit_rows: int = FIT_ROWS) -> Index:
     """Fit on the ``fit_rows`` vectors with the smallest hash; the number of lists follows the number of vectors, that of their groups the largest label."""
-    sample = vectors.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(fit_rows).select("embedding").toArrow()
-    if not len(sample):
-        return None
+    sample = vectors.orderBy(F.xxhash64("embedding", F.lit(5)), "key").limit(fit_rows).select("embedding").toArrow()
     lists = int(max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // 4)))
-    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0]
     return Index(_unit(sample["embedding"]), lists, least_cosine, int(max(1, min(lists, -(-largest // GROUP_ROWS)))))
 
 
-def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def near_vectors(table: DataFrame, least_cosine: float = LEAST_COSINE, split_rows: int = SPLIT_ROWS, part_rows: int = PART_ROWS, least_width_rows: int = LEAST_WIDTH_ROWS) -> DataFrame:
     """``table(vec_id, embedding, label, ...)`` to ``(vec_id, n_links, component_id, kept)``, a row for each row.
 
-    Two rows are linked if their labels are equal and not null and the cosine of their vectors, in double
-    precision, is at least ``least_cosine``. Vectors that are null, empty, zero, or hold null or non-finite
-    components are linked with nothing; so are those of another length than the most usual one. Rows of equal
-    vectors are one entry of the index, counted as often as they are there. Rows with a null vec_id are linked
-    with nothing. Other columns are not looked at.
+    Two rows are linked if their labels are equal and not null, their vectors are equally long, and the cosine of
+    these, in double precision, is at least ``least_cosine``. Vectors that are null, empty, zero, or hold null or
+    non-finite components are linked with nothing. Rows of one label and equal vectors are one entry of the index,
+    counted as often as they are there. A vec_id that is there several times is judged row by row: each row has the links
+    and the component of its own vector. Rows with a null vec_id are linked with nothing. Other columns are not looked at.
+
+    Widths with more than ``least_width_rows`` vectors have an index each, fitted on the driver; groups of more than
+    ``split_rows`` vectors of one label are cut into parts of about ``part_rows``.
     """
+    spark = table.sparkSession
+    tables = Tables(spark)
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = table.select("vec_id", "label", "embedding")
-    good = rows.filter(ok).filter(finite).withColumn("print", F.sha2(F.concat_ws(",", F.transform("embedding", lambda v: v.cast("string"))), 256))
-    usual = good.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
-    if usual:
-        good = good.filter(F.size("embedding") == usual[0]["width"])
-    classes = materialise(good.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    distinct = materialise(
-        good.join(classes.select(F.col("rep").alias("vec_id"), "print", "copies"), ["vec_id", "print"]).select(F.col("vec_id").alias("rep"), "label", "embedding", "copies").dropDuplicates(["rep"]), "distinct"
+    good = rows.filter(ok).filter(finite)
+    distinct = tables.write(
+        good.groupBy("label", "embedding")
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        .select(F.monotonically_increasing_id().alias("key"), "rep", "label", F.size("embedding").alias("width"), "embedding", "copies"),
+        "distinct",
+    )
+    cell = ["label", "width", "grp", "part"]
+    types = dict(rows.dtypes)
+    schema = f"key long, label {types['label']}, width int, embedding {types['embedding']}, copies long"
+    per_width = distinct.groupBy("width", "label").count().groupBy("width").agg(F.sum("count").alias("n"), F.max("count").alias("largest"))
+    indexes = {r["width"]: fit_index(distinct.filter(F.col("width") == r["width"]), r["n"], r["largest"], least_cosine) for r in per_width.filter(F.col("n") > least_width_rows).collect()}
+    vectors = distinct.drop("rep")
+    listed = tables.write(vectors.mapInArrow(_assign(indexes, False), schema + ", list int, grp int"), "listed")
+    probing = tables.write(vectors.mapInArrow(_assign(indexes, True), schema + ", own int, lists array<int>, grp int"), "probing")
+    large = tables.write(listed.groupBy(cell[:3]).agg(F.count("*").alias("n")).filter(F.col("n") > split_rows), "large")
+    if large.isEmpty():
+        members, asking = (t.withColumn("part", F.lit(0)) for t in (listed, probing))
+    else:
+        # a sample of each large group, by a hash of its vectors
+        share = F.least(F.lit(1.0), SAMPLE_ROWS * F.least(F.col("n") / part_rows, F.lit(float(MOST_PARTS))) / F.col("n"))
+        sample = listed.join(bounded(large), cell[:3]).filter(F.pmod(F.xxhash64("embedding", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+        centres = tables.write(
+            sample.groupBy(cell[:3]).applyInArrow(_fit_parts(part_rows, MOST_PARTS), f"label {types['label']}, width int, grp int, centres array<double>"), "centres"
+        )
+        reach = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
+
+        def parts(own: DataFrame, probe: bool, name: str) -> DataFrame:
+            many = own.groupBy(cell[:3]).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+            many = tables.write(many.join(centres.select(cell[:3]), cell[:3]), f"{name}-chunks")
+            here = own.join(bounded(many), cell[:3]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))).drop("chunks")
+            theirs = centres.join(many, cell[:3]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+            keys = [*cell[:3], "chunk"]
+            cut = here.groupBy(keys).cogroup(theirs.groupBy(keys)).applyInArrow(_cut(reach, probe), T.StructType([*here.schema.fields, T.StructField("part", T.IntegerType())]))
+            return tables.write(own.join(bounded(many), cell[:3], "left_anti").withColumn("part", F.lit(0)).unionByName(cut.drop("chunk")), name)
+
+        members, asking = parts(listed, False, "members"), parts(probing, True, "asking")
+    sizes = members.groupBy(cell).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    many = asking.groupBy(cell).agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
+    # a block of a part meets every block of the part's queries
+    grid = tables.write(sizes.join(many, cell), "grid")
+    left = (
+        members.join(grid, cell)
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        .withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+        .drop("blocks", "asks")
     )
-    n = distinct.count()
-    index = fit_index(distinct, n, least_cosine)
-    if index is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    schema = "rep long, label int, embedding array<float>, copies long"
-    schema = schema.replace("label int", f"label {dict(rows.dtypes)['label']}").replace("array<float>", dict(rows.dtypes)["embedding"])
-    listed = materialise(distinct.mapInArrow(_assign(index, False), schema + ", list int, grp int"), "listed")
-    sizes = listed.groupBy("label", "grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = listed.join(sizes, ["label", "grp"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
-    probing = materialise(distinct.mapInArrow(_assign(index, True), schema + ", own int, lists array<int>, grp int"), "probing")
-    many = probing.groupBy("label", "grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    # a block of a group meets every part of the group's queries
-    grid = materialise(sizes.join(many, ["label", "grp"]), "grid")
-    left = members.join(grid.select("label", "grp", "parts"), ["label", "grp"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     right = (
-        probing.join(grid, ["label", "grp"])
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        asking.join(grid, cell)
+        .withColumn("ask", F.pmod(F.xxhash64("key"), F.col("asks")))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .drop("parts", "blocks")
-    )
-    found = materialise(
-        left.groupBy("label", "grp", "block", "part").cogroup(right.groupBy("label", "grp", "block", "part")).applyInArrow(_meet(index, least_cosine), "rep long, links long, other long"),
-        "found",
+        .drop("blocks", "asks")
     )
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = connected_components(found.filter("rep <> other").select(F.col("rep").alias("src"), F.col("other").alias("dst")), "vectors").toDF("rep", "component")
-    final = materialise(
-        classes.join(counts, "rep", "left").join(joined, "rep", "left").select(
-            "label", "print", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    keys = [*cell, "block", "ask"]
+    found = tables.write(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_meet(indexes, least_cosine), "key long, links long, other long"), "found")
+    tables.drop("listed", "probing", "members", "asking")
+    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
+    joined = tables.write(connected_components(found.filter("key <> other").select(F.col("key").alias("src"), F.col("other").alias("dst")), "vectors").toDF("key", "component"), "joined")
+    least = joined.join(distinct.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("least"))
+    named = joined.join(least, "component").select("key", "least")
+    final = tables.write(
+        distinct.select("key", "rep", "label", "embedding", "copies").join(counts, "key", "left").join(named, "key", "left").select(
+            "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")
         ),
         "final",
     )
-    own = good.select("vec_id", "label", "print").join(final, ["label", "print"]).select("vec_id", "n_links", "component_id")
-    rest = rows.filter(~F.coalesce(ok & finite, F.lit(False)) if not usual else ~F.coalesce(ok & finite & (F.size("embedding") == usual[0]["width"]), F.lit(False)))
-    rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    tables.drop("distinct", "found", "joined")
+    own = good.join(final, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    rest = rows.filter(~F.coalesce(ok & finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return own.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

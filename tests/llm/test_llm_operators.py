@@ -464,6 +464,53 @@ def test_vectors_of_dense_groups_with_a_border_between(spark):
         assert {r["component_id"] for r in got.values()} == {0}
 
 
+def plain_vectors(rows, least=0.93):
+    """Links and component of each row ``(vec_id, vector, label)`` in order, by all pairs of equal label and width."""
+    n = len(rows)
+    links, low = np.zeros(n, int), [r[0] for r in rows]
+    pairs = []
+    for a in range(n):
+        for b in range(a + 1, n):
+            x, y = (np.array(rows[k][1], np.float32).astype(np.float64) for k in (a, b))
+            if rows[a][2] == rows[b][2] and len(x) == len(y) and x @ y >= least * np.sqrt((x @ x) * (y @ y)):
+                pairs.append((a, b))
+    for _ in range(n):
+        before = list(low)
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    return sorted(zip((r[0] for r in rows), links.tolist(), low, strict=True))
+
+
+def test_vectors_of_several_widths_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for width in (3, 4, 16):
+        base = rng.normal(size=(8, width))
+        rows += [(len(rows) + k, (base[k % 8] + rng.normal(size=width) * 0.1).astype(np.float32).tolist(), k % 2) for k in range(60)]
+    # ids that are there again with another vector, with the same one, and with another label or width
+    rows += [(5, rows[9][1], rows[9][2]), (5, rows[100][1], 1), (7, rows[7][1], rows[7][2]), (200, rows[100][1], 1), (5, rows[9][1], 1 - rows[9][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for least_width_rows in (0, 2_048):
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, least_width_rows=least_width_rows).collect())
+        assert got == plain_vectors(rows)
+
+
+def test_vectors_of_large_groups_are_cut_without_losing_links(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(12, 8))
+    rows = [(k, (base[k % 12] + rng.normal(size=8) * rng.choice([0.05, 0.3])).astype(np.float32).tolist(), k % 2) for k in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = plain_vectors(rows)
+    for least_width_rows in (0, 2_048):
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, split_rows=40, part_rows=16, least_width_rows=least_width_rows).collect())
+        assert got == want
+
+
 def test_table_distances_bound_true_distances():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 24))
