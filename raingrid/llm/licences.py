@@ -3,15 +3,16 @@
 A text is cut into sentences in two ways, since a licence may be one line among others or wrapped over many:
 at line ends and sentence ends, and at sentence ends and blank lines alone. A sentence is compared in lower
 case with only letters and digits, by equality. A rule is a list of identifiers that must follow one another
-in the sequence of known sentences of one way of cutting.
+in the sequence of known sentences of one way of cutting. A row is told by itself, without a shuffle or a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, as they are compared (lower case, other signs as one space).
+# Sentences of public licence texts and notices, as they are cut and compared (lower case, other signs as one
+# space). A sentence ends at a colon or semicolon before white space too, and at the point of "v. 2.0".
 SENTENCES: dict[str, str] = {
     "mit_notice": "released under the mit license",
     "mit_notice_licensed": "licensed under the mit license",
@@ -39,13 +40,9 @@ SENTENCES: dict[str, str] = {
     "apache_see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3_notice": "this work is licensed under the gnu general public license version 3",
     "gpl2_notice": "this work is licensed under the gnu general public license version 2",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_see": "see the gnu general public license for more details",
     "lgpl_see": "see the gnu lesser general public license for more details",
     "agpl_see": "see the gnu affero general public license for more details",
-    "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl_copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "ccbync_notice": "licensed under cc by nc 4 0",
     "ccbyncsa_notice": "licensed under cc by nc sa 4 0",
@@ -59,16 +56,74 @@ SENTENCES: dict[str, str] = {
     "unlicense_free": "this is free and unencumbered software released into the public domain",
     "unlicense_anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "rights_reserved": "all rights reserved",
-}
+    "apache_title": "apache license",
+    "apache_version": "version 2 0 january 2004",
+    "apache_title_block": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache_terms": "terms and conditions for use reproduction and distribution",
+    "zero_bsd_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "boost_notice": "distributed under the boost software license version 1 0",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib_origin": "the origin of this software must not be misrepresented",
+    "zlib_claim": "you must not claim that you wrote the original software",
+    "zlib_thanks": "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
+    "zlib_altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "zlib_notice": "this notice may not be removed or altered from any source distribution",
+    "epl1_notice": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "epl2_notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2_notice_http": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "epl1_title": "eclipse public license v 1 0",
+    "epl2_title": "eclipse public license v 2 0",
+    "epl_terms": "the accompanying program is provided under the terms of this eclipse public license agreement",
+    "wtfpl_title": "do what the fuck you want to public license",
+    "wtfpl_terms": "terms and conditions for copying distribution and modification",
+    "wtfpl_grant": "you just do what the fuck you want to",
+    "gpl_title": "gnu general public license",
+    "lgpl_title": "gnu lesser general public license",
+    "agpl_title": "gnu affero general public license",
+    "gnu_2_june_1991": "version 2 june 1991",
+    "gnu_2_1_february_1999": "version 2 1 february 1999",
+    "gnu_3_29_june_2007": "version 3 29 june 2007",
+    "gnu_3_19_november_2007": "version 3 19 november 2007",
+    "mpl_title": "mozilla public license version 2 0",
+    "mpl_contributor": "means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "mpl_subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl_copy_https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "spdx": "spdx license identifier",
+    **{f"gnu_free_{k}": f"this {k} is free software" for k in ("program", "library")},
+    **{f"gnu_hope_{k}": f"this {k} is distributed in the hope that it will be useful but without any warranty" for k in ("program", "library")},
+    **{
+        f"{k}_terms{mark}": f"you can redistribute it and or modify it under the terms of the gnu {name}general public license as published by the free software foundation{end}"
+        for k, name in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))
+        for mark, end in (("", ""), *((f"_{v.replace(' ', '_')}", f" either version {v} of the license or at your option any later version") for v in ("2", "2 1", "3")))
+    },
+    **{f"gnu_either_{v.replace(' ', '_')}": f"either version {v} of the license or at your option any later version" for v in ("2", "2 1", "3")},
+    "gnu_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+
+# Identifiers of the SPDX list, told where they follow "SPDX-License-Identifier:".
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+SENTENCES |= {f"spdx_{k.lower()}": k.lower().replace("-", " ").replace(".", " ") for k in SPDX}
 
 # For each rule the licence it tells and the sentences that must follow one another, in order.
 RULES: list[tuple[str, list[str]]] = [
-    ("AGPL-3.0-or-later", ["gpl_hope", "agpl_see"]),
+    ("0BSD", ["zero_bsd_grant", "isc_warranty"]),
+    ("AGPL-3.0", ["agpl_title", "gnu_3_19_november_2007"]),
     ("Apache-2.0", ["apache_notice"]),
     ("Apache-2.0", ["apache_notice_the", "apache_comply"]),
     ("Apache-2.0", ["apache_comply", "apache_unless", "apache_see"]),
+    ("Apache-2.0", ["apache_title", "apache_version", "apache_terms"]),
+    ("Apache-2.0", ["apache_title_block", "apache_terms"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_warranty"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty"]),
+    ("BSL-1.0", ["boost_grant"]),
+    ("BSL-1.0", ["boost_notice"]),
     ("CC-BY-4.0", ["ccby_long"]),
     ("CC-BY-4.0", ["ccby_notice"]),
     ("CC-BY-NC-4.0", ["ccbync_long"]),
@@ -78,82 +133,69 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-SA-4.0", ["ccbysa_long"]),
     ("CC-BY-SA-4.0", ["ccbysa_notice"]),
     ("CC0-1.0", ["cc0_long"]),
+    ("EPL-1.0", ["epl1_notice"]),
+    ("EPL-1.0", ["epl1_title", "epl_terms"]),
+    ("EPL-2.0", ["epl2_notice"]),
+    ("EPL-2.0", ["epl2_notice_http"]),
+    ("EPL-2.0", ["epl2_title", "epl_terms"]),
     ("GPL-2.0", ["gpl2_notice"]),
-    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_see"]),
+    ("GPL-2.0", ["gpl_title", "gnu_2_june_1991"]),
     ("GPL-3.0", ["gpl3_notice"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_see"]),
+    ("GPL-3.0", ["gpl_title", "gnu_3_29_june_2007"]),
+    *((name, [f"gnu_free_{what}", *terms, f"gnu_hope_{what}", "gnu_implied", f"{k}_see"])
+      for name, k, v in (("GPL-2.0-or-later", "gpl", "2"), ("GPL-3.0-or-later", "gpl", "3"), ("AGPL-3.0-or-later", "agpl", "3"), ("LGPL-2.1-or-later", "lgpl", "2_1"), ("LGPL-3.0-or-later", "lgpl", "3"))
+      for what in ("program", "library")
+      for terms in ([f"{k}_terms_{v}"], [f"{k}_terms", f"gnu_either_{v}"])),
     ("ISC", ["isc_grant", "isc_warranty"]),
-    ("LGPL", ["gpl_hope", "lgpl_see"]),
+    ("LGPL-2.1", ["lgpl_title", "gnu_2_1_february_1999"]),
+    ("LGPL-3.0", ["lgpl_title", "gnu_3_29_june_2007"]),
     ("MIT", ["mit_grant", "mit_condition", "mit_warranty", "mit_liability"]),
     ("MIT", ["mit_notice"]),
     ("MIT", ["mit_notice_licensed"]),
     ("MIT", ["mit_notice_this"]),
-    ("MPL-2.0", ["mpl_notice", "mpl_copy"]),
+    *(("MPL-2.0", ["mpl_subject", copy]) for copy in ("mpl_copy", "mpl_copy_https")),
+    ("MPL-2.0", ["mpl_title", "mpl_contributor"]),
     ("Unlicense", ["unlicense_free", "unlicense_anyone"]),
-]
-
-# Sentences of the GPL family's and the MPL's notices as both ways of cutting give them: they end at a colon
-# or semicolon before white space, and at the point of "v. 2.0" (that "2.0" is no sentence of its own here: the address has it).
-# The SQL knows SENTENCES and RULES alone.
-CUT_SENTENCES: dict[str, str] = {
-    **{f"gnu_free_{k}": f"this {k} is free software" for k in ("program", "library")},
-    **{f"gnu_hope_{k}": f"this {k} is distributed in the hope that it will be useful but without any warranty" for k in ("program", "library")},
-    **{
-        f"{k}_terms{mark}": f"you can redistribute it and or modify it under the terms of the gnu {name}general public license as published by the free software foundation{end}"
-        for k, name in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))
-        for mark, end in (("", ""), *((f"_{v.replace(' ', '_')}", f" either version {v} of the license or at your option any later version") for v in ("2", "2 1", "3")))
-    },
-    **{f"gnu_either_{v.replace(' ', '_')}": f"either version {v} of the license or at your option any later version" for v in ("2", "2 1", "3")},
-    "gnu_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
-    "mpl_subject": "this source code form is subject to the terms of the mozilla public license v",
-    "mpl_copy_https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
-}
-
-# The same licences as in RULES, over sentences as they are cut.
-CUT_RULES: list[tuple[str, list[str]]] = [
-    *((name, ["gnu_free_program", *terms, "gnu_hope_program", "gnu_implied", f"{k}_see"])
-      for name, k, v in (("GPL-2.0-or-later", "gpl", "2"), ("GPL-3.0-or-later", "gpl", "3"), ("AGPL-3.0-or-later", "agpl", "3"))
-      for terms in ([f"{k}_terms_{v}"], [f"{k}_terms", f"gnu_either_{v}"])),
-    *(("LGPL", [f"gnu_hope_{what}", "gnu_implied", "lgpl_see"]) for what in ("program", "library")),
-    *(("MPL-2.0", [subject, copy]) for subject, copy in (("mpl_subject", "mpl_copy"), ("mpl_subject", "mpl_copy_https"), ("mpl_notice", "mpl_copy_https"))),
+    ("WTFPL", ["wtfpl_title", "wtfpl_terms", "wtfpl_grant"]),
+    ("Zlib", ["zlib_as_is", "zlib_liable", "zlib_grant", "zlib_origin", "zlib_claim", "zlib_thanks", "zlib_altered", "zlib_notice"]),
+    *((k, ["spdx", f"spdx_{k.lower()}"]) for k in SPDX),
 ]
 
 _SPACE = r"[ \t\r\n]"
 
 
+#: Marks the end of a sentence; one in a text ends a sentence too.
+_END = "\u0001"
+
+
+def _known(marked: Column) -> Column:
+    """Identifiers of the known sentences of a text whose sentence ends are marked, in order."""
+    plain = F.trim(F.regexp_replace(F.lower(marked), rf"[^a-z0-9{_END}]+", " "))
+    names = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (s, k)))
+    found = F.filter(F.split(plain, rf" ?{_END} ?"), lambda x: x.isin(*SENTENCES.values()))
+    return F.transform(found, lambda x: F.element_at(names, x))
+
+
 def licence_scan(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, licences, sentences)``, a row for each row.
 
     ``licences`` are the licences that rules tell, sorted, each once, with a comma between (empty: none);
     ``sentences`` counts the known sentences, by the way of cutting that finds more. Null and empty texts have
-    none. A repeated row has the result of one; rows of one id and different texts tell what any of them holds, null ids too. Other columns are not looked at. The table of
-    sentences is a fixed one of a few kB and is broadcast.
+    none. Every row is told by its own text alone: rows that repeat an id, and rows with a null one, too. Other
+    columns are not looked at.
     """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    ends = F.regexp_replace(text, rf"([.!?:;]){_SPACE}+", "$1\n\n")
-    cut = {
-        0: F.split(F.regexp_replace(ends, r"\r", "\n"), "\n"),
-        1: F.split(F.regexp_replace(ends, rf"\n{_SPACE}*\n", "\u0001"), "\u0001"),
-    }
-    rows = docs.select("doc_id", F.array(*(F.struct(F.lit(k).alias("way"), v.alias("parts")) for k, v in cut.items())).alias("ways"))
-    # known sentences are found in a narrow stage: parts explode, are normalised and meet the broadcast table
-    parts = rows.select("doc_id", F.explode("ways").alias("w")).select("doc_id", "w.way", F.posexplode("w.parts").alias("place", "part"))
-    plain = F.trim(F.regexp_replace(F.lower("part"), r"[^a-z0-9]+", " "))
-    known = spark.createDataFrame([(s, k) for k, s in (SENTENCES | CUT_SENTENCES).items()], "plain string, sentence string")
-    sequences = (
-        parts.select("doc_id", "way", "place", plain.alias("plain"))
-        .join(F.broadcast(known), "plain")
-        .groupBy("doc_id", "way")
-        .agg(F.sort_array(F.collect_set(F.struct("place", "sentence"))).alias("found"))
-        .select("doc_id", F.concat(F.lit(","), F.array_join("found.sentence", ","), F.lit(",")).alias("sequence"), F.size("found").alias("n"))
+    ends = F.regexp_replace(F.coalesce("text", F.lit("")), rf"([.!?:;]){_SPACE}+", "$1\n\n")
+    cut = docs.select("doc_id", ends.alias("t")).select(
+        "doc_id",
+        _known(F.translate("t", "\r\n", _END * 2)).alias("by_line"),
+        _known(F.regexp_replace("t", rf"\n{_SPACE}*\n", _END)).alias("by_paragraph"),
     )
-    told = F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(*(F.when(F.contains("sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES + CUT_RULES)), lambda x: x.isNotNull()))))
-    per_row = sequences.groupBy(F.col("doc_id").alias("id")).agg(F.array_join(F.sort_array(told), ",").alias("licences"), F.max("n").alias("sentences"))
-    return (
-        docs.select("doc_id")
-        .join(per_row, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-        .select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce(F.col("sentences").cast("long"), F.lit(0)).alias("sentences"))
+    # a comma on each side of each identifier; rules can't reach from one way of cutting to the other
+    sequence = F.concat(F.lit(","), F.array_join("by_line", ","), F.lit(",;,"), F.array_join("by_paragraph", ","), F.lit(","))
+    most = F.greatest(F.size("by_line"), F.size("by_paragraph"))
+    told = F.array(*(F.when(F.contains("sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES))
+    return cut.select("doc_id", most.cast("long").alias("sentences"), sequence.alias("sequence")).select(
+        "doc_id", F.when(F.col("sentences") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(told))), ",")).otherwise("").alias("licences"), "sentences"
     )
 
 
@@ -168,23 +210,23 @@ def oracle() -> str:
     return rf"""
 WITH known(plain, sentence) AS (VALUES {known}),
 rules(licence, pattern) AS (VALUES {rules}),
-e AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\r\n]+', '\1' || chr(10) || chr(10), 'g') AS t FROM documents),
+e AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\r\n]+', '\1' || chr(10) || chr(10), 'g') AS t FROM documents),
 ways AS (
-  SELECT doc_id, 0 AS way, string_split(replace(t, chr(13), chr(10)), chr(10)) AS parts FROM e
+  SELECT rid, 0 AS way, string_split(replace(replace(t, chr(13), chr(10)), chr(1), chr(10)), chr(10)) AS parts FROM e
   UNION ALL
-  SELECT doc_id, 1, string_split(regexp_replace(t, '\n[ \t\r\n]*\n', chr(1), 'g'), chr(1)) FROM e
+  SELECT rid, 1, string_split(regexp_replace(t, '\n[ \t\r\n]*\n', chr(1), 'g'), chr(1)) FROM e
 ),
-parts AS (SELECT doc_id, way, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM ways),
+parts AS (SELECT rid, way, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM ways),
 found AS (
-  SELECT doc_id, way, place, sentence
-  FROM (SELECT doc_id, way, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS plain FROM parts) JOIN known USING (plain)
+  SELECT rid, way, place, sentence
+  FROM (SELECT rid, way, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS plain FROM parts) JOIN known USING (plain)
 ),
-seq AS (SELECT doc_id, way, ',' || string_agg(sentence, ',' ORDER BY place) || ',' AS s, count(*) AS n FROM found GROUP BY doc_id, way),
-told AS (SELECT DISTINCT doc_id, licence FROM seq JOIN rules ON contains(s, pattern)),
-names AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM told GROUP BY doc_id),
-most AS (SELECT doc_id, max(n) AS sentences FROM seq GROUP BY doc_id)
+seq AS (SELECT rid, way, ',' || string_agg(sentence, ',' ORDER BY place) || ',' AS s, count(*) AS n FROM found GROUP BY rid, way),
+told AS (SELECT DISTINCT rid, licence FROM seq JOIN rules ON contains(s, pattern)),
+names AS (SELECT rid, string_agg(licence, ',' ORDER BY licence) AS licences FROM told GROUP BY rid),
+most AS (SELECT rid, max(n) AS sentences FROM seq GROUP BY rid)
 SELECT d.doc_id, coalesce(names.licences, '') AS licences, CAST(coalesce(most.sentences, 0) AS BIGINT) AS sentences
-FROM documents d LEFT JOIN names ON d.doc_id = names.doc_id LEFT JOIN most ON d.doc_id = most.doc_id
+FROM e d LEFT JOIN names ON d.rid = names.rid LEFT JOIN most ON d.rid = most.rid
 """
 
 

@@ -223,8 +223,8 @@ def test_licences_of_standard_notices(spark):
         gnu("program", ":", "General Public License", "3"): "GPL-3.0-or-later",
         gnu("program", ";", "General Public License", "2"): "GPL-2.0-or-later",
         gnu("program", ":", "Affero General Public License", "3"): "AGPL-3.0-or-later",
-        gnu("library", ";", "Lesser General Public License", "2.1"): "LGPL",
-        gnu("program", ":", "Lesser General Public License", "3"): "LGPL",
+        gnu("library", ";", "Lesser General Public License", "2.1"): "LGPL-2.1-or-later",
+        gnu("program", ":", "Lesser General Public License", "3"): "LGPL-3.0-or-later",
         mpl: "MPL-2.0",
         mpl.replace("http:", "https:"): "MPL-2.0",
     }
@@ -239,6 +239,61 @@ def test_licences_of_standard_notices(spark):
     assert [got[100 + k]["licences"] for k in range(len(want))] == want
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+
+
+def test_every_rule_is_reached_by_the_cut(spark):
+    """Each rule's sentences one after the other, an unknown one between, give its licence; in another order a rule of several doesn't."""
+    rows = [(k, ". \n".join(x for r in rule for x in (licences.SENTENCES[r], "some other words")) + ".") for k, (_, rule) in enumerate(licences.RULES)]
+    rows += [(1000 + k, ". \n".join(licences.SENTENCES[r] for r in rule[1:] + rule[:1]) + ".") for k, (_, rule) in enumerate(licences.RULES) if len(rule) > 1]
+    got = table(licences.licence_scan(documents(spark, rows)))
+    for k, (name, rule) in enumerate(licences.RULES):
+        assert name in got[k]["licences"].split(","), (name, rule)
+        if len(rule) > 1:
+            assert name not in got[1000 + k]["licences"].split(","), (name, rule)
+
+
+def test_licence_texts_and_identifiers(spark):
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+    epl = 'Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION\n'
+    texts = {ZLIB: "Zlib", " ".join(ZLIB.split()): "Zlib", apache: "Apache-2.0", gpl: "GPL-3.0", epl: "EPL-2.0", "# SPDX-License-Identifier: BSD-3-Clause\nimport x": "BSD-3-Clause", "// SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only", "spdx mit\nmit": ""}
+    got = table(licences.licence_scan(documents(spark, list(enumerate(texts)))))
+    assert [got[k]["licences"] for k in range(len(texts))] == list(texts.values())
+
+
+def test_licences_row_by_row(spark):
+    """Rows of one id, and of none, are told by their own text; the SQL agrees."""
+    import duckdb
+
+    rows = [(4, "nothing"), (4, MIT), (4, "Licensed under CC BY 4.0."), (None, "nothing"), (None, MIT), (4, MIT), (5, "x\u0001MIT License\u0001y"), (6, "All rights reserved."), *ODD]
+    df = documents(spark, rows)
+    plan = licences.licence_scan(df)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Generate", "Python", "Arrow", "Pandas"))
+    got = sorted((tuple(r) for r in licences.licence_scan(df).collect()), key=str)
+    assert [r for r in got if r[0] == 4] == [(4, "", 0), (4, "CC-BY-4.0", 1), (4, "MIT", 5), (4, "MIT", 5)]
+    assert [r[1:] for r in got if r[0] is None] == [("", 0), ("", 0), ("MIT", 5)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    assert sorted(c.sql(licences.ORACLE).fetchall(), key=str) == got
+
+
 # --- decontamination
 
 
