@@ -90,6 +90,10 @@ class Benchmark:
         self.source_needed = np.minimum.reduceat(self.needed, self.begin[:-1]) if self.sources else self.needed
         self.source_step = np.maximum.reduceat(self.step, self.begin[:-1]) if self.sources else self.step
         self.longest = max(map(len, self.sources), default=0)
+        self.points = code_points("\n".join(self.sources)).astype(np.int32)
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in self.sources], dtype=np.int64)))
+        self.at = np.array([starts[p.source] + p.offset for p in self.patterns], np.int64)
+        self.edits = np.array([p.edits for p in self.patterns], np.int64)
         return self
 
 
@@ -98,14 +102,37 @@ def _starts(text: str, size: int, stride: int) -> list[int]:
     return [0] if len(text) <= size else [*range(0, len(text) - size, stride), len(text) - size]
 
 
-def _near(key: np.ndarray, needed: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of ``key`` that with the value after it have what is ``needed`` (by the value // ``per``), all values, and the place of each key among them."""
-    values, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+def _slices(many: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of rows that become about ``most`` rows when row k is there ``many[k]`` times."""
+    total = np.cumsum(many)
+    low = 0
+    while low < len(many):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        yield slice(low, high)
+        low = high
+
+
+def _counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all parts, and how often each is there."""
+    values, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        own, n = np.unique(part, return_counts=True)
+        both, place = np.unique(np.concatenate((values, own)), return_inverse=True)
+        counts, values = np.bincount(place, np.concatenate((counts, n)), minlength=len(both)).astype(np.int64), both
+    return values, counts
+
+
+def _full(values: np.ndarray, counts: np.ndarray, needed: np.ndarray, per: int) -> np.ndarray:
+    """Values that with the value after them have what is ``needed`` (by the value // ``per``)."""
     pair = counts.copy()
-    after = np.searchsorted(values, values + 1)
-    has = (after < len(values)) & (values[np.minimum(after, len(values) - 1)] == values + 1)
-    pair[has] += counts[after[has]]
-    return pair >= needed[(values // per) % max(1, len(needed))], values, back
+    has = values[1:] == values[:-1] + 1
+    pair[:-1][has] += counts[1:][has]
+    return values[pair >= needed[(values // per) % max(1, len(needed))]]
+
+
+def _within(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_values, values), max(0, len(sorted_values) - 1))
+    return sorted_values[at] == values if len(sorted_values) else np.zeros(len(values), bool)
 
 
 def benchmark_index(rows: list[tuple[int, str | None]], edit_share: float = EDIT_SHARE) -> Benchmark:
@@ -128,84 +155,143 @@ def benchmark_index(rows: list[tuple[int, str | None]], edit_share: float = EDIT
     return out.build()
 
 
-def align(pattern: str, text: str, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """Edits, start and stop of the best place of ``pattern`` in ``text`` on diagonals ``low`` to ``high``, if it has at most ``most`` edits."""
-    exact = text.find(pattern, max(0, low), max(0, high) + len(pattern))
-    if exact >= 0:
-        return 0, exact, exact + len(pattern)
-    t = code_points(text)
-    p = code_points(pattern)
-    width = high - low + 1
-    far = len(pattern) + width + 1
-    diagonal = np.arange(low, high + 1)
-    inside = (diagonal >= 0) & (diagonal <= len(t))
-    cost = np.where(inside, 0, far)  # a row of the table; column d is text place row + d
-    start = np.where(inside, diagonal, 0)
-    steps = np.arange(width)
-    for i in range(1, len(p) + 1):
-        end = i + diagonal  # places of the text used so far
-        valid = (end >= 0) & (end <= len(t))
-        at = np.clip(end - 1, 0, max(0, len(t) - 1))
-        through = cost + np.where((end >= 1) & (end <= len(t)), (t[at] != p[i - 1]) if len(t) else 1, far)
-        skip = np.append(cost[1:], far) + 1  # a character of the pattern that the text lacks
-        skip_from = np.append(start[1:], 0)
-        best = np.minimum(through, skip)
-        come = np.where(through <= skip, start, skip_from)
+Candidates = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # text, pattern, lowest and highest diagonal of each
+
+
+def align_all(index: Benchmark, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, candidates: Candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, start and stop of the best place of each pattern in its text on its diagonals; edits are -1 where there is none within the pattern's bound.
+
+    Most candidates fail, so starts are followed only for those whose edits are within the bound.
+    """
+    edits, start, stop = (np.full(len(candidates[0]), -1, np.int64) for _ in range(3))
+    for follow in (False, True):
+        todo = np.flatnonzero(edits >= 0) if follow else np.arange(len(edits))
+        order = todo[np.argsort(index.length[candidates[1][todo]], kind="stable")]
+        width = candidates[3] - candidates[2] + 1
+        first = 0
+        while first < len(order):
+            rows = order[first : first + max(1, (1 << 18) // int(width[order[first:]].max()))]
+            first += len(rows)
+            edits[rows], start[rows], stop[rows] = _table(index, points, begins, lengths, tuple(c[rows] for c in candidates), follow)
+    return edits, start, stop
+
+
+def _table(index: Benchmark, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, candidates: Candidates, follow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One table for candidates of about equal length, a row at a time; a column is a diagonal. Candidates leave as soon as all their diagonals are over the bound."""
+    doc, pattern, low, high = candidates
+    edits, start, stop = (np.full(len(doc), -1, np.int64) for _ in range(3))
+    m, w, most = index.length[pattern], high - low + 1, index.edits[pattern]
+    d, t = low[:, None], lengths[doc][:, None]
+    steps = np.arange(int(w.max()), dtype=np.int16)
+    place = d + np.arange(int(m.max()) + len(steps))
+    text = np.where((place >= 0) & (place < t), points[np.clip(begins[doc][:, None] + place, 0, len(points) - 1)].astype(np.int32), -1)
+    own = index.points[np.minimum(index.at[pattern][:, None] + np.arange(int(m.max())), len(index.points) - 1)]
+    inside = steps < w[:, None]
+    far = (m + w + 1).astype(np.int16)[:, None]
+    cost = np.where(inside & (d + steps >= 0) & (d + steps <= t), 0, far).astype(np.int16)
+    begin = np.broadcast_to(steps, cost.shape)
+    edge = np.full((len(doc), 1), 1 << 14, np.int16)
+    # columns whose place is in the text: between these in row 0, and one less of each in every row
+    left, right = -d, t - d
+    rows = np.arange(len(doc))
+    for i in range(1, int(m.max()) + 1):
+        through = cost + (text[:, i - 1 : i - 1 + len(steps)] != own[:, i - 1, None])
+        skip = np.concatenate((cost[:, 1:], edge), axis=1) + np.int16(1)  # a character of the pattern that the text lacks
+        valid = inside & (steps >= left - i) & (steps <= right - i)
         # characters of the text that the pattern lacks: from the left, one each
-        level = np.where(valid, best, far) - steps
-        source = np.maximum.accumulate(np.where(level <= np.minimum.accumulate(level), steps, 0))
-        cost = np.minimum(np.minimum.accumulate(level) + steps, far)
-        start = come[source]
-        cost = np.where(valid, cost, far)
-        if cost.min() > most:
-            return None
-    k = int(cost.argmin())
-    return (int(cost[k]), int(start[k]), int(len(p) + diagonal[k])) if cost[k] <= most else None
+        level = np.where(valid, np.minimum(through, skip), far) - steps
+        lowest = np.minimum.accumulate(level, axis=1)
+        if follow:
+            come = np.where(through <= skip, begin, np.concatenate((begin[:, 1:], edge), axis=1))
+            begin = np.take_along_axis(come, np.maximum.accumulate(np.where(level <= lowest, steps, 0), axis=1), axis=1)
+        cost = np.where(valid, np.minimum(lowest + steps, far), far)
+        done = m == i
+        if done.any():
+            at = np.flatnonzero(done)
+            k = cost[at].argmin(axis=1)
+            good = cost[at, k] <= most[at]
+            at, k = at[good], k[good]
+            edits[rows[at]], start[rows[at]], stop[rows[at]] = cost[at, k], d[at, 0] + begin[at, k], i + d[at, 0] + k
+        if i % 8 == 0 or done.any():
+            alive = (cost.min(axis=1) <= most) & ~done
+            if not alive.all():
+                rows, m, d, far, text, own, inside, cost, begin, most, edge, left, right = (x[alive] for x in (rows, m, d, far, text, own, inside, cost, begin, most, edge, left, right))
+            if not len(rows):
+                break
+    return edits, start, stop
 
 
 def search(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each normalised text the best place of each item in it: ``(item, edits, start, stop)``."""
     found: list[dict[int, tuple[bool, int, int, int]]] = [{} for _ in texts]
+
+    def told(d: int, p: Pattern, edits: int, start: int, stop: int) -> None:
+        before = found[d].get(p.item)
+        if before is None or (p.part, edits, start) < before[:3]:
+            found[d][p.item] = (p.part, edits, start, stop)
+
     if index.patterns and texts:
         lengths = np.array([len(t) for t in texts])
         begins = np.concatenate(([0], np.cumsum(lengths + 1)))
-        g = grams(code_points("\n".join(texts)).astype(np.uint64))  # normalised texts hold no line break
+        points = code_points("\n".join(texts))  # normalised texts hold no line break
+        g = grams(points.astype(np.uint64))
         hits = np.flatnonzero(index.filter[(g >> index.shift).astype(np.int64)])
         at = np.searchsorted(index.keys, g[hits])
         good = at < len(index.keys)
         good[good] = index.keys[at[good]] == g[hits[good]]
         hits, at = hits[good], at[good]
         many = index.first[at + 1] - index.first[at]
-        row = np.repeat(np.arange(len(hits)), many)
-        entry = index.first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        source, doc, place = index.source[entry], np.searchsorted(begins, hits, "right")[row] - 1, index.place[entry]
-        diagonal = hits[row] - begins[doc] - place
         # bands are two steps wide and begin a step apart, so that step + 1 neighbouring diagonals share one
         shift = int(lengths.max()) + index.longest + 4
         span = 2 * shift
+
+        def matches(own: slice) -> tuple[np.ndarray, ...]:
+            row = np.repeat(np.arange(own.start, min(own.stop, len(hits))), many[own])
+            entry = index.first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+            source, doc, place = index.source[entry], np.searchsorted(begins, hits, "right")[row] - 1, index.place[entry]
+            diagonal = hits[row] - begins[doc] - place
+            return source, doc, place, diagonal, (doc * len(index.sources) + source) * span + np.floor_divide(diagonal, index.source_step[source]) + shift
+
         # first by items, to leave most matches behind, then by the passages of those items
-        full, values, back = _near((doc * len(index.sources) + source) * span + np.floor_divide(diagonal, index.source_step[source]) + shift, index.source_needed, span)
-        near = full | np.isin(values, values[full] + 1)
-        source, doc, place, diagonal = (x[near[back]] for x in (source, doc, place, diagonal))
-        many = index.begin[source + 1] - index.begin[source]
-        row = np.repeat(np.arange(len(source)), many)
-        pattern = index.begin[source][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        inside = place[row] - index.offset[pattern]
-        inside = (inside >= 0) & (inside <= index.length[pattern] - Q)
-        row, pattern = row[inside], pattern[inside]
-        band = np.floor_divide(diagonal[row] + index.offset[pattern], index.step[pattern])
-        full, values, _ = _near((doc[row] * len(index.patterns) + pattern) * span + band + shift, index.needed, span)
-        for v in values[full].tolist():
-            rest, b = divmod(v, span)
-            d, k = divmod(rest, len(index.patterns))
-            p = index.patterns[k]
-            before = found[d].get(p.item)
-            if before and (before[0], before[1]) <= (p.part, 0):
-                continue
-            low = (b - shift) * p.band
-            place = align(p.text, texts[d], low - p.edits, low + 2 * p.band - 1 + p.edits, p.edits)
-            if place and (before is None or (p.part, *place[:2]) < before[:3]):
-                found[d][p.item] = (p.part, *place)
+        values, counts = _counted(matches(own)[4] for own in _slices(many))
+        full = _full(values, counts, index.source_needed, span)
+        near = np.union1d(full, full + 1)
+
+        def by_pattern() -> Iterator[np.ndarray]:
+            for own in _slices(many):
+                source, doc, place, diagonal, band = matches(own)
+                kept = _within(band, near)
+                source, doc, place, diagonal = (x[kept] for x in (source, doc, place, diagonal))
+                count = index.begin[source + 1] - index.begin[source]
+                for few in _slices(count):
+                    n = count[few]
+                    row = np.repeat(np.arange(few.start, min(few.stop, len(count))), n)
+                    pattern = index.begin[source][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    inside = place[row] - index.offset[pattern]
+                    inside = (inside >= 0) & (inside <= index.length[pattern] - Q)
+                    row, pattern = row[inside], pattern[inside]
+                    yield (doc[row] * len(index.patterns) + pattern) * span + np.floor_divide(diagonal[row] + index.offset[pattern], index.step[pattern]) + shift
+
+        if len(near):
+            full = _full(*_counted(by_pattern()), index.needed, span)
+            rest, band = np.divmod(full, span)
+            doc, pattern = np.divmod(rest, len(index.patterns))
+            step = index.step[pattern]
+            low = (band - shift) * step - index.edits[pattern]
+            high = low + 2 * step - 1 + 2 * index.edits[pattern]
+            left = []
+            for k, (d, p, a, b) in enumerate(zip(doc.tolist(), pattern.tolist(), low.tolist(), high.tolist(), strict=True)):
+                own = index.patterns[p]
+                exact = texts[d].find(own.text, max(0, a), max(0, b) + len(own.text))
+                if exact >= 0:
+                    told(d, own, 0, exact, exact + len(own.text))
+                elif own.edits:
+                    left.append(k)
+            # what has its item there without an edit, by as large a passage, needs no alignment
+            left = np.array([k for k in left if not ((before := found[doc[k]].get(index.patterns[pattern[k]].item)) and before[:2] <= (index.patterns[pattern[k]].part, 0))], np.int64)
+            for k, edits, start, stop in zip(left.tolist(), *(x.tolist() for x in align_all(index, points, begins, lengths, (doc[left], pattern[left], low[left], high[left]))), strict=True):
+                if edits >= 0:
+                    told(int(doc[k]), index.patterns[pattern[k]], edits, start, stop)
     for item, text in index.short:
         for d, own in enumerate(texts):
             k = f" {own} ".find(f" {text} ")

@@ -355,6 +355,27 @@ def test_excerpts_of_longer_items(spark):
     assert dict(rows)[100][whole["start"] : whole["stop"]] == decontaminate.normalise(items[1]) and whole["edits"] == 0
 
 
+def test_items_with_a_shared_opening_take_bounded_time():
+    """Every item that begins alike is a candidate wherever a document has that beginning; they are aligned at once."""
+    import time
+
+    opening = words(14, 70)[:57]
+    items = [(k, f"{opening} {words(rng_words, 700 + k)}") for k in range(200) for rng_words in [8 + k % 20]]
+    index = decontaminate.benchmark_index(items)
+    s = decontaminate.normalise(items[3][1])
+    changed = s[:70] + "#" + s[71:80] + s[81:]
+    text = decontaminate.normalise(" ".join(f"{opening} {words(3, 900 + k)}" for k in range(80)) + f" {changed} " + items[17][1])
+    began = time.perf_counter()
+    found = decontaminate.search(index, [text])
+    assert time.perf_counter() - began < 4
+    # plain: the items found are those with a place within their edits
+    want = {k for k, t in items if k in (3, 17) or plain_edits(decontaminate.normalise(t), text[-700:]) <= index.patterns[k].edits}
+    assert {3, 17} <= {i for i, *_ in found[0]} and {i: e for i, e, _, _ in found[0]}[3] == 2
+    for item, edits, start, stop in found[0]:
+        assert edits == plain_edits(decontaminate.normalise(dict(items)[item]), text[start:stop]) <= index.patterns[item].edits
+    assert want <= {i for i, *_ in found[0]}
+
+
 def test_passages_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
     items = [(k, words(20, 50 + k)) for k in range(8)]
