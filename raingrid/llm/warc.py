@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import bounded, materialise, scratch
 
 #: Magic number of the skippable frame that carries the dictionary (the WARC-Zstandard convention), and of any dictionary.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, b"\x37\xa4\x30\xec"
@@ -46,22 +46,27 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, serial: str) -> bytes:
-    """One record; a revisit (``refers_to`` is given) has the HTTP header of the full payload and no body."""
+def record_id(page_id: int | None, row: int) -> str:
+    """A record's name: the page and the row's own number, as a page may be there several times."""
+    return f"<urn:raingrid:page:{'' if page_id is None else page_id}:{row}>"
+
+
+def warc_record(page_id: int | None, row: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_row: int | None) -> bytes:
+    """One record; a revisit (``refers_row`` is given) has the HTTP header of the full payload and no body, and names the record that has it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    revisit = refers_to is not None
+    revisit = refers_row is not None
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:raingrid:page:{'' if page_id is None else page_id}:{serial}>",
+        f"WARC-Record-ID: {record_id(page_id, row)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:raingrid:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, refers_row)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -126,8 +131,8 @@ def _writer(folder: str):
             return out
 
         for batch in batches:
-            for page_id, url, payload, full, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                records.append(warc_record(page_id, url, payload or b"", full, base64.b32encode(digest).decode(), refers_to, f"{attempt}-{part}-{len(ids)}"))
+            for page_id, row, url, payload, full, digest, refers_to, refers_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records.append(warc_record(page_id, row, url, payload or b"", full, base64.b32encode(digest).decode(), refers_to, refers_row))
                 ids.append(page_id)
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
@@ -138,79 +143,94 @@ def _writer(folder: str):
     return write
 
 
+def _page(record: str) -> int | None:
+    """The page in a record's name."""
+    page = record.split(":")[3]
+    return int(page) if page else None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each archive of the batch from its first byte: the dictionary, then every record that its table lists."""
+    """Each archive of the batch from its first byte: the dictionary, then every frame that its table lists, one after the other to the end of the file."""
     for batch in batches:
-        for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for path, frames in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             system, name = _open(path)
-            rows: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")}
+            rows: dict[str, list] = {k: [] for k in _SCHEMA.names}
             with system.open_input_stream(name, compression=None) as file:
                 magic, n = struct.unpack("<II", file.read(8))
                 if magic != SKIPPABLE:
                     raise ValueError(f"{path}: no leading dictionary frame")
                 reader = zstandard.ZstdDecompressor(dict_data=_dictionary(file.read(n)))
-                rest = file.read()
-            found = 0
-            while rest:
-                unpack = reader.decompressobj()
-                r = parse_record(unpack.decompress(rest))
-                rest = unpack.unused_data
-                found += 1
-                revisit = r["warc-type"] == "revisit"
-                digest = r["warc-payload-digest"].removeprefix("sha1:")
-                if not revisit and (base32_sha1(r["body"]) != digest or len(r["body"]) != int(r["http"]["content-length"])):
-                    raise ValueError(f"{path}: a payload differs from its digest")
-                page = r["warc-record-id"].split(":")[3]
-                rows["page_id"].append(int(page) if page else None)
-                rows["payload_bytes"].append(int(r["http"]["content-length"]))
-                rows["payload_digest"].append(digest)
-                rows["record_type"].append(r["warc-type"])
-                rows["refers_to"].append(int(r["warc-refers-to"].rstrip(">").rpartition(":")[2]) if revisit else None)
-            if found != size:
-                raise ValueError(f"{path}: {found} records, {size} were written")
+                at = 8 + n
+                for frame in frames:
+                    if frame["offset"] != at:
+                        raise ValueError(f"{path}: a record at {frame['offset']}, the one before ends at {at}")
+                    r = parse_record(reader.decompress(file.read(frame["length"])))
+                    at += frame["length"]
+                    revisit = r["warc-type"] == "revisit"
+                    digest = r["warc-payload-digest"].removeprefix("sha1:")
+                    if not revisit and (base32_sha1(r["body"]) != digest or len(r["body"]) != int(r["http"]["content-length"])):
+                        raise ValueError(f"{path}: a payload differs from its digest")
+                    rows["page_id"].append(_page(r["warc-record-id"]))
+                    rows["payload_bytes"].append(int(r["http"]["content-length"]))
+                    rows["payload_digest"].append(digest)
+                    rows["record_type"].append(r["warc-type"])
+                    rows["refers_to"].append(_page(r["warc-refers-to"]) if revisit else None)
+                    rows["record_id"].append(r["warc-record-id"])
+                    rows["refers_to_record"].append(r["warc-refers-to"] if revisit else None)
+                if file.read(1):
+                    raise ValueError(f"{path}: more bytes than records")
             yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string())])
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write a record for each row of ``pages(page_id, url, html, ...)``; returns the table of ``(page_id, path, offset, length)``.
 
     Of rows whose payloads are equal and have at least ``least_bytes`` bytes, the one with the largest page_id
-    is written in full and the others refer to it. A null html is an empty payload; a null url an empty
-    target. Rows that repeat the largest page_id are all written in full; a null page_id is written in full if
-    no other page has its payload and refers to that page if one has. An empty table writes no file.
+    is written in full and the others refer to its record. A null html is an empty payload; a null url an empty
+    target. Rows that repeat the largest page_id are all written in full, and the others refer to one of them; a
+    null page_id is written in full if no other page has its payload and refers to that page if one has. An
+    empty table writes no file.
     """
+    # a row has a number of its own, written with it, so that a record's name is the same in every attempt
     own = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"").cast("binary")).alias("payload"))
     own = own.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha1("payload"))})
+    own = materialise(own.withColumn("row", F.monotonically_increasing_id()), "payloads")
     first = (
         own.filter(F.col("size") >= least_bytes)
         .groupBy("digest")
-        .agg(F.max("page_id").alias("chosen"), F.count("*").alias("copies"))
+        .agg(F.max(F.struct("page_id", "row")).alias("chosen"), F.count("*").alias("copies"))
         .filter("copies > 1")
-        .select("digest", "chosen")
+        .select("digest", F.col("chosen.page_id").alias("chosen"), F.col("chosen.row").alias("chosen_row"))
     )
     first = materialise(first, "chosen")
-    refers_to = F.when(F.col("page_id").eqNullSafe(F.col("chosen")), None).otherwise(F.col("chosen"))
-    told = own.join(first, "digest", "left").withColumn("refers_to", refers_to)
-    told = told.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
+    refers = ~F.col("page_id").eqNullSafe(F.col("chosen")) & F.col("chosen_row").isNotNull()
+    told = own.join(bounded(first), "digest", "left").withColumns({"refers_to": F.when(refers, F.col("chosen")), "refers_row": F.when(refers, F.col("chosen_row"))})
+    told = told.select("page_id", "row", "url", F.when(F.col("refers_row").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to", "refers_row")
     return materialise(told.mapInArrow(_writer(folder), WRITTEN), "written")
 
 
+#: Tasks of the reading job for each core: archives have about equal bytes, so a task gets several of many.
+TASKS_A_CORE = 16
+
+
 def read_archives(written: DataFrame) -> DataFrame:
-    """Read back every archive in the table: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``, a row for each record.
+    """Read back every archive in the table: ``(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_record)``, a row for each record.
 
-    Each payload is checked against its digest and length, each archive against the number of records written.
+    Each payload is checked against its digest and length, each archive against the offsets and lengths written.
     """
-    files = materialise(written.groupBy("path").agg(F.count("*").alias("records")), "files")
-    # an archive for each task: their rows are too small for the number of tasks to be told by their size
-    return files.repartition(max(1, files.count())).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = materialise(written.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("frames")), "files")
+    tasks = max(1, min(files.count(), TASKS_A_CORE * written.sparkSession.sparkContext.defaultParallelism))
+    # dealt evenly: their rows are too small for the number of tasks to be told by their size
+    return files.repartition(tasks).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string")
 
 
 def op6_warc_dictionary(spark, sf_dir: str) -> DataFrame:
     """All of ``pages`` written to archives in the shared folder and read back."""
-    return read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc")))
+    read = read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc")))
+    return read.drop("record_id", "refers_to_record")
 
 
 ORACLE = """

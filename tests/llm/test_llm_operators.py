@@ -470,6 +470,12 @@ def test_archives(spark):
         assert r["payload_bytes"] == len(body) and r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
         first = chosen.get(body.decode(), None)
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["page_id"] else ("revisit", first))
+    # each reference names one record, which has the payload
+    records = {r["record_id"]: r for r in got}
+    assert len(records) == len(got) and any(r["refers_to_record"] for r in got)
+    for r in got:
+        if r["record_type"] == "revisit":
+            assert (target := records[r["refers_to_record"]])["record_type"] == "response" and target["payload_digest"] == r["payload_digest"] and target["page_id"] == r["refers_to"]
     least = warc.read_archives(warc.write_archives(df, scratch(spark, "warc"), least_bytes=10_000)).collect()
     assert {r["record_type"] for r in least} == {"response"}
     assert warc.read_archives(warc.write_archives(df.limit(0), scratch(spark, "warc"))).collect() == []
