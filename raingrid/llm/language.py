@@ -6,7 +6,6 @@ document frequencies are counted over all labelled rows; a temperature is then f
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder
-from .sampling import Rows, fractions, sparse, taken
-from .textkit import char_ngram_counts, texts
+from .sampling import Rows, fractions, gathered, taken
+from .textkit import ngram_counts
 
 ORDERS, BITS = (1, 2, 3), 15
 #: The model is fitted on about so many rows, even over languages, a fifth of them kept aside for the temperature.
@@ -25,15 +24,13 @@ FIT_ROWS = 4_000
 ALPHA, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.02, 0.01, 3
 #: Confidence under which the pipeline rejects a document.
 LEAST_SCORE = 0.35
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def raw_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and counts of the hashed character n-grams of each lower-cased text."""
-    for text in texts(column):
-        counts = char_ngram_counts((text or "").lower(), ORDERS, BITS)
-        on = np.flatnonzero(counts)
-        yield on, counts[on]
+    for start, end, _, doc, place, count in ngram_counts(column, ORDERS, BITS, lower=True):
+        first = np.searchsorted(doc, np.arange(end - start + 1))
+        yield from ((place[a:b], count[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -42,8 +39,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
         for batch in batches:
-            for text in texts(batch.column(0)):
-                total[:-1] += char_ngram_counts((text or "").lower(), ORDERS, BITS) > 0
+            for _, _, _, _, place, _ in ngram_counts(batch.column(0), ORDERS, BITS, lower=True):
+                total[:-1] += np.bincount(place, minlength=1 << BITS)
             total[-1] += len(batch)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["place", "n"])
@@ -104,14 +101,22 @@ class LanguageModel:
             low, high = (low, b) if loss(a) <= loss(b) else (a, high)
         self.temperature = float(np.exp((low + high) / 2))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
-        counts = char_ngram_counts(text.lower(), ORDERS, BITS)
-        on = np.flatnonzero(counts)
-        p = _softmax(self.logits(on, counts[on]) / self.temperature)
-        k = int(p.argmax())
-        return self.languages[k], float(min(1.0, p[k]))
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its probability; ``und`` and 0 without a letter (as Unicode has them) or without a model."""
+        names, scores = ["und"] * len(column), np.zeros(len(column))
+        if not self.languages:
+            return names, scores
+        for start, end, own, doc, place, count in ngram_counts(column, ORDERS, BITS, lower=True):
+            x = (1 + np.log(count)) * self.idf[place]
+            x /= np.sqrt(np.bincount(doc, x * x, minlength=end - start))[doc]
+            logits = np.stack([np.bincount(doc, x * self.w[place, k], minlength=end - start) + self.w[-1, k] for k in range(len(self.languages))], axis=1) / self.temperature
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            best = p.argmax(axis=1)
+            for k, text in enumerate(own):
+                if any(map(str.isalpha, text)):
+                    names[start + k], scores[start + k] = self.languages[best[k]], min(1.0, p[k, best[k]])
+        return names, scores
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -120,7 +125,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_language(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on ``labelled(doc_id, text, lang)``; rows without lang or with null or empty text teach nothing."""
+    """Fit on ``labelled(doc_id, text, lang)``; rows without lang or with null or empty text teach nothing, nor do languages beyond the ``MOST_LABELS`` most frequent."""
     labelled = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null and text <> ''")
     shares = fractions(labelled.select("lang"), "lang", fit_rows)
     languages = sorted(shares)
@@ -129,7 +134,7 @@ def fit_language(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel
     frequency, n = document_frequencies(labelled)
     model = LanguageModel(languages, np.log((1 + n) / (1 + frequency)) + 1)
     chosen = labelled.filter(taken("lang", shares, 9))
-    table = sparse(chosen, raw_features, "lang").toArrow()
+    table = gathered(chosen, raw_features, "lang")
     rows, names = Rows.of_table(table, 1 << BITS), [languages.index(x) for x in table["lang"].to_pylist()]
     order = np.argsort(table["doc_id"].fill_null(-1).to_numpy(), kind="stable")
     data = [(rows.place[rows.starts[k] : rows.starts[k + 1]], rows.amount[rows.starts[k] : rows.starts[k + 1]], names[k]) for k in order]
@@ -152,8 +157,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.predict(t) for t in texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
+            names, scores = model.predict(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     docs = docs.select(*kept)
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
-from .sampling import Rows, fractions, sparse, taken
-from .textkit import char_ngram_counts, texts
+from .sampling import Rows, fractions, gathered, taken
+from .textkit import ngram_counts
 
 ORDERS, BITS = (1, 2, 3), 14
 #: Places of features: hashed n-grams, then the tenths of repeated words, and the weight of the latter.
@@ -29,15 +29,22 @@ ROUNDS, RATE, L2 = 150, 0.05, 1e-5
 LEAST_TAIL = 0.3
 
 
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts: first row, end row, and the document, place and weight of each feature, in order of document."""
+    for start, end, own, doc, place, count in ngram_counts(column, ORDERS, BITS):
+        x = 1 + np.log(count)
+        x /= np.sqrt(np.bincount(doc, x * x, minlength=end - start))[doc]
+        words = [t.split() for t in own]
+        shares = [sum(map(eq, w, w[1:])) / len(w) if w else 0.0 for w in words]
+        last = np.searchsorted(doc, np.arange(end - start), "right")
+        yield start, end, np.insert(doc, last, np.arange(end - start)), np.insert(place, last, [(1 << BITS) + min(9, int(10 * s)) for s in shares]), np.insert(x, last, REPEATS)
+
+
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and weights of each text: logarithms of counts of hashed character n-grams (of length 1), and the tenth that the share of words equal to the word before is in."""
-    for text in texts(column):
-        counts = char_ngram_counts(text or "", ORDERS, BITS)
-        on = np.flatnonzero(counts)
-        x = 1 + np.log(np.maximum(counts[on], 1))
-        words = (text or "").split()
-        share = sum(map(eq, words, words[1:])) / len(words) if words else 0.0
-        yield (np.append(on, (1 << BITS) + min(9, int(10 * share))), np.append(x / (np.sqrt(x @ x) or 1.0), REPEATS))
+    for start, end, doc, place, x in _runs(column):
+        first = np.searchsorted(doc, np.arange(end - start + 1))
+        yield from ((place[a:b], x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
 
 
 def _s(x: np.ndarray) -> np.ndarray:
@@ -84,9 +91,12 @@ class Ordinal:
     def _in_order(steps: np.ndarray) -> np.ndarray:
         return steps[0] + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
 
-    def tails(self, places: np.ndarray, amounts: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each k below the highest grade."""
-        return _s(self.w[places] @ amounts - self.thresholds)
+    def tails(self, column: pa.Array) -> np.ndarray:
+        """For each text P(grade > k) for each k below the highest grade."""
+        z = np.zeros(len(column))
+        for start, end, doc, place, x in _runs(column):
+            z[start:end] = np.bincount(doc, x * self.w[place], minlength=end - start)
+        return _s(z[:, None] - self.thresholds)
 
 
 def fit_quality(rated: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
@@ -95,7 +105,7 @@ def fit_quality(rated: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
     shares = fractions(rated.select("grade"), "grade", fit_rows)
     if not shares:
         return Ordinal(1, WIDTH)
-    rows = sparse(rated.filter(taken("grade", shares, 10)), features, "grade").toArrow()
+    rows = gathered(rated.filter(taken("grade", shares, 10)), features, "grade")
     grade = rows["grade"].to_numpy().astype(np.int64)
     weight = np.array([1 / shares[g] for g in grade.tolist()])
     return Ordinal(int(max(shares)) + 1, WIDTH).fit(Rows.of_table(rows, WIDTH), grade, weight)
@@ -108,10 +118,9 @@ def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.tails(*f) for f in features(batch.column(at))]
-            grades = [float(t.sum()) for t in got]
-            tails = [float(t[0]) if len(t) else 1.0 for t in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grades, pa.float64()), pa.array(tails, pa.float64())], [*names, "expected_grade", "tail_probability"])
+            tails = model.tails(batch.column(at))
+            first = tails[:, 0] if tails.shape[1] else np.ones(len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(first)], [*names, "expected_grade", "tail_probability"])
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())]))
 

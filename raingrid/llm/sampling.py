@@ -9,10 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+
+#: Sparse features of a sample come to the driver up to so many values (8 bytes each); of more, a share of the rows.
+MOST_VALUES = 12_000_000
+#: Values of a label that can be learned: the most frequent ones.
+MOST_LABELS = 256
+
 
 def fractions(rows: DataFrame, label: str, most: int) -> dict:
-    """For each value of ``label`` the share of its rows to take, so that about ``most`` rows are taken, as evenly as can be."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    """For each of the ``MOST_LABELS`` most frequent values of ``label`` the share of its rows to take, so that about ``most`` rows are taken, as evenly as can be."""
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MOST_LABELS).collect()}
     each = most / max(1, len(counts))
     return {v: min(1.0, each / n) for v, n in counts.items()}
 
@@ -41,6 +49,15 @@ def sparse(docs: DataFrame, features: Callable[[pa.Array], Iterable[tuple[np.nda
     return docs.mapInArrow(rows, f"doc_id long, places array<int>, amounts array<float>, `{label}` {dict(docs.dtypes)[label]}")
 
 
+def gathered(docs: DataFrame, features: Callable[[pa.Array], Iterable[tuple[np.ndarray, np.ndarray]]], label: str) -> pa.Table:
+    """``sparse`` of a sample on the driver, at most about ``MOST_VALUES`` values of it: where texts are so long that there are more, rows with the smallest hashes."""
+    table = materialise(sparse(docs, features, label), "features")
+    values = table.agg(F.sum(F.size("places"))).first()[0] or 0
+    if values > MOST_VALUES:
+        table = table.filter(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 20)) < int((1 << 20) * MOST_VALUES / values))
+    return table.toArrow()
+
+
 class Rows:
     """Sparse rows on the driver: products with a vector, both ways, a piece at a time so that nothing beside the rows is large."""
 

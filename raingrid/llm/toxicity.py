@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, remainder
-from .sampling import Rows, fractions, sparse, taken
+from .sampling import Rows, fractions, gathered, taken
 from .textkit import FOLD, MARKS, mix, slices, word_hashes, word_spans
 
 BITS = 18
@@ -23,6 +23,8 @@ BITS = 18
 FIT_ROWS = 6_000
 #: A feature has a weight if it is in so many sampled rows and its share of toxic ones is so many deviations from the usual.
 LEAST_DOCS, LEAST_DEVIATIONS = 5, 3.0
+#: Features that can have a weight beside those of identity terms: the ones with most deviations.
+MOST_FEATURES = 8_192
 ROUNDS, RATE, L1, SWAP = 200, 0.5, 1e-4, 1.0
 #: Beside each word its beginnings of so many bytes are features, for words that are made of a stem and many endings.
 STEMS = (4, 5, 6, 7)
@@ -77,6 +79,43 @@ def _swaps() -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def vocabulary_of(times: np.ndarray, toxic: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which places can have a weight, and which of them are identity terms, from the texts and the toxic texts that have each, and the share of toxic texts."""
+    often = times >= LEAST_DOCS
+    deviations = np.where(often, np.abs(toxic - times * usual) / np.sqrt(np.maximum(times * usual * (1 - usual), 1e-9)), 0.0)
+    known = deviations >= LEAST_DEVIATIONS
+    if known.sum() > MOST_FEATURES:
+        known = np.zeros(len(times), bool)
+        known[np.argsort(-deviations, kind="stable")[:MOST_FEATURES]] = True
+    terms = np.zeros(len(times), bool)
+    for a, (gone, come) in _swaps().items():
+        if often[a]:
+            known[gone] = known[come] = terms[a] = True
+    return known, terms
+
+
+def count_features(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For each place the texts and the toxic texts of ``labelled(text, toxic)`` that have it, and how many of both there are. A task sends one row for each place at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, (1 << BITS) + 1), np.int64)
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            total[:, -1] += len(toxic), toxic.sum()
+            for start, _, place, doc in words_of(batch.column(0)):
+                pairs = np.unique((doc << BITS) | place)
+                own = pairs & ((1 << BITS) - 1)
+                total[0, :-1] += np.bincount(own, minlength=1 << BITS)
+                total[1, :-1] += np.bincount(own[toxic[start + (pairs >> BITS)] == 1], minlength=1 << BITS)
+        on = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[0, on]), pa.array(total[1, on])], ["place", "n", "toxic"])
+
+    rows = labelled.select("text", "toxic").mapInArrow(count, "place long, n long, toxic long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas()
+    out = np.zeros((2, (1 << BITS) + 1), np.int64)
+    out[:, rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64)
+    return out[0, :-1], out[1, :-1], int(out[0, -1]), int(out[1, -1])
+
+
 class Toxicity:
     def __init__(self):
         self.w, self.bias = np.zeros(1 << BITS), -4.0
@@ -86,13 +125,7 @@ class Toxicity:
         if not rows.n:
             return self
         identity = _swaps()
-        times, toxic, usual = rows.back(np.ones(rows.n)), rows.back(label), label.mean()
-        often = times >= LEAST_DOCS
-        known = often & (np.abs(toxic - times * usual) >= LEAST_DEVIATIONS * np.sqrt(times * usual * (1 - usual)))
-        terms = np.zeros(1 << BITS, bool)
-        for a, (gone, come) in identity.items():
-            if often[a]:
-                known[gone] = known[come] = terms[a] = True
+        known, terms = vocabulary_of(rows.back(np.ones(rows.n)), rows.back(label), label.mean())
         rows, vocabulary = rows.only(known)
         to = np.zeros(1 << BITS, np.int64)
         to[vocabulary] = np.arange(len(vocabulary))
@@ -138,7 +171,11 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, swap: float = SW
     shares = fractions(labelled.select("toxic"), "toxic", fit_rows)
     if len(shares) < 2:
         return Toxicity()
-    table = sparse(labelled.filter(taken("toxic", shares, 4)), features, "toxic").toArrow()
+    chosen = materialise(labelled.filter(taken("toxic", shares, 4)), "chosen")
+    times, toxic, n, n_toxic = count_features(chosen)
+    known, _ = vocabulary_of(times, toxic, n_toxic / max(1, n))
+    # only features that can have a weight come to the driver
+    table = gathered(chosen, lambda column: [(p[known[p]], a[known[p]]) for p, a in features(column)], "toxic")
     label = table["toxic"].to_numpy().astype(float)
     return Toxicity().fit(Rows.of_table(table, 1 << BITS), label, np.array([1 / shares[int(x)] for x in label]), swap)
 

@@ -47,7 +47,7 @@ def test_language_rejects_only_texts_without_language(stages):
     _, before, after = stages[1]
     gone = ids(before) - ids(after)
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    assert all(not re.search(r"[^\W\d_]", texts[i] or "") for i in gone)
+    assert all(not any(map(str.isalpha, texts[i] or "")) for i in gone)
 
 
 def test_one_document_of_each_group_stays(stages):
