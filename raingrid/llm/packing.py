@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import bounded, materialise
 
 CAPACITY, END = 2048, 0
-#: Words that one task keeps the ids of (twice so many for a time), and pieces of a numbering block as a mean.
-KEPT_WORDS, BLOCK_ROWS = 300_000, 20_000
+#: Words that one task keeps the ids of (twice so many for a time), and pieces of one length in a numbering block as a mean.
+KEPT_WORDS, BLOCK_ROWS = 300_000, 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that some notions of white space hold and others don't; texts with them go to the tokenizer whole.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
@@ -221,8 +221,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     pieces = materialise(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity), PIECES), "pieces")
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = plan_places(best_two_fit(lengths, capacity))
-    blocks = max(1, -(-sum(lengths.values()) // BLOCK_ROWS))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    # a length has as many blocks as its pieces ask for, so common lengths spread over tasks and rare ones are one block each
+    blocks = docs.sparkSession.createDataFrame([(k, -(-n // BLOCK_ROWS)) for k, n in lengths.items()], "length long, blocks long")  # at most `capacity` rows
+    pieces = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))).drop("blocks")
     starts = (
         pieces.groupBy("length", "block")
         .agg(F.count("*").alias("n"))

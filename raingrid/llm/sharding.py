@@ -146,8 +146,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     for level in maps:
         step = level.select("cell", "part", F.col("batch").alias("next"), "shard")
         where = where.join(bounded(step), ["cell", "part"]).select("digest", F.col("next").alias("cell"), F.col("shard").alias("part"))
+    # blocks by the rows' own numbers, so that rows that repeat one another spread too; written, so that they stay
     dealt = materialise(
-        rows.join(where.select("digest", F.col("part").alias("shard")), "digest").drop("digest").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(-(-n // (BLOCK_ROWS * shards)) or 1))),
+        rows.join(where.select("digest", F.col("part").alias("shard")), "digest").drop("digest").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-n // (BLOCK_ROWS * shards)) or 1))),
         "dealt",
     )
     counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("rows"))

@@ -83,7 +83,7 @@ def vocabulary_of(times: np.ndarray, toxic: np.ndarray, usual: float) -> tuple[n
     """Which places can have a weight, and which of them are identity terms, from the texts and the toxic texts that have each, and the share of toxic texts."""
     often = times >= LEAST_DOCS
     deviations = np.where(often, np.abs(toxic - times * usual) / np.sqrt(np.maximum(times * usual * (1 - usual), 1e-9)), 0.0)
-    known = deviations >= LEAST_DEVIATIONS
+    known = often & (deviations >= LEAST_DEVIATIONS)
     if known.sum() > MOST_FEATURES:
         known = np.zeros(len(times), bool)
         known[np.argsort(-deviations, kind="stable")[:MOST_FEATURES]] = True

@@ -165,6 +165,36 @@ def test_differencing_textbook():
     assert abs(sums[0] - sums[1]) == 2
 
 
+def plain_differencing(sizes, parts):
+    """Karmarkar-Karp by its definition: lists of sums with trailing zeros, the two of largest spread added in opposite order."""
+    held = [sorted([v] + [0] * (parts - 1), reverse=True) for v in sizes]
+    while len(held) > 1:
+        held.sort(key=lambda x: x[0] - x[-1])
+        a, b = held.pop(), held.pop()
+        held.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return held[0]
+
+
+@pytest.mark.parametrize("parts", [2, 3, 7])
+def test_differencing_against_its_definition(spark, parts):
+    rng = random.Random(40 + parts)
+    for _ in range(20):
+        sizes = rng.sample(range(1, 10**6), rng.randint(1, 40))  # distinct, so that spreads hardly tie
+        sums = [0] * parts
+        for v, (p,) in zip(sizes, sharding.differencing([[v] for v in sizes], parts), strict=True):
+            sums[p] += v
+        assert sorted(sums, reverse=True) == plain_differencing(sizes, parts)
+    # the operator over so few groups that they are one cell
+    rows = [(k, "x" * n) for k, n in enumerate(rng.sample(range(1, 5000), 30))] + [(100 + k, "twice") for k in range(2)]
+    sums = collections.Counter()
+    for r in sharding.shard_by_bytes(documents(spark, rows), parts).collect():
+        sums[r["shard"]] += r["size"]
+    groups = collections.Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 8
+    assert sorted((sums[k] for k in range(parts)), reverse=True) == plain_differencing(list(groups.values()), parts)
+
+
 # --- licences
 
 MIT = """The MIT License
@@ -635,6 +665,151 @@ def test_temperature_is_fitted():
     assert abs(model.temperature - 3) < 0.4
 
 
+def test_ftrl_against_a_plain_version():
+    """Each weight by the formulas of follow-the-regularised-leader, one number at a time."""
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(1, 3, 6)
+    model = language.LanguageModel(["a", "b", "c"], idf)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, k):
+        if abs(z[i, k]) <= language.L1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * language.L1) / ((language.BETA + n[i, k] ** 0.5) / language.ALPHA + language.L2)
+
+    for _ in range(60):
+        places = np.sort(rng.choice(6, rng.integers(1, 6), replace=False))
+        counts, label = rng.integers(1, 9, len(places)), int(rng.integers(3))
+        model.learn(places, counts, label)
+        x = {int(i): (1 + np.log(c)) * idf[i] for i, c in zip(places, counts, strict=True)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        x = {i: v / norm for i, v in x.items()} | {6: 1.0}
+        scores = [sum(weight(i, k) * v for i, v in x.items()) for k in range(3)]
+        p = np.exp(scores) / np.exp(scores).sum()
+        old = {(i, k): weight(i, k) for i in x for k in range(3)}
+        for i, v in x.items():
+            for k in range(3):
+                g = v * (p[k] - (k == label))
+                z[i, k] += g - ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / language.ALPHA * old[i, k]
+                n[i, k] += g * g
+    model.close()
+    assert np.allclose(model.w, [[weight(i, k) for k in range(3)] for i in range(7)]) and (model.w == 0).any() and (model.w != 0).any()
+
+
+def test_ngram_counts_against_a_plain_count():
+    import pyarrow as pa
+
+    from raingrid.llm import textkit
+
+    own = ["Aber", None, "", "ß☃x", words(200, 5), "aa" * 40, "b"] * 3
+    place = {}
+    for start, end, told, doc, at, count in textkit.ngram_counts(pa.array(own), (1, 2, 3), 15, lower=True):
+        assert told == [t or "" for t in own[start:end]]
+        for k in range(end - start):
+            text = (own[start + k] or "").lower()
+            want = collections.Counter(text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
+            got = dict(zip(at[doc == k].tolist(), count[doc == k].tolist(), strict=True))
+            # equal n-grams have one place, and the counts of a place are those of its n-grams
+            for gram in want:
+                if gram not in place:
+                    (_, _, _, _, one, c), *_ = textkit.ngram_counts(pa.array([gram]), (len(gram),), 15, lower=True)
+                    place[gram] = int(one[0])
+            by = collections.Counter()
+            for gram, n in want.items():
+                by[place[gram]] += n
+            assert got == dict(by)
+
+
+def test_only_unicode_letters_are_letters():
+    import pyarrow as pa
+
+    model = language.LanguageModel(["x"], np.ones(1 << language.BITS)).close()
+    names, scores = model.predict(pa.array(["²½", "Ⅷ①", "١٢", "_-!", "5 km", "ʰ", "中", None, ""]))
+    assert names == ["und"] * 4 + ["x"] * 3 + ["und"] * 2 and [s for s, n in zip(scores, names, strict=True) if n == "und"] == [0.0] * 6
+
+
+def slope(loss, at, step=1e-6):
+    """The gradient of a function of a vector, by central differences."""
+    out = np.zeros(len(at))
+    for k in range(len(at)):
+        e = np.zeros(len(at))
+        e[k] = step
+        out[k] = (loss(at + e) - loss(at - e)) / (2 * step)
+    return out
+
+
+def test_ordinal_fit_against_numerical_gradients(monkeypatch):
+    """The first steps of the fit, with the gradient of the plain weighted likelihood by differences."""
+    from raingrid.llm.sampling import Rows
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5)).astype(np.float32).astype(float)
+    grade, weight = rng.integers(0, 4, 40), rng.uniform(0.5, 2, 40)
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    model = quality.Ordinal(4, 5)
+    start = model.thresholds.copy()
+    model.fit(Rows.of_lists([np.arange(5)] * 40, list(x), 5), grade, weight)
+
+    def thresholds(s):
+        return s[0] + np.concatenate(([0], np.cumsum(np.exp(s[1:]))))
+
+    def loss(v):
+        t = np.concatenate(([-np.inf], thresholds(v[5:]), [np.inf]))
+        z = x @ v[:5]
+        p = 1 / (1 + np.exp(t[grade] - z)) - 1 / (1 + np.exp(t[grade + 1] - z))
+        return -(weight / weight.sum() * np.log(p)).sum() + quality.L2 / 2 * (v[:5] ** 2).sum()
+
+    v = np.concatenate((np.zeros(5), start[:1], np.log(np.diff(start))))
+    first, second = np.zeros(8), np.zeros(8)
+    for t in range(1, 5):
+        g = slope(loss, v)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        v = v - quality.RATE * np.where(np.arange(8) < 5, 4, 1) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(model.w, v[:5], atol=1e-4) and np.allclose(model.thresholds, thresholds(v[5:]), atol=1e-4)
+
+
+def test_toxicity_fit_against_numerical_gradients(monkeypatch):
+    """The first steps of the fit, with the gradient of the plain loss (with swapped texts written out) by differences."""
+    import pyarrow as pa
+
+    from raingrid.llm.sampling import Rows
+
+    texts = [f"{a} {b} {c}" for a in ("muslim", "jewish", "tree") for b in ("vile", "nice") for c in ("cat", "dog", "sun")]
+    label = np.array([int("vile" in t) for t in texts], float)
+    weight = np.linspace(1, 2, len(texts))
+    monkeypatch.setattr(toxicity, "ROUNDS", 3)
+    monkeypatch.setattr(toxicity, "LEAST_DEVIATIONS", 0.0)
+    rows = toxicity.features(pa.array(texts))
+    model = toxicity.Toxicity().fit(Rows.of_lists([p for p, _ in rows], [a for _, a in rows], 1 << toxicity.BITS), label, weight, swap=2.0)
+    kinds = {t: k[(i + 1) % len(k)] for k in toxicity.IDENTITY for i, t in enumerate(k)}
+    swapped = [" ".join(kinds.get(w, w) for w in t.split()) for t in texts]
+    often = collections.Counter(p for r, _ in rows for p in r.tolist())
+    other = toxicity.features(pa.array(swapped))
+    names = sorted({p for p, n in often.items() if n >= toxicity.LEAST_DOCS} | {int(p) for w in kinds if any(w in t.split() for t in texts) for q in (w, kinds[w]) for p in toxicity.features(pa.array([q]))[0][0]})
+
+    def dense(sets):
+        return np.array([[float(n in set(p.tolist())) for n in names] for p, _ in sets])
+
+    x, y = dense(rows), dense(other)
+    changed = np.array([a != b for a, b in zip(texts, swapped, strict=True)])
+    share = weight / weight.sum()
+
+    def loss(v):
+        z = x @ v[1:] + v[0]
+        return (share * (np.log1p(np.exp(z)) - label * z)).sum() + 2.0 * (weight * changed / (weight * changed).sum() * ((x - y) @ v[1:]) ** 2).sum()
+
+    v = np.concatenate(([np.log((share * label).sum() / (share * (1 - label)).sum())], np.zeros(len(names))))
+    squares = np.full(len(v), 1e-8)
+    for _ in range(3):
+        g = slope(loss, v, 1e-5)
+        squares += g * g
+        step = np.where(np.arange(len(v)) == 0, toxicity.RATE / 5, toxicity.RATE) / np.sqrt(squares)
+        v = v - step * g
+        v[1:] = np.sign(v[1:]) * np.maximum(np.abs(v[1:]) - step[1:] * toxicity.L1, 0)
+    assert np.allclose(model.w[names], v[1:], atol=1e-3) and abs(model.bias - v[0]) < 1e-3
+    assert np.count_nonzero(model.w) <= len(names)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []
