@@ -35,9 +35,11 @@ CHUNK_ROWS, SAMPLE_ROWS = 16_384, 16
 LEAST_WIDTH_ROWS = 2_048
 SUBSPACES, CODES = 8, 64
 #: Rows of a block of a group of lists, or of the queries of a group.
-BLOCK = 1_024
+BLOCK = 4_096
 #: Vectors of the largest label in a group of lists, as a mean.
-GROUP_ROWS = 512
+GROUP_ROWS = 2_048
+#: Pairs whose cosines are computed at once.
+PAIRS = 65_536
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -214,12 +216,19 @@ def _meet(indexes: dict[int, Index], least: float):
                 maybe = index.table_distances(x[q], at, codes[mem]) <= index.reach + lost[mem][None, :] + 1e-9
                 a, b = np.nonzero(maybe)
                 a, b = q[a], mem[b]
-                sure = (np.einsum("ij,ij->i", x[a], y[b]) >= least) & (mine[a] != ids[b])
+                sure = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", x[a[k : k + PAIRS]], y[b[k : k + PAIRS]]) >= least for k in range(0, len(a), PAIRS))])
+                sure &= mine[a] != ids[b]
                 a, b = a[sure], b[sure]
+                if not len(a):
+                    continue
                 np.add.at(counts, a, weight[b])
                 alone = ~reaches[b, seen_x[a]]
                 np.add.at(back, b[alone], my_weight[a[alone]])
-                for s, t in zip(mine[a].tolist(), ids[b].tolist(), strict=True):
+                # each query with the first it is linked with, and that one with the others, each pair once: they join the same
+                rest, new, place = np.unique(a, return_index=True, return_inverse=True)
+                pair = np.unique(b[new][place] * len(y) + b)
+                ends = np.stack((np.concatenate((mine[rest], ids[pair // len(y)])), np.concatenate((ids[b[new]], ids[pair % len(y)]))), axis=1)
+                for s, t in ends.tolist():
                     s, t = find(s), find(t)
                     if s != t:
                         root[s] = t
