@@ -26,9 +26,9 @@ def non_negative(v: Column) -> Column:
     return F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))
 
 
-def clip(v: Column, low: int, high: int) -> Column:
+def clip(v: Column, low: int | Column, high: int | Column) -> Column:
     """H6."""
-    return F.least(F.greatest(v, F.lit(low)), F.lit(high))
+    return F.least(F.greatest(v, low if isinstance(low, Column) else F.lit(low)), high if isinstance(high, Column) else F.lit(high))
 
 
 def epoch_seconds(name: str) -> Column:

@@ -55,6 +55,12 @@ def archive_complete(seen: DataFrame, expected: DataFrame, day: str) -> list[Dat
     ]
 
 
+def preflight(df: DataFrame, firsts: DataFrame, value: str, time: str) -> DataFrame:
+    """For each of ``firsts(month, time)`` the cells of that time that have the value, and whether there are any."""
+    own = df.join(firsts.select(time), time, "left_semi").groupBy(time).agg(F.count(value).alias("cells"))
+    return firsts.join(own, time, "left").select("month", time, F.coalesce("cells", F.lit(0)).alias("cells"), (F.coalesce("cells", F.lit(0)) > 0).alias("ok"))
+
+
 def report(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import HEAVY_THRESHOLDS, PATCH_THRESHOLDS, REGISTRIES, bin_of
 from ..functions.missing import ratio
+from ..sources.shared import bounded
 
 #: Histogram: lowest and highest finite edge and the number of bins (the last is open).
 LOW, HIGH, BINS = 1e-3, 300.0, 121
@@ -59,16 +60,18 @@ def hourly_maxima(df: DataFrame, support: Column, values: Sequence[str], time: s
 
 def exceedance_hours(maxima: DataFrame, values: Sequence[str], thresholds: Sequence[float] = HEAVY_THRESHOLDS) -> DataFrame:
     """Hours whose maximum is over each threshold."""
-    long = maxima.select(F.explode(F.array(*(F.struct(F.lit(v).alias("product"), F.col(f"max_{v}").alias("m")) for v in values))).alias("p")).select("p.*")
-    return long.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).groupBy("product", "threshold").agg(F.count_if(F.col("m") > F.col("threshold")).alias("hours"))
+    kinds = dict(maxima.dtypes)
+    counts = [F.struct(F.lit(v).alias("product"), F.lit(float(t)).alias("threshold"), F.count_if(F.col(f"max_{v}") > F.lit(float(t)).cast(kinds[f"max_{v}"])).alias("hours")) for v in values for t in thresholds]
+    return maxima.agg(F.array(*counts).alias("k")).select(F.inline("k"))
 
 
 def patch_exceedance(patches: DataFrame, values: DataFrame, patch: int, thresholds: Sequence[float] = PATCH_THRESHOLDS, time: str = "t") -> DataFrame:
     """For each epoch and for all together: patches chosen and those whose maximum is over each threshold.
 
-    ``patches(epoch, t, patch_y, patch_x)`` has one patch for each time and epoch; ``values(t, y, x, v)`` are supported cells.
+    ``patches(epoch, t, patch_y, patch_x)`` has one patch for each time and epoch, and is broadcast where a count shows it
+    to be small, so that cells outside leave before any shuffle; ``values(t, y, x, v)`` are supported cells.
     """
     inside = (F.col("y") >= F.col("patch_y")) & (F.col("y") < F.col("patch_y") + patch) & (F.col("x") >= F.col("patch_x")) & (F.col("x") < F.col("patch_x") + patch)
-    maxima = patches.join(values, time).filter(inside).groupBy("epoch", time).agg(F.max("v").alias("m"))
+    maxima = values.join(bounded(patches), time).filter(inside).groupBy("epoch", time).agg(F.max("v").alias("m"))
     every = patches.select("epoch", time).join(maxima, ["epoch", time], "left")
     return every.rollup("epoch").agg(F.count("*").alias("eligible_patches"), *(F.count_if(F.col("m") > t).alias(f"max_gt_{t:g}") for t in thresholds)).withColumn("epoch", F.coalesce(F.col("epoch").cast("string"), F.lit("all")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import log_amount
+
 
 def tiles(df: DataFrame, value: str, core: int, halo: int, height: int, width: int, time: str = "t") -> DataFrame:
     """``(t, tile_y, tile_x, cells)``: each cell goes to its own tile and to those whose halo covers it.
@@ -64,3 +66,20 @@ def to_tiles(df: DataFrame, value: str, size: int, time: str = "t") -> DataFrame
 def from_tiles(tiled: DataFrame, value: str, time: str = "t") -> DataFrame:
     """Tile to long layout."""
     return tiled.select(time, F.explode("cells").alias("c")).select(time, "c.y", "c.x", F.col("c.v").alias(value))
+
+
+def training_patches(patches: DataFrame, cells: DataFrame, coarse: str, target: str, support: str, size: int, time: str = "t") -> DataFrame:
+    """For each patch ``(epoch, t, patch_y, patch_x)`` arrays of its cells in row order: ``input`` (log amounts), ``available``, ``mask`` and ``amount`` (mm, not below 0).
+
+    What is missing or beyond the grid is 0. Cells meet the patches' own places by equality, so nothing outside is kept.
+    """
+    places = patches.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    places = places.withColumns({"y": F.col("patch_y") + F.col("dy"), "x": F.col("patch_x") + F.col("dx")})
+    zero = F.lit(0.0)
+    row = F.struct(
+        "dy", "dx", F.coalesce(log_amount(F.col(coarse)), zero).cast("float").alias("input"), F.col(coarse).isNotNull().cast("int").alias("available"),
+        F.coalesce(F.col(support), F.lit(False)).cast("int").alias("mask"), F.coalesce(F.greatest(F.col(target), zero), zero).cast("float").alias("amount"),
+    )
+    keys = ["epoch", time, "patch_y", "patch_x"]
+    own = places.join(cells.select(time, "y", "x", coarse, target, support), [time, "y", "x"], "left").groupBy(keys).agg(F.sort_array(F.collect_list(row)).alias("_r"))
+    return own.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in ("input", "available", "mask", "amount")))

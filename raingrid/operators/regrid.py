@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import strict_weighted_sum
 from ..functions.scalar import bilinear_weights, clip
+from ..sources.shared import bounded
 
 
 def axis_place(value: Column, first: float, step: float, n: int) -> tuple[Column, Column]:
@@ -16,6 +16,23 @@ def axis_place(value: Column, first: float, step: float, n: int) -> tuple[Column
     return index, place - index
 
 
+def axis_step(axis: DataFrame, index: str, value: str) -> DataFrame:
+    """One row: the median difference of neighbouring points of an axis (E8). An axis is short: one window."""
+    steps = axis.select((F.col(value) - F.lag(value).over(Window.orderBy(index))).alias("d"))
+    return steps.agg(F.median("d").alias("step"))
+
+
+def axis_lookup(df: DataFrame, value: str, axis: DataFrame, index: str, point: str) -> DataFrame:
+    """``df`` with the index of the point at or below a value on an ascending axis of any steps, at most the last but one, and the fraction beyond it (C4).
+
+    The axis, of a few hundred points, is one row of an array, which is broadcast.
+    """
+    points = axis.agg(F.transform(F.sort_array(F.collect_list(F.struct(index, point))), lambda s: s[point].cast("double")).alias("_a"))
+    at = clip(F.size(F.filter("_a", lambda p: p <= F.col(value))) - 1, 0, F.size("_a") - 2)
+    low, high = (F.try_element_at("_a", F.col("place") + k) for k in (1, 2))
+    return df.crossJoin(F.broadcast(points)).withColumn("place", F.when(F.col(value).isNotNull(), at)).withColumn("beyond", (F.col(value) - low) / (high - low)).drop("_a")
+
+
 def bilinear_map(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], overlap: Column) -> DataFrame:
     """For each fine cell ``(y, x, lat, lon)`` four rows ``(corner, i, j, w)`` with the overlap mask (K7): arithmetic, no join."""
     i, fy = axis_place(F.col("lat"), *lat)
@@ -24,28 +41,40 @@ def bilinear_map(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[flo
     return cells.select("y", "x", overlap.alias("overlap"), F.explode(F.array(*corners)).alias("c")).select("y", "x", "overlap", "c.*")
 
 
-def regrid_bilinear(coarse: DataFrame, mapping: DataFrame, time: str = "t", value: str = "v") -> DataFrame:
-    """The coarse field at each fine cell of the overlap; missing if a corner is, even one of weight 0 (C7, Z-2).
+#: A map is cut into so many chunks, the keys by which it meets the fields.
+CHUNKS = 64
 
-    ``mapping`` is one grid; Spark broadcasts it if it is below its threshold, else joins by corner index.
-    """
-    return (
-        coarse.select(time, "i", "j", F.col(value).alias("_v"))
-        .join(mapping.filter("overlap"), ["i", "j"])
-        .groupBy(time, "y", "x")
-        .agg(strict_weighted_sum("w", "_v", 4).alias(value))
-    )
 
+def _corners(coarse: DataFrame, mapping: DataFrame, width: int | None, time: str, value: str) -> DataFrame:
+    """For each time and fine cell of the overlap an array ``_p`` of its corners' ``(w, v)``.
 
-def bilinear_mask(coarse: DataFrame, mapping: DataFrame, time: str = "t", value: str = "v") -> DataFrame:
+    A time's coarse field is one array of its cells by ``i * width + j``, and a fine cell one row with its four corners, so
+    that nothing is shuffled by fine cell: every field meets every chunk of the map, which is broadcast where a count shows
+    that it is small.
+    """
+    if width is None:
+        width = int(coarse.agg(F.max("j")).first()[0] or 0) + 1
+    place = F.col("i") * width + F.col("j")
+    own = coarse.groupBy(time).agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col(value).cast("double").alias("v")))).alias("_s"))
+    last = F.element_at("_s", -1)["k"]
+    whole = F.when(F.size("_s") == last + 1, F.col("_s.v")).otherwise(F.transform(F.sequence(F.lit(0).cast(dict(coarse.dtypes)["i"]), last), lambda k: F.try_element_at(F.map_from_entries("_s"), k)))
+    fields = own.select(time, whole.alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("_chunk"))
+    cells = mapping.filter("overlap").groupBy("y", "x").agg(F.collect_list(F.struct(place.cast("int").alias("k"), F.col("w").alias("w"))).alias("_c"))
+    cells = cells.withColumn("_chunk", F.pmod(F.hash("y", "x"), F.lit(CHUNKS)))
+    pairs = fields.join(bounded(cells, 256 << 20), "_chunk")
+    return pairs.select(time, "y", "x", F.transform("_c", lambda c: F.struct(c["w"].alias("w"), F.get("_f", c["k"]).alias("v"))).alias("_p"))
+
+
+def regrid_bilinear(coarse: DataFrame, mapping: DataFrame, width: int | None = None, time: str = "t", value: str = "v") -> DataFrame:
+    """The coarse field (rows of ``width`` cells, counted where it isn't given) at each fine cell of the overlap; missing if a corner is, even one of weight 0 (C7, Z-2)."""
+    total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["w"] * p["v"])  # NULL if a part is
+    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", F.when(F.size("_p") == 4, total).alias(value))
+
+
+def bilinear_mask(coarse: DataFrame, mapping: DataFrame, width: int | None = None, time: str = "t", value: str = "v") -> DataFrame:
     """Where ``regrid_bilinear`` gives a value, without computing it."""
-    both = F.when(F.col("_v").isNotNull() & F.col("w").isNotNull(), 1)
-    return (
-        coarse.select(time, "i", "j", F.col(value).alias("_v"))
-        .join(mapping.filter("overlap"), ["i", "j"])
-        .groupBy(time, "y", "x")
-        .agg((F.count(both) == 4).alias("valid"))
-    )
+    seen = F.forall("_p", lambda p: p["w"].isNotNull() & p["v"].isNotNull())
+    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", ((F.size("_p") == 4) & seen).alias("valid"))
 
 
 def overlap_lengths(spark, fine: int, coarse: int, fine_name: str, coarse_name: str) -> DataFrame:

@@ -16,11 +16,18 @@ def hash_key(seed: int, *names: str) -> Column:
 
 def pixel_sample(df: DataFrame, seed: int, time: str = "t", most: int = 2048, least: int = 128, share: int = 1024, fixed: int | None = None) -> DataFrame:
     """Of each time min(n, most, max(least, n // share)) cells, or ``fixed`` of them, by hash order."""
-    w = Window.partitionBy(time)
-    order = w.orderBy(hash_key(seed, time, "y", "x"), "y", "x")
-    n = F.count("*").over(w)
-    k = F.lit(fixed) if fixed is not None else F.least(n, F.lit(most), F.greatest(F.lit(least), F.floor(n / share)))
-    return df.withColumn("_k", k).withColumn("_r", F.row_number().over(order)).filter("_r <= _k").drop("_k", "_r")
+    if fixed is not None:
+        most = fixed
+    # cells of each time are counted first; then only those whose hash is small enough to be among the first are sorted: twice as
+    # many as are wanted and 64 more on average, all of them where a time has few (so that one that falls short has no more)
+    n = df.groupBy(time).agg(F.count("*").alias("_n"))
+    k = F.lit(fixed) if fixed is not None else F.least(F.col("_n"), F.lit(most), F.greatest(F.lit(least), F.floor(F.col("_n") / share)))
+    counted = df.join(n, time).withColumns({"_k": k, "_h": hash_key(seed, time, "y", "x")})
+    near = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.col("_n") < (2 * F.col("_k") + 64) * F.lit(1 << 32)
+    order = Window.partitionBy(time).orderBy("_h", "y", "x")
+    ranked = counted.filter(near).withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy(time)))
+    enough = F.when(F.col("_m") >= F.least("_k", "_n"), F.col("_r") <= F.col("_k")).otherwise(F.raise_error("a sample's hash share was too small").cast("boolean"))
+    return ranked.filter(enough).select(*df.columns)
 
 
 def qc_sample(times: DataFrame, seed: int, size: int, time: str, month: str) -> DataFrame:
@@ -56,14 +63,14 @@ def typical_hours(stats: DataFrame, time: str = "t") -> DataFrame:
     """A dry hour, hours nearest to the 25th, 50th and 90th percentile of wet maxima, and the peak.
 
     ``stats(t, cells, max, wet_fraction)``. Dry: of hours with maximum at most 0 the one with most cells; if
-    there is none, the smallest wet share. Ties go to the earliest hour; labels of one hour are joined.
+    there is none, the smallest wet share, as ``driest_available``. Ties go to the earliest hour; labels of one hour are joined.
     """
     wet = stats.filter("max > 0")
     levels = wet.agg(F.percentile("max", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q"))
     dry = stats.agg(
         F.min(F.when(F.col("max") <= 0, F.struct((-F.col("cells")).alias("a"), F.col(time).alias("b")))).alias("dry"),
         F.min(F.struct(F.col("wet_fraction").alias("a"), F.col(time).alias("b"))).alias("least"),
-    ).select(F.lit("dry").alias("label"), F.coalesce("dry.b", "least.b").alias(time), F.lit(0).alias("place"))
+    ).select(F.when(F.col("dry").isNotNull(), "dry").otherwise("driest_available").alias("label"), F.coalesce("dry.b", "least.b").alias(time), F.lit(0).alias("place"))
     near = wet.crossJoin(F.broadcast(levels)).agg(
         *(F.min(F.struct(F.abs(F.col("max") - F.col("q")[k]).alias("a"), F.col(time).alias("b"))).alias(f"k{k}") for k in range(3)), F.min(F.struct((-F.col("max")).alias("a"), F.col(time).alias("b"))).alias("k3")
     )

@@ -34,10 +34,27 @@ def in_split(df: DataFrame, splits: DataFrame, name: str, time: str = "t") -> Da
 
 
 def classify(df: DataFrame, splits: DataFrame, time: str = "t") -> DataFrame:
-    """Rows with their split, or ``unclassified``."""
-    return df.join(splits.select(time, "split"), time, "left").withColumn("split", F.coalesce("split", F.lit("unclassified")))
+    """Rows with their split, or ``unclassified``; fails if a time is in more than one split."""
+    fault = F.raise_error(F.concat(F.lit("in several splits: "), F.col(time).cast("string"))).cast("string")
+    own = splits.groupBy(time).agg(F.min("split").alias("split"), F.max("split").alias("_last")).select(time, F.when(F.col("split") == F.col("_last"), F.col("split")).otherwise(fault).alias("split"))
+    return df.join(own, time, "left").withColumn("split", F.coalesce("split", F.lit("unclassified")))
 
 
 def overlap_of_splits(splits: DataFrame) -> DataFrame:
     """Dates that are in more than one split (G2): none, if all is well."""
     return splits.groupBy("date_utc").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+
+
+def split_coverage(df: DataFrame, splits: DataFrame, time: str = "t") -> DataFrame:
+    """For each split the times it has, those of ``df`` that are in it, those it lacks, and, in a row ``unclassified``, those in no split."""
+    found = df.select(time).distinct().withColumn("found", F.lit(1))
+    own = splits.select(time, "split").join(found, time, "full").withColumn("split", F.coalesce("split", F.lit("unclassified")))
+    return own.groupBy("split").agg(
+        F.count_if(F.col("split") != "unclassified").alias("expected"), F.count("found").alias("found"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("split") == "unclassified").alias("unexpected")
+    )
+
+
+def require_coverage(coverage: DataFrame, name: str) -> DataFrame:
+    """The row of one split; its evaluation fails if the split isn't covered whole."""
+    fault = F.raise_error(F.concat(F.lit(f"partial split {name}: missing "), F.col("missing").cast("string"))).cast("long")
+    return coverage.filter(F.col("split") == name).withColumn("found", F.when(F.col("missing") > 0, fault).otherwise(F.col("found")))

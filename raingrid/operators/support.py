@@ -69,3 +69,22 @@ def mask_digests(df: DataFrame, time: str, support: Column) -> DataFrame:
     """For each time a digest of its supported cells (D29): equal masks have equal digests. Packing by row keeps strings short."""
     rows = df.filter(support).groupBy(time, "y").agg(F.array_join(F.sort_array(F.collect_set("x")), ",").alias("row"))
     return rows.groupBy(time).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "row"))), lambda r: F.concat(r["y"].cast("string"), F.lit(":"), r["row"])), ";"), 256).alias("mask_digest"))
+
+
+def time_digest(time: str) -> Column:
+    """Aggregate: ``timestamp_digest`` in Spark, for each group (D28). A group's times are a few thousand at most."""
+    digits = lambda t: F.lpad(F.hex(t), 16, "0")
+    turned = lambda t: F.concat(*(F.substring(digits(t), 15 - 2 * k, 2) for k in range(8)))
+    return F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_set(time)), turned), "")), 256)
+
+
+def run_digests(df: DataFrame, time: str, support: Column) -> DataFrame:
+    """One row: cells, times and masks of a run, the latter two as digests."""
+    masks = mask_digests(df, time, support).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(time, "mask_digest"))), lambda s: s["mask_digest"]), ""), 256).alias("masks"))
+    return df.filter(support).agg(F.count("*").alias("cells"), time_digest(time).alias("times")).crossJoin(masks)
+
+
+def paired_report(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two runs (``run_digests``) were on equally many cells, the same times and the same masks."""
+    other = b.select(*(F.col(c).alias(f"_{c}") for c in ("cells", "times", "masks")))
+    return a.crossJoin(F.broadcast(other)).select("cells", *((F.col(c) == F.col(f"_{c}")).alias(f"same_{c}") for c in ("cells", "times", "masks")))

@@ -40,10 +40,14 @@ def centred_mean(days: DataFrame, order: str, value: str, width: int, out: str =
     return days.withColumn(out, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
 
 
-def cadence_gaps(times: DataFrame, time: str, step: int, part: list[str]) -> DataFrame:
-    """Times whose distance from the one before in their part is not ``step``, with it."""
-    w = Window.partitionBy(*part).orderBy(time)
-    return times.select(*part, time).withColumn("gap", F.col(time) - F.lag(time).over(w)).filter(F.col("gap") != step)
+def cadence_gaps(times: DataFrame, time: str, step: int, part: list[str], place: str | None = None) -> DataFrame:
+    """Times whose distance from the one before in their part is not ``step``, with it.
+
+    The one before is that in the order of ``place``, the order in which a file has them, so that a step back shows as a
+    distance of 0 or less; without a place, that in time.
+    """
+    w = Window.partitionBy(*part).orderBy(place or time)
+    return times.select(*part, time, (F.col(time) - F.lag(time).over(w)).alias("gap")).filter(F.col("gap") != step)
 
 
 def missing_steps(times: DataFrame, time: str, step: int) -> DataFrame:
@@ -63,3 +67,11 @@ def same_axis(a: DataFrame, b: DataFrame, time: str) -> DataFrame:
 def hourly_area_means(df: DataFrame, time: str, a: str, b: str) -> DataFrame:
     """Means of both fields over the cells that both have, by hour; hours without such a cell are left out."""
     return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(time).agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.count("*").alias("cells"))
+
+
+def read_fields(aligned: DataFrame, other: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
+    """Cells of two tables by time and place (A21, C1, C2); fails if one has a time that the other lacks."""
+    lost = same_axis(aligned, other, time)
+    fault = F.raise_error(F.concat(F.lit("time axes differ: "), F.col("only_a").cast("string"), F.lit(" and "), F.col("only_b").cast("string"), F.lit(" times are on one side alone"))).cast("long")
+    check = lost.select(F.when(F.col("only_a") + F.col("only_b") > 0, fault).otherwise(F.lit(0)).alias("_lost"))
+    return aligned.join(other, [time, *keys]).crossJoin(F.broadcast(check)).filter("_lost = 0").drop("_lost")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import EVENT_THRESHOLDS, REGISTRIES, bin_of, event
@@ -14,7 +14,7 @@ from ..functions.scalar import log_amount
 
 def point_aggregates(target: str, estimate: str, time: str | None = None) -> list[Column]:
     """n, hours, MAE, RMSE and bias (estimate less truth) of rows on the support."""
-    e = F.col(estimate) - F.col(target)
+    e = F.col(estimate).cast("double") - F.col(target).cast("double")
     out = [F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias")]
     return out + ([F.count_distinct(F.when(e.isNotNull(), F.col(time))).alias("valid_hours")] if time else [])
 
@@ -35,26 +35,31 @@ def point_metrics(df: DataFrame, support: Column, target: str, estimate: str, by
 
 
 def event_scores(df: DataFrame, support: Column, target: str, estimates: Sequence[str], thresholds: Sequence[float] = EVENT_THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
-    """A row for each method and threshold (D3, D4): cells are expanded by both, then aggregated on the map side."""
-    long = methods(df.filter(support), target, estimates, by).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    o, f = F.col(target) >= F.col("threshold"), F.col("estimate") >= F.col("threshold")
-    hits, false, missed = F.count_if(o & f), F.count_if(~o & f), F.count_if(o & ~f)
-    return long.groupBy(*by, "method", "threshold").agg(
-        hits.alias("hits"), false.alias("false_alarms"), missed.alias("misses"), ratio(hits, hits + false + missed).alias("csi"),
-        (1 - ratio(F.count_if(o != f), F.count_if(o) + F.count_if(f))).alias("fss"),
-    )
+    """A row for each method and threshold (D3, D4): counts of all of them side by side in one row, turned into rows after the aggregation. Values are compared in their own type (Z-3)."""
+    kinds = dict(df.dtypes)
+    at = lambda c, t: F.col(c) >= F.lit(float(t)).cast(kinds[c])
+    keys = [(m, t) for m in estimates for t in thresholds]
+    counts = [
+        F.struct(F.lit(m).alias("method"), F.lit(float(t)).alias("threshold"), F.count_if(at(target, t) & at(m, t)).alias("hits"), F.count_if(~at(target, t) & at(m, t)).alias("false_alarms"), F.count_if(at(target, t) & ~at(m, t)).alias("misses"))
+        for m, t in keys
+    ]
+    own = df.filter(support).groupBy(*by).agg(F.array(*counts).alias("k")).select(*by, F.inline("k"))
+    hits, wrong = F.col("hits"), F.col("false_alarms") + F.col("misses")
+    return own.withColumns({"csi": ratio(hits, hits + wrong), "fss": 1 - ratio(wrong, 2 * hits + wrong)})
 
 
 def methods(df: DataFrame, target: str, estimates: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form: a row for each cell and method."""
-    return df.select(*keep, target, F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("estimate")) for m in estimates))).alias("m")).select(*keep, target, "m.method", "m.estimate")
+    """Long form: a row for each cell and method, in the methods' own type if it is one."""
+    kinds = {dict(df.dtypes)[m] for m in estimates}
+    kind = "float" if kinds == {"float"} else "double"
+    return df.select(*keep, target, F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).cast(kind).alias("estimate")) for m in estimates))).alias("m")).select(*keep, target, "m.method", "m.estimate")
 
 
 def strata(df: DataFrame, support: Column, registry: str, target: str, estimates: Sequence[str]) -> DataFrame:
     """Errors by bin of the truth and method; empty bins are there with n = 0 and NULL scores (D8, D9, Z-15)."""
     spark = df.sparkSession
     spine = spark.createDataFrame([(k, label, m) for k, (label, _) in enumerate(REGISTRIES[registry]) for m in estimates], "bin int, bin_label string, method string")
-    e = F.col("estimate") - F.col(target)
+    e = F.col("estimate").cast("double") - F.col(target).cast("double")
     scores = methods(df.filter(support), target, estimates).withColumn("bin_label", bin_of(registry, target)).groupBy("bin_label", "method").agg(
         F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias")
     )
@@ -67,12 +72,12 @@ def distribution(df: DataFrame, support: Column, value: str, by: Sequence[str] =
     Quantiles are exact over the rows given (a sample by F6 bounds them); ``accuracy`` asks for Spark's
     sketch instead, which stays small at any size.
     """
-    v = F.col(value)
+    v, kind = F.col(value), dict(df.dtypes)[value]  # exceedance is told in the values' own type (Z-3)
     quantiles = F.percentile(value, F.array(*(F.lit(q) for q in levels))) if accuracy is None else F.percentile_approx(value, list(levels), accuracy)
     out = df.filter(support).groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"),
         F.avg((v > 0).cast("double")).alias("wet_fraction"),
-        *(F.avg((v > F.lit(t)).cast("double")).alias(f"fraction_gt_{str(t).replace('.', '_').removesuffix('_0')}") for t in EVENT_THRESHOLDS),
+        *(F.avg((v > F.lit(t).cast(kind)).cast("double")).alias(f"fraction_gt_{str(t).replace('.', '_').removesuffix('_0')}") for t in EVENT_THRESHOLDS),
         quantiles.alias("q"),
     )
     names = [f"p{str(round(100 * q, 3)).removesuffix('.0').replace('.', '_')}" for q in levels]
@@ -111,3 +116,51 @@ def mae_winner(a: Column, b: Column, name_a: str, name_b: str) -> Column:
 def stat_ranges(stats: DataFrame, names: Sequence[str]) -> DataFrame:
     """Least and largest of each statistic over the hours looked at."""
     return stats.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)))
+
+
+def overall_metrics(df: DataFrame, support: Column, target: str, estimates: Sequence[str], time: str) -> DataFrame:
+    """A row of point metrics for each method from one pass; fails if a method lacks a value on the support."""
+    per = []
+    for m in estimates:
+        lost = F.count_if(F.col(m).isNull())
+        n = F.when(lost > 0, F.raise_error(F.concat(lost.cast("string"), F.lit(f" non-finite values of {m} on common support"))).cast("long"))
+        aggregates = point_aggregates(target, m)
+        per.append(F.struct(F.lit(m).alias("method"), F.coalesce(n, F.count("*")).alias("n"), *aggregates[1:]))
+    # hours by a set of times a task, not by a second copy of every row
+    own = df.filter(support).agg(F.array(*per).alias("k"), F.size(F.collect_set(time)).cast("long").alias("valid_hours"))
+    return own.select(F.inline("k"), "valid_hours").select("method", "n", "mae", "rmse", "bias", "valid_hours")
+
+
+def validation_stats(df: DataFrame, support: Column, registry: str, target: str, estimate: str, epoch: str, threshold: float = 1.0, levels: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """For each epoch and bin of the truth: errors, statistics and exact percentiles of predictions, and CSI."""
+    e = F.col(estimate).cast("double") - F.col(target).cast("double")
+    out = df.filter(support).groupBy(epoch, bin_of(registry, target).alias("bin_label")).agg(
+        F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(estimate).alias("mean"), F.stddev_pop(estimate).alias("std"), F.max(estimate).alias("max"),
+        F.percentile(estimate, F.array(*(F.lit(q) for q in levels))).alias("q"), *event_aggregates(target, estimate, threshold)[:4],
+    )
+    names = [f"p{100 * q:g}" for q in levels]
+    return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+
+
+def loss_agrees(batches: DataFrame, loss: str, n: str, whole: DataFrame, metric: str, relative: float = 1e-5, absolute: float = 1e-7) -> DataFrame:
+    """One row: the loss put together from batches, the metric of all cells, and whether they agree."""
+    own = batches.agg((F.sum(F.col(loss) * F.col(n)) / F.greatest(F.sum(n), F.lit(1))).alias("loss"))
+    both = own.crossJoin(F.broadcast(whole.select(F.col(metric).alias("metric"))))
+    return both.withColumn("ok", F.coalesce(F.abs(F.col("loss") - F.col("metric")) <= absolute + relative * F.abs("metric"), F.lit(False)))
+
+
+def early_stopping(losses: DataFrame, order: str, loss: str, patience: int) -> DataFrame:
+    """For each epoch the best loss before it, whether it improved on that (strictly; a missing loss doesn't), epochs since the last that did, and whether to stop.
+
+    One row an epoch goes through one window.
+    """
+    before, until = (Window.orderBy(order).rowsBetween(Window.unboundedPreceding, k) for k in (-1, 0))
+    own = losses.select(order, loss, F.row_number().over(Window.orderBy(order)).alias("epoch"), F.min(loss).over(before).alias("best_before"))
+    own = own.withColumn("improved", F.coalesce(F.col(loss) < F.coalesce("best_before", F.lit(float("inf"))), F.lit(False)))
+    since = F.col("epoch") - F.coalesce(F.max(F.when(F.col("improved"), F.col("epoch"))).over(until), F.lit(0))
+    return own.withColumn("epochs_since", since).withColumn("stop", F.col("epochs_since") >= patience)
+
+
+def bin_counts(df: DataFrame, x: str, y: str, width_x: float, width_y: float) -> DataFrame:
+    """Counts of pairs in cells of a plane (M2); pairs with a missing value are in none."""
+    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.floor(F.col(x) / width_x).alias("bin_x"), F.floor(F.col(y) / width_y).alias("bin_y")).agg(F.count("*").alias("n"))

@@ -103,9 +103,10 @@ k AS (SELECT date_utc, row_number() OVER (ORDER BY date_utc) AS k, count(*) OVER
 sp AS (SELECT t, date_utc, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM d JOIN k USING (date_utc))"""
 
 LEVELS = "list_transform(range(129), lambda q: q / 128.0)"
-QMAP = f"""{G}, tr AS (SELECT quantile_cont(est, [{', '.join(repr(k / 128) for k in range(129))}]) AS a, quantile_cont(truth, [{', '.join(repr(k / 128) for k in range(129))}]) AS b FROM c WHERE t % 4 <> 0),
+QMAP = f"""{G}, sm AS (SELECT est, truth FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5(concat_ws(':', '11', t, y, x)), y, x) AS r FROM c WHERE t % 4 <> 0) WHERE r <= 32),
+tr AS (SELECT quantile_cont(est, [{', '.join(repr(k / 128) for k in range(129))}]) AS a, quantile_cont(truth, [{', '.join(repr(k / 128) for k in range(129))}]) AS b FROM sm),
 pr AS (SELECT unnest(a) AS src, unnest(b) AS dst FROM tr),
-kn AS (SELECT src, max(avg(dst)) OVER (ORDER BY src) AS dst FROM pr GROUP BY src),
+kn AS (SELECT src, max(avg(greatest(dst, 0))) OVER (ORDER BY src) AS dst FROM pr GROUP BY src),
 br AS (SELECT src AS x0, dst AS y0, lead(src) OVER (ORDER BY src) AS x1, lead(dst) OVER (ORDER BY src) AS y1, min(src) OVER () AS lo, arg_min(dst, src) OVER () AS dlo FROM kn),
 mp AS (SELECT c.t, c.y, c.x, c.truth, c.est,
   greatest(CASE WHEN est <= (SELECT min(src) FROM kn) THEN (SELECT arg_min(dst, src) FROM kn) WHEN est >= (SELECT max(src) FROM kn) THEN (SELECT arg_max(dst, src) FROM kn)
@@ -127,7 +128,7 @@ ORACLES: dict[str, str] = {
     "centred_rolling_mean": f"""{DAILY} SELECT day, {R('daily_mean')}, valid_hours,
 CASE WHEN count(daily_mean) OVER w = 7 THEN round(avg(daily_mean) OVER w, 6) END AS centred_mean FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
     "cadence_gaps": f"""WITH {series_sql(300)}, m AS (SELECT strftime(make_timestamp(t * 1000000), '%Y_%m') AS month, t FROM s),
-q AS (SELECT month, t, t - lag(t) OVER (PARTITION BY month ORDER BY t) AS gap FROM m) SELECT month, t, gap FROM q WHERE gap <> 300""",
+q AS (SELECT month, t, t - lag(t) OVER (PARTITION BY month ORDER BY CASE WHEN t // 300 % 50 = 0 THEN t + 4600 ELSE t END) AS gap FROM m) SELECT month, t, gap FROM q WHERE gap <> 300""",
     "missing_steps": f"WITH {series_sql(300)} SELECT unnest(range(min(t), max(t) + 300, 300)) AS t FROM s EXCEPT SELECT t FROM s",
     "time_axis_parity": f"""WITH {series_sql(300)}, b AS (SELECT t FROM s WHERE v < 250)
 SELECT (SELECT count(*) FROM (SELECT t FROM s EXCEPT SELECT t FROM b)) AS only_a, (SELECT count(*) FROM (SELECT t FROM b EXCEPT SELECT t FROM s)) AS only_b""",
@@ -189,7 +190,7 @@ SELECT coalesce(CAST(epoch AS VARCHAR), 'all') AS epoch, count(*) AS eligible_pa
 SELECT t, y, x, round(truth, 6) AS truth FROM r WHERE r <= least(n, 16, greatest(4, n // 5))""",
     "qc_sample": f"""WITH {ORDER_HOURS}, h AS (SELECT month, t, md5(concat_ws(':', '20260927', t)) AS h FROM om), f AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY h, t) = 1 AS picked FROM h)
 SELECT month, t, CASE WHEN picked THEN 'month' ELSE 'fill' END AS reason FROM f ORDER BY NOT picked, h, t LIMIT 100""",
-    "epoch_order": f"WITH {series_sql(1800)} SELECT t FROM s ORDER BY md5(concat_ws(':', '1007', t)), t LIMIT 20",
+    "epoch_order": f"WITH {series_sql(1800)} SELECT t FROM s ORDER BY md5(concat_ws(':', '1007', t)), t",
     "epoch_order_all": f"WITH {series_sql(1800)} SELECT row_number() OVER (ORDER BY md5(concat_ws(':', '1007', t)), t) - 1 AS place, t FROM s",
     "chronological_splits": f"{SPLITS} SELECT t, date_utc, split FROM sp",
     "split_checks": f"""{SPLITS} SELECT split, count(*) AS hours, count(DISTINCT date_utc) AS days, min(t) AS first, max(t) AS last,
@@ -204,7 +205,7 @@ SELECT coalesce(split, 'unclassified') AS split, count(*) AS steps FROM s LEFT J
     "quantile_map_delta": f"{QMAP} SELECT round(avg(abs(mapped - truth)) - avg(abs(est - truth)), 6) AS delta_mae, round(avg(mapped - truth), 6) AS bias_mapped FROM mp",
     "typical_hours": f"""{G}, st AS (SELECT t, count(*) AS cells, max(truth) AS m, avg((truth > 0.1)::INT) AS wet FROM c GROUP BY t), w AS (SELECT * FROM st WHERE m > 0),
 q AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.5) AS b, quantile_cont(m, 0.9) AS d FROM w),
-p AS (SELECT 0 AS place, 'dry' AS label, coalesce((SELECT t FROM st WHERE m <= 0 ORDER BY cells DESC, t LIMIT 1), (SELECT t FROM st ORDER BY wet, t LIMIT 1)) AS t
+p AS (SELECT 0 AS place, CASE WHEN EXISTS (SELECT 1 FROM st WHERE m <= 0) THEN 'dry' ELSE 'driest_available' END AS label, coalesce((SELECT t FROM st WHERE m <= 0 ORDER BY cells DESC, t LIMIT 1), (SELECT t FROM st ORDER BY wet, t LIMIT 1)) AS t
 UNION ALL SELECT 1, 'wet_p25', (SELECT t FROM w, q ORDER BY abs(m - a), t LIMIT 1) UNION ALL SELECT 2, 'wet_p50', (SELECT t FROM w, q ORDER BY abs(m - b), t LIMIT 1)
 UNION ALL SELECT 3, 'wet_p90', (SELECT t FROM w, q ORDER BY abs(m - d), t LIMIT 1) UNION ALL SELECT 4, 'peak', (SELECT t FROM w ORDER BY m DESC, t LIMIT 1))
 SELECT t, string_agg(label, '+' ORDER BY place) AS labels FROM p GROUP BY t""",
@@ -215,24 +216,69 @@ count(DISTINCT day) = max(day(last_day(day))) AS complete FROM om GROUP BY month
     "projection_inverse": """WITH p AS (SELECT p_partkey, (p_partkey % 900 - 450) * 1000.0::DOUBLE AS px, -(p_partkey % 1100) * 1000.0::DOUBLE - 3600000 AS py FROM part),
 q AS (SELECT p_partkey, 10 + degrees(atan2(px, -py)) AS lon, 90 - 2 * degrees(atan(sqrt(px * px + py * py) / (2 * 6370040::DOUBLE * 0.9330127019::DOUBLE))) AS lat FROM p)
 SELECT p_partkey, round(lon, 6) + 0.0 AS lon, round(lat, 6) AS lat, round(((lon + 350 + 180) - 360 * floor((lon + 350 + 180) / 360)) - 180, 6) + 0.0 AS wrapped FROM q""",
-    "unit_scale": "SELECT 1000.0::DOUBLE AS scale, true AS accepted",
+    "unit_scale": """WITH p AS (SELECT (p_partkey % 900 - 450)::DOUBLE AS px, -(p_partkey % 1100)::DOUBLE - 3600 AS py FROM part),
+inv AS (SELECT px, py, s, 10 + degrees(atan2(px * s, -py * s)) AS lon, 90 - 2 * degrees(atan(sqrt(px * px + py * py) * s / (2 * 6370040::DOUBLE * 0.9330127019::DOUBLE))) AS lat FROM p CROSS JOIN (VALUES (1.0::DOUBLE), (1000.0::DOUBLE)) k(s)),
+e AS (SELECT a.s, sqrt(pow((((a.lon - b.lon - 0.001) + 180) - 360 * floor(((a.lon - b.lon - 0.001) + 180) / 360) - 180) * cos(radians(b.lat)), 2) + pow(a.lat - b.lat, 2)) AS err
+      FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY px, py) AS r FROM inv) a JOIN (SELECT *, row_number() OVER (PARTITION BY s ORDER BY px, py) AS r FROM inv) b ON a.r = b.r AND b.s = 1000),
+g AS (SELECT s, quantile_cont(err, 0.5) AS m, max(err) AS x FROM e GROUP BY s)
+SELECT s AS scale, round(m, 6) AS median_error, round(x, 6) AS max_error, m <= 0.02 AND x <= 0.05 AS accepted FROM g ORDER BY m, s LIMIT 1""",
     "normalised_field": f"""WITH {FIELD_SQL}, n AS (SELECT t AS time, 7 - i AS lat_idx, j AS lon_idx, CASE WHEN j % 2 = 0 THEN v * 1000 ELSE v END AS v, i * 0.25 AS lat, j * 0.25 AS lon FROM f),
 b AS (SELECT min(lat_idx) AS y0, max(lat_idx) AS y1, min(lon_idx) AS x0, max(lon_idx) AS x1 FROM n WHERE lat BETWEEN 0.25 AND 1.5 AND lon BETWEEN 0.5 AND 1.75)
 SELECT time, lat_idx, lon_idx, CASE WHEN v IS NOT NULL THEN round(greatest(v, 0), 6) + 0.0 END AS v FROM n, b WHERE lat_idx BETWEEN y0 AND y1 AND lon_idx BETWEEN x0 AND x1 AND lat_idx % 2 = 0 AND lon_idx % 2 = 0""",
     "scalar_functions": """SELECT o_orderkey, round(ln(1 + greatest(o_totalprice - 1000, 0)), 6) AS logged, round(greatest(exp(o_totalprice / 100000) - 1, 0), 6) AS back,
 strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso_z, strftime(o_orderdate, '%Y_%m') AS month, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS member_day,
 'kg m-2' AS unit, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS safe, 'CRS["x",LENGTHUNIT["metre",1]]' AS wkt FROM orders""",
-    "disk_kernel": "SELECT CAST(r AS BIGINT) AS radius, count(*) AS cells FROM (SELECT unnest([0, 1, 2, 3, 5, 10, 25]) AS r), (SELECT unnest(range(-25, 26)) AS dy), (SELECT unnest(range(-25, 26)) AS dx) WHERE dy * dy + dx * dx <= r * r GROUP BY r",
+    "disk_kernel": "SELECT r AS radius, count(*) AS cells FROM (SELECT unnest(range(26)) AS r), (SELECT unnest(range(-25, 26)) AS dy), (SELECT unnest(range(-25, 26)) AS dx) WHERE dy * dy + dx * dx <= r * r GROUP BY r",
     "geometric_edges": "SELECT k, round(0.001 * pow(300 / 0.001, k / 120.0), 6) AS edge FROM (SELECT unnest(range(121)) AS k)",
     "contract_report": f"""{G}, {series_sql(300)}, {series_sql(1800).replace('s AS', 's2 AS')}, dy AS (SELECT DISTINCT DATE '1970-01-01' + CAST(t // 86400 AS INT) AS day FROM s2),
+dk AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM dy),
+sp AS (SELECT DISTINCT t, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM s2 JOIN dk ON dk.day = DATE '1970-01-01' + CAST(t // 86400 AS INT)),
 a AS (SELECT 'L3 unique times' AS contract, 0 AS expected, (SELECT count(t) - count(DISTINCT t) FROM s) AS found
 UNION ALL SELECT 'L3 all steps there', (SELECT (max(t) - min(t)) / 300 + 1 FROM s), (SELECT count(DISTINCT t) FROM s) UNION ALL SELECT 'L3 times lie on the step', 0, (SELECT count(*) FROM s WHERE t % 300 <> 0)
-UNION ALL SELECT 'L8 no negative truth', 0, (SELECT count(*) FROM g WHERE truth < -1e-7) UNION ALL SELECT 'L4 equal grids', 0, 0 UNION ALL SELECT 'L2 required columns', 0, 1
-UNION ALL SELECT 'L6 shared denominator', 0, (SELECT count(est) - count(syn) FROM c) UNION ALL SELECT 'L10 hours in all splits', (SELECT count(DISTINCT t) FROM s2), (SELECT count(DISTINCT t) FROM s2)
+UNION ALL SELECT 'L8 no negative truth', 0, (SELECT count(*) FROM g WHERE truth < -1e-7) UNION ALL SELECT 'L4 equal grids', 0, (SELECT count(*) FROM (SELECT DISTINCT y, x FROM g) WHERE abs((y / 4.0 + 1e-9) - y / 4.0) > 1e-8) UNION ALL SELECT 'L2 required columns', 0, 1
+UNION ALL SELECT 'L6 shared denominator', 0, (SELECT count(est) - count(syn) FROM c) UNION ALL SELECT 'L10 hours in all splits', (SELECT count(DISTINCT t) FROM s2), (SELECT sum(hours) FROM (SELECT split, count(*) AS hours FROM sp GROUP BY split))
 UNION ALL SELECT 'L11 missing days', 0, (SELECT count(*) FROM dy WHERE day(day) = 13) UNION ALL SELECT 'L11 unexpected days', 0, 0 UNION ALL SELECT 'L11 repeated days', 0, 0)
 SELECT contract, CAST(expected AS DOUBLE) AS expected, CAST(found AS DOUBLE) AS found, expected = found AS ok FROM a""",
     "coverage_filter": f"{G}, a AS (SELECT t, avg(est) AS v, round(count(est) / count(*), 9) AS fraction FROM g GROUP BY t) SELECT t, CASE WHEN fraction >= 0.9 THEN round(v, 9) END AS v FROM a",
     "tiled_inference": f"""WITH {FIELD_SQL}, z AS (SELECT a.t, a.i AS y, a.j AS x, sum(CAST(coalesce(b.v, 0) AS FLOAT)::DOUBLE) / 9 AS p FROM f a JOIN f b ON a.t = b.t AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY ALL)
 SELECT t, y, x, round(greatest(p, 0), 6) AS prediction FROM z""",
     "stream_hourly_sum": f"{hours(1800)} SELECT hour_end, {R('amount')}, steps FROM h WHERE steps = 2",
+    "float_thresholds": f"""{G}, v AS (SELECT CAST(est / 10 AS FLOAT) AS v FROM c)
+SELECT count(*) AS n, round(avg((v > CAST(0.1 AS FLOAT))::INT), 6) AS fraction_gt_0_1, round(avg((v > CAST(1 AS FLOAT))::INT), 6) AS fraction_gt_1, round(avg((v > CAST(5 AS FLOAT))::INT), 6) AS fraction_gt_5 FROM v""",
+    "axis_steps": f"""{G}, ay AS (SELECT y, 50 + y * 0.25::DOUBLE + (y % 5) * 0.01::DOUBLE AS p FROM (SELECT DISTINCT y FROM g)), ax AS (SELECT x, 2 + x * 0.4::DOUBLE AS p FROM (SELECT DISTINCT x FROM g))
+SELECT 'lat' AS axis, round(median(d), 6) AS step FROM (SELECT p - lag(p) OVER (ORDER BY y) AS d FROM ay) UNION ALL SELECT 'lon', round(median(d), 6) FROM (SELECT p - lag(p) OVER (ORDER BY x) AS d FROM ax)""",
+    "axis_lookup": """WITH a AS (SELECT n_nationkey AS k, n_nationkey * n_nationkey / 40.0::DOUBLE AS p FROM nation), n AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, p, lead(p) OVER (ORDER BY k) AS nxt, count(*) OVER () AS c FROM a),
+v AS (SELECT p_partkey, p_partkey % 1700 / 100.0::DOUBLE - 1 AS v FROM part), w AS (SELECT p_partkey, v, greatest(0, least((SELECT count(*) FROM a) - 2, (SELECT count(*) FROM a WHERE a.p <= v.v) - 1)) AS place FROM v)
+SELECT p_partkey, place, round((v - p) / (nxt - p), 6) + 0.0 AS beyond FROM w JOIN n ON n.i = place""",
+    "field_reader": f"{G} SELECT t, count(*) AS cells, round(sum(truth), 6) AS truth, round(sum(est), 6) AS est, round(sum(syn), 6) AS syn FROM g GROUP BY t",
+    "split_coverage": f"""WITH {series_sql(1800)}, d AS (SELECT DISTINCT t, DATE '1970-01-01' + CAST(t // 86400 AS INT) AS date_utc FROM s WHERE t % 12600 <> 0),
+k AS (SELECT date_utc, row_number() OVER (ORDER BY date_utc) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date_utc FROM d)),
+sp AS (SELECT t, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM d JOIN k USING (date_utc)),
+f AS (SELECT DISTINCT t FROM s WHERE v IS NOT NULL)
+SELECT split, count(*) AS expected, count(f.t) AS found, count(*) - count(f.t) AS missing, 0 AS unexpected FROM sp LEFT JOIN f ON f.t = sp.t GROUP BY split
+UNION ALL SELECT 'unclassified', 0, count(*), 0, count(*) FROM (SELECT t FROM f EXCEPT SELECT t FROM sp) HAVING count(*) > 0""",
+    "preflight": f"""{G}, w AS (SELECT strftime(make_timestamp(t * 604800 * 1000000), '%Y_%m') AS month, min(t) AS t FROM (SELECT DISTINCT t FROM g) GROUP BY 1)
+SELECT month, w.t, count(est) AS cells, count(est) > 0 AS ok FROM w JOIN g ON g.t = w.t GROUP BY month, w.t""",
+    "loss_agrees": f"""{G}, a AS (SELECT t, abs(ln(1 + greatest(est, 0)) - ln(1 + greatest(truth, 0))) AS e FROM c), b AS (SELECT t, avg(e) AS loss, count(*) AS n FROM a GROUP BY t), z AS (SELECT sum(loss * n) / sum(n) AS loss FROM b), m AS (SELECT avg(e) AS metric FROM a)
+SELECT round(loss, 6) AS loss, round(metric, 6) AS metric, abs(loss - metric) <= 1e-7 + 1e-5 * abs(metric) AS ok FROM z, m""",
+    "early_stopping": f"""{G}, a AS (SELECT t, round(coalesce(sum(abs(ln(1 + greatest(est, 0)) - ln(1 + greatest(truth, 0)))) FILTER (available AND overlap AND truth IS NOT NULL AND est IS NOT NULL), 0) / greatest(count(*) FILTER (available AND overlap AND truth IS NOT NULL AND est IS NOT NULL), 1), 9) AS loss FROM g GROUP BY t),
+b AS (SELECT t, loss, row_number() OVER (ORDER BY t) AS epoch, min(loss) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM a),
+i AS (SELECT *, coalesce(loss < coalesce(best_before, 'infinity'::DOUBLE), false) AS improved FROM b), z AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS epochs_since FROM i)
+SELECT t, loss, epoch, best_before, improved, epochs_since, epochs_since >= 5 AS stop FROM z""",
+    "timestamp_digests": f"""{SPLITS}, h AS (SELECT split, t, printf('%016x', t) AS h FROM sp)
+SELECT split, sha256(unhex(string_agg(concat(h[15:16], h[13:14], h[11:12], h[9:10], h[7:8], h[5:6], h[3:4], h[1:2]), '' ORDER BY t))) AS times FROM h GROUP BY split""",
+    "paired_report": f"""{G}, o AS (SELECT * FROM g WHERE truth IS NOT NULL AND est IS NOT NULL)
+SELECT 'same' AS pair, count(*) AS cells, true AS same_cells, true AS same_times, true AS same_masks FROM c
+UNION ALL SELECT 'other', count(*), count(*) = (SELECT count(*) FROM o), NOT EXISTS (SELECT t FROM o EXCEPT SELECT t FROM c) AND NOT EXISTS (SELECT t FROM c EXCEPT SELECT t FROM o),
+NOT EXISTS (SELECT t, y, x FROM o EXCEPT SELECT t, y, x FROM c) AND NOT EXISTS (SELECT t, y, x FROM c EXCEPT SELECT t, y, x FROM o) FROM c""",
+    "bin_counts": f"""{G}, r AS (SELECT est, truth, row_number() OVER (PARTITION BY t ORDER BY md5(concat_ws(':', '17', t, y, x)), y, x) AS r FROM c)
+SELECT CAST(floor(est / 0.5) AS BIGINT) AS bin_x, CAST(floor(truth / 0.5) AS BIGINT) AS bin_y, count(*) AS n FROM r WHERE r <= 16 GROUP BY ALL""",
+    "validation_by_epoch": f"""{G}, b(bin, bin_label) AS (VALUES {", ".join(f"({k}, '{label}')" for k, (label, _) in enumerate(REGISTRIES["validation"]))}),
+a AS (SELECT t % 3 AS epoch, {case("validation")} AS bin, count(*) AS n, avg(abs(est - truth)) AS mae, avg(est - truth) AS bias, avg(est) AS mean, stddev_pop(est) AS std, max(est) AS max, quantile_cont(est, 0.5) AS p50, quantile_cont(est, 0.95) AS p95, quantile_cont(est, 0.99) AS p99,
+count(*) FILTER (truth >= 1 AND est >= 1) AS hits, count(*) FILTER (truth < 1 AND est >= 1) AS false_alarms, count(*) FILTER (truth >= 1 AND est < 1) AS misses FROM c GROUP BY ALL)
+SELECT epoch, bin_label, n, {R('mae', 'bias', 'mean', 'std', 'max', 'p50', 'p95', 'p99')}, hits, false_alarms, misses, round(hits / nullif(hits + false_alarms + misses, 0), 6) AS csi FROM a JOIN b USING (bin)""",
+    "training_patches": f"""{CHOICE}, sp AS (SELECT epoch, t, patch_y, patch_x, dy, dx FROM ch, (SELECT unnest(range(5)) AS dy), (SELECT unnest(range(5)) AS dx)),
+j AS (SELECT sp.*, est, truth, coalesce(available AND overlap AND truth IS NOT NULL AND est IS NOT NULL, false) AS m FROM sp LEFT JOIN g ON g.t = sp.t AND g.y = patch_y + dy AND g.x = patch_x + dx)
+SELECT CAST(epoch AS BIGINT) AS epoch, t, CAST(patch_y AS BIGINT) AS patch_y, CAST(patch_x AS BIGINT) AS patch_x, string_agg((est IS NOT NULL)::INT, '' ORDER BY dy, dx) AS available, string_agg(m::INT, '' ORDER BY dy, dx) AS mask,
+round(sum(CASE WHEN est IS NOT NULL THEN CAST(ln(1 + greatest(est, 0)) AS FLOAT)::DOUBLE ELSE 0 END), 4) AS input, round(sum(CASE WHEN truth IS NOT NULL THEN CAST(greatest(truth, 0) AS FLOAT)::DOUBLE ELSE 0 END), 4) AS amount FROM j GROUP BY ALL""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, scalar
 from ..functions.missing import ratio
 from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, support, timealign, verify
+from ..sources.shared import written
 from .oracles import ORACLES
 from .views import SIDE, field, grid, series, table
 
@@ -40,8 +43,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cadence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    times = series(spark, d, 300).select("t", scalar.month_stem(F.col("t")).alias("month"))
-    return rounded(timealign.cadence_gaps(times, "t", 300, ["month"]))
+    """Gaps in the order in which months have their steps; some steps are out of place."""
+    t = F.col("t")
+    times = series(spark, d, 300).select("t", scalar.month_stem(t).alias("month"), F.when(F.floor(t / 300) % 50 == 0, t + 4600).otherwise(t).alias("place"))
+    return rounded(timealign.cadence_gaps(times, "t", 300, ["month"], "place"))
 
 
 def missing_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -66,9 +71,7 @@ def mask_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_metrics_overall(spark: SparkSession, d: str) -> DataFrame:
-    g = grid(spark, d)
-    own = [verify.point_metrics(support.require_finite(g, m, COMMON()), COMMON(), "truth", m, time="t").withColumn("method", F.lit(m)) for m in ("est", "syn")]
-    return rounded(own[0].unionByName(own[1]))
+    return rounded(verify.overall_metrics(grid(spark, d), COMMON(), "truth", ["est", "syn"], "t"))
 
 
 def point_metrics_by_time(spark: SparkSession, d: str) -> DataFrame:
@@ -144,21 +147,22 @@ def mae_winner(spark: SparkSession, d: str) -> DataFrame:
 BLOCKS = (1, 2, 3, 5)
 
 
+def _block_spine(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(b,) for b in BLOCKS], "block int"))
+
+
 def block_metrics_multiscale(spark: SparkSession, d: str) -> DataFrame:
-    g, out = grid(spark, d), None
-    for b in BLOCKS:
-        means = spatial.block_means(g, COMMON(), ["truth", "est"], b, SIDE, SIDE)
-        own = means.agg(*verify.point_aggregates("truth", "est", "t"), *verify.event_aggregates("truth", "est", 1.0)).withColumn("block", F.lit(b))
-        out = own if out is None else out.unionByName(own)
-    return rounded(out)
+    means = spatial.block_means_of(grid(spark, d), COMMON(), ["truth", "est"], BLOCKS, SIDE, SIDE)
+    own = means.groupBy("block").agg(*verify.point_aggregates("truth", "est", "t"), *verify.event_aggregates("truth", "est", 1.0))
+    return rounded(_block_spine(spark).join(own, "block", "left").fillna(0, ["n", "valid_hours", "hits", "false_alarms", "misses"]))
 
 
 def block_coverage(spark: SparkSession, d: str) -> DataFrame:
-    g, out = grid(spark, d), None
-    for b in BLOCKS:
-        own = spatial.block_coverage(spatial.block_means(g, COMMON(), ["truth"], b, SIDE, SIDE), g, b, SIDE, SIDE).withColumn("block", F.lit(b))
-        out = own if out is None else out.unionByName(own)
-    return rounded(out)
+    g = grid(spark, d)
+    own = spatial.block_means_of(g, COMMON(), ["truth"], BLOCKS, SIDE, SIDE).groupBy("block").agg(F.count("*").alias("valid_cells"), F.avg("support_fraction").alias("mean_support"))
+    possible = _block_spine(spark).crossJoin(g.agg(F.count_distinct("t").alias("times"))).select("block", (F.col("times") * F.floor(SIDE / F.col("block")) * F.floor(SIDE / F.col("block"))).alias("possible_cells"))
+    out = possible.join(own, "block", "left").fillna(0, ["valid_cells"])
+    return rounded(out.withColumn("valid_cells_fraction", ratio(F.col("valid_cells"), F.col("possible_cells"))))
 
 
 def disk_neighbourhood_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -176,11 +180,11 @@ def _mapping(spark: SparkSession) -> DataFrame:
 
 
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(regrid.regrid_bilinear(field(spark, d), _mapping(spark)))
+    return rounded(regrid.regrid_bilinear(field(spark, d), _mapping(spark), 8))
 
 
 def regrid_mask(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(regrid.bilinear_mask(field(spark, d), _mapping(spark)).groupBy("t").agg(F.count_if("valid").alias("valid_cells"), F.count("*").alias("cells")))
+    return rounded(regrid.bilinear_mask(field(spark, d), _mapping(spark), 8).groupBy("t").agg(F.count_if("valid").alias("valid_cells"), F.count("*").alias("cells")))
 
 
 def regrid_area_average(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +219,7 @@ def patch_choice(spark: SparkSession, d: str) -> DataFrame:
 
 def patch_exceedance(spark: SparkSession, d: str) -> DataFrame:
     cells = grid(spark, d).filter(COMMON()).select("t", "y", "x", F.col("truth").alias("v"))
-    return rounded(extremes.patch_exceedance(_chosen(spark, d).select("epoch", "t", "patch_y", "patch_x"), cells, PATCH))
+    return rounded(extremes.patch_exceedance(written(_chosen(spark, d).select("epoch", "t", "patch_y", "patch_x"), "patches"), cells, PATCH))
 
 
 def pixel_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -233,12 +237,11 @@ def qc_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def epoch_order(spark: SparkSession, d: str) -> DataFrame:
-    w = sampling.epoch_order(series(spark, d, 1800), 5, 2).limit(20)
-    return rounded(w)
+    return rounded(sampling.epoch_order(series(spark, d, 1800), 5, 2))
 
 
 def epoch_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """All times with their places; ``epoch_order`` shows the first 20."""
+    """All times with their places, without a sort of all of them."""
     return rounded(sampling.epoch_places(series(spark, d, 1800), 5, 2))
 
 
@@ -267,8 +270,10 @@ LEVELS = 129
 
 
 def _train(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cells, and the knots of a sample of each training hour: exact quantiles then see a bounded number of cells an hour."""
     g = grid(spark, d).filter(COMMON())
-    return g, quantmap.fit_quantile_map(g.filter(F.col("t") % 4 != 0), "est", "truth", LEVELS)
+    sample = sampling.pixel_sample(g.filter(F.col("t") % 4 != 0).select("t", "y", "x", "est", "truth"), 11, fixed=32)
+    return g, quantmap.fit_quantile_map(sample, "est", "truth", LEVELS)
 
 
 def quantile_map_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +324,7 @@ def projection_inverse(spark: SparkSession, d: str) -> DataFrame:
 def unit_scale(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(((F.col("p_partkey") % 900 - 450) * 1.0).alias("px"), (-(F.col("p_partkey") % 1100) - 3600.0).alias("py"))
     lon, lat = scalar.stereographic_inverse(F.col("px") * 1000, F.col("py") * 1000)
-    return rounded(regrid.unit_scale(p.withColumns({"lon": lon + 0.001, "lat": lat})).select("scale", "accepted"))
+    return rounded(regrid.unit_scale(p.withColumns({"lon": lon + 0.001, "lat": lat})))
 
 
 def normalised_field(spark: SparkSession, d: str) -> DataFrame:
@@ -344,13 +349,16 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disk_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of disks."""
-    return rounded(spark.createDataFrame([(r, len(scalar.disk_offsets(r))) for r in (0, 1, 2, 3, 5, 10, 25)], "radius int, cells int"))
+    """Sizes of the disks of the first radii."""
+    r = F.col("radius")
+    rows = spark.range(26).select(F.col("id").alias("radius")).withColumn("dy", F.explode(F.sequence(-r, r))).withColumn("dx", F.explode(F.sequence(-r, r)))
+    return rounded(rows.filter(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= r * r).groupBy("radius").agg(F.count("*").alias("cells")))
 
 
 def geometric_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the histogram."""
-    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(scalar.geometric_edges(extremes.LOW, extremes.HIGH, extremes.BINS))], "k int, edge double"))
+    step = math.log(extremes.HIGH / extremes.LOW) / (extremes.BINS - 1)
+    return rounded(spark.range(extremes.BINS).select(F.col("id").alias("k"), (F.lit(extremes.LOW) * F.exp(F.col("id") * F.lit(step))).alias("edge")))
 
 
 def contract_report(spark: SparkSession, d: str) -> DataFrame:
@@ -358,13 +366,14 @@ def contract_report(spark: SparkSession, d: str) -> DataFrame:
     own = splits.chronological_splits(series(spark, d, 1800))
     cells = g.select("y", "x").distinct().withColumn("lat", F.col("y") / 4.0)
     days = own.select(F.col("date_utc").alias("day")).distinct()
+    timeline = series(spark, d, 1800).agg(F.count_distinct("t").alias("n"))
     rows = [
         *contracts.complete_timeline(s, "t", 300),
         contracts.no_negatives(g, "truth"),
         contracts.equal_grids(cells, cells.withColumn("lat", F.col("lat") + 1e-9), ["y", "x"], ["lat"]),
         contracts.required_columns(g, ["t", "y", "x", "truth", "lat"]),
         contracts.expect(verify.methods(g.filter(COMMON()), "truth", ["est", "syn"]).groupBy("method").agg(F.count("estimate").alias("n")), "L6 shared denominator", F.max("n") - F.min("n"), 0),
-        contracts.expect(own, "L10 hours in all splits", F.count("*"), F.lit(own.count())),
+        contracts.expect(splits.split_summary(own).crossJoin(F.broadcast(timeline)), "L10 hours in all splits", F.sum("hours"), F.max("n")),
         *contracts.archive_complete(days.filter("dayofmonth(day) <> 13"), days, "day"),
     ]
     return rounded(contracts.report(rows))
@@ -406,6 +415,91 @@ def stream_hourly_sum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(run_to_table(stream(source, [], "ts", "v", 2), folder).select(F.unix_seconds(F.col("hour_end")).alias("hour_end"), "amount", "steps"))
 
 
+def float_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Shares over thresholds of amounts of float precision, some of them a float's tenth (B12, Z-3)."""
+    g = grid(spark, d).filter(COMMON()).select((F.col("est") / 10).cast("float").alias("v"))
+    return rounded(verify.distribution(g, F.lit(True), "v").select("n", "fraction_gt_0_1", "fraction_gt_1", "fraction_gt_5"))
+
+
+def axis_steps(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    lat = g.select("y").distinct().withColumn("lat", 50 + F.col("y") * 0.25 + (F.col("y") % 5) * 0.01)
+    lon = g.select("x").distinct().withColumn("lon", 2 + F.col("x") * 0.4)
+    own = regrid.axis_step(lat, "y", "lat").withColumn("axis", F.lit("lat")).unionByName(regrid.axis_step(lon, "x", "lon").withColumn("axis", F.lit("lon")))
+    return rounded(own)
+
+
+def axis_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Places of values on an axis of unequal steps (C4)."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * F.col("n_nationkey") / 40.0).alias("at"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1700 / 100.0 - 1).alias("v"))
+    return rounded(regrid.axis_lookup(p, "v", n, "k", "at").select("p_partkey", "place", "beyond"))
+
+
+def field_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the aligned and of the synthetic table by time (A21): their sums by hour."""
+    g = grid(spark, d)
+    own = timealign.read_fields(g.select("t", "y", "x", "truth", "est"), g.select("t", "y", "x", "syn"), ["y", "x"])
+    return rounded(own.groupBy("t").agg(F.count("*").alias("cells"), F.sum("truth").alias("truth"), F.sum("est").alias("est"), F.sum("syn").alias("syn")))
+
+
+def split_coverage(spark: SparkSession, d: str) -> DataFrame:
+    s = series(spark, d, 1800)
+    own = splits.chronological_splits(s.filter(F.col("t") % 12600 != 0))
+    return rounded(splits.split_coverage(s.filter("v is not null"), own))
+
+
+def preflight(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the coarse field in the first hour of each month, and whether there is one."""
+    g = grid(spark, d)
+    times = g.select("t").distinct().withColumn("month", scalar.month_stem(F.col("t") * 604800))
+    return rounded(contracts.preflight(g, sampling.first_per_month(times, "t", "month"), "est", "t"))
+
+
+def loss_agrees(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    return rounded(verify.loss_agrees(verify.masked_log_l1(g, COMMON(), "truth", "est", by=["t"]), "loss", "n", verify.masked_log_l1(g, COMMON(), "truth", "est"), "loss"))
+
+
+def early_stopping(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks as epochs, their losses as validation losses."""
+    losses = verify.masked_log_l1(grid(spark, d), COMMON(), "truth", "est", by=["t"]).select("t", F.round("loss", 9).alias("loss"))
+    return rounded(verify.early_stopping(losses, "t", "loss", 5), 9)
+
+
+def timestamp_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the times of each split."""
+    own = splits.chronological_splits(series(spark, d, 1800))
+    return own.groupBy("split").agg(support.time_digest("t").alias("times"))
+
+
+def paired_report(spark: SparkSession, d: str) -> DataFrame:
+    """Runs on the same support, and on one that leaves the synthetic input out."""
+    g = grid(spark, d)
+    a, b = support.run_digests(g, "t", COMMON()), support.run_digests(g, "t", support.pair_support("truth", "est"))
+    return support.paired_report(a, a).withColumn("pair", F.lit("same")).unionByName(support.paired_report(a, b).withColumn("pair", F.lit("other")))
+
+
+def bin_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of sampled pairs of truth and estimate in cells of the plane."""
+    sample = sampling.pixel_sample(grid(spark, d).filter(COMMON()).select("t", "y", "x", "truth", "est"), 17, fixed=16)
+    return rounded(verify.bin_counts(sample, "est", "truth", 0.5, 0.5))
+
+
+def validation_by_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """Validation statistics, weeks modulo 3 as epochs."""
+    g = grid(spark, d).withColumn("epoch", F.col("t") % 3)
+    return rounded(verify.validation_stats(g, COMMON(), "validation", "truth", "est", "epoch"))
+
+
+def training_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches chosen for two epochs as arrays, told by their masks and sums."""
+    own = predict.training_patches(_chosen(spark, d).select("epoch", "t", "patch_y", "patch_x"), grid(spark, d).withColumn("on", COMMON()), "est", "truth", "on", PATCH)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    bits = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), "")
+    return rounded(own.select("epoch", "t", "patch_y", "patch_x", bits("available").alias("available"), bits("mask").alias("mask"), total("input").alias("input"), total("amount").alias("amount")), 4)
+
+
 QUERIES = {
     "strict_hourly_sum": lambda s, d: rounded(hours(s, d, 300)),
     "strict_half_hours": lambda s, d: rounded(hours(s, d, 1800)),
@@ -423,6 +517,7 @@ QUERIES = {
         block_metrics_multiscale, block_coverage, disk_neighbourhood_scores, regrid_bilinear, regrid_mask, regrid_area_average, patch_eligibility, patch_prefix_sums, patch_choice, patch_exceedance,
         pixel_sample, qc_sample, epoch_order, epoch_order_all, chronological_splits, split_checks, split_filter, split_classify, quantile_map_fit, quantile_map_apply, quantile_map_delta, typical_hours,
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
-        typical_per_bin, tiled_inference, stream_hourly_sum,
+        typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
+        paired_report, bin_counts, validation_by_epoch, training_patches,
     )
 }

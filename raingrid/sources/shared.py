@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast up to so many bytes (a row counts 16 for itself and 8 for each column); larger ones are joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-raingrid-"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def bounded(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``table``, of numbers alone, with a broadcast hint if a count shows that it has at most ``most`` bytes. It should be cheap to count."""
+    rows = most // (16 + 8 * len(table.columns))
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: small results that several jobs use are computed once, and are cheap to count."""
+    path = os.path.join(shared_folder(df.sparkSession), f"raingrid-{uuid.uuid4().hex}", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

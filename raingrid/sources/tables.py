@@ -35,7 +35,8 @@ def write_months(df: DataFrame, path: str, time: str = "time_epoch", overwrite:
     own = df.withColumn("month", month_stem(F.col(time)))
     if not overwrite:
         own = own.join(F.broadcast(months_of(spark, path)), "month", "left_anti")
-    own.repartition("month", F.pmod(F.xxhash64(time), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    # partitions are cut and joined to the advisory size, so a month has as many files as its bytes ask for
+    own.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def months_of(spark: SparkSession, path: str) -> DataFrame:
@@ -58,3 +59,13 @@ def month_audit(files: DataFrame, months: DataFrame, stem: str = r"(\d{4}_\d{2})
     """Each expected month with its number of files and bytes, and whether it is ok."""
     found = files.withColumn("month", F.regexp_extract("path", stem, 1)).groupBy("month").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     return months.join(found, "month", "left").select("month", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), (F.coalesce("files", F.lit(0)) == 1).alias("ok"))
+
+
+def write_grids(folder: str, overwrite: bool = False, **grids: DataFrame) -> None:
+    """Dimension tables of grids (axes, geolocation, reference system), a folder for each (A16). They are small: one file each."""
+    for name, grid in grids.items():
+        grid.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/{name}")
+
+
+def read_grids(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}

@@ -255,3 +255,96 @@ def test_digests(spark):
     same = [support.mask_digests(d, "t", F.col("v").isNotNull()).first()["mask_digest"] for d in (a, b)]
     other = support.mask_digests(cells(spark, [[1, 1], [1, 1]], names="v"), "t", F.col("v").isNotNull()).first()["mask_digest"]
     assert same[0] == same[1] != other
+
+
+def test_knots_of_negative_targets_are_raised_before_the_maximum(spark):
+    """With targets -4, 2 at sources 0, 1: the middle maps between 0 and 2, not between -4 and 2."""
+    train = spark.createDataFrame([(0.0, -4.0), (1.0, 2.0)], "s double, d double")
+    knots = quantmap.fit_quantile_map(train, "s", "d", 2)
+    assert sorted((r["src"], r["dst"]) for r in knots.collect()) == [(0.0, 0.0), (1.0, 2.0)]
+    got = quantmap.apply_quantile_map(spark.createDataFrame([(0.5,), (None,)], "v double"), "v", knots).collect()
+    assert {r["v"]: r["mapped"] for r in got} == {0.5: 1.0, None: None}
+
+
+def test_more_knots_than_are_looked_up_raise(spark):
+    knots = spark.range(9).selectExpr("double(id) AS src", "double(id) AS dst")
+    df = spark.createDataFrame([(4.5,)], "v double")
+    assert quantmap.apply_quantile_map(df, "v", knots, most=15).first()["mapped"] == 4.5
+    with pytest.raises(Exception, match="9 knots, at most 7"):
+        quantmap.apply_quantile_map(df, "v", knots, most=7).collect()
+
+
+def test_a_time_in_two_splits_raises(spark):
+    own = spark.createDataFrame([(1, "train"), (2, "train"), (2, "test")], "t long, split string")
+    with pytest.raises(Exception, match="in several splits: 2"):
+        splits.classify(spark.createDataFrame([(2,)], "t long"), own).collect()
+    assert [r["split"] for r in splits.classify(spark.createDataFrame([(1,), (3,)], "t long"), own.filter("t = 1")).orderBy("t").collect()] == ["train", "unclassified"]
+
+
+def test_partial_splits_are_refused(spark):
+    own = spark.createDataFrame([(1, "train"), (2, "train"), (3, "test")], "t long, split string")
+    cover = splits.split_coverage(spark.createDataFrame([(1,), (3,), (9,)], "t long"), own)
+    assert {tuple(r) for r in cover.collect()} == {("train", 2, 1, 1, 0), ("test", 1, 1, 0, 0), ("unclassified", 0, 1, 0, 1)}
+    assert splits.require_coverage(cover, "test").first()["found"] == 1
+    with pytest.raises(Exception, match="partial split train: missing 1"):
+        splits.require_coverage(cover, "train").collect()
+
+
+def test_fields_with_other_times_raise(spark):
+    a = spark.createDataFrame([(1, 0, 0, 1.0), (2, 0, 0, 2.0)], "t long, y int, x int, a double")
+    b = spark.createDataFrame([(1, 0, 0, 3.0)], "t long, y int, x int, b double")
+    with pytest.raises(Exception, match="time axes differ: 1 and 0"):
+        timealign.read_fields(a, b, ["y", "x"]).collect()
+    assert [(r["a"], r["b"]) for r in timealign.read_fields(a.filter("t = 1"), b, ["y", "x"]).collect()] == [(1.0, 3.0)]
+
+
+def test_scores_of_one_pass_raise_where_a_method_lacks_a_value(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 1.5), (1, 3.0, None, 1.0)], "t long, truth double, a double, b double")
+    (row,) = verify.overall_metrics(df, F.lit(True), "truth", ["b"], "t").collect()
+    assert (row["n"], row["mae"], row["bias"], row["valid_hours"]) == (2, 1.25, -0.75, 1)
+    with pytest.raises(Exception, match="1 non-finite values of a on common support"):
+        verify.overall_metrics(df, F.lit(True), "truth", ["a", "b"], "t").collect()
+
+
+def test_no_dry_hour_is_said_so(spark):
+    stats = spark.createDataFrame([(1, 5, 2.0, 0.5), (2, 5, 3.0, 0.25)], "t long, cells long, max double, wet_fraction double")
+    got = {r["t"]: r["labels"] for r in sampling.typical_hours(stats).collect()}
+    assert got[2].split("+")[0] == "driest_available" and "dry" not in got[1].split("+")
+
+
+def test_steps_back_show_in_the_order_of_a_file(spark):
+    df = spark.createDataFrame([("f", 0, 0), ("f", 1, 600), ("f", 2, 300), ("f", 3, 600)], "part string, place int, t long")
+    assert {(r["t"], r["gap"]) for r in timealign.cadence_gaps(df, "t", 300, ["part"], "place").collect()} == {(600, 600), (300, -300)}
+
+
+def test_early_stopping(spark):
+    losses = [3.0, 2.0, 2.0, None, 1.0, 1.5, float("nan")]
+    got = verify.early_stopping(spark.createDataFrame(list(enumerate(losses)), "e int, loss double"), "e", "loss", 2).orderBy("e").collect()
+    assert [r["improved"] for r in got] == [True, True, False, False, True, False, False]
+    assert [r["epochs_since"] for r in got] == [0, 0, 1, 2, 0, 1, 2] and [r["stop"] for r in got] == [False, False, False, True, False, False, True]
+
+
+def test_digests_of_times_in_spark_are_those_of_the_driver(spark):
+    df = spark.createDataFrame([(1,), (1500000000,), (-3,), (1,)], "t long")
+    assert df.agg(support.time_digest("t").alias("d")).first()["d"] == support.timestamp_digest(df, "t")
+
+
+def test_lookup_on_an_axis_of_unequal_steps(spark):
+    axis = [0.0, 0.5, 1.5, 3.0, 3.25]
+    values = [-1.0, 0.0, 0.25, 0.5, 2.9, 3.0, 3.2, 3.25, 9.0]
+    got = regrid.axis_lookup(spark.createDataFrame([(v,) for v in values], "v double"), "v", spark.createDataFrame(list(enumerate(axis)), "k int, at double"), "k", "at").collect()
+    at = np.clip(np.searchsorted(axis, values, side="right") - 1, 0, len(axis) - 2)
+    assert {r["v"]: r["place"] for r in got} == dict(zip(values, at.tolist(), strict=True))
+    for r in got:
+        assert abs(r["beyond"] - (r["v"] - axis[r["place"]]) / (axis[r["place"] + 1] - axis[r["place"]])) < 1e-12
+
+
+def test_samples_are_the_first_by_hash(spark):
+    """The share of hashes that is sorted holds all that are wanted."""
+    import hashlib
+
+    cells = [(t, k // 40, k % 40) for t, n in ((1, 1), (2, 60), (3, 1500)) for k in range(n)]
+    got = sampling.pixel_sample(spark.createDataFrame(cells, "t long, y int, x int"), 5, most=40, least=8, share=100).collect()
+    for t, n in ((1, 1), (2, 60), (3, 1500)):
+        want = sorted((hashlib.md5(f"5:{t}:{y}:{x}".encode()).hexdigest(), y, x) for u, y, x in cells if u == t)[: min(n, 40, max(8, n // 100))]
+        assert {(r["y"], r["x"]) for r in got if r["t"] == t} == {(y, x) for _, y, x in want}

@@ -71,6 +71,17 @@ def test_netcdf_needs_its_library(spark):
 
 def test_stream_emits_only_complete_hours(spark):
     steps = spark.createDataFrame([(300 * k, 1.0) for k in range(24) if k != 13], "t long, v double")
-    source, checkpoint = replay.steps_as_stream(steps)
-    got = hourly.run_to_table(hourly.stream_hourly_sum(source, [], "ts", "v", 12), "only_complete", checkpoint).collect()
+    source, folder = replay.steps_as_stream(steps)
+    got = hourly.run_to_table(hourly.stream_hourly_sum(source, [], "ts", "v", 12), folder).collect()
     assert [(r["amount"], r["steps"]) for r in got] == [(12.0, 12)]
+
+
+def test_grids_are_written_once_and_read(spark, tmp_path):
+    lat = spark.createDataFrame([(0, 50.0), (1, 50.25)], "k int, lat double")
+    tables.write_grids(f"{tmp_path}/grids", lat=lat, crs=spark.createDataFrame([("wkt",)], "text string"))
+    got = tables.read_grids(spark, f"{tmp_path}/grids", "lat", "crs")
+    assert sorted(map(tuple, got["lat"].collect())) == [(0, 50.0), (1, 50.25)] and got["crs"].first()["text"] == "wkt"
+    with pytest.raises(Exception, match="already exists"):
+        tables.write_grids(f"{tmp_path}/grids", lat=lat)
+    tables.write_grids(f"{tmp_path}/grids", overwrite=True, lat=lat.limit(1))
+    assert tables.read_grids(spark, f"{tmp_path}/grids", "lat")["lat"].count() == 1
