@@ -42,11 +42,11 @@ def bilinear_map(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[flo
 
 
 #: A map is cut into so many chunks, the keys by which it meets the fields.
-CHUNKS = 64
+CHUNKS = 16
 
 
 def _corners(coarse: DataFrame, mapping: DataFrame, width: int | None, time: str, value: str) -> DataFrame:
-    """For each time and fine cell of the overlap an array ``_p`` of its corners' ``(w, v)``.
+    """For each time and fine cell of the overlap its corners' weights ``_w0`` to ``_w3`` and values ``_v0`` to ``_v3``.
 
     A time's coarse field is one array of its cells by ``i * width + j``, and a fine cell one row with its four corners, so
     that nothing is shuffled by fine cell: every field meets every chunk of the map, which is broadcast where a count shows
@@ -59,22 +59,24 @@ def _corners(coarse: DataFrame, mapping: DataFrame, width: int | None, time: str
     last = F.element_at("_s", -1)["k"]
     whole = F.when(F.size("_s") == last + 1, F.col("_s.v")).otherwise(F.transform(F.sequence(F.lit(0).cast(dict(coarse.dtypes)["i"]), last), lambda k: F.try_element_at(F.map_from_entries("_s"), k)))
     fields = own.select(time, whole.alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("_chunk"))
-    cells = mapping.filter("overlap").groupBy("y", "x").agg(F.collect_list(F.struct(place.cast("int").alias("k"), F.col("w").alias("w"))).alias("_c"))
-    cells = cells.withColumn("_chunk", F.pmod(F.hash("y", "x"), F.lit(CHUNKS)))
+    corners = [F.max(F.when(F.col("corner") == k, v)).alias(f"_{n}{k}") for k in range(4) for n, v in (("k", place.cast("int")), ("w", F.col("w")))]
+    cells = mapping.filter("overlap").groupBy("y", "x").agg(*corners).withColumn("_chunk", F.pmod(F.hash("y", "x"), F.lit(CHUNKS)))
     pairs = fields.join(bounded(cells, 256 << 20), "_chunk")
-    return pairs.select(time, "y", "x", F.transform("_c", lambda c: F.struct(c["w"].alias("w"), F.get("_f", c["k"]).alias("v"))).alias("_p"))
+    return pairs.select(time, "y", "x", *(c for k in range(4) for c in (F.col(f"_w{k}"), F.get("_f", F.col(f"_k{k}")).alias(f"_v{k}"))))
 
 
 def regrid_bilinear(coarse: DataFrame, mapping: DataFrame, width: int | None = None, time: str = "t", value: str = "v") -> DataFrame:
     """The coarse field (rows of ``width`` cells, counted where it isn't given) at each fine cell of the overlap; missing if a corner is, even one of weight 0 (C7, Z-2)."""
-    total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["w"] * p["v"])  # NULL if a part is
-    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", F.when(F.size("_p") == 4, total).alias(value))
+    total = sum((F.col(f"_w{k}") * F.col(f"_v{k}") for k in range(1, 4)), F.col("_w0") * F.col("_v0"))  # NULL if a part is
+    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", total.alias(value))
 
 
 def bilinear_mask(coarse: DataFrame, mapping: DataFrame, width: int | None = None, time: str = "t", value: str = "v") -> DataFrame:
     """Where ``regrid_bilinear`` gives a value, without computing it."""
-    seen = F.forall("_p", lambda p: p["w"].isNotNull() & p["v"].isNotNull())
-    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", ((F.size("_p") == 4) & seen).alias("valid"))
+    seen = F.lit(True)
+    for k in range(4):
+        seen = seen & F.col(f"_w{k}").isNotNull() & F.col(f"_v{k}").isNotNull()
+    return _corners(coarse, mapping, width, time, value).select(time, "y", "x", seen.alias("valid"))
 
 
 def overlap_lengths(spark, fine: int, coarse: int, fine_name: str, coarse_name: str) -> DataFrame:

@@ -18,14 +18,14 @@ def pixel_sample(df: DataFrame, seed: int, time: str = "t", most: int = 2048, le
     """Of each time min(n, most, max(least, n // share)) cells, or ``fixed`` of them, by hash order."""
     if fixed is not None:
         most = fixed
-    # cells of each time are counted first; then only those whose hash is small enough to be among the first are sorted: twice as
-    # many as are wanted and 64 more on average, all of them where a time has few (so that one that falls short has no more)
-    n = df.groupBy(time).agg(F.count("*").alias("_n"))
+    # of each time only the cells whose hash is small enough to be among the first are sorted: twice as many as are wanted and
+    # 64 more on average, all of them where a time has few (so that one that falls short has no more)
+    all_of_it = Window.partitionBy(time)
     k = F.lit(fixed) if fixed is not None else F.least(F.col("_n"), F.lit(most), F.greatest(F.lit(least), F.floor(F.col("_n") / share)))
-    counted = df.join(n, time).withColumns({"_k": k, "_h": hash_key(seed, time, "y", "x")})
+    counted = df.withColumn("_n", F.count("*").over(all_of_it)).withColumns({"_k": k, "_h": hash_key(seed, time, "y", "x")})
     near = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.col("_n") < (2 * F.col("_k") + 64) * F.lit(1 << 32)
     order = Window.partitionBy(time).orderBy("_h", "y", "x")
-    ranked = counted.filter(near).withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy(time)))
+    ranked = counted.filter(near).withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(all_of_it))
     enough = F.when(F.col("_m") >= F.least("_k", "_n"), F.col("_r") <= F.col("_k")).otherwise(F.raise_error("a sample's hash share was too small").cast("boolean"))
     return ranked.filter(enough).select(*df.columns)
 

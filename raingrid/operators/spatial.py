@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,59 @@ def disk_scores(df: DataFrame, support: str, target: str, estimate: str, thresho
     ).select(F.lit(radius).alias("radius_cells"), F.lit(cells).alias("disk_cells"), F.lit(threshold).alias("threshold"), "*")
 
 
+def _disks(radii: Sequence[int], core: int, halo: int, least: float):
+    """Sums over disks of a tile's cells: a row for each radius."""
+
+    def sums(rows: pa.Table) -> pa.Table:
+        t, ty, tx = (rows[c][0].as_py() for c in rows.column_names[:3])
+        y, x = rows["y"].to_numpy() - ty * core + halo, rows["x"].to_numpy() - tx * core + halo
+        side = core + 2 * halo
+        # sums along rows, with room for chords that reach over the edge
+        along = np.zeros((3, side + 2 * halo, side + 2 * halo + 1))
+        for k, values in enumerate((np.ones(len(rows)), rows["o"].to_numpy(), rows["f"].to_numpy())):
+            np.add.at(along[k], (y + halo, x + halo + 1), values)
+        seen = along[0, 2 * halo : 2 * halo + core, 2 * halo + 1 : 2 * halo + core + 1] > 0
+        along = np.cumsum(along, axis=2)
+        out = []
+        for r in radii:
+            total = np.zeros((3, core, core))
+            for dy, h in half_widths(r).items():
+                band = along[:, 2 * halo + dy : 2 * halo + dy + core]
+                total += band[:, :, 2 * halo + h + 1 : 2 * halo + h + 1 + core] - band[:, :, 2 * halo - h : 2 * halo - h + core]
+            s, o, f = total
+            at = seen & (s >= -int(-least * len(disk_offsets(r)) // 1))
+            o, f = o[at] / s[at], f[at] / s[at]
+            out.append((r, t, int(at.sum()), (o * f).sum(), (f * (1 - o)).sum(), ((1 - f) * o).sum(), ((f - o) ** 2).sum(), (f * f + o * o).sum()))
+        names = ["radius_cells", rows.column_names[0], "n", "h", "fa", "mi", "num", "den"]
+        types = [pa.int32(), rows.schema.types[0], pa.int64(), *[pa.float64()] * 5]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return sums
+
+
+def disk_scores_of(df: DataFrame, support: Column, target: str, estimate: str, threshold: float, radii: Sequence[int], height: int, width: int, core: int = 256, least: float = 0.5, time: str = "t") -> DataFrame:
+    """``disk_scores`` for several radii in one pass: tiles of ``core`` cells a side with a halo, whose disks are summed in a task.
+
+    Only supported cells are sent, once for each tile whose halo covers them (four at most, as radii are at most ``core``);
+    a tile returns a row of sums for each radius. Cells beyond the grid count 0, as absent ones do.
+    """
+    halo = max(radii)
+    if halo > core:
+        raise ValueError("a disk can't be wider than a tile")
+    near = lambda c, n: F.filter(F.array_distinct(F.array(*(F.floor((F.col(c) + d) / core).cast("int") for d in (-halo, 0, halo)))), lambda k: (k >= 0) & (k * core < n))
+    kind = dict(df.dtypes)[time]
+    own = df.filter(support).select(time, "y", "x", F.coalesce(F.col(target) >= threshold, F.lit(False)).cast("int").alias("o"), F.coalesce(F.col(estimate) >= threshold, F.lit(False)).cast("int").alias("f"))
+    tiled = own.withColumn("tile_y", F.explode(near("y", height))).withColumn("tile_x", F.explode(near("x", width))).select(time, "tile_y", "tile_x", "y", "x", "o", "f")
+    sums = tiled.groupBy(time, "tile_y", "tile_x").applyInArrow(_disks(radii, core, halo, least), f"radius_cells int, {time} {kind}, n long, h double, fa double, mi double, num double, den double")
+    got = sums.filter("n > 0").groupBy("radius_cells").agg(F.sum("n").alias("valid_centers"), F.count_distinct(time).alias("valid_hours"), *(F.sum(c).alias(c) for c in ("h", "fa", "mi", "num", "den")))
+    spine = df.sparkSession.createDataFrame([(r, len(disk_offsets(r)), float(threshold)) for r in radii], "radius_cells int, disk_cells int, threshold double")
+    return F.broadcast(spine).join(got, "radius_cells", "left").select(
+        "radius_cells", "disk_cells", "threshold", F.coalesce("valid_centers", F.lit(0)).alias("valid_centers"), F.coalesce("valid_hours", F.lit(0)).alias("valid_hours"),
+        F.col("h").alias("fractional_hits"), F.col("fa").alias("fractional_false_alarms"), F.col("mi").alias("fractional_misses"),
+        ratio(F.col("h"), F.col("h") + F.col("fa") + F.col("mi")).alias("neighborhood_csi_fractional"), (1 - ratio(F.col("num"), F.col("den"))).alias("fss"),
+    )
+
+
 def patch_starts(size: int, patch: int, stride: int) -> list[int]:
     """Starts of patches along an axis: every stride, and one flush with the end."""
     if size < patch:

@@ -166,11 +166,7 @@ def block_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disk_neighbourhood_scores(spark: SparkSession, d: str) -> DataFrame:
-    g, out = grid(spark, d).withColumn("on", COMMON()), None
-    for r in (1, 2, 3):
-        own = spatial.disk_scores(g, "on", "truth", "est", 1.0, r, SIDE, SIDE)
-        out = own if out is None else out.unionByName(own)
-    return rounded(out)
+    return rounded(spatial.disk_scores_of(grid(spark, d), COMMON(), "truth", "est", 1.0, (1, 2, 3), SIDE, SIDE, core=SIDE))
 
 
 def _mapping(spark: SparkSession) -> DataFrame:

@@ -348,3 +348,14 @@ def test_samples_are_the_first_by_hash(spark):
     for t, n in ((1, 1), (2, 60), (3, 1500)):
         want = sorted((hashlib.md5(f"5:{t}:{y}:{x}".encode()).hexdigest(), y, x) for u, y, x in cells if u == t)[: min(n, 40, max(8, n // 100))]
         assert {(r["y"], r["x"]) for r in got if r["t"] == t} == {(y, x) for _, y, x in want}
+
+
+@pytest.mark.parametrize("core", [4, 5, 16])
+def test_disks_by_tiles_are_disks_by_chords(spark, core):
+    rng = np.random.default_rng(core)
+    fields = [np.where(rng.random((11, 13)) < 0.85, rng.random((11, 13)) * 2, np.nan) for _ in range(2)]
+    df = cells(spark, *fields, names="a b").withColumn("on", F.col("a").isNotNull() & F.col("b").isNotNull())
+    tiled = {r["radius_cells"]: r for r in spatial.disk_scores_of(df, F.col("on"), "a", "b", 1.0, (0, 1, 3, 4), 11, 13, core=core).collect()}
+    for r in (0, 1, 3, 4):
+        want = spatial.disk_scores(df, "on", "a", "b", 1.0, r, 11, 13).first().asDict()
+        assert all(abs(tiled[r][k] - v) < 1e-9 for k, v in want.items())
