@@ -70,6 +70,13 @@ def stereographic_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     return F.lit(CENTRE) + F.degrees(F.atan2(x, -y)), lat
 
 
+def stereographic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """The point of the polar stereographic grid for degrees of longitude and latitude (the inverse of H11)."""
+    rho = F.lit(2.0 * RADIUS * SCALE) * F.tan(F.radians((90.0 - lat) / 2.0))
+    turned = F.radians(lon - F.lit(CENTRE))
+    return rho * F.sin(turned), -rho * F.cos(turned)
+
+
 def bilinear_weights(fy: Column, fx: Column) -> list[Column]:
     """Weights of the corners 00, 01, 10, 11 (H7)."""
     return [(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]

@@ -46,6 +46,11 @@ def required_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([("L2 required columns", 0.0, float(len(lacking)), not lacking)], "contract string, expected double, found double, ok boolean")
 
 
+def monthly_files(audit: DataFrame, months: int = 24) -> DataFrame:
+    """As many months as asked for have exactly one file (L1). ``audit`` is that of ``month_audit``."""
+    return expect(audit, "L1 monthly files", F.count_if("ok"), months)
+
+
 def archive_complete(seen: DataFrame, expected: DataFrame, day: str) -> list[DataFrame]:
     """No day is missing, unexpected or there twice."""
     return [

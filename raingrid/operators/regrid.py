@@ -103,6 +103,34 @@ def area_average(fine: DataFrame, weights_y: DataFrame, weights_x: DataFrame, le
     return out.select(time, "i", "j", F.when(F.col("source_valid_fraction") >= least, F.col("mean")).alias(value), "source_valid_fraction")
 
 
+def projected_overlap(cells: DataFrame, x0: float, y0: float, step: float, height: int, width: int) -> DataFrame:
+    """``(i, j, y, x, w)``: areas by which fine cells of a projected grid lie in the rectangle round each coarse cell's corners, in fine cells.
+
+    ``cells(i, j, south, north, west, east)`` are in degrees; the fine cell (y, x) has its corner at ``x0 + x * step``,
+    ``y0 + y * step``. What lies beyond the fine grid has no weight, and a coarse cell wholly beyond it no row.
+    """
+    from ..functions.scalar import stereographic
+
+    corners = [stereographic(F.col(lon), F.col(lat)) for lon in ("west", "east") for lat in ("south", "north")]
+    px, py = ([(c[k] - F.lit(origin)) / F.lit(step) for c in corners] for k, origin in ((0, x0), (1, y0)))
+    zero = F.lit(0.0)
+    own = cells.select(
+        "i", "j", F.greatest(F.least(*py), zero).alias("y0"), F.least(F.greatest(*py), F.lit(float(height))).alias("y1"), F.greatest(F.least(*px), zero).alias("x0"), F.least(F.greatest(*px), F.lit(float(width))).alias("x1")
+    ).filter("y0 < y1 and x0 < x1")
+    for a in ("y", "x"):
+        own = own.withColumn(a, F.explode(F.sequence(F.floor(f"{a}0"), F.ceil(f"{a}1") - 1)))
+    share = lambda a: F.least(F.col(a) + 1, F.col(f"{a}1")) - F.greatest(F.col(a), F.col(f"{a}0"))
+    return own.select("i", "j", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (share("y") * share("x")).alias("w")).filter("w > 1e-12")
+
+
+def average_over(fine: DataFrame, overlap: DataFrame, least: float = 0.8, time: str = "t", value: str = "v") -> DataFrame:
+    """``area_average`` by a table of overlaps ``(i, j, y, x, w)``, broadcast where a count shows that it is small."""
+    w, v = F.col("w"), F.col(value)
+    seen = F.coalesce(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0))
+    out = fine.join(bounded(overlap, 256 << 20), ["y", "x"]).groupBy(time, "i", "j").agg(F.try_divide(F.sum(w * v), seen).alias("mean"), F.try_divide(seen, F.sum(w)).alias("source_valid_fraction"))
+    return out.select(time, "i", "j", F.when(F.col("source_valid_fraction") >= least, F.col("mean")).alias(value), "source_valid_fraction")
+
+
 def unit_scale(points: DataFrame, scales: tuple[float, ...] = (1.0, 1000.0)) -> DataFrame:
     """The scale of projected coordinates that puts points ``(px, py, lon, lat)`` nearest to their geolocation, with its errors in degrees (K9)."""
     from ..functions.scalar import stereographic_inverse, wrap_longitude

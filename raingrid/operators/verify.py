@@ -66,31 +66,68 @@ def strata(df: DataFrame, support: Column, registry: str, target: str, estimates
     return F.broadcast(spine).join(scores, ["bin_label", "method"], "left").select("bin", "bin_label", "method", F.coalesce("n", F.lit(0)).alias("n"), "mae", "rmse", "bias")
 
 
-def distribution(df: DataFrame, support: Column, value: str, by: Sequence[str] = (), levels: Sequence[float] = (0.9, 0.95, 0.99, 0.999), accuracy: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``(by, q)``: an array of exact quantiles (linear between neighbours) of each group, of any size.
+
+    One pass counts values in buckets that keep their order (some 900 for amounts up to a metre), which tells the buckets that
+    hold the ranks asked for; a second one counts equal values of these buckets alone. No task holds a group's values. Groups
+    are few and have a name, so their two ranks a level are broadcast. Missing values are left out.
+    """
+    v = F.col(value).cast("double")
+    rows = df.filter(v.isNotNull()).select(*by, v.alias("_v"), F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 64).alias("_b"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumns({"_at": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    wanted = F.array_distinct(F.array(*(f(place(q)) for q in levels for f in (F.floor, F.ceil))))
+    ranks = counts.withColumn("_rank", F.explode(wanted)).filter("_rank >= _at and _rank < _at + _n").select(*by, "_b", "_rank", "_all")
+    starts = counts.filter(F.exists(wanted, lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")))).select(*by, "_b", "_at")
+    equal = rows.join(F.broadcast(starts), [*by, "_b"]).groupBy(*by, "_b", "_at", "_v").agg(F.count("*").alias("_n"))
+    equal = equal.withColumn("_end", F.col("_at") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = equal.join(F.broadcast(ranks), [*by, "_b"]).filter("_rank >= _end - _n and _rank < _end")
+    own = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"), F.max("_all").alias("_all"))
+
+    def level(q: float) -> Column:
+        low, high = F.try_element_at("_m", F.floor(place(q))), F.try_element_at("_m", F.ceil(place(q)))
+        part = place(q) - F.floor(place(q))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return own.select(*by, F.array(*(level(q) for q in levels)).alias("q"))
+
+
+def _with_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str], aggregates: list[Column], small: bool, accuracy: int | None = None) -> DataFrame:
+    """Aggregates and ``q``: by one aggregate for small groups or a sketch, else by ``exact_quantiles``."""
+    if small or accuracy is not None:
+        q = F.percentile(value, F.array(*(F.lit(q) for q in levels))) if accuracy is None else F.percentile_approx(value, list(levels), accuracy)
+        return df.groupBy(*by).agg(*aggregates, q.alias("q"))
+    out, q = df.groupBy(*by).agg(*aggregates), exact_quantiles(df, value, levels, by)
+    return out.join(q, list(by), "left") if by else out.crossJoin(F.broadcast(q))
+
+
+def distribution(df: DataFrame, support: Column, value: str, by: Sequence[str] = (), levels: Sequence[float] = (0.9, 0.95, 0.99, 0.999), accuracy: int | None = None, small: bool = False) -> DataFrame:
     """n, mean, population deviation, maximum, wet share (> 0), exceedance shares and quantiles.
 
-    Quantiles are exact over the rows given (a sample by F6 bounds them); ``accuracy`` asks for Spark's
-    sketch instead, which stays small at any size.
+    Quantiles are exact, by ``exact_quantiles``; ``small`` says that groups are bounded (an hour, a sample), where one aggregate
+    does; ``accuracy`` asks for Spark's sketch instead.
     """
     v, kind = F.col(value), dict(df.dtypes)[value]  # exceedance is told in the values' own type (Z-3)
-    quantiles = F.percentile(value, F.array(*(F.lit(q) for q in levels))) if accuracy is None else F.percentile_approx(value, list(levels), accuracy)
-    out = df.filter(support).groupBy(*by).agg(
+    aggregates = [
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"),
         F.avg((v > 0).cast("double")).alias("wet_fraction"),
         *(F.avg((v > F.lit(t).cast(kind)).cast("double")).alias(f"fraction_gt_{str(t).replace('.', '_').removesuffix('_0')}") for t in EVENT_THRESHOLDS),
-        quantiles.alias("q"),
-    )
+    ]
+    out = _with_quantiles(df.filter(support), value, levels, by, aggregates, small, accuracy)
     names = [f"p{str(round(100 * q, 3)).removesuffix('.0').replace('.', '_')}" for q in levels]
     return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
 
-def value_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Finite count, missing share, negatives, minimum, median, high quantiles, maximum."""
+def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), small: bool = False) -> DataFrame:
+    """Finite count, missing share, negatives, minimum, median, high quantiles, maximum (D12); ``small`` as in ``distribution``."""
     v = F.col(value)
-    out = df.groupBy(*by).agg(
+    aggregates = [
         F.count(v).alias("finite"), ratio(F.count_if(v.isNull()), F.count("*")).alias("missing_fraction"), F.count_if(v < -1e-7).alias("negatives"),
-        F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"), F.max(v).alias("max"),
-    )
+        F.min(v).alias("min"), F.max(v).alias("max"),
+    ]
+    out = _with_quantiles(df, value, (0.5, 0.95, 0.99), by, aggregates, small)
     return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(("median", "p95", "p99"))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.bins import REGISTRIES
+from ..functions.scalar import CENTRE, RADIUS, SCALE
 from .views import FIELD_SQL, SIDE, grid_sql, series_sql
 
 G = f"WITH {grid_sql(SIDE)}"
@@ -281,4 +282,35 @@ SELECT epoch, bin_label, n, {R('mae', 'bias', 'mean', 'std', 'max', 'p50', 'p95'
 j AS (SELECT sp.*, est, truth, coalesce(available AND overlap AND truth IS NOT NULL AND est IS NOT NULL, false) AS m FROM sp LEFT JOIN g ON g.t = sp.t AND g.y = patch_y + dy AND g.x = patch_x + dx)
 SELECT CAST(epoch AS BIGINT) AS epoch, t, CAST(patch_y AS BIGINT) AS patch_y, CAST(patch_x AS BIGINT) AS patch_x, string_agg((est IS NOT NULL)::INT, '' ORDER BY dy, dx) AS available, string_agg(m::INT, '' ORDER BY dy, dx) AS mask,
 round(sum(CASE WHEN est IS NOT NULL THEN CAST(ln(1 + greatest(est, 0)) AS FLOAT)::DOUBLE ELSE 0 END), 4) AS input, round(sum(CASE WHEN truth IS NOT NULL THEN CAST(greatest(truth, 0) AS FLOAT)::DOUBLE ELSE 0 END), 4) AS amount FROM j GROUP BY ALL""",
+    "cube_by_months": f"""{G}, o AS (SELECT strftime(make_timestamp(t * 604800 * 1000000), '%Y_%m') AS month, * FROM g)
+SELECT month, count(*) AS cells, count(est) AS seen, {R('sum(truth)').replace('AS sum(truth)', 'AS truth')}, {R('sum(est)').replace('AS sum(est)', 'AS est')} FROM o GROUP BY month""",
+    "cube_inventory": f"""{G}, m AS (SELECT DISTINCT strftime(make_timestamp(t * 604800 * 1000000), '%Y_%m') AS month FROM g)
+SELECT month, 1::BIGINT AS there, true AS bytes, true AS ok FROM m UNION ALL SELECT '1900_01', 0, false, false UNION ALL SELECT 'L1 monthly files', count(*), true, count(*) = 24 FROM m""",
+    "split_manifest": f"{SPLITS} SELECT date_utc, count(*) AS steps, min(t) AS first FROM sp WHERE split = 'test' GROUP BY date_utc",
+    "report_files": f"{POINT} SELECT source, method, n, {R('mae', 'rmse', 'bias')}, valid_hours FROM p, (VALUES ('csv'), ('json')) f(source)",
+    "finite_values": """WITH v AS (SELECT l_orderkey % 3 AS part, CASE WHEN l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0 THEN l_quantity END AS v FROM lineitem)
+SELECT part, count(*) AS n, count(v) AS finite, round(sum(v), 6) AS total, max(v) AS max FROM v GROUP BY part""",
+    "tile_layout": f"{G} SELECT t, count(DISTINCT (y // 5, x // 5)) AS tiles, count(*) AS cells, round(sum((y * 100 + x) * truth), 6) AS moment FROM g GROUP BY t",
+    "archive_days": f"""WITH {series_sql(300)}, d AS (SELECT DATE '1970-01-01' + CAST(t // 86400 AS INT) AS day, v FROM s), y AS (SELECT min(day) AS day FROM d GROUP BY year(day))
+SELECT day, true AS expected, 1::BIGINT AS members, true AS ok, count(*) AS steps, count(v) AS seen, round(sum(v), 6) AS total, day IN (SELECT day FROM y) AS sampled FROM d GROUP BY day""",
+    "regrid_projected": f"""{G}, ll AS (SELECT i, j, lon, lat FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(range(5)) AS j), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b),
+LATERAL (SELECT 9.6::DOUBLE + (j + a) * 0.4::DOUBLE AS lon, 50::DOUBLE + (i + b) * 0.25::DOUBLE AS lat)),
+xy AS (SELECT i, j, r * sin(radians(lon - {CENTRE})) AS px, -r * cos(radians(lon - {CENTRE})) AS py FROM (SELECT *, {2 * RADIUS * SCALE}::DOUBLE * tan(radians((90 - lat) / 2)) AS r FROM ll)),
+box AS (SELECT i, j, greatest(min((py + 4300000) / 10000), 0) AS y0, least(max((py + 4300000) / 10000), {SIDE}) AS y1, greatest(min((px + 20000) / 10000), 0) AS x0, least(max((px + 20000) / 10000), {SIDE}) AS x1 FROM xy GROUP BY i, j),
+ov AS (SELECT i, j, y, x, (least(y + 1, y1) - greatest(y, y0)) * (least(x + 1, x1) - greatest(x, x0)) AS w FROM box, (SELECT unnest(range({SIDE})) AS y), (SELECT unnest(range({SIDE})) AS x) WHERE least(y + 1, y1) > greatest(y, y0) AND least(x + 1, x1) > greatest(x, x0)),
+z AS (SELECT t, i, j, sum(w * est) / sum(CASE WHEN est IS NOT NULL THEN w END) AS mean, coalesce(sum(CASE WHEN est IS NOT NULL THEN w END), 0) / sum(w) AS s FROM g JOIN ov USING (y, x) WHERE w > 1e-12 GROUP BY t, i, j)
+SELECT t, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN s >= 0.9 THEN round(mean, 6) + 0.0 END AS est, round(s, 6) AS source_valid_fraction FROM z""",
 }
+ORACLES["regrid_map_table"] = ORACLES["regrid_bilinear"]
+
+
+def _typical() -> str:
+    """Bins in turn: the hour with the largest share that no bin before has taken."""
+    parts, conditions = [], BIN_SQL["diagnostics"]
+    for k, (condition, (label, _)) in enumerate(zip(conditions, REGISTRIES["diagnostics"], strict=True)):
+        free = "".join(f" AND t NOT IN (SELECT t FROM p{n})" for n in range(k))
+        parts.append(f"p{k} AS (SELECT '{label}' AS bin_label, t FROM (SELECT t, avg(({condition})::INT::DOUBLE) AS share FROM c GROUP BY t) WHERE share > 0{free} ORDER BY share DESC, t LIMIT 1)")
+    return f"{G}, {', '.join(parts)} {' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(len(conditions)))}"
+
+
+ORACLES["typical_per_bin"] = _typical()

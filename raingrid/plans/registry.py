@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins, scalar
-from ..functions.missing import ratio
+from ..functions.missing import finite, ratio
 from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, support, timealign, verify
-from ..sources.shared import written
+from ..sources import archive, reports, tables
+from ..sources.shared import new_path, written
 from .oracles import ORACLES
 from .views import SIDE, field, grid, series, table
 
@@ -108,7 +110,7 @@ def value_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stat_ranges(spark: SparkSession, d: str) -> DataFrame:
-    stats = verify.value_stats(grid(spark, d), "est", by=["t"])
+    stats = verify.value_stats(grid(spark, d), "est", by=["t"], small=True)
     return rounded(verify.stat_ranges(stats, ["finite", "missing_fraction", "max"]))
 
 
@@ -496,6 +498,127 @@ def training_patches(spark: SparkSession, d: str) -> DataFrame:
     return rounded(own.select("epoch", "t", "patch_y", "patch_x", bits("available").alias("available"), bits("mask").alias("mask"), total("input").alias("input"), total("amount").alias("amount")), 4)
 
 
+def _as_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The grid as rows of a cube: weeks as epoch seconds, what is missing as NaN."""
+    g = grid(spark, d)
+    return g.select((F.col("t") * 604800).alias("time_epoch"), "y", "x", "truth", F.coalesce("est", F.lit(float("nan"))).alias("est"))
+
+
+def cube_by_months(spark: SparkSession, d: str) -> DataFrame:
+    """A cube written by month, a second write that leaves its months alone, and its scan."""
+    cube, path = _as_cube(spark, d), new_path(spark, "cube")
+    tables.write_months(cube.filter(F.col("time_epoch") % 3 == 0), path)
+    tables.write_months(cube.filter(F.col("time_epoch") % 3 == 0).withColumn("truth", F.lit(-1.0)), path)
+    tables.write_months(cube, path, overwrite=True)
+    tables.write_months(cube.withColumn("truth", F.lit(-2.0)), path)
+    own = tables.scan(spark, path, ["truth", "est"]).groupBy("month").agg(F.count("*").alias("cells"), F.count("est").alias("seen"), F.sum("truth").alias("truth"), F.sum("est").alias("est"))
+    return rounded(own.withColumn("month", F.col("month").cast("string")))
+
+
+def cube_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Months asked for against the files that are there; one month is not."""
+    cube, path = _as_cube(spark, d), new_path(spark, "cube")
+    tables.write_months(cube, path)
+    months = cube.select(scalar.month_stem(F.col("time_epoch")).alias("month")).distinct().unionByName(spark.createDataFrame([("1900_01",)], "month string"))
+    audit = tables.month_audit(tables.inventory(spark, path, "*.parquet"), months, r"month=(\d{4}_\d{2})/")
+    kept = audit.select("month", F.when(F.col("files") > 0, 1).otherwise(0).alias("there"), F.col("bytes") > 0, F.col("ok")).toDF("month", "there", "bytes", "ok")
+    whole = contracts.monthly_files(audit, 24).select(F.col("contract").alias("month"), F.col("found").cast("int").alias("there"), F.lit(True).alias("bytes"), "ok")
+    return rounded(kept.unionByName(whole))
+
+
+def regrid_map_table(spark: SparkSession, d: str) -> DataFrame:
+    """The regrid of a map that was written and loaded."""
+    path = new_path(spark, "map")
+    tables.write_map(_mapping(spark), path)
+    return rounded(regrid.regrid_bilinear(field(spark, d), tables.load_bilinear_map(spark, path), 8))
+
+
+def split_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Times of a split's manifest by day."""
+    path = new_path(spark, "splits")
+    reports.write_manifest(splits.chronological_splits(series(spark, d, 1800)).withColumnRenamed("t", "time_epoch"), path)
+    return rounded(reports.read_manifest(spark, path, "test").groupBy("date_utc").agg(F.count("*").alias("steps"), F.min("time_epoch").alias("first")))
+
+
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """Point metrics as CSV and as JSON, read again."""
+    metrics, csv, json = point_metrics_overall(spark, d), new_path(spark, "csv"), new_path(spark, "json")
+    kinds = ", ".join(f"{n} {t}" for n, t in metrics.dtypes)
+    reports.write_csv(metrics, csv, ["method"])
+    reports.write_json(metrics, json)
+    both = reports.read_csv(spark, csv, kinds).withColumn("source", F.lit("csv")).unionByName(reports.read_json(spark, json, kinds).withColumn("source", F.lit("json")))
+    return rounded(both)
+
+
+def finite_values(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts of which some are NaN or infinite, by what is left (H3)."""
+    k = F.col("l_orderkey")
+    v = F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("inf"))).when(k % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("l_quantity"))
+    own = table(spark, d, "lineitem").select((k % 3).alias("part"), finite(v).alias("v"))
+    return rounded(own.groupBy("part").agg(F.count("*").alias("n"), F.count("v").alias("finite"), F.sum("v").alias("total"), F.max("v").alias("max")))
+
+
+def tile_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Cells to tiles and back."""
+    tiled = predict.to_tiles(grid(spark, d), "truth", 5)
+    per = tiled.groupBy("t").agg(F.count("*").alias("tiles"))
+    back = predict.from_tiles(tiled, "truth").groupBy("t").agg(F.count("*").alias("cells"), F.sum((F.col("y") * 100 + F.col("x")) * F.col("truth")).alias("moment"))
+    return rounded(per.join(back, "t"))
+
+
+def _write_archives(steps: DataFrame, folder: str) -> DataFrame:
+    """A tar.gz a week with a member a day (times and amounts as bytes) in a folder; their paths. A week has at most 2,016 steps."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import os
+        import tarfile
+
+        path = f"{folder}-{int(rows['t'].iloc[0]) // 604800}.tar.gz"
+        if "://" not in path:
+            os.makedirs(os.path.dirname("/" + path.removeprefix("file:").lstrip("/")), exist_ok=True)
+        with archive.open_file(path, write=True) as stream, tarfile.open(fileobj=stream, mode="w|gz") as out:
+            for day, own in rows.sort_values("t").groupby(rows["t"] // 86400):
+                data = own["t"].to_numpy("<i8").tobytes() + own["v"].to_numpy("<f8").tobytes()
+                member = tarfile.TarInfo(f"data/YW_2017.002_{pd.Timestamp(int(day), unit='D'):%Y%m%d}.nc")
+                member.size = len(data)
+                out.addfile(member, io.BytesIO(data))
+        return pd.DataFrame({"path": [path]})
+
+    return steps.groupBy(F.floor(F.col("t") / 604800)).applyInPandas(pack, "path string")
+
+
+def _read_member(path: str):
+    data = np.fromfile(path, "<i8")
+    n = len(data) // 2
+    for low in range(0, n, 100):
+        v = pd.Series(data[n:].view("<f8")[low : min(low + 100, n)])
+        yield pd.DataFrame({"t": data[low : min(low + 100, n)], "v": v.astype(object).where(v.notna(), None)})
+
+
+def archive_days(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly archives of daily members, read as a stream, put together and decoded: steps and amounts of each day."""
+    paths = [r["path"] for r in _write_archives(series(spark, d, 300), new_path(spark, "archives")).collect()]  # one row an archive
+    days = series(spark, d, 300).select(scalar.day_of(F.col("t")).alias("day")).distinct()
+    audit = archive.archive_audit(archive.members(spark, paths), days)
+    pieces = archive.members(spark, paths, contents=True)
+    own = archive.decoded(pieces, _read_member, "t long, v double").groupBy("day").agg(F.count("*").alias("steps"), F.count("v").alias("seen"), F.sum("v").alias("total"))
+    sample = archive.decoded(archive.first_of_years(pieces), _read_member, "t long, v double").select("day", F.lit(True).alias("sampled")).distinct()
+    return rounded(audit.join(own, "day", "left").join(sample, "day", "left").fillna(False, ["sampled"]))
+
+
+#: The fine grid of ``regrid_projected``: corner and step in m; and its coarse cells in degrees.
+FINE = (-20_000.0, -4_300_000.0, 10_000.0)
+
+
+def regrid_projected(spark: SparkSession, d: str) -> DataFrame:
+    """Means of a projected grid in cells of latitude and longitude, some of them partly beyond it."""
+    cells = spark.range(30).select(F.floor(F.col("id") / 5).cast("int").alias("i"), (F.col("id") % 5).cast("int").alias("j"))
+    cells = cells.withColumns({"south": 50.0 + F.col("i") * 0.25, "west": 9.6 + F.col("j") * 0.4}).withColumns({"north": F.col("south") + 0.25, "east": F.col("west") + 0.4})
+    overlap = regrid.projected_overlap(cells, *FINE, SIDE, SIDE)
+    return rounded(regrid.average_over(grid(spark, d).select("t", "y", "x", "est"), overlap, 0.9, "t", "est"))
+
+
 QUERIES = {
     "strict_hourly_sum": lambda s, d: rounded(hours(s, d, 300)),
     "strict_half_hours": lambda s, d: rounded(hours(s, d, 1800)),
@@ -514,6 +637,7 @@ QUERIES = {
         pixel_sample, qc_sample, epoch_order, epoch_order_all, chronological_splits, split_checks, split_filter, split_classify, quantile_map_fit, quantile_map_apply, quantile_map_delta, typical_hours,
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
-        paired_report, bin_counts, validation_by_epoch, training_patches,
+        paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
+        tile_layout, archive_days, regrid_projected,
     )
 }

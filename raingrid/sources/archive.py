@@ -1,10 +1,15 @@
-"""Members of tar archives as rows (A2, A3, A5): a data source with one partition for each archive, which gzip can't split."""
+"""Members of tar archives as rows (A2, A3, A5, I2): a data source with one partition for each archive, which gzip can't split."""
 
 from __future__ import annotations
 
+import os
 import tarfile
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,6 +20,19 @@ from ..functions.scalar import member_date
 PIECE = 8 << 20
 
 
+_COLUMNS = pa.schema([("archive", pa.string()), ("place", pa.int32()), ("member", pa.string()), ("bytes", pa.int64()), ("piece", pa.int32()), ("content", pa.binary())])
+
+
+def open_file(path: str, write: bool = False) -> BinaryIO:
+    """A file by its path or URI, as a stream from front to back; other schemes than ``file`` go by Arrow's file systems."""
+    if "://" not in path or path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path, "wb" if write else "rb")  # noqa: SIM115  the caller closes it
+    from pyarrow.fs import FileSystem
+
+    system, inner = FileSystem.from_uri(path)
+    return system.open_output_stream(inner) if write else system.open_input_stream(inner)
+
+
 class _Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -28,17 +46,22 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Archive]:
         return [_Archive(p) for p in self.paths]
 
-    def read(self, partition: _Archive) -> Iterator[tuple]:
-        with tarfile.open(partition.path.removeprefix("file:").replace("///", "/"), "r|*") as archive:
+    def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
+        """A batch for each member or piece, so that a task holds one piece at a time."""
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(_COLUMNS.names, ([v] for v in values), strict=True)), _COLUMNS)
+
+        with open_file(partition.path) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
             for place, member in enumerate(archive):
                 if not member.isfile():
                     continue
                 if not self.contents:
-                    yield partition.path, place, member.name, member.size, 0, None
+                    yield row(partition.path, place, member.name, member.size, 0, None)
                     continue
                 file, piece = archive.extractfile(member), 0
                 while (data := file.read(PIECE)) or not piece:
-                    yield partition.path, place, member.name, member.size, piece, data
+                    yield row(partition.path, place, member.name, member.size, piece, data)
                     piece += 1
 
 
@@ -63,6 +86,52 @@ def members(spark: SparkSession, paths: list[str], contents: bool = False) -> Da
     return rows.withColumn("day", member_date(F.col("member")))
 
 
+def decoded(pieces: DataFrame, read: Callable[[str], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``(archive, place, member, day, ...)``: the rows of ``schema`` that ``read`` gives for each member's file (A3, A5).
+
+    Pieces of a member come to one task, in order, and go to a file of that task, which is removed once it is read; ``read``
+    takes its path and gives slabs, so a task holds a piece or a slab at a time. A member that isn't whole fails. Members spread
+    over tasks by archive and place, so what one archive's task has unpacked is decoded by many.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = tempfile.mkdtemp(prefix="spark-member-")
+        path, now, size, want = os.path.join(folder, "member"), None, 0, 0
+
+        def slabs() -> Iterator[pd.DataFrame]:
+            if now is None:
+                return
+            if size != want:
+                raise ValueError(f"{now[2]} has {size} of {want} bytes")
+            for slab in read(path):
+                yield pd.DataFrame(dict(zip(("archive", "place", "member", "day"), now, strict=True)), index=slab.index).join(slab)
+
+        try:
+            for batch in batches:
+                for archive, place, member, day, total, data in batch.itertuples(index=False):
+                    if now is None or now[:2] != (archive, place):
+                        yield from slabs()
+                        now, size, want = (archive, place, member, day), 0, total
+                        open(path, "wb").close()
+                    with open(path, "ab") as file:
+                        file.write(data)
+                    size += len(data)
+            yield from slabs()
+        finally:
+            if os.path.exists(path):
+                os.remove(path)
+            os.rmdir(folder)
+
+    own = pieces.repartition("archive", "place").sortWithinPartitions("archive", "place", "piece")
+    return own.select("archive", "place", "member", "day", "bytes", "content").mapInPandas(run, f"archive string, place int, member string, day date, {schema}")
+
+
+def first_of_years(pieces: DataFrame) -> DataFrame:
+    """Of daily files those of the first day of each year, a sample to be decoded (A3)."""
+    firsts = pieces.filter("day is not null").groupBy(F.year("day").alias("year")).agg(F.min(F.struct("day", "archive", "place")).alias("m"))
+    return pieces.join(F.broadcast(firsts.select("m.archive", "m.place")), ["archive", "place"], "left_semi")
+
+
 def archive_audit(rows: DataFrame, days: DataFrame) -> DataFrame:
     """Each expected day with how often it is there, and days that were not expected."""
     seen = rows.filter("day is not null").groupBy("day").agg(F.count("*").alias("members"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Times read at once.
 SLAB = 24
+#: What a slab's rows hold.
+SCHEMA = "t long, y int, x int, v float, units string"
 
 
 def _library():
@@ -20,22 +22,34 @@ def _library():
     return netCDF4
 
 
+def slabs(variable: str, time: str = "time", size: int = SLAB) -> Callable[[str], Iterator[pd.DataFrame]]:
+    """A function that gives a file's rows of ``SCHEMA``, some times at once; fill values are NULL. It also reads what ``archive.decoded`` puts together (A5)."""
+
+    def read(path: str) -> Iterator[pd.DataFrame]:
+        netcdf = _library()
+        with netcdf.Dataset(path) as file:
+            field, axis = file[variable], file[time]
+            for low in range(0, field.shape[0], size):
+                own = np.ma.filled(np.ma.asarray(field[low : low + size], np.float32), np.nan)
+                when = [int(w.timestamp()) for w in netcdf.num2date(axis[low : low + size], axis.units, only_use_cftime_datetimes=False, only_use_python_datetimes=True)]
+                t, y, x = np.indices(own.shape)
+                frame = pd.DataFrame({"t": np.array(when)[t.ravel()], "y": y.ravel(), "x": x.ravel(), "v": own.ravel(), "units": getattr(field, "units", None)})
+                yield frame.assign(v=frame["v"].astype(object).where(frame["v"].notna(), None))
+
+    return read
+
+
 def netcdf_scan(spark: SparkSession, paths: list[str], variable: str, time: str = "time") -> DataFrame:
-    """``(t, y, x, v, units)`` of a three-dimensional variable: a task for each file, slabs of 24 times; fill values are NULL."""
+    """``(path, t, y, x, v, units)`` of a three-dimensional variable: a task for each file, slabs of 24 times; fill values are NULL (A4)."""
     _library()
+    read = slabs(variable, time)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        netcdf = _library()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                with netcdf.Dataset(path) as file:
-                    field, axis = file[variable], file[time]
-                    for low in range(0, field.shape[0], SLAB):
-                        own = np.ma.filled(np.ma.asarray(field[low : low + SLAB], np.float32), np.nan)
-                        when = [int(w.timestamp()) for w in netcdf.num2date(axis[low : low + SLAB], axis.units, only_use_cftime_datetimes=False, only_use_python_datetimes=True)]
-                        t, y, x = np.indices(own.shape)
-                        frame = pd.DataFrame({"t": np.array(when)[t.ravel()], "y": y.ravel(), "x": x.ravel(), "v": own.ravel(), "units": getattr(field, "units", None)})
-                        yield frame.assign(v=frame["v"].astype(object).where(frame["v"].notna(), None))
+                for slab in read(path):
+                    slab.insert(0, "path", path)
+                    yield slab
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInPandas(read, "t long, y int, x int, v float, units string")
+    return files.mapInPandas(run, f"path string, {SCHEMA}")

@@ -17,6 +17,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of ``write_json`` by a schema; a line that isn't an object fails."""
+    return spark.read.text(path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of ``write_csv`` by a schema."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def write_manifest(splits: DataFrame, path: str) -> None:
     """Split manifests: a folder for each split with its times."""
     splits.repartition("split").sortWithinPartitions("time_epoch").write.mode("overwrite").partitionBy("split").option("header", True).csv(path)

@@ -31,8 +31,13 @@ def bounded(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return os.path.join(shared_folder(spark), f"raingrid-{uuid.uuid4().hex}", name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: small results that several jobs use are computed once, and are cheap to count."""
-    path = os.path.join(shared_folder(df.sparkSession), f"raingrid-{uuid.uuid4().hex}", name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

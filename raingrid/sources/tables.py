@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import finite
@@ -61,6 +61,29 @@ def month_audit(files: DataFrame, months: DataFrame, stem: str = r"(\d{4}_\d{2})
     return months.join(found, "month", "left").select("month", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), (F.coalesce("files", F.lit(0)) == 1).alias("ok"))
 
 
+def file_stats(rows: DataFrame, file: str, time: str = "t", value: str = "v") -> DataFrame:
+    """For each file its first and last time, number of times, least and largest step between them, shape, units and missing cells (A1, A3)."""
+    per = rows.groupBy(file, time).agg(
+        F.max("y").alias("y"), F.max("x").alias("x"), F.count_if(F.col(value).isNull()).alias("missing"), F.min("units").alias("low"), F.max("units").alias("high")
+    )
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(file).orderBy(time))
+    return per.withColumn("step", step).groupBy(file).agg(
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("times"), F.min("step").alias("least_step"), F.max("step").alias("largest_step"),
+        (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.when(F.min("low") == F.max("high"), F.min("low")).alias("units"), F.sum("missing").alias("missing"),
+    )
+
+
+def write_map(mapping: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A regrid map in its declared schema."""
+    kinds = (c.split() for c in SCHEMAS["regrid_map"].split(", "))
+    mapping.select(*(F.col(c).cast(t) for c, t in kinds)).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def load_bilinear_map(spark: SparkSession, path: str) -> DataFrame:
+    """A regrid map of ``write_map`` (A9); ``regrid_bilinear`` broadcasts it where a count shows that it is small."""
+    return scan(spark, path, [], SCHEMAS["regrid_map"])
+
+
 def write_grids(folder: str, overwrite: bool = False, **grids: DataFrame) -> None:
     """Dimension tables of grids (axes, geolocation, reference system), a folder for each (A16). They are small: one file each."""
     for name, grid in grids.items():

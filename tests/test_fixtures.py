@@ -359,3 +359,33 @@ def test_disks_by_tiles_are_disks_by_chords(spark, core):
     for r in (0, 1, 3, 4):
         want = spatial.disk_scores(df, "on", "a", "b", 1.0, r, 11, 13).first().asDict()
         assert all(abs(tiled[r][k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_exact_quantiles_are_those_of_a_sort(spark):
+    rng, levels = np.random.default_rng(4), (0.0, 0.25, 0.5, 0.9, 0.999, 1.0)
+    groups = {"many": rng.gamma(0.3, 5, 3000), "ties": rng.integers(-2, 3, 500).astype(float), "one": np.array([3.5]), "wide": rng.normal(0, 1, 400) * 10.0 ** rng.integers(-8, 9, 400), "hot": np.array([0.0] * 900 + [7.0, 7.5])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("many", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["q"] for r in verify.exact_quantiles(df, "v", levels, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        np.testing.assert_allclose(got[k], np.quantile(v, levels), rtol=1e-12, atol=1e-15)
+    assert verify.exact_quantiles(df.filter("k = 'one'"), "v", levels).first()["q"] == [3.5] * 6
+    assert verify.value_stats(df.filter("v is null"), "v").first()["median"] is None
+    same = [verify.distribution(df, F.lit(True), "v", ["k"], small=s).orderBy("k").collect() for s in (False, True)]
+    for a, b in zip(*same, strict=True):
+        assert a[:8] == b[:8] and [round(x, 9) for x in a[8:] if x is not None] == [round(x, 9) for x in b[8:] if x is not None]
+
+
+def test_overlaps_of_projected_cells(spark):
+    cells = spark.createDataFrame([(0, 0, 50.0, 50.3, 9.9, 10.4), (1, 0, 10.0, 11.0, 9.9, 10.4)], "i int, j int, south double, north double, west double, east double")
+    got = regrid.projected_overlap(cells, -50_000.0, -4_400_000.0, 1000.0, 200, 200).groupBy("i").agg(F.sum("w").alias("w"), F.max("w").alias("most")).collect()
+    lon, lat = np.meshgrid(np.radians(np.array([9.9, 10.4]) - 10), [50.0, 50.3])
+    rho = 2 * scalar.RADIUS * scalar.SCALE * np.tan(np.radians((90 - lat) / 2)) / 1000
+    area = np.ptp(rho * np.sin(lon)) * np.ptp(rho * np.cos(lon))
+    assert [r["i"] for r in got] == [0] and abs(got[0]["w"] - area) < 1e-6 and abs(got[0]["most"] - 1) < 1e-9
+    there = spark.range(5).select((F.col("id") + 7.5).alias("lon"), (F.col("id") + 47.5).alias("lat"))
+    x, y = scalar.stereographic(F.col("lon"), F.col("lat"))
+    lon, lat = scalar.stereographic_inverse(F.col("x"), F.col("y"))
+    for r in there.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat}).collect():
+        assert abs(r["lon"] - r["lon2"]) < 1e-9 and abs(r["lat"] - r["lat2"]) < 1e-9

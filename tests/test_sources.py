@@ -2,8 +2,12 @@
 
 import datetime
 import io
+import sys
 import tarfile
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,12 +51,78 @@ def test_archive_members(spark, tmp_path):
     assert got == {1: (1, True), 2: (0, False), 3: (2, False)}
 
 
+def test_members_are_put_together_and_decoded(spark, tmp_path):
+    def bytes_as_times(path):
+        data = np.fromfile(path, np.uint8)
+        for low in range(0, len(data), 3):
+            yield pd.DataFrame({"t": np.arange(low, min(low + 3, len(data))), "v": data[low : low + 3].astype(float)})
+
+    rng, want = np.random.default_rng(1), {}
+    for year in (2019, 2020):
+        with tarfile.open(tmp_path / f"{year}.tar.gz", "w:gz") as out:
+            for day in (3, 2, 1):
+                data = rng.bytes(5 + day)
+                name = f"YW_2017.002_{year}010{day}.nc"
+                want[name] = [float(b) for b in data]
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                out.addfile(info, io.BytesIO(data))
+    pieces = archive.members(spark, [str(tmp_path / "2019.tar.gz"), f"file://{tmp_path}/2020.tar.gz"], contents=True)
+    # members of one piece, cut into pieces of 4 bytes
+    small = pieces.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 4)))).selectExpr("archive", "place", "member", "day", "bytes", "int(k) as piece", "substring(content, int(4 * k + 1), 4) as content")
+    got: dict = {}
+    for r in archive.decoded(small, bytes_as_times, "t long, v double").orderBy("member", "t").collect():
+        got.setdefault(r["member"], []).append(r["v"])
+    assert got == want
+    assert {str(r["day"]) for r in archive.first_of_years(small).select("day").distinct().collect()} == {"2019-01-01", "2020-01-01"}
+    with pytest.raises(Exception, match="of 8 bytes"):
+        archive.decoded(small.filter("piece <> 1"), bytes_as_times, "t long, v double").collect()
+    assert archive.decoded(small.limit(0), bytes_as_times, "t long, v double").count() == 0
+
+
+def test_slabs_of_a_netcdf_file(monkeypatch):
+    field = np.ma.masked_equal(np.arange(12, dtype=np.float32).reshape(3, 2, 2), 5)
+
+    class Variable:
+        def __init__(self, data, units):
+            self.data, self.units, self.shape = data, units, data.shape
+
+        def __getitem__(self, at):
+            return self.data[at]
+
+    class Dataset(dict):
+        def __init__(self, path):
+            super().__init__(tp=Variable(field, "m"), time=Variable(np.array([0, 1, 2]), "hours since 1970-01-01"))
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    when = lambda hours, units, **_: [datetime.datetime.fromtimestamp(int(h) * 3600, datetime.timezone.utc) for h in hours]
+    monkeypatch.setitem(sys.modules, "netCDF4", SimpleNamespace(Dataset=Dataset, num2date=when))
+    got = list(netcdf.slabs("tp", size=2)("x.nc"))
+    assert [len(g) for g in got] == [8, 4]
+    rows = pd.concat(got)
+    assert list(rows["t"].unique()) == [0, 3600, 7200] and rows["v"].isna().sum() == 1 and set(rows["units"]) == {"m"}
+
+
+def test_file_stats(spark):
+    rows = [("a", t, y, x, None if y else 1.0, "m") for t in (0, 3600, 10800) for y in range(2) for x in range(3)] + [("b", 0, 0, 0, 1.0, "m"), ("b", 3600, 0, 0, 1.0, "mm")]
+    got = {r["file"]: r.asDict() for r in tables.file_stats(spark.createDataFrame(rows, "file string, t long, y int, x int, v double, units string"), "file").collect()}
+    assert got["a"] == {"file": "a", "first": 0, "last": 10800, "times": 3, "least_step": 3600, "largest_step": 7200, "height": 2, "width": 3, "units": "m", "missing": 9}
+    assert got["b"]["units"] is None and got["b"]["least_step"] == 3600
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("b", 1.0), ("a", float("nan"))], "m string, v double")
     reports.write_csv(df, str(tmp_path / "c"), ["m"])
     assert next((tmp_path / "c").glob("*.csv")).read_text().splitlines()[0] == "m,v"
     reports.write_json(df, str(tmp_path / "j"))
     assert '{"m":"a","v":null}' in next((tmp_path / "j").glob("*.txt")).read_text()
+    assert sorted(map(tuple, reports.read_json(spark, str(tmp_path / "j"), "m string, v double").collect())) == [("a", None), ("b", 1.0)]
+    assert [r["m"] for r in reports.read_csv(spark, str(tmp_path / "c"), "m string, v double").collect()] == ["a", "b"]
     splits = spark.createDataFrame([(3600, datetime.date(2019, 1, 1), "train"), (7200, datetime.date(2019, 1, 1), "test")], "time_epoch long, date_utc date, split string")
     reports.write_manifest(splits, str(tmp_path / "m"))
     assert [r["time_epoch"] for r in reports.read_manifest(spark, str(tmp_path / "m"), "test").collect()] == [7200]
