@@ -10,21 +10,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialise
+from .textkit import slices
 
 CAPACITY, END = 2048, 0
-#: Words that one task keeps the ids of (twice so many for a time), and pieces of one length in a numbering block as a mean.
-KEPT_WORDS, BLOCK_ROWS = 300_000, 1_000
+#: Words that one task keeps the ids of (those of one run more for a time), and bytes of text that are split at a time (a longer text by itself).
+KEPT_WORDS, RUN_BYTES = 500_000, 12 << 20
+#: Pieces of one length in a numbering block as a mean.
+BLOCK_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters that some notions of white space hold and others don't; texts with them go to the tokenizer whole.
-_UNSURE = "\x1c\x1d\x1e\x1f\x85"
 #: ASCII marks but the apostrophe, which begins pre-tokens of its own; a run of them is one pre-token.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The last of the letters whose normal form is themselves, but for their case.
@@ -32,11 +35,12 @@ _LATIN = "\u0233"
 
 
 class WordTokens:
-    """Ids of whole texts, by the ids of their words (kept, as few bytes, for words seen lately).
+    """Ids of whole texts, by the ids of their words, which are kept.
 
     The tokenizer of the files drops white space before anything else splits, so a text's ids are its words'
-    ids in order. A word of Latin letters, or one with a run of marks after it, is one pre-token or two, whose
-    ids the vocabulary's model gives at once; any other word goes through the whole tokenizer.
+    ids in order; Arrow splits a run of texts and numbers its distinct words, and each is looked up once. A word
+    of Latin letters, or one with a run of marks after it, is one pre-token or two, whose ids the vocabulary's
+    model gives at once; any other word goes through the whole tokenizer. Words that a run repeats are kept.
     """
 
     def __init__(self, path: str):
@@ -48,67 +52,86 @@ class WordTokens:
         #: What the byte-level step makes of each byte of a letter beyond ASCII.
         self.bytes = {b: alphabet.pre_tokenize_str(bytes([195, b]).decode())[0][0][1] for b in range(128, 192)}
         self.bytes |= {b: alphabet.pre_tokenize_str(bytes([b, 128]).decode())[0][0][0] for b in range(195, 201)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Words met, the ids of all of them, and where each one's ids begin (and the last one's end).
+        self.words, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
+    def _ask(self, texts: list[str]) -> list[list[int]]:
         ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in ask(texts, add_special_tokens=False)] if texts else []
+        return [e.ids for e in ask(texts, add_special_tokens=False)] if texts else []
 
-    def _letters(self, low: str) -> bytes:
+    def _letters(self, low: str) -> list[int]:
         """Ids of a lower-case word of Latin letters, which normalisation leaves as they are."""
         if not low.isascii():
             low = low.encode().decode("latin-1").translate(self.bytes)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
+        return [t.id for t in self.model.tokenize(low)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.older = {}, self.known
-        known, older, hard = self.known, self.older, []
+    def _learn(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        known: dict[str, list[int]] = {}
         for w in words:
-            if w in known:
-                continue
-            ids = older.get(w)
-            if ids is None:
-                stem = w.rstrip(_MARKS)
-                mark = w[len(stem) :]
-                low = stem.lower()
-                if low.isalpha() and (low.isascii() or max(low) <= _LATIN):
-                    ids = known.get(stem) or older.get(stem) or known.get(low) or self._letters(low)
-                    if mark:
-                        known[stem] = ids
-                        if mark not in known:
-                            known[mark] = self._ask([mark])[0]
-                        ids = ids + known[mark]
-            if ids is None:
-                hard.append(w)
-            else:
-                known[w] = ids
-        known.update(zip(hard, self._ask(hard), strict=True))
+            low = w.lower()
+            ids = None
+            if low.isalpha():
+                if low.isascii() or max(low) <= _LATIN:
+                    ids = known[low] = known.get(low) or self._letters(low)
+            elif stem := low.rstrip(_MARKS):
+                if stem.isalpha() and (stem.isascii() or max(stem) <= _LATIN):
+                    mark = low[len(stem) :]
+                    if mark not in known:
+                        known[mark] = self._ask([mark])[0]
+                    ids = (known.get(stem) or self._letters(stem)) + known[mark]
+            out.append(ids)
+        rest = iter(self._ask([w for w, ids in zip(words, out, strict=True) if ids is None]))
+        return [next(rest) if x is None else x for x in out]
+
+    def _ids(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these distinct words begin and end in ``self.ids``, until the next call."""
+        kept = int(self.at[len(self.words)])
+        self.ids, self.at = self.ids[:kept], self.at[: len(self.words) + 1]
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.ids, self.at = self.words[:0], self.ids[:0], self.at[:1]
+        place = pc.index_in(words, value_set=self.words)
+        unknown = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        unknown = unknown[np.argsort(counts[unknown] < 2, kind="stable")]  # those that repeat come first, and stay
+        new = words.take(pa.array(unknown))
+        ids = self._learn(new.to_pylist())
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown] = len(self.words) + np.arange(len(new))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(ids)), "<u4")))
+        self.words = pa.concat_arrays([self.words, new[: int((counts[unknown] > 1).sum())]])
+        return self.at[place], self.at[place + 1]
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of texts (null: empty): first row, end row, the ids of all of them, and where each text's ids begin (and the last one's end)."""
+        column = column.cast(pa.large_string()).fill_null("")
+        for first, end, _, _ in slices(column, RUN_BYTES):
+            texts = pc.ascii_split_whitespace(column.slice(first, end - first))
+            words = texts.values.dictionary_encode()
+            which = words.indices.to_numpy()
+            begin, stop = self._ids(words.dictionary, np.bincount(which, minlength=len(words.dictionary)))
+            n = (stop - begin)[which]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            ids = self.ids[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+            yield first, end, ids, upto[texts.offsets.to_numpy()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(c in t for c in _UNSURE) else t.split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        if not words <= self.known.keys():
-            self._learn(words)
-        known = self.known
-        whole = iter(self._ask([t for t, w in zip(texts, split, strict=True) if w is None]))
-        return [np.frombuffer(next(whole) if w is None else b"".join([known[x] for x in w]), "<u4") for w in split]
+        return [ids[a:b] for _, _, ids, at in self.encode_column(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _cut(path: str, capacity: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
+            names = batch.column(0).to_pylist()
+            for first, end, ids, offsets in tokens.encode_column(batch.column(1)):
                 rows: list[tuple] = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(texts), strict=True):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for piece, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        rows.append((doc_id, piece, at, len(own), zlib.crc32(own.tobytes())))
+                ids = np.insert(ids, offsets[1:], END).astype("<u4")
+                offsets = offsets + np.arange(len(offsets))
+                for doc_id, a, b in zip(names[first:end], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    for piece, at in enumerate(range(a, b, capacity)):
+                        own = ids[at : min(at + capacity, b)]
+                        rows.append((doc_id, piece, at - a, len(own), zlib.crc32(own)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
