@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licences, minhash, vectors, warc
+from . import audit, licences, merkle, minhash, vectors, warc
 from .decontaminate import op1_qgram_lemma
 from .language import op9_ftrl_language
 from .packing import op7_best_two_fit
 from .quality import op10_ordinal_quality
 from .sharding import op2_karmarkar_karp
+from .simple8b import op13_simple8b
 from .toxicity import op4_counterfactual_toxicity
 
 QUERIES = {
@@ -21,6 +22,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_ftrl_language": op9_ftrl_language,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_simple8b": op13_simple8b,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +32,6 @@ ORACLES: dict[str, str] = {
     "op5_product_quantisation": vectors.ORACLE,
     "op6_warc_dictionary": warc.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
