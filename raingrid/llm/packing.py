@@ -24,7 +24,7 @@ from .textkit import slices
 
 CAPACITY, END = 2048, 0
 #: Words that one task keeps the ids of (those of one run more for a time), and bytes of text that are split at a time (a longer text by itself).
-KEPT_WORDS, RUN_BYTES = 500_000, 12 << 20
+KEPT_WORDS, RUN_BYTES = 500_000, 6 << 20
 #: Pieces of one length in a numbering block as a mean.
 BLOCK_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

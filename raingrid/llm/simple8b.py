@@ -37,11 +37,10 @@ ESCAPE, RUN = 0, 1
 MOST_RUN, RUN_BITS = (1 << 20) - 1, 40
 END = 1
 #: Words of a block; a file is closed at so many bytes of words; ids that are coded at once, and blocks that are decoded at once.
-BLOCK_WORDS, FILE_BYTES, AT_ONCE, BLOCKS_AT_ONCE = 1024, 64 << 20, 1 << 20, 64
+BLOCK_WORDS, FILE_BYTES, AT_ONCE, BLOCKS_AT_ONCE = 1024, 64 << 20, 1 << 17, 64
 MAGIC = b"RGS8B001"
 #: Documents, words, ids, escapes and blocks of a file, before the last magic.
 FOOTER = struct.Struct("<5Q")
-CODED = "doc_id long, n_tokens long, ids_crc32 long, words binary, escapes binary"
 WRITTEN = "part long, file int, path string, documents long, ids long, bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -54,25 +53,42 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n = len(ids)
     ids = ids.astype(np.uint64)
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # ids to the end of the document
-    escaped = ids >= np.uint64(1 << 60)
-    selector, count = np.where(escaped, ESCAPE, 15).astype(np.int8), np.ones(n, np.int32)
+    selector, count = np.full(n, 15, np.int8), np.ones(n, np.uint8)
+    most = ids.max() if n else 0
+    if most >= 1 << 60:
+        selector[ids >= np.uint64(1 << 60)] = ESCAPE
+    # what fits a selector of more and narrower ids also fits the one before, so that only those places are looked at again
+    places = None
     for s in range(14, 1, -1):
-        c = COUNTS[s]
-        fits = ids < np.uint64(1 << WIDTHS[s])
-        if fits.sum() < c:
-            break  # narrower ones are no more
-        upto = np.concatenate(([0], np.cumsum(fits, dtype=np.int32)))
-        whole = np.flatnonzero((upto[c:] - upto[:-c] == c) & (left[: n - c + 1] >= c))
-        selector[whole], count[whole] = s, c
-    if n:
-        change = np.flatnonzero(np.concatenate((ids[1:] != ids[:-1], [True]))) + 1
-        run = np.minimum(np.minimum(np.repeat(change, np.diff(change, prepend=0)) - np.arange(n), left), MOST_RUN)
-        longer = np.flatnonzero((run > count) & (ids < np.uint64(1 << RUN_BITS)))
-        selector[longer], count[longer] = RUN, run[longer]
-    follow, starts, at = (np.arange(n) + count).tolist(), [], 0
+        c, small = COUNTS[s], ids < np.uint64(1 << WIDTHS[s])
+        if places is None:  # most places fit: all at once
+            fits = left >= c
+            for k in range(c if most >= 1 << WIDTHS[s] else 0):
+                fits[: n - k] &= small[k:]
+            found = np.flatnonzero(fits)
+            places = found if c > 3 else None
+        else:
+            found = places[left[places] >= c]
+            for k in range(c):
+                found = found[small[found + k]]
+            places = found
+        if not len(found):
+            break
+        selector[found], count[found] = s, c
+    runs: dict[int, int] = {}
+    if n > 3:
+        same = ids[1:] == ids[:-1]
+        four = np.flatnonzero(same[2:] & same[1:-1] & same[:-2])
+        if len(four):
+            change = np.append(np.flatnonzero(~same), n - 1) + 1
+            run = np.minimum(np.minimum(change[np.searchsorted(change, four, "right")] - four, left[four]), MOST_RUN)
+            longer = (run > count[four]) & (ids[four] < np.uint64(1 << RUN_BITS))
+            runs = dict(zip(four[longer].tolist(), run[longer].tolist(), strict=True))
+            selector[four[longer]], count[four[longer]] = RUN, 0
+    steps, starts, at = count.tobytes(), [], 0
     while at < n:
         starts.append(at)
-        at = follow[at]
+        at += steps[at] or runs[at]
     starts = np.array(starts, np.int64)
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -82,7 +98,7 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         if s == ESCAPE:
             words[own] |= np.arange(len(own), dtype=np.uint64)
         elif s == RUN:
-            words[own] |= (count[at].astype(np.uint64) << np.uint64(RUN_BITS)) | ids[at]
+            words[own] |= (np.array([runs[k] for k in at.tolist()], np.uint64) << np.uint64(RUN_BITS)) | ids[at]
         else:
             for k in range(COUNTS[s]):
                 words[own] |= ids[at + k] << np.uint64(k * WIDTHS[s])
@@ -116,37 +132,6 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _coder(tokenizer: str):
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
-        for batch in batches:
-            names = batch.column(0)
-            for first, end, ids, offsets in tokens.encode_column(batch.column(1)):
-                ends = offsets[1:] + np.arange(1, len(offsets))
-                ids = np.insert(ids, offsets[1:], END).astype("<u4")
-                at = 0
-                while at < len(ends):  # some documents, of about AT_ONCE ids; a longer one by itself
-                    begin = int(ends[at - 1]) if at else 0
-                    stop = max(at + 1, int(np.searchsorted(ends, begin + AT_ONCE, "right")))
-                    own, here = ids[begin : ends[stop - 1]], ends[at:stop] - begin
-                    words, upto, escapes = encode(own, here)
-                    at_word = np.concatenate(([0], upto))
-                    lows = np.concatenate(([0], here))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            names.slice(first + at, stop - at),
-                            pa.array(np.diff(lows), pa.int64()),
-                            pa.array([zlib.crc32(own[a:b]) for a, b in zip(lows[:-1], lows[1:], strict=True)], pa.int64()),
-                            pa.array([words[a:b].astype("<u8").tobytes() for a, b in zip(at_word[:-1], at_word[1:], strict=True)], pa.binary()),
-                            pa.array([b""] * (stop - at), pa.binary()),  # ids of 32 bits have no escapes
-                        ],
-                        ["doc_id", "n_tokens", "ids_crc32", "words", "escapes"],
-                    )
-                    at = stop
-
-    return code
-
-
 @dataclass
 class _File:
     """A file that is being written; words go out as they come, the tables at its end."""
@@ -156,7 +141,6 @@ class _File:
     tokens: list[int] = field(default_factory=list)
     sums: list[int] = field(default_factory=list)
     escapes: list[bytes] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)  # ids of each word since the last whole block
     blocks: list[int] = field(default_factory=list)
     words: int = 0
     total: int = 0
@@ -167,21 +151,23 @@ class _File:
         self.out = system.open_output_stream(name, compression=None)
         self.out.write(MAGIC)
 
-    def add(self, doc_id: int | None, tokens: int, crc: int, words: bytes, escapes: bytes) -> None:
-        own = np.frombuffer(words, "<u8")
-        if escapes:
-            moved = own >> np.uint64(60) == ESCAPE
-            own = np.where(moved, own + np.uint64(sum(map(len, self.escapes)) // 8), own)
-            self.escapes.append(escapes)
-        self.out.write(own.astype("<u8").tobytes())
-        counts = counts_of(own)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents of these ids, which end at ``ends``."""
+        words, _, escapes = encode(ids, ends)
+        if len(escapes):
+            words[words >> np.uint64(60) == ESCAPE] += np.uint64(sum(map(len, self.escapes)) // 8)
+            self.escapes.append(escapes.astype("<u8").tobytes())
+        self.out.write(words.astype("<u8").tobytes())
+        counts = counts_of(words)
         before = self.total + np.cumsum(counts) - counts
         self.blocks += before[-self.words % BLOCK_WORDS :: BLOCK_WORDS].tolist()
-        self.words += len(own)
-        self.total += tokens
-        self.ids.append(doc_id)
-        self.tokens.append(tokens)
-        self.sums.append(crc)
+        self.words += len(words)
+        self.total += len(ids)
+        lows = np.concatenate(([0], ends)).tolist()
+        own = ids.astype("<u4")
+        self.ids += doc_ids
+        self.tokens += np.diff(lows).tolist()
+        self.sums += [zlib.crc32(own[a:b]) for a, b in zip(lows[:-1], lows[1:], strict=True)]
 
     def close(self) -> tuple[int, int, int]:
         """Documents, ids and bytes."""
@@ -200,9 +186,9 @@ class _File:
         return len(self.ids), self.total, 2 * len(MAGIC) + 8 * self.words + len(tables) + FOOTER.size
 
 
-def _writer(folder: str):
+def _writer(folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
+        task, tokens = TaskContext.get(), WordTokens(tokenizer)
         file, number = None, 0
 
         def close() -> pa.RecordBatch:
@@ -212,11 +198,19 @@ def _writer(folder: str):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _WRITTEN.types, strict=True)], schema=_WRITTEN)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                file = file or _File(f"{folder}/{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.s8b")
-                file.add(*row)
-                if file.words * 8 >= FILE_BYTES:
-                    yield close()
+            names = batch.column(0).to_pylist()
+            for first, _, ids, offsets in tokens.encode_column(batch.column(1)):
+                ends = offsets[1:] + np.arange(1, len(offsets))
+                ids = np.insert(ids, offsets[1:], END)
+                at = 0
+                while at < len(ends):  # some documents, of about AT_ONCE ids; a longer one by itself
+                    begin = int(ends[at - 1]) if at else 0
+                    stop = max(at + 1, int(np.searchsorted(ends, begin + AT_ONCE, "right")))
+                    file = file or _File(f"{folder}/{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.s8b")
+                    file.add(names[first + at : first + stop], ids[begin : ends[stop - 1]], ends[at:stop] - begin)
+                    at = stop
+                    if file.words * 8 >= FILE_BYTES:
+                        yield close()
         if file:
             yield close()
 
@@ -297,15 +291,15 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
-    """Write the ids of ``docs(doc_id, text, ...)`` in ascending order of doc_id (null first; of equal ids by checksum and length), END after each; returns the table of files, ``(part, file, path, documents, ids, bytes, first_id)``.
+    """Write the ids of ``docs(doc_id, text, ...)`` in ascending order of doc_id (null first; of equal ids by the text's CRC-32 and length), END after each; returns the table of files, ``(part, file, path, documents, ids, bytes, first_id)``.
 
-    A null text is empty, its document END alone. Rows that repeat are documents of their own; an empty table writes no file. Each text
-    is tokenised once and its words are written, so that what is sorted is small and sampling for the sort reads no text.
+    A null text is empty, its document END alone. Rows that repeat are documents of their own; an empty table writes no file. Texts are
+    sorted by range and each task tokenises and writes its own, so that nothing larger than the texts is shuffled or kept.
     """
     tables = Tables(docs.sparkSession)
-    coded = tables.write(docs.select("doc_id", "text").mapInArrow(_coder(tokenizer), CODED), "coded")
-    ordered = coded.sort(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens")
-    files = tables.write(ordered.mapInArrow(_writer(folder), WRITTEN), "files")
+    text = F.coalesce("text", F.lit(""))
+    ordered = docs.select("doc_id", "text").sort(F.col("doc_id").asc_nulls_first(), F.crc32(text), F.octet_length(text))
+    files = tables.write(ordered.mapInArrow(_writer(folder, tokenizer), WRITTEN), "files")
     # tasks are few, files of a task too: first the ids before each task, then before each file of it
     tasks = files.groupBy("part").agg(F.sum("ids").alias("own"))
     tasks = tasks.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))

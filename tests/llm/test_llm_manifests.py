@@ -182,9 +182,9 @@ def plain_tokens(rows):
     own = []
     for doc_id, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
-        own.append((doc_id is not None, doc_id or 0, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
+        own.append((doc_id is not None, doc_id or 0, zlib.crc32((text or "").encode()), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
     out, start = [], 0
-    for named, doc_id, crc, n in sorted(own):
+    for named, doc_id, _, crc, n in sorted(own):
         out.append((doc_id if named else None, start, n, crc))
         start += n
     return out
@@ -193,7 +193,8 @@ def plain_tokens(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_token_files(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(simple8b, "FILE_BYTES", 400)
+        for name in ("FILE_BYTES", "AT_ONCE"):
+            monkeypatch.setattr(simple8b, name, 100)
     rows = some_rows(200, 9)
     manifest = simple8b.write_tokens(documents(spark, rows).repartition(5), packing.word_tokenizer(), scratch(spark, "tokens"))
     got = simple8b.read_tokens(manifest)
@@ -210,8 +211,7 @@ def test_any_stretch_is_read_by_its_blocks(spark, monkeypatch):
     file = simple8b._File(f"{folder}/a.s8b")
     docs = [rng.integers(0, 1 << int(rng.integers(1, 63)), int(n), dtype=np.uint64) for n in rng.integers(0, 90, 40)]
     for k, ids in enumerate(docs):
-        words, _, escapes = simple8b.encode(ids, np.array([len(ids)]))
-        file.add(k if k % 5 else None, len(ids), 0, words.tobytes(), escapes.tobytes())
+        file.add([k if k % 5 else None], ids, np.array([len(ids)]))
     documents_, total, size = file.close()
     every = np.concatenate(docs)
     assert documents_ == 40 and total == len(every)
