@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .textkit import _PLACE, code_points, mix
 
 Q = 10
@@ -28,7 +29,9 @@ WINDOW = 512
 PASSAGE, STRIDE = 200, 40
 #: The benchmark goes to tasks in blocks of at most so many characters, one pass over the documents for each.
 BLOCK_CHARS = 4_000_000
-FOUND = "doc_id long, item_id long, edits int, start long, stop long"
+#: ``kind`` is 0 for an item or a window of it, 1 for one of PASSAGE characters, _SHORT for an item shorter than a q-gram: of several places the least kind is told.
+FOUND = "row_id long, item_id long, kind int, edits int, start long, stop long"
+_SHORT = 2
 
 
 def normalise(text: str) -> str:
@@ -223,6 +226,11 @@ def _table(index: Benchmark, points: np.ndarray, begins: np.ndarray, lengths: np
 
 def search(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each normalised text the best place of each item in it: ``(item, edits, start, stop)``."""
+    return [[(item, *place) for item, _, *place in own] for own in _places(index, texts)]
+
+
+def _places(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
+    """As ``search``, with the kind of what was found: ``(item, kind, edits, start, stop)``."""
     found: list[dict[int, tuple[bool, int, int, int]]] = [{} for _ in texts]
 
     def told(d: int, p: Pattern, edits: int, start: int, stop: int) -> None:
@@ -296,8 +304,8 @@ def search(index: Benchmark, texts: list[str]) -> list[list[tuple[int, int, int,
         for d, own in enumerate(texts):
             k = f" {own} ".find(f" {text} ")
             if k >= 0 and item not in found[d]:
-                found[d][item] = (False, 0, k, k + len(text))
-    return [[(item, *place[1:]) for item, place in f.items()] for f in found]
+                found[d][item] = (_SHORT, 0, k, k + len(text))
+    return [[(item, *place) for item, place in f.items()] for f in found]
 
 
 def original_places(text: str) -> np.ndarray:
@@ -328,13 +336,13 @@ def _scan(index: Benchmark, most: int = 1_000_000):
                     size += len(texts[high] or "")
                     high += 1
                 clean = [normalise(t or "") for t in texts[low:high]]
-                for d, own in enumerate(search(index, clean)):
+                for d, own in enumerate(_places(index, clean)):
                     if own:
                         places = original_places(texts[low + d])
-                        rows += [(ids[low + d], item, edits, int(places[start]), int(places[stop - 1]) + 1 if stop else 0) for item, edits, start, stop in own]
+                        rows += [(ids[low + d], item, int(kind), edits, int(places[start]), int(places[stop - 1]) + 1 if stop else 0) for item, kind, edits, start, stop in own]
                 low = high
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "start", "stop"])
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["row_id", "item_id", "kind", "edits", "start", "stop"])
 
     return scan
 
@@ -352,20 +360,25 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
     each searched. A null doc_id is searched too; a null item_id is not. Either table may be empty. Other
     columns are not looked at.
 
-    Passes over the documents: one for each ``BLOCK_CHARS`` characters of the benchmark.
+    Passes over the documents: one for each ``BLOCK_CHARS`` characters of the benchmark. For more than one, rows
+    are written with a number each, by which the passes' results meet, so that the result is that of one pass.
     """
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     blocks = int(-(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)) or 1
+
+    def scanned(rows: DataFrame, own: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_scan(benchmark_index(own.orderBy("item_id", "text").collect(), edit_share)), FOUND)  # about BLOCK_CHARS characters
+
+    if blocks == 1:
+        return scanned(docs.select(F.col("doc_id").alias("row_id"), "text"), items).select(F.col("row_id").alias("doc_id"), "item_id", "edits", "start", "stop")
+    rows = materialise(docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()), "rows")
     found = None
     for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = benchmark_index(own.orderBy("item_id", "text").collect(), edit_share)  # about BLOCK_CHARS characters
-        part = docs.select("doc_id", "text").mapInArrow(_scan(index), FOUND)
+        part = scanned(rows.select("row_id", "text"), items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:  # windows of an item are in one block; equal ids of different text may not be
-        best = F.min(F.struct("edits", "start", "stop")).alias("best")
-        found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
-    return found
+    # the windows of an item are in one block; those of another text with its id may be in the next
+    found = found.groupBy("row_id", "item_id").agg(F.min(F.struct("kind", "edits", "start", "stop")).alias("best"))
+    return found.join(rows.select("row_id", "doc_id"), "row_id").select("doc_id", "item_id", "best.edits", "best.start", "best.stop")
 
 
 def op1_qgram_lemma(spark, sf_dir: str) -> DataFrame:

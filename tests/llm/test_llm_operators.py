@@ -414,6 +414,18 @@ def test_passages_by_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k, _ in items}
 
 
+def test_blocks_of_the_benchmark_change_no_row(spark, monkeypatch):
+    items = [(k, words(20, 50 + k)) for k in range(5)] + [(1, words(80, 70)), (2, "qqq"), (3, words(20, 50)), (2, words(90, 71))]
+    both = f"{items[0][1]} x {items[5][1][:260]} qqq {items[1][1]}"
+    rows = [(None, f"a {items[0][1]}"), (None, f"b {items[0][1]} {items[1][1]}"), (5, both), (5, both), (5, items[4][1]), (6, f"{items[8][1][:250]} qqq"), (7, None), (8, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_passages(documents(spark, rows), table).collect()), key=str)
+    assert len(whole) > 10 and sum(r[0] is None for r in whole) >= 3
+    for chars in (40, 300, 700):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        assert sorted(map(tuple, decontaminate.find_passages(documents(spark, rows), table).collect()), key=str) == whole
+
+
 # --- packing
 
 
