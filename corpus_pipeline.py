@@ -23,9 +23,9 @@ ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, row)`` with a key for each row in place of the id, in the order of ids (null ones last), then of a hash of the text. Written, so that the keys stay."""
-    own = docs.select(F.struct(*docs.columns).alias("row")).sort(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
-    return materialise(own.select(F.monotonically_increasing_id().alias("doc_id"), "row"), "keyed").select("doc_id", F.col("row.text").alias("text"), "row")
+    """``(doc_id, text, row)`` with a key for each row in place of the id. Written, so that the keys stay."""
+    own = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    return materialise(own, "keyed").select("doc_id", F.col("row.text").alias("text"), "row")
 
 
 def _without(keyed: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -55,9 +55,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies; one of those with equal ids."""
+    """The row with the smallest id (null ones last) of each group of near copies; one of those with equal ids."""
     keyed = _keyed(docs)
-    return _without(keyed, near_duplicates(keyed).filter("not kept"), "copies")
+    groups = materialise(near_duplicates(keyed).select("doc_id", "component_id"), "groups")
+    ids = keyed.select("doc_id", F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("id"), F.col("doc_id").alias("key")).alias("own"))
+    first = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min("own").alias("own")).select(F.col("own.key").alias("doc_id"))
+    return _without(keyed, groups.join(first, "doc_id", "left_anti"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
