@@ -3,7 +3,9 @@
 A text is cut into sentences in two ways, since a licence may be one line among others or wrapped over many:
 at line ends and sentence ends, and at sentence ends and blank lines alone. A sentence is compared in lower
 case with only letters and digits, by equality. A rule is a list of identifiers that must follow one another
-in the sequence of known sentences of one way of cutting. A row is told by itself, without a shuffle or a join.
+in the sequence of sentences of one way of cutting. Rules for permissive licences, whose texts are lists of conditions, ask that no unknown
+sentence stands between theirs: one more condition makes another licence. Other rules pass over unknown
+sentences. A row is told by itself, without a shuffle or a join.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ SENTENCES: dict[str, str] = {
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd_nor_names": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_as_is": "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "json_good": "the software shall be used for good not evil",
+    "gpl2_only_terms": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gnu_version_2": "version 2 of the license",
     "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd_warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "apache_notice": "licensed under the apache license version 2 0",
@@ -103,6 +111,16 @@ SENTENCES: dict[str, str] = {
     "gnu_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
 }
 
+# How sentences with a holder's name between begin and end. A name with a point ("Inc.") ends the sentence.
+SLOTS: dict[str, tuple[str, str]] = {
+    "bsd_names": ("neither the name of ", " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd_neither": ("neither the name of ", ""),
+    "bsd_warranty": ("this software is provided by ", " as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    "bsd_provided_by": ("this software is provided by ", ""),
+    "bsd_as_is": ("and ", " as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    "bsd_product": ("this product includes software developed by ", ""),
+}
+
 # Identifiers of the SPDX list, told where they follow "SPDX-License-Identifier:".
 SPDX = [
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
@@ -120,8 +138,11 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache_comply", "apache_unless", "apache_see"]),
     ("Apache-2.0", ["apache_title", "apache_version", "apache_terms"]),
     ("Apache-2.0", ["apache_title_block", "apache_terms"]),
-    ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_warranty"]),
-    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty"]),
+    *((name, ["bsd_grant", "bsd_source", "bsd_binary", *more, *warranty])
+      for name, more in (
+          ("BSD-2-Clause", []), ("BSD-3-Clause", ["bsd_names"]), ("BSD-3-Clause", ["bsd_neither", "bsd_nor_names"]),
+          ("BSD-4-Clause", ["bsd_advert", "bsd_product", "bsd_names"]), ("BSD-4-Clause", ["bsd_advert", "bsd_product", "bsd_neither", "bsd_nor_names"]))
+      for warranty in (["bsd_warranty"], ["bsd_provided_by", "bsd_as_is"])),
     ("BSL-1.0", ["boost_grant"]),
     ("BSL-1.0", ["boost_notice"]),
     ("CC-BY-4.0", ["ccby_long"]),
@@ -138,6 +159,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("EPL-2.0", ["epl2_notice"]),
     ("EPL-2.0", ["epl2_notice_http"]),
     ("EPL-2.0", ["epl2_title", "epl_terms"]),
+    ("GPL-2.0-only", ["gpl2_only_terms"]),
+    ("GPL-2.0-only", ["gpl_terms", "gnu_version_2"]),
     ("GPL-2.0", ["gpl2_notice"]),
     ("GPL-2.0", ["gpl_title", "gnu_2_june_1991"]),
     ("GPL-3.0", ["gpl3_notice"]),
@@ -147,6 +170,7 @@ RULES: list[tuple[str, list[str]]] = [
       for what in ("program", "library")
       for terms in ([f"{k}_terms_{v}"], [f"{k}_terms", f"gnu_either_{v}"])),
     ("ISC", ["isc_grant", "isc_warranty"]),
+    ("JSON", ["mit_grant", "mit_condition", "json_good", "mit_warranty", "mit_liability"]),
     ("LGPL-2.1", ["lgpl_title", "gnu_2_1_february_1999"]),
     ("LGPL-3.0", ["lgpl_title", "gnu_3_29_june_2007"]),
     ("MIT", ["mit_grant", "mit_condition", "mit_warranty", "mit_liability"]),
@@ -161,6 +185,9 @@ RULES: list[tuple[str, list[str]]] = [
     *((k, ["spdx", f"spdx_{k.lower()}"]) for k in SPDX),
 ]
 
+#: Licences whose rules of several sentences allow no other sentence between.
+PERMISSIVE = {"0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "JSON", "MIT", "Zlib"}
+UNKNOWN = "?"
 _SPACE = r"[ \t\r\n]"
 
 
@@ -168,11 +195,18 @@ _SPACE = r"[ \t\r\n]"
 _LINE, _END, _SIGNS = "Y", "Z", "[\\]^_`"
 
 
-def _known(plain: Column) -> Column:
-    """Identifiers of the known sentences of a text of letters, digits, single spaces and marks of ends, in order."""
+def _sentences(plain: Column) -> Column:
+    """An identifier for each sentence of a text of letters, digits, single spaces and marks of ends, in order; ``UNKNOWN`` for others, none for those that only number a clause."""
     names = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (s, k)))
-    found = F.filter(F.split(plain, _END), lambda x: F.trim(x).isin(*SENTENCES.values()))
-    return F.transform(found, lambda x: F.element_at(names, F.trim(x)))
+
+    def told(x: Column) -> Column:
+        own = F.trim(x)
+        out = F.when(own.isin(*SENTENCES.values()), F.element_at(names, own))
+        for name, (opening, end) in SLOTS.items():
+            out = out.when(own.startswith(opening) & own.endswith(end), name)
+        return out.when(~own.rlike("^([0-9]+|[a-z]|[ivx]+)?$"), UNKNOWN)
+
+    return F.array_compact(F.transform(F.split(plain, _END), told))
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
@@ -189,13 +223,15 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     signs = F.translate(marked, "\r\n\u0001" + _SIGNS, _LINE * 2 + _END + " " * len(_SIGNS))
     plain = docs.select("doc_id", F.regexp_replace(signs, f"[^0-9{_LINE}-z]+", " ").alias("plain"))
     cut = plain.select(
-        "doc_id", _known(F.translate("plain", _LINE, _END)).alias("by_line"), _known(F.regexp_replace("plain", f"[ {_LINE}]+", " ")).alias("by_paragraph")
+        "doc_id", _sentences(F.translate("plain", _LINE, _END)).alias("by_line"), _sentences(F.regexp_replace("plain", f"[ {_LINE}]+", " ")).alias("by_paragraph")
     )
     # a comma on each side of each identifier; rules can't reach from one way of cutting to the other
-    sequence = F.concat(F.lit(","), F.array_join("by_line", ","), F.lit(",;,"), F.array_join("by_paragraph", ","), F.lit(","))
-    most = F.greatest(F.size("by_line"), F.size("by_paragraph"))
-    told = F.array(*(F.when(F.contains("sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES))
-    return cut.select("doc_id", most.cast("long").alias("sentences"), sequence.alias("sequence")).select(
+    whole = F.concat(F.lit(","), F.array_join("by_line", ","), F.lit(",;,"), F.array_join("by_paragraph", ","), F.lit(","))
+    known = [F.array_remove(c, UNKNOWN) for c in ("by_line", "by_paragraph")]
+    sequence = F.concat(F.lit(","), F.array_join(known[0], ","), F.lit(",;,"), F.array_join(known[1], ","), F.lit(","))
+    most = F.greatest(*(F.size(c) for c in known))
+    told = F.array(*(F.when(F.contains("whole" if name in PERMISSIVE and len(rule) > 1 else "sequence", F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES))
+    return cut.select("doc_id", most.cast("long").alias("sentences"), sequence.alias("sequence"), whole.alias("whole")).select(
         "doc_id", F.when(F.col("sentences") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(told))), ",")).otherwise("").alias("licences"), "sentences"
     )
 
@@ -205,25 +241,65 @@ def op3_sentence_rules(spark, sf_dir: str) -> DataFrame:
     return licence_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+# The rules once more, as patterns over sequences of identifiers, written apart from RULES. In those of the first list an unknown sentence counts.
+_STRICT_SQL = """
+('0BSD', 'zero_bsd_grant,isc_warranty'), ('ISC', 'isc_grant,isc_warranty'),
+('BSD-2-Clause', 'bsd_grant,bsd_source,bsd_binary,(bsd_warranty|bsd_provided_by,bsd_as_is)'),
+('BSD-3-Clause', 'bsd_grant,bsd_source,bsd_binary,(bsd_names|bsd_neither,bsd_nor_names),(bsd_warranty|bsd_provided_by,bsd_as_is)'),
+('BSD-4-Clause', 'bsd_grant,bsd_source,bsd_binary,bsd_advert,bsd_product,(bsd_names|bsd_neither,bsd_nor_names),(bsd_warranty|bsd_provided_by,bsd_as_is)'),
+('MIT', 'mit_grant,mit_condition,mit_warranty,mit_liability'), ('JSON', 'mit_grant,mit_condition,json_good,mit_warranty,mit_liability'),
+('Zlib', 'zlib_as_is,zlib_liable,zlib_grant,zlib_origin,zlib_claim,zlib_thanks,zlib_altered,zlib_notice')
+"""
+_LOOSE_SQL = """
+('MIT', 'mit_notice(_licensed|_this)?'), ('WTFPL', 'wtfpl_title,wtfpl_terms,wtfpl_grant'), ('Unlicense', 'unlicense_free,unlicense_anyone'),
+('Apache-2.0', 'apache_notice'), ('Apache-2.0', 'apache_notice_the,apache_comply'), ('Apache-2.0', 'apache_comply,apache_unless,apache_see'), ('Apache-2.0', '(apache_title,apache_version|apache_title_block),apache_terms'),
+('BSL-1.0', 'boost_(grant|notice)'), ('CC0-1.0', 'cc0_long'), ('CC-BY-4.0', 'ccby_(long|notice)'), ('CC-BY-NC-4.0', 'ccbync_(long|notice)'), ('CC-BY-SA-4.0', 'ccbysa_(long|notice)'),
+('CC-BY-NC-SA-4.0', 'ccbyncsa_notice'), ('CC-BY-ND-4.0', 'ccbynd_notice'),
+('EPL-1.0', 'epl1_notice|epl1_title,epl_terms'), ('EPL-2.0', 'epl2_notice(_http)?|epl2_title,epl_terms'), ('MPL-2.0', 'mpl_subject,mpl_copy(_https)?|mpl_title,mpl_contributor'),
+('GPL-2.0', 'gpl2_notice|gpl_title,gnu_2_june_1991'), ('GPL-3.0', 'gpl3_notice|gpl_title,gnu_3_29_june_2007'), ('GPL-2.0-only', 'gpl2_only_terms|gpl_terms,gnu_version_2'),
+('LGPL-2.1', 'lgpl_title,gnu_2_1_february_1999'), ('LGPL-3.0', 'lgpl_title,gnu_3_29_june_2007'), ('AGPL-3.0', 'agpl_title,gnu_3_19_november_2007'),
+('GPL-2.0-or-later', 'gnu_free_program,gpl_terms(_|,gnu_either_)2,gnu_hope_program,gnu_implied,gpl_see'), ('GPL-2.0-or-later', 'gnu_free_library,gpl_terms(_|,gnu_either_)2,gnu_hope_library,gnu_implied,gpl_see'),
+('GPL-3.0-or-later', 'gnu_free_program,gpl_terms(_|,gnu_either_)3,gnu_hope_program,gnu_implied,gpl_see'), ('GPL-3.0-or-later', 'gnu_free_library,gpl_terms(_|,gnu_either_)3,gnu_hope_library,gnu_implied,gpl_see'),
+('AGPL-3.0-or-later', 'gnu_free_program,agpl_terms(_|,gnu_either_)3,gnu_hope_program,gnu_implied,agpl_see'), ('AGPL-3.0-or-later', 'gnu_free_library,agpl_terms(_|,gnu_either_)3,gnu_hope_library,gnu_implied,agpl_see'),
+('LGPL-2.1-or-later', 'gnu_free_program,lgpl_terms(_|,gnu_either_)2_1,gnu_hope_program,gnu_implied,lgpl_see'), ('LGPL-2.1-or-later', 'gnu_free_library,lgpl_terms(_|,gnu_either_)2_1,gnu_hope_library,gnu_implied,lgpl_see'),
+('LGPL-3.0-or-later', 'gnu_free_program,lgpl_terms(_|,gnu_either_)3,gnu_hope_program,gnu_implied,lgpl_see'), ('LGPL-3.0-or-later', 'gnu_free_library,lgpl_terms(_|,gnu_either_)3,gnu_hope_library,gnu_implied,lgpl_see')
+"""
+
+
 def oracle() -> str:
     known = ", ".join(f"('{s}', '{k}')" for k, s in SENTENCES.items())
-    rules = ", ".join(f"('{n}', ',{','.join(r)},')" for n, r in RULES)
+    spdx = ", ".join(f"('{n}', 'spdx,spdx_{n.lower()}')" for n in SPDX)
+    slots = " ".join(f"WHEN plain LIKE '{a}%{b}' THEN '{k}'" for k, (a, b) in SLOTS.items())
     return rf"""
 WITH known(plain, sentence) AS (VALUES {known}),
-rules(licence, pattern) AS (VALUES {rules}),
-e AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\r\n]+', '\1' || chr(10) || chr(10), 'g') AS t FROM documents),
+strict(licence, pattern) AS (VALUES {_STRICT_SQL}),
+loose(licence, pattern) AS (VALUES {_LOOSE_SQL}, {spdx}),
+e AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(coalesce(text, ''), '([.!?:;])[ 	
+]+', '' || chr(10) || chr(10), 'g') AS t FROM documents),
 ways AS (
   SELECT rid, 0 AS way, string_split(replace(replace(t, chr(13), chr(10)), chr(1), chr(10)), chr(10)) AS parts FROM e
   UNION ALL
-  SELECT rid, 1, string_split(regexp_replace(t, '\n[ \t\r\n]*\n', chr(1), 'g'), chr(1)) FROM e
+  SELECT rid, 1, string_split(regexp_replace(t, '
+[ 	
+]*
+', chr(1), 'g'), chr(1)) FROM e
 ),
 parts AS (SELECT rid, way, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM ways),
+plains AS (SELECT rid, way, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS plain FROM parts),
 found AS (
-  SELECT rid, way, place, sentence
-  FROM (SELECT rid, way, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS plain FROM parts) JOIN known USING (plain)
+  SELECT rid, way, place, coalesce(sentence, CASE {slots} ELSE '?' END) AS sentence
+  FROM plains LEFT JOIN known USING (plain) WHERE NOT regexp_full_match(plain, '([0-9]+|[a-z]|[ivx]+)?')
+),
+seq AS (
+  SELECT rid, way, ',' || string_agg(sentence, ',' ORDER BY place) || ',' AS whole, ',' || string_agg(sentence, ',' ORDER BY place) FILTER (sentence <> '?') || ',' AS s,
+         count(*) FILTER (sentence <> '?') AS n
+  FROM found GROUP BY rid, way HAVING count(*) FILTER (sentence <> '?') > 0
+),
+told AS (
+  SELECT DISTINCT rid, licence FROM seq JOIN strict ON regexp_matches(whole, ',(' || pattern || '),')
+  UNION
+  SELECT DISTINCT rid, licence FROM seq JOIN loose ON regexp_matches(s, ',(' || pattern || '),')
 ),
-seq AS (SELECT rid, way, ',' || string_agg(sentence, ',' ORDER BY place) || ',' AS s, count(*) AS n FROM found GROUP BY rid, way),
-told AS (SELECT DISTINCT rid, licence FROM seq JOIN rules ON contains(s, pattern)),
 names AS (SELECT rid, string_agg(licence, ',' ORDER BY licence) AS licences FROM told GROUP BY rid),
 most AS (SELECT rid, max(n) AS sentences FROM seq GROUP BY rid)
 SELECT d.doc_id, coalesce(names.licences, '') AS licences, CAST(coalesce(most.sentences, 0) AS BIGINT) AS sentences
