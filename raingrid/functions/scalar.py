@@ -97,7 +97,7 @@ def member_date(name: Column) -> Column:
 
 def metre_wkt(wkt: Column) -> Column:
     """A coordinate system's text with a metre that is one metre."""
-    return F.regexp_replace(wkt, r'LENGTHUNIT\["metre",\s*1000(\.0)?\]', 'LENGTHUNIT["metre",1]')
+    return F.regexp_replace(wkt, r'LENGTHUNIT\["metre",\s*1000(\.0+)?\]', 'LENGTHUNIT["metre",1]')
 
 
 def unit_name(units: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import HEAVY_THRESHOLDS, PATCH_THRESHOLDS, REGISTRIES, bin_of
 from ..functions.missing import ratio
-from ..sources.shared import bounded
+from ..sources.shared import BROADCAST_BYTES, written
 
 #: Histogram: lowest and highest finite edge and the number of bins (the last is open).
 LOW, HIGH, BINS = 1e-3, 300.0, 121
@@ -68,10 +68,21 @@ def exceedance_hours(maxima: DataFrame, values: Sequence[str], thresholds: Seque
 def patch_exceedance(patches: DataFrame, values: DataFrame, patch: int, thresholds: Sequence[float] = PATCH_THRESHOLDS, time: str = "t") -> DataFrame:
     """For each epoch and for all together: patches chosen and those whose maximum is over each threshold.
 
-    ``patches(epoch, t, patch_y, patch_x)`` has one patch for each time and epoch, and is broadcast where a count shows it
-    to be small, so that cells outside leave before any shuffle; ``values(t, y, x, v)`` are supported cells.
+    ``patches(epoch, t, patch_y, patch_x)`` has one patch for each time and epoch; ``values(t, y, x, v)`` are supported cells. A patch is
+    one number in the list of each block of the grid that it touches (blocks have twice its side: four at most), so that a cell meets only patches that are near.
+    The lists of all times and epochs of a training run take some ten megabytes; they are broadcast where their written size shows that, else joined by time and block.
     """
-    inside = (F.col("y") >= F.col("patch_y")) & (F.col("y") < F.col("patch_y") + patch) & (F.col("x") >= F.col("patch_x")) & (F.col("x") < F.col("patch_x") + patch)
-    maxima = values.join(bounded(patches), time).filter(inside).groupBy("epoch", time).agg(F.max("v").alias("m"))
+    side = 2 * patch
+    near = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / side), F.floor((F.col(c) + (patch - 1)) / side))))
+    code = (F.col("epoch").cast("long") * (1 << 20) + F.col("patch_y")) * (1 << 20) + F.col("patch_x")
+    lists = patches.select(time, code.alias("_code"), near("patch_y").alias("_by"), "patch_x").select(time, "_code", "_by", near("patch_x").alias("_bx"))
+    lists = written(lists.groupBy(time, "_by", "_bx").agg(F.collect_list("_code").alias("_codes")), "lists")
+    size = lists.agg(F.sum(F.size("_codes") * 8 + 64)).first()[0] or 0
+    cells = values.withColumns({"_by": F.floor(F.col("y") / side), "_bx": F.floor(F.col("x") / side)})
+    met = cells.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, [time, "_by", "_bx"])
+    low = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit((1 << 20) - 1))
+    inside = lambda c: (F.col("y") - low(c, 20)).between(0, patch - 1) & (F.col("x") - low(c, 0)).between(0, patch - 1)
+    hits = met.select(time, "v", F.explode(F.filter("_codes", inside)).alias("_code"))
+    maxima = hits.groupBy(F.shiftright("_code", 40).alias("epoch"), time).agg(F.max("v").alias("m"))
     every = patches.select("epoch", time).join(maxima, ["epoch", time], "left")
     return every.rollup("epoch").agg(F.count("*").alias("eligible_patches"), *(F.count_if(F.col("m") > t).alias(f"max_gt_{t:g}") for t in thresholds)).withColumn("epoch", F.coalesce(F.col("epoch").cast("string"), F.lit("all")))

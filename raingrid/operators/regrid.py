@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bilinear_weights, clip
-from ..sources.shared import bounded
+from ..sources.shared import bounded, written
+from .verify import exact_quantiles
 
 
 def axis_place(value: Column, first: float, step: float, n: int) -> tuple[Column, Column]:
@@ -34,34 +35,52 @@ def axis_lookup(df: DataFrame, value: str, axis: DataFrame, index: str, point: s
 
 
 def bilinear_map(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], overlap: Column) -> DataFrame:
-    """For each fine cell ``(y, x, lat, lon)`` four rows ``(corner, i, j, w)`` with the overlap mask (K7): arithmetic, no join."""
+    """For each fine cell ``(y, x, lat, lon)`` four rows ``(corner, i, j, w)`` with the overlap mask (K7): arithmetic, no join.
+
+    Cells beyond the coarse axes are no part of the overlap, whatever mask is given: nothing is extrapolated.
+    """
+    for name, (first, step, n) in (("lat", lat), ("lon", lon)):
+        ends = sorted((first, first + step * (n - 1)))
+        overlap = overlap & F.coalesce(F.col(name).between(*ends), F.lit(False))
     i, fy = axis_place(F.col("lat"), *lat)
     j, fx = axis_place(F.col("lon"), *lon)
     corners = [F.struct(F.lit(k).alias("corner"), (i + k // 2).alias("i"), (j + k % 2).alias("j"), w.alias("w")) for k, w in enumerate(bilinear_weights(fy, fx))]
     return cells.select("y", "x", overlap.alias("overlap"), F.explode(F.array(*corners)).alias("c")).select("y", "x", "overlap", "c.*")
 
 
-#: A map is cut into so many chunks, the keys by which it meets the fields.
-CHUNKS = 16
+#: A map is cut into so many chunks, the keys by which it meets the fields. It is broadcast up to so many bytes (a map of a million
+#: fine cells has 100 MB), beyond that joined by a shuffle.
+CHUNKS, MAP_BYTES = 16, 128 << 20
+
+
+def dense_fields(coarse: DataFrame, width: int, time: str, value: str) -> DataFrame:
+    """``(time, _f)``: each time's field as one array of its cells by ``i * width + j``, NULL where a row lacks.
+
+    Rows that lack are those of the sequence of places that no cell has; they are sorted in among the others.
+    """
+    place = F.col("i").cast("int") * width + F.col("j").cast("int")
+    own = coarse.groupBy(time).agg(F.collect_list(F.struct(place.alias("k"), F.col(value).cast("double").alias("v"))).alias("_s"))
+    lacking = F.array_except(F.sequence(F.lit(0), F.array_max("_s.k")), F.col("_s.k"))
+    every = F.concat("_s", F.transform(lacking, lambda k: F.struct(k.alias("k"), F.lit(None).cast("double").alias("v"))))
+    return own.select(time, F.sort_array(every)["v"].alias("_f"))
 
 
-def _corners(coarse: DataFrame, mapping: DataFrame, width: int | None, time: str, value: str) -> DataFrame:
+def _corners(coarse: DataFrame, mapping: DataFrame, width: int | None, time: str, value: str, tasks: int | None = None) -> DataFrame:
     """For each time and fine cell of the overlap its corners' weights ``_w0`` to ``_w3`` and values ``_v0`` to ``_v3``.
 
-    A time's coarse field is one array of its cells by ``i * width + j``, and a fine cell one row with its four corners, so
-    that nothing is shuffled by fine cell: every field meets every chunk of the map, which is broadcast where a count shows
-    that it is small.
+    A time's coarse field is one array, and a fine cell one row with its four corners, so that nothing is shuffled by fine cell:
+    every field meets every chunk of the map. Fields and chunks are dealt over ``tasks`` tasks (as many as shuffles have, where it
+    isn't given), which write the output. The map is written before it is counted.
     """
+    spark = coarse.sparkSession
     if width is None:
         width = int(coarse.agg(F.max("j")).first()[0] or 0) + 1
     place = F.col("i") * width + F.col("j")
-    own = coarse.groupBy(time).agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col(value).cast("double").alias("v")))).alias("_s"))
-    last = F.element_at("_s", -1)["k"]
-    whole = F.when(F.size("_s") == last + 1, F.col("_s.v")).otherwise(F.transform(F.sequence(F.lit(0).cast(dict(coarse.dtypes)["i"]), last), lambda k: F.try_element_at(F.map_from_entries("_s"), k)))
-    fields = own.select(time, whole.alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("_chunk"))
+    fields = dense_fields(coarse, width, time, value).select(time, "_f", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("_chunk"))
+    fields = fields.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), time, "_chunk")
     corners = [F.max(F.when(F.col("corner") == k, v)).alias(f"_{n}{k}") for k in range(4) for n, v in (("k", place.cast("int")), ("w", F.col("w")))]
     cells = mapping.filter("overlap").groupBy("y", "x").agg(*corners).withColumn("_chunk", F.pmod(F.hash("y", "x"), F.lit(CHUNKS)))
-    pairs = fields.join(bounded(cells, 256 << 20), "_chunk")
+    pairs = fields.join(bounded(written(cells, "cells"), MAP_BYTES), "_chunk")
     return pairs.select(time, "y", "x", *(c for k in range(4) for c in (F.col(f"_w{k}"), F.get("_f", F.col(f"_k{k}")).alias(f"_v{k}"))))
 
 
@@ -127,7 +146,7 @@ def average_over(fine: DataFrame, overlap: DataFrame, least: float = 0.8, time:
     """``area_average`` by a table of overlaps ``(i, j, y, x, w)``, broadcast where a count shows that it is small."""
     w, v = F.col("w"), F.col(value)
     seen = F.coalesce(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0))
-    out = fine.join(bounded(overlap, 256 << 20), ["y", "x"]).groupBy(time, "i", "j").agg(F.try_divide(F.sum(w * v), seen).alias("mean"), F.try_divide(seen, F.sum(w)).alias("source_valid_fraction"))
+    out = fine.join(bounded(written(overlap, "overlap"), MAP_BYTES), ["y", "x"]).groupBy(time, "i", "j").agg(F.try_divide(F.sum(w * v), seen).alias("mean"), F.try_divide(seen, F.sum(w)).alias("source_valid_fraction"))
     return out.select(time, "i", "j", F.when(F.col("source_valid_fraction") >= least, F.col("mean")).alias(value), "source_valid_fraction")
 
 
@@ -138,6 +157,8 @@ def unit_scale(points: DataFrame, scales: tuple[float, ...] = (1.0, 1000.0)) ->
     tried = points.withColumn("scale", F.explode(F.array(*(F.lit(s) for s in scales))))
     lon, lat = stereographic_inverse(F.col("px") * F.col("scale"), F.col("py") * F.col("scale"))
     error = F.hypot(wrap_longitude(lon - F.col("lon")) * F.cos(F.radians("lat")), lat - F.col("lat"))
-    per = tried.withColumn("error", error).groupBy("scale").agg(F.median("error").alias("median_error"), F.max("error").alias("max_error"))
+    tried = tried.withColumn("error", error)
+    middle = exact_quantiles(tried, "error", (0.5,), ("scale",)).select("scale", F.col("q")[0].alias("median_error"))
+    per = tried.groupBy("scale").agg(F.max("error").alias("max_error")).join(middle, "scale")
     best = per.agg(F.min(F.struct("median_error", "scale", "max_error")).alias("b"))
     return best.select("b.scale", "b.median_error", "b.max_error", ((F.col("b.median_error") <= 0.02) & (F.col("b.max_error") <= 0.05)).alias("accepted"))

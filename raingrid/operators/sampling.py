@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import REGISTRIES
+from ..sources.shared import bounded, written
 
 
 def hash_key(seed: int, *names: str) -> Column:
@@ -20,9 +21,11 @@ def pixel_sample(df: DataFrame, seed: int, time: str = "t", most: int = 2048, le
         most = fixed
     # of each time only the cells whose hash is small enough to be among the first are sorted: twice as many as are wanted and
     # 64 more on average, all of them where a time has few (so that one that falls short has no more)
+    # of a time; counts by time come first, a row each, so that the others are left behind before anything is shuffled
+    counts = written(df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n")), "counts")
     all_of_it = Window.partitionBy(time)
     k = F.lit(fixed) if fixed is not None else F.least(F.col("_n"), F.lit(most), F.greatest(F.lit(least), F.floor(F.col("_n") / share)))
-    counted = df.withColumn("_n", F.count("*").over(all_of_it)).withColumns({"_k": k, "_h": hash_key(seed, time, "y", "x")})
+    counted = df.join(bounded(counts), F.col(time).eqNullSafe(F.col("_t"))).drop("_t").withColumns({"_k": k, "_h": hash_key(seed, time, "y", "x")})
     near = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.col("_n") < (2 * F.col("_k") + 64) * F.lit(1 << 32)
     order = Window.partitionBy(time).orderBy("_h", "y", "x")
     ranked = counted.filter(near).withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(all_of_it))

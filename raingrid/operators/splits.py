@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import day_of
+from ..functions.scalar import day_of, month_stem
+from ..sources.shared import bounded
 
 #: Shares of days for training and validation; the rest is the test.
 TRAIN, VALIDATION = 0.70, 0.15
@@ -33,6 +34,17 @@ def in_split(df: DataFrame, splits: DataFrame, name: str, time: str = "t") -> Da
     return df.join(splits.filter(F.col("split") == name).select(time), time, "left_semi")
 
 
+def in_split_of_cube(cube: DataFrame, splits: DataFrame, name: str, time: str = "time_epoch", month: str = "month") -> DataFrame:
+    """Rows of a cube by months (``tables.write_months``) whose time is in a split (B13, C5): only the split's months are read.
+
+    ``splits`` is a manifest that was written (``reports.write_manifest``). Its times carry their month, the cube's partition; they are some
+    thousand numbers and are broadcast where a count shows that, so that Spark prunes partitions by them when the query runs.
+    """
+    own = splits.filter(F.col("split") == name).select(F.col(time), month_stem(F.col(time)).alias("_month"))
+    met = (cube[month].cast("string") == own["_month"]) & (cube[time] == own[time])
+    return cube.join(bounded(own), met, "left_semi")
+
+
 def classify(df: DataFrame, splits: DataFrame, time: str = "t") -> DataFrame:
     """Rows with their split, or ``unclassified``; fails if a time is in more than one split."""
     fault = F.raise_error(F.concat(F.lit("in several splits: "), F.col(time).cast("string"))).cast("string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import EVENT_THRESHOLDS, REGISTRIES, bin_of, event
 from ..functions.missing import ratio
 from ..functions.scalar import log_amount
+from ..sources.shared import BROADCAST_BYTES, written
 
 
 def point_aggregates(target: str, estimate: str, time: str | None = None) -> list[Column]:
@@ -66,25 +67,70 @@ def strata(df: DataFrame, support: Column, registry: str, target: str, estimates
     return F.broadcast(spine).join(scores, ["bin_label", "method"], "left").select("bin", "bin_label", "method", F.coalesce("n", F.lit(0)).alias("n"), "mae", "rmse", "bias")
 
 
+#: Sub-ranges that a round of the selection makes of a range, and values of a range that are sorted rather than cut again.
+DIGITS, FEW = 4_096, 65_536
+
+
 def exact_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``(by, q)``: an array of exact quantiles (linear between neighbours) of each group, of any size.
 
-    One pass counts values in buckets that keep their order (some 900 for amounts up to a metre), which tells the buckets that
-    hold the ranks asked for; a second one counts equal values of these buckets alone. No task holds a group's values. Groups
-    are few and have a name, so their two ranks a level are broadcast. Missing values are left out.
+    Selection by rounds, for all groups and levels at once. A round counts the values of ranges that keep their order, which tells
+    the range of each rank asked for and the values before it; only those ranges are cut again, into ``DIGITS`` equal parts between
+    their own least and largest value, until a range holds one value or at most ``FEW`` rows, which are then sorted. The first
+    ranges are logarithmic. So the input is read twice, values of the ranges chosen are written (less in each round), and no task
+    holds more than ``FEW`` values of a group or the counts of its ranges. Missing values are left out; a group whose name is NULL is one like others.
     """
     v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull()).select(*by, v.alias("_v"), F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 64).alias("_b"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumns({"_at": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    keys = [f"_g{k}" for k in range(len(by))]
+    rows = df.filter(v.isNotNull()).select(
+        *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip(by, keys, strict=True)), *by, v.alias("_v"), F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 64).cast("string").alias("_path"), F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 64).alias("_d")
+    )
+
+    def counted(own: DataFrame, within: list[str], *more: Column) -> DataFrame:
+        """Ranges with their number of values, and those before in the same parent."""
+        out = own.groupBy(*within, "_path", "_d").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *more)
+        before = Window.partitionBy(*within).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+        return out.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    first = counted(rows, keys, *(F.first(c).alias(c) for c in by)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
     wanted = F.array_distinct(F.array(*(f(place(q)) for q in levels for f in (F.floor, F.ceil))))
-    ranks = counts.withColumn("_rank", F.explode(wanted)).filter("_rank >= _at and _rank < _at + _n").select(*by, "_b", "_rank", "_all")
-    starts = counts.filter(F.exists(wanted, lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")))).select(*by, "_b", "_at")
-    equal = rows.join(F.broadcast(starts), [*by, "_b"]).groupBy(*by, "_b", "_at", "_v").agg(F.count("*").alias("_n"))
-    equal = equal.withColumn("_end", F.col("_at") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = equal.join(F.broadcast(ranks), [*by, "_b"]).filter("_rank >= _end - _n and _rank < _end")
-    own = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"), F.max("_all").alias("_all"))
+    here = F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    targets = written(first.select(*keys, *by, "_path", "_all", F.explode(here).alias("_rank"), F.col("_before").alias("_at"), "_n", "_lo", "_hi"), "ranks")
+    done = targets.filter("_lo = _hi")
+    names = [*keys, "_path"]
+
+    def ranges(t: DataFrame, n: int) -> DataFrame:
+        """The ranges of so many ranks at most, broadcast where these are few (their names are short)."""
+        own = t.select(*names, "_lo", "_hi").distinct()
+        return F.broadcast(own) if n * (16 + 32 * len(own.columns)) <= BROADCAST_BYTES else own
+
+    values = rows.select(*names, "_v")
+    left = targets.filter("_lo < _hi")
+    sorted_out: list[DataFrame] = []
+    while (sizes := left.agg(F.count("*").alias("n"), F.max("_n").alias("most")).first())["n"]:
+        n, last = sizes["n"], sizes["most"] <= FEW
+        if not last:  # else they are read once
+            values = written(values.join(ranges(left, n).drop("_lo", "_hi"), names, "left_semi"), "values")
+        few = left.filter(F.col("_n") <= FEW)
+        equal = values.join(ranges(few, n).drop("_lo", "_hi"), names, "left_semi").groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+        equal = equal.withColumn("_end", F.sum("_c").over(Window.partitionBy(*names).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+        place_in = F.col("_rank") - F.col("_at")
+        sorted_out.append(few.join(equal, names).filter((place_in >= F.col("_end") - F.col("_c")) & (place_in < F.col("_end"))).withColumns({"_lo": F.col("_v"), "_hi": F.col("_v")}).select(targets.columns))
+        if last:
+            break
+        large = left.filter(F.col("_n") > FEW)
+        digit = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * DIGITS), F.lit(DIGITS - 1))
+        cut = values.join(ranges(large, n), names).withColumn("_parent", F.col("_path")).withColumn("_d", digit).withColumn("_path", F.concat("_path", F.lit("."), F.col("_d").cast("string"))).drop("_lo", "_hi")
+        parts = counted(cut, [*keys, "_parent"]).drop("_d")
+        parents = large.select(*keys, *by, F.col("_path").alias("_parent"), "_all", "_rank", "_at")
+        found = parents.join(parts, [*keys, "_parent"]).filter("_rank >= _at + _before and _rank < _at + _before + _n")
+        now = written(found.select(*keys, *by, "_path", "_all", "_rank", (F.col("_at") + F.col("_before")).alias("_at"), "_n", "_lo", "_hi"), "ranks")
+        sorted_out.append(now.filter("_lo = _hi"))
+        left, values = now.filter("_lo < _hi"), cut.select(*names, "_v")
+    for more in sorted_out:
+        done = done.unionByName(more)
+    own = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_m"), F.max("_all").alias("_all"), *(F.first(c).alias(c) for c in by))
 
     def level(q: float) -> Column:
         low, high = F.try_element_at("_m", F.floor(place(q))), F.try_element_at("_m", F.ceil(place(q)))
@@ -100,7 +146,10 @@ def _with_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequ
         q = F.percentile(value, F.array(*(F.lit(q) for q in levels))) if accuracy is None else F.percentile_approx(value, list(levels), accuracy)
         return df.groupBy(*by).agg(*aggregates, q.alias("q"))
     out, q = df.groupBy(*by).agg(*aggregates), exact_quantiles(df, value, levels, by)
-    return out.join(q, list(by), "left") if by else out.crossJoin(F.broadcast(q))
+    if not by:
+        return out.crossJoin(F.broadcast(q))
+    named = q.select(*(F.col(c).alias(f"_{c}") for c in by), "q")
+    return out.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*(f"_{c}" for c in by))
 
 
 def distribution(df: DataFrame, support: Column, value: str, by: Sequence[str] = (), levels: Sequence[float] = (0.9, 0.95, 0.99, 0.999), accuracy: int | None = None, small: bool = False) -> DataFrame:
@@ -171,10 +220,12 @@ def overall_metrics(df: DataFrame, support: Column, target: str, estimates: Sequ
 def validation_stats(df: DataFrame, support: Column, registry: str, target: str, estimate: str, epoch: str, threshold: float = 1.0, levels: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """For each epoch and bin of the truth: errors, statistics and exact percentiles of predictions, and CSI."""
     e = F.col(estimate).cast("double") - F.col(target).cast("double")
-    out = df.filter(support).groupBy(epoch, bin_of(registry, target).alias("bin_label")).agg(
+    own = df.filter(support).select(epoch, target, estimate, bin_of(registry, target).alias("bin_label"))
+    aggregates = [
         F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(estimate).alias("mean"), F.stddev_pop(estimate).alias("std"), F.max(estimate).alias("max"),
-        F.percentile(estimate, F.array(*(F.lit(q) for q in levels))).alias("q"), *event_aggregates(target, estimate, threshold)[:4],
-    )
+        *event_aggregates(target, estimate, threshold)[:4],
+    ]
+    out = _with_quantiles(own, estimate, levels, [epoch, "bin_label"], aggregates, False)
     names = [f"p{100 * q:g}" for q in levels]
     return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 

@@ -228,9 +228,24 @@ b AS (SELECT min(lat_idx) AS y0, max(lat_idx) AS y1, min(lon_idx) AS x0, max(lon
 SELECT time, lat_idx, lon_idx, CASE WHEN v IS NOT NULL THEN round(greatest(v, 0), 6) + 0.0 END AS v FROM n, b WHERE lat_idx BETWEEN y0 AND y1 AND lon_idx BETWEEN x0 AND x1 AND lat_idx % 2 = 0 AND lon_idx % 2 = 0""",
     "scalar_functions": """SELECT o_orderkey, round(ln(1 + greatest(o_totalprice - 1000, 0)), 6) AS logged, round(greatest(exp(o_totalprice / 100000) - 1, 0), 6) AS back,
 strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso_z, strftime(o_orderdate, '%Y_%m') AS month, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS member_day,
-'kg m-2' AS unit, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS safe, 'CRS["x",LENGTHUNIT["metre",1]]' AS wkt FROM orders""",
-    "disk_kernel": "SELECT r AS radius, count(*) AS cells FROM (SELECT unnest(range(26)) AS r), (SELECT unnest(range(-25, 26)) AS dy), (SELECT unnest(range(-25, 26)) AS dx) WHERE dy * dy + dx * dx <= r * r GROUP BY r",
-    "geometric_edges": "SELECT k, round(0.001 * pow(300 / 0.001, k / 120.0), 6) AS edge FROM (SELECT unnest(range(121)) AS k)",
+lower(trim(o_orderpriority || '-2')) AS unit, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS safe, 'CRS["' || o_orderstatus || '",LENGTHUNIT["metre",1]]' AS wkt FROM orders""",
+    "disk_kernel": "SELECT r AS radius, count(*) AS cells FROM (SELECT DISTINCT CAST(p_size % 26 AS BIGINT) AS r FROM part), (SELECT unnest(range(-25, 26)) AS dy), (SELECT unnest(range(-25, 26)) AS dx) WHERE dy * dy + dx * dx <= r * r GROUP BY r",
+    "geometric_edges": """SELECT amount, k, round(0.001 * pow(300 / 0.001, k / 120.0), 6) AS low, round(0.001 * pow(300 / 0.001, (k + 1) / 120.0), 6) AS high
+FROM (SELECT amount, CAST(floor(120 * ln(amount / 0.001) / ln(300 / 0.001)) AS BIGINT) AS k FROM (SELECT DISTINCT l_quantity AS amount FROM lineitem))""",
+    "packed_mask_digests": f"""{G}, b AS (
+  SELECT tt.t, k // 8 AS place, sum(CASE WHEN c.t IS NOT NULL THEN CAST(pow(2, 7 - k % 8) AS INT) ELSE 0 END) AS byte
+  FROM (SELECT DISTINCT t FROM c) tt CROSS JOIN (SELECT unnest(range({SIDE * SIDE})) AS k) LEFT JOIN c ON c.t = tt.t AND c.y * {SIDE} + c.x = k GROUP BY ALL)
+SELECT t, sha256(unhex(list_aggregate(list_transform(range(0, 8), lambda i: printf('%02x', CAST((t >> CAST(8 * i AS BIGINT)) & 255 AS INT))), 'string_agg', '') || '{SIDE:02x}00000000000000{SIDE:02x}00000000000000' || string_agg(printf('%02x', CAST(byte AS INT)), '' ORDER BY place))) AS mask_digest FROM b GROUP BY t""",
+    "fields_by_time": f"{G} SELECT t, count(*) AS cells, round(sum(truth), 6) AS truth, round(sum(est), 6) AS est, round(sum(syn), 6) AS syn FROM g GROUP BY t",
+    "split_months": f"""{G}, d AS (SELECT DISTINCT t, DATE '1970-01-01' + CAST(t * 7 AS INT) AS day FROM g),
+k AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM d)),
+sp AS (SELECT t, day FROM d JOIN k USING (day) WHERE k > floor(n * 0.70) + floor(n * 0.15))
+SELECT strftime(day, '%Y_%m') AS month, count(*) AS cells, round(sum(truth), 6) AS truth FROM g JOIN sp USING (t) GROUP BY 1""",
+    "regrid_beyond": f"""WITH {FIELD_SQL}, whole AS (SELECT t, i, j, CASE WHEN i + j < 14 THEN v END AS v FROM f),
+fine AS (SELECT y, x, y - 1.25 AS lat, x - 1.5 AS lon FROM (SELECT unnest(range(10)) AS y), (SELECT unnest(range(10)) AS x)),
+m AS (SELECT *, least(CAST(floor(lat) AS INT), 6) AS i, least(CAST(floor(lon) AS INT), 6) AS j FROM fine WHERE lat BETWEEN 0 AND 7 AND lon BETWEEN 0 AND 7)
+SELECT a.t, m.y, m.x, round((1 - (lat - m.i)) * ((1 - (lon - m.j)) * a.v + (lon - m.j) * b.v) + (lat - m.i) * ((1 - (lon - m.j)) * c.v + (lon - m.j) * e.v), 6) + 0.0 AS v
+FROM m JOIN whole a ON a.i = m.i AND a.j = m.j JOIN whole b ON b.t = a.t AND b.i = m.i AND b.j = m.j + 1 JOIN whole c ON c.t = a.t AND c.i = m.i + 1 AND c.j = m.j JOIN whole e ON e.t = a.t AND e.i = m.i + 1 AND e.j = m.j + 1""",
     "contract_report": f"""{G}, {series_sql(300)}, {series_sql(1800).replace('s AS', 's2 AS')}, dy AS (SELECT DISTINCT DATE '1970-01-01' + CAST(t // 86400 AS INT) AS day FROM s2),
 dk AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM dy),
 sp AS (SELECT DISTINCT t, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM s2 JOIN dk ON dk.day = DATE '1970-01-01' + CAST(t // 86400 AS INT)),

@@ -181,6 +181,14 @@ def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regrid.regrid_bilinear(field(spark, d), _mapping(spark), 8))
 
 
+def regrid_beyond(spark: SparkSession, d: str) -> DataFrame:
+    """Fields on a fine grid that reaches beyond the coarse axes on all sides, with no mask of its own: cells out there have no value and no row."""
+    fine = spark.range(100).select(F.floor(F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"))
+    fine = fine.withColumns({"lat": F.col("y") - 1.25, "lon": F.col("x") - 1.5})
+    mapping = regrid.bilinear_map(fine, (0.0, 1.0, 8), (0.0, 1.0, 8), F.lit(True))
+    return rounded(regrid.regrid_bilinear(field(spark, d).filter("i + j < 14"), mapping, 8))
+
+
 def regrid_mask(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regrid.bilinear_mask(field(spark, d), _mapping(spark), 8).groupBy("t").agg(F.count_if("valid").alias("valid_cells"), F.count("*").alias("cells")))
 
@@ -340,23 +348,26 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("data/YW_2017.002_"), F.date_format(F.add_months(scalar.day_of(t), 120), "yyyyMMdd"), F.lit(".nc"))
     o = table(spark, d, "orders").select(
         "o_orderkey", scalar.log_amount(F.col("o_totalprice") - 1000).alias("logged"), scalar.from_log(F.col("o_totalprice") / 100000).alias("back"), scalar.iso_utc(t).alias("iso"), scalar.iso_utc(t, "Z").alias("iso_z"),
-        scalar.month_stem(t).alias("month"), scalar.member_date(name).alias("member_day"), scalar.unit_name(F.lit(" Kg m^-2 ")).alias("unit"), scalar.file_safe(F.col("o_orderpriority")).alias("safe"),
-        scalar.metre_wkt(F.lit('CRS["x",LENGTHUNIT["metre",1000]]')).alias("wkt"),
+        scalar.month_stem(t).alias("month"), scalar.member_date(name).alias("member_day"), scalar.unit_name(F.concat(F.lit(" "), "o_orderpriority", F.lit("^-2 "))).alias("unit"), scalar.file_safe(F.col("o_orderpriority")).alias("safe"),
+        scalar.metre_wkt(F.concat(F.lit('CRS["'), "o_orderstatus", F.lit('",LENGTHUNIT["metre",1000'), F.when(F.col("o_orderkey") % 2 == 0, ".00").otherwise(""), F.lit("]]"))).alias("wkt"),
     )
     return rounded(o)
 
 
 def disk_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the disks of the first radii."""
+    """Sizes of the disks of all radii that parts have, in cells."""
     r = F.col("radius")
-    rows = spark.range(26).select(F.col("id").alias("radius")).withColumn("dy", F.explode(F.sequence(-r, r))).withColumn("dx", F.explode(F.sequence(-r, r)))
+    radii = table(spark, d, "part").select((F.col("p_size") % 26).cast("long").alias("radius")).distinct()
+    rows = radii.withColumn("dy", F.explode(F.sequence(-r, r))).withColumn("dx", F.explode(F.sequence(-r, r)))
     return rounded(rows.filter(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= r * r).groupBy("radius").agg(F.count("*").alias("cells")))
 
 
 def geometric_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the histogram."""
+    """The histogram's bin of each quantity and the edges round it."""
     step = math.log(extremes.HIGH / extremes.LOW) / (extremes.BINS - 1)
-    return rounded(spark.range(extremes.BINS).select(F.col("id").alias("k"), (F.lit(extremes.LOW) * F.exp(F.col("id") * F.lit(step))).alias("edge")))
+    own = table(spark, d, "lineitem").select(F.col("l_quantity").alias("amount")).distinct()
+    k = F.floor(F.log(F.col("amount") / extremes.LOW) / step)
+    return rounded(own.select("amount", k.alias("k"), *((F.lit(extremes.LOW) * F.exp((k + n) * F.lit(step))).alias(name) for n, name in enumerate(("low", "high")))))
 
 
 def contract_report(spark: SparkSession, d: str) -> DataFrame:
@@ -471,11 +482,38 @@ def timestamp_digests(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("split").agg(support.time_digest("t").alias("times"))
 
 
+def packed_mask_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of each week's time, grid and packed mask."""
+    return support.packed_mask_digests(grid(spark, d), "t", COMMON(), SIDE, SIDE)
+
+
 def paired_report(spark: SparkSession, d: str) -> DataFrame:
-    """Runs on the same support, and on one that leaves the synthetic input out."""
+    """A run, and one whose cells were put together from two tables, on the same support; and one that leaves the synthetic input out."""
+    g = grid(spark, d)
+    apart = timealign.read_fields(g.select("t", "y", "x", "truth", "available", "overlap"), g.select("t", "y", "x", "est"), ["y", "x"])
+    a, b, c = (support.run_digests(own, "t", on, SIDE, SIDE) for own, on in ((g, COMMON()), (apart, COMMON()), (g, support.pair_support("truth", "est"))))
+    both = support.paired_report(a, b).withColumn("pair", F.lit("same")).unionByName(support.paired_report(a, c).withColumn("pair", F.lit("other")))
+    return both.drop("same_shape")
+
+
+def fields_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """The aligned and the synthetic cube written by buckets of time, joined and summed by time without a shuffle of cells."""
     g = grid(spark, d)
-    a, b = support.run_digests(g, "t", COMMON()), support.run_digests(g, "t", support.pair_support("truth", "est"))
-    return support.paired_report(a, a).withColumn("pair", F.lit("same")).unionByName(support.paired_report(a, b).withColumn("pair", F.lit("other")))
+    own, path = [], new_path(spark, "cubes")
+    for name, columns in (("aligned", ("truth", "est")), ("synthetic", ("syn",))):
+        table_name = f"{name}_{path.split('raingrid-')[-1][:32]}"
+        own.append(tables.write_by_time(g.select("t", "y", "x", *columns), table_name, f"{path}/{name}", "t", 8))
+    both = tables.join_by_time(*own, ["y", "x"], "t")
+    return rounded(both.groupBy("t").agg(F.count("*").alias("cells"), F.sum("truth").alias("truth"), F.sum("est").alias("est"), F.sum("syn").alias("syn")))
+
+
+def split_months(spark: SparkSession, d: str) -> DataFrame:
+    """The test split of a cube by months, of which other months aren't read."""
+    cube, path, manifest = _as_cube(spark, d), new_path(spark, "cube"), new_path(spark, "splits")
+    tables.write_months(cube, path)
+    reports.write_manifest(splits.chronological_splits(cube.select("time_epoch"), "time_epoch"), manifest)
+    own = splits.in_split_of_cube(spark.read.parquet(path), reports.read_manifest(spark, manifest, "test"), "test")
+    return rounded(own.groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("cells"), F.sum("truth").alias("truth")))
 
 
 def bin_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -638,6 +676,6 @@ QUERIES = {
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
-        tile_layout, archive_days, regrid_projected,
+        tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond,
     )
 }
