@@ -142,6 +142,39 @@ def projected_overlap(cells: DataFrame, x0: float, y0: float, step: float, heigh
     return own.select("i", "j", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (share("y") * share("x")).alias("w")).filter("w > 1e-12")
 
 
+def _under(a: Column) -> Column:
+    """The integral from minus infinity to ``a`` of a number held between 0 and 1 (0 below)."""
+    return F.when(a <= 0, 0.0).when(a <= 1, a * a / 2).otherwise(a - 0.5)
+
+
+def _strip(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column) -> Column:
+    """What the edge from p to q adds to the area of a polygon in the unit cell at (x, y): the integral, over the part of x to x + 1 below the edge, of its height above y held between 0 and 1, with the sign of the edge's direction."""
+    low, high = F.greatest(F.least(px, qx), x), F.least(F.greatest(px, qx), x + 1)
+    slope = (qy - py) / (qx - px)
+    a, b = py + (low - px) * slope - y, py + (high - px) * slope - y
+    mean = F.when(F.abs(b - a) < 1e-7, clip((a + b) / 2, 0.0, 1.0)).otherwise((_under(b) - _under(a)) / (b - a))
+    return F.when((px == qx) | (low >= high), 0.0).otherwise(F.signum(qx - px) * (high - low) * mean)
+
+
+def clipped_overlap(cells: DataFrame, x0: float, y0: float, step: float, height: int, width: int) -> DataFrame:
+    """``(i, j, y, x, w)``: the areas that fine cells of a projected grid share with each coarse cell itself, the quadrilateral of its projected corners, in fine cells.
+
+    As ``projected_overlap`` else. Neighbouring coarse cells share their edges, so their weights sum to 1 in every fine cell inside a
+    coarse grid. The area is the sum of what each edge leaves below it in the fine cell, so that it is a projection without a join.
+    """
+    from ..functions.scalar import stereographic
+
+    names = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")]
+    own = cells.select("i", "j", *(((c - F.lit(o)) / F.lit(step)).alias(f"_{a}{k}") for k, (lon, lat) in enumerate(names) for c, o, a in zip(stereographic(F.col(lon), F.col(lat)), (x0, y0), "xy", strict=True)))
+    for a, n in (("y", height), ("x", width)):
+        corners = [F.col(f"_{a}{k}") for k in range(4)]
+        own = own.withColumns({"_low": F.greatest(F.floor(F.least(*corners)), F.lit(0)), "_high": F.least(F.ceil(F.greatest(*corners)) - 1, F.lit(n - 1))}).filter("_low <= _high").withColumn(a, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    # one expression for all edges: four copies of it would be more than one compiled method can hold
+    edges = F.array(*(F.struct(F.col(f"_x{k}").alias("px"), F.col(f"_y{k}").alias("py"), F.col(f"_x{(k + 1) % 4}").alias("qx"), F.col(f"_y{(k + 1) % 4}").alias("qy")) for k in range(4)))
+    area = F.abs(F.aggregate(edges, F.lit(0.0), lambda total, e: total + _strip(e["px"], e["py"], e["qx"], e["qy"], F.col("x"), F.col("y"))))
+    return own.select("i", "j", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), area.alias("w")).filter("w > 1e-9")
+
+
 def average_over(fine: DataFrame, overlap: DataFrame, least: float = 0.8, time: str = "t", value: str = "v") -> DataFrame:
     """``area_average`` by a table of overlaps ``(i, j, y, x, w)``, broadcast where a count shows that it is small."""
     w, v = F.col("w"), F.col(value)

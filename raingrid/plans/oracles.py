@@ -316,6 +316,23 @@ ov AS (SELECT i, j, y, x, (least(y + 1, y1) - greatest(y, y0)) * (least(x + 1, x
 z AS (SELECT t, i, j, sum(w * est) / sum(CASE WHEN est IS NOT NULL THEN w END) AS mean, coalesce(sum(CASE WHEN est IS NOT NULL THEN w END), 0) / sum(w) AS s FROM g JOIN ov USING (y, x) WHERE w > 1e-12 GROUP BY t, i, j)
 SELECT t, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN s >= 0.9 THEN round(mean, 6) + 0.0 END AS est, round(s, 6) AS source_valid_fraction FROM z""",
 }
+#: Each coarse cell's polygon is cut by the four sides of a fine cell, one after the other; what is left is measured by the shoelace formula.
+ORACLES["regrid_clipped"] = f"""WITH RECURSIVE {grid_sql(SIDE)}, ll AS (SELECT i, j, k, 9.6::DOUBLE + (j + [0, 1, 1, 0][k]) * 0.4::DOUBLE AS lon, 50::DOUBLE + (i + [0, 0, 1, 1][k]) * 0.25::DOUBLE AS lat
+FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(range(5)) AS j), (SELECT unnest([1, 2, 3, 4]) AS k)),
+xy AS (SELECT i, j, list({{'x': (r * sin(radians(lon - {CENTRE})) + 20000) / 10000, 'y': (-r * cos(radians(lon - {CENTRE})) + 4300000) / 10000}} ORDER BY k) AS p FROM (SELECT *, {2 * RADIUS * SCALE}::DOUBLE * tan(radians((90 - lat) / 2)) AS r FROM ll) GROUP BY i, j),
+cut AS (
+  SELECT i, j, y, x, 0 AS side, p FROM xy, (SELECT unnest(range({SIDE})) AS y), (SELECT unnest(range({SIDE})) AS x)
+  UNION ALL
+  SELECT i, j, y, x, side + 1, flatten(list_transform(range(1, len(p) + 1), lambda n: CASE
+    WHEN d[n] >= 0 AND d[n % len(p) + 1] >= 0 THEN [p[n % len(p) + 1]]
+    WHEN d[n] >= 0 THEN [{{'x': p[n].x + d[n] / (d[n] - d[n % len(p) + 1]) * (p[n % len(p) + 1].x - p[n].x), 'y': p[n].y + d[n] / (d[n] - d[n % len(p) + 1]) * (p[n % len(p) + 1].y - p[n].y)}}]
+    WHEN d[n % len(p) + 1] >= 0 THEN [{{'x': p[n].x + d[n] / (d[n] - d[n % len(p) + 1]) * (p[n % len(p) + 1].x - p[n].x), 'y': p[n].y + d[n] / (d[n] - d[n % len(p) + 1]) * (p[n % len(p) + 1].y - p[n].y)}}, p[n % len(p) + 1]]
+    ELSE [] END))
+  FROM (SELECT *, list_transform(p, lambda q: CASE side WHEN 0 THEN q.x - x WHEN 1 THEN x + 1 - q.x WHEN 2 THEN q.y - y ELSE y + 1 - q.y END) AS d FROM cut WHERE side < 4 AND len(p) > 0)),
+ov AS (SELECT i, j, y, x, abs(list_sum(list_transform(range(1, len(p) + 1), lambda n: p[n].x * p[n % len(p) + 1].y - p[n % len(p) + 1].x * p[n].y))) / 2 AS w FROM cut WHERE side = 4 AND len(p) > 2),
+z AS (SELECT t, i, j, sum(w * est) / sum(CASE WHEN est IS NOT NULL THEN w END) AS mean, coalesce(sum(CASE WHEN est IS NOT NULL THEN w END), 0) / sum(w) AS s FROM g JOIN ov USING (y, x) WHERE w > 1e-9 GROUP BY t, i, j),
+a AS (SELECT i, j, sum(w) AS area FROM ov WHERE w > 1e-9 GROUP BY i, j)
+SELECT t, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN s >= 0.8 THEN round(mean, 6) + 0.0 END AS est, round(s, 6) AS source_valid_fraction, round(area, 6) AS area FROM z JOIN a USING (i, j)"""
 ORACLES["regrid_map_table"] = ORACLES["regrid_bilinear"]
 
 

@@ -631,17 +631,18 @@ def _read_member(path: str):
     n = len(data) // 2
     for low in range(0, n, 100):
         v = pd.Series(data[n:].view("<f8")[low : min(low + 100, n)])
-        yield pd.DataFrame({"t": data[low : min(low + 100, n)], "v": v.astype(object).where(v.notna(), None)})
+        yield pd.DataFrame({"t": data[low : min(low + 100, n)], "v": v})
 
 
 def archive_days(spark: SparkSession, d: str) -> DataFrame:
     """Weekly archives of daily members, read as a stream, put together and decoded: steps and amounts of each day."""
     paths = [r["path"] for r in _write_archives(series(spark, d, 300), new_path(spark, "archives")).collect()]  # one row an archive
     days = series(spark, d, 300).select(scalar.day_of(F.col("t")).alias("day")).distinct()
-    audit = archive.archive_audit(archive.members(spark, paths), days)
-    pieces = archive.members(spark, paths, contents=True)
-    own = archive.decoded(pieces, _read_member, "t long, v double").groupBy("day").agg(F.count("*").alias("steps"), F.count("v").alias("seen"), F.sum("v").alias("total"))
-    sample = archive.decoded(archive.first_of_years(pieces), _read_member, "t long, v double").select("day", F.lit(True).alias("sampled")).distinct()
+    # each archive is unpacked once; what its members hold is written, and all else is told from that
+    rows = written(archive.decoded(archive.members(spark, paths, contents=True), _read_member, "t long, v double"), "steps")
+    audit = archive.archive_audit(rows.select("archive", "place", "member", "day").distinct(), days)
+    own = rows.groupBy("day").agg(F.count("*").alias("steps"), F.count("v").alias("seen"), F.sum("v").alias("total"))
+    sample = archive.first_of_years(rows).select("day", F.lit(True).alias("sampled")).distinct()
     return rounded(audit.join(own, "day", "left").join(sample, "day", "left").fillna(False, ["sampled"]))
 
 
@@ -657,6 +658,15 @@ def regrid_projected(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regrid.average_over(grid(spark, d).select("t", "y", "x", "est"), overlap, 0.9, "t", "est"))
 
 
+def regrid_clipped(spark: SparkSession, d: str) -> DataFrame:
+    """Means of a projected grid in the cells of latitude and longitude themselves, and each one's area in fine cells."""
+    cells = spark.range(30).select(F.floor(F.col("id") / 5).cast("int").alias("i"), (F.col("id") % 5).cast("int").alias("j"))
+    cells = cells.withColumns({"south": 50.0 + F.col("i") * 0.25, "west": 9.6 + F.col("j") * 0.4}).withColumns({"north": F.col("south") + 0.25, "east": F.col("west") + 0.4})
+    overlap = written(regrid.clipped_overlap(cells, *FINE, SIDE, SIDE), "overlap")
+    means = regrid.average_over(grid(spark, d).select("t", "y", "x", "est"), overlap, 0.8, "t", "est")
+    return rounded(means.join(F.broadcast(overlap.groupBy("i", "j").agg(F.sum("w").alias("area"))), ["i", "j"]))  # 30 coarse cells
+
+
 QUERIES = {
     "strict_hourly_sum": lambda s, d: rounded(hours(s, d, 300)),
     "strict_half_hours": lambda s, d: rounded(hours(s, d, 1800)),
@@ -676,6 +686,6 @@ QUERIES = {
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
-        tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond,
+        tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped,
     )
 }

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import member_date
 
@@ -86,49 +88,66 @@ def members(spark: SparkSession, paths: list[str], contents: bool = False) -> Da
     return rows.withColumn("day", member_date(F.col("member")))
 
 
-def decoded(pieces: DataFrame, read: Callable[[str], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def decoded(pieces: DataFrame, read: Callable[[str], Iterator[pd.DataFrame | pa.RecordBatch]], schema: str) -> DataFrame:
     """``(archive, place, member, day, ...)``: the rows of ``schema`` that ``read`` gives for each member's file (A3, A5).
 
     Pieces of a member come to one task, in order, and go to a file of that task, which is removed once it is read; ``read``
-    takes its path and gives slabs, so a task holds a piece or a slab at a time. A member that isn't whole fails. Members spread
-    over tasks by archive and place, so what one archive's task has unpacked is decoded by many.
+    takes its path and gives Arrow batches (or pandas frames), so a task holds a piece or a batch at a time. A member that isn't whole fails.
+    Members spread over tasks by archive and place, so what one archive's task has unpacked is decoded by many.
     """
+    own_schema = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="spark-member-")
         path, now, size, want = os.path.join(folder, "member"), None, 0, 0
 
-        def slabs() -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[pa.RecordBatch]:
             if now is None:
                 return
             if size != want:
                 raise ValueError(f"{now[2]} has {size} of {want} bytes")
-            for slab in read(path):
-                yield pd.DataFrame(dict(zip(("archive", "place", "member", "day"), now, strict=True)), index=slab.index).join(slab)
+            for own in read(path):
+                if isinstance(own, pd.DataFrame):
+                    own = pa.RecordBatch.from_pandas(own, own_schema, preserve_index=False)
+                head = [pa.repeat(pa.scalar(v, t), len(own)) for v, t in zip(now, (pa.string(), pa.int32(), pa.string(), pa.date32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*head, *(own.column(n).cast(t) for n, t in zip(own_schema.names, own_schema.types, strict=True))], ["archive", "place", "member", "day", *own_schema.names])
 
         try:
             for batch in batches:
-                for archive, place, member, day, total, data in batch.itertuples(index=False):
+                for archive, place, member, day, total, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if now is None or now[:2] != (archive, place):
-                        yield from slabs()
+                        yield from rows()
                         now, size, want = (archive, place, member, day), 0, total
                         open(path, "wb").close()
                     with open(path, "ab") as file:
                         file.write(data)
                     size += len(data)
-            yield from slabs()
+            yield from rows()
         finally:
             if os.path.exists(path):
                 os.remove(path)
             os.rmdir(folder)
 
     own = pieces.repartition("archive", "place").sortWithinPartitions("archive", "place", "piece")
-    return own.select("archive", "place", "member", "day", "bytes", "content").mapInPandas(run, f"archive string, place int, member string, day date, {schema}")
+    return own.select("archive", "place", "member", "day", "bytes", "content").mapInArrow(run, f"archive string, place int, member string, day date, {schema}")
+
+
+def require_days(rows: DataFrame, steps: int = 288, step: int = 300, cells: int = 1, time: str = "t") -> DataFrame:
+    """A row for each member of ``decoded``, which fails by the member's name unless its name tells a day, its times are that day's ``steps`` times from midnight on, ``step`` seconds apart, and each has ``cells`` cells (A5)."""
+    per = rows.groupBy("archive", "place", "member", "day", time).agg(F.count("*").alias("_c"))
+    per = per.groupBy("archive", "place", "member", "day").agg(
+        F.count("*").alias("steps"), F.min(time).alias("first"), F.max(time).alias("last"), F.count_if(F.pmod(F.col(time) - F.unix_date("day").cast("long") * 86400, F.lit(step)) != 0).alias("_off"), F.count_if(F.col("_c") != cells).alias("_grids")
+    )
+    midnight = F.unix_date("day").cast("long") * 86400
+    whole = (F.col("steps") == steps) & (F.col("first") == midnight) & (F.col("last") == midnight + (steps - 1) * step) & (F.col("_off") == 0) & (F.col("_grids") == 0)
+    fault = F.raise_error(F.concat(F.lit("not a whole day: "), F.col("member"), F.lit(" has "), F.col("steps").cast("string"), F.lit(" steps, "), F.col("_grids").cast("string"), F.lit(" of them on another grid"))).cast("long")
+    return per.select("archive", "place", "member", "day", F.when(F.coalesce(whole, F.lit(False)), F.col("steps")).otherwise(fault).alias("steps"), "first", "last")
 
 
 def first_of_years(pieces: DataFrame) -> DataFrame:
     """Of daily files those of the first day of each year, a sample to be decoded (A3)."""
     firsts = pieces.filter("day is not null").groupBy(F.year("day").alias("year")).agg(F.min(F.struct("day", "archive", "place")).alias("m"))
+    # one row a year
     return pieces.join(F.broadcast(firsts.select("m.archive", "m.place")), ["archive", "place"], "left_semi")
 
 

@@ -1,8 +1,12 @@
 """What plans must look like at scale, and results that only larger or odd inputs show."""
 
+import datetime
 import glob
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -10,9 +14,11 @@ from pyspark.sql import functions as F
 
 from raingrid.functions import scalar
 from raingrid.operators import extremes, regrid, sampling, splits, support, verify
-from raingrid.sources import reports, tables
+from raingrid.sources import archive, reports, tables
 from raingrid.sources.shared import new_path
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def plan_of(df):
     df.collect()  # the plan that ran
@@ -47,6 +53,30 @@ def test_a_field_with_a_gap_is_as_fast_as_a_whole_one(spark):
         assert got[t] == [None if k == 777 + t else float(k) for k in range(n)]
 
 
+def test_weights_of_coarse_cells_are_their_own_areas(spark):
+    x0, y0, step, n = -20_000.0, -4_300_000.0, 10_000.0, 30
+    cells = [(i, j, 49.0 + i * 0.25, 49.25 + i * 0.25, 8.8 + j * 0.4, 9.2 + j * 0.4) for i in range(18) for j in range(16)]
+    got = regrid.clipped_overlap(spark.createDataFrame(cells, "i int, j int, south double, north double, west double, east double"), x0, y0, step, n, n).collect()
+    total = np.zeros((n, n))
+    per = {}
+    for r in got:
+        total[r["y"], r["x"]] += r["w"]
+        per.setdefault((r["y"], r["x"]), {})[r["i"], r["j"]] = r["w"]
+    inside = total > 1 - 1e-6
+    assert inside.sum() > 400 and np.abs(total[inside] - 1).max() < 1e-6 and total.max() < 1 + 1e-6
+    # against dense points of some fine cells, told by the edges' sides
+    points = spark.createDataFrame([(lon, lat) for _, _, a, b, c, d in cells for lon, lat in ((c, a), (d, a), (d, b), (c, b))], "lon double, lat double")
+    flat = [((r[0] - x0) / step, (r[1] - y0) / step) for r in points.select(*scalar.stereographic(F.col("lon"), F.col("lat"))).collect()]
+    at = (np.arange(60) + 0.5) / 60
+    for y, x in ((5, 5), (12, 20), (20, 3)):
+        gx, gy = np.meshgrid(x + at, y + at)
+        for k, (i, j, *_) in enumerate(cells):
+            own = flat[4 * k : 4 * k + 4]
+            sides = [(qx - px) * (gy - py) - (qy - py) * (gx - px) for (px, py), (qx, qy) in zip(own, own[1:] + own[:1], strict=True)]
+            share = (np.all([v >= 0 for v in sides], axis=0) | np.all([v <= 0 for v in sides], axis=0)).mean()
+            assert share == pytest.approx(per.get((y, x), {}).get((i, j), 0.0), abs=0.02)
+
+
 # --- quantiles
 
 
@@ -167,3 +197,51 @@ def test_packed_masks_are_numpy_s(spark):
 def test_a_metre_of_any_decimals(spark):
     df = spark.createDataFrame([(f'X["y",LENGTHUNIT["metre",{n}]]',) for n in ("1000", "1000.0", "1000.00", "1000.5", "10000")], "w string")
     assert [r[0][22:] for r in df.select(scalar.metre_wkt(F.col("w"))).collect()] == ["e\",1]]", "e\",1]]", "e\",1]]", "e\",1000.5]]", "e\",10000]]"]
+
+
+# --- files
+
+
+def test_a_radar_slab_takes_bounded_memory(tmp_path):
+    """A day's first hours of the radar grid, 1100 x 900, by a stand-in for the library, in a process of its own: rows go out a time at once."""
+    code = """
+import datetime, resource, sys
+from types import SimpleNamespace
+import numpy as np
+from raingrid.sources import netcdf
+class Variable:
+    units, shape = "mm", (24, 1100, 900)
+    def __getitem__(self, at):
+        n = len(range(24)[at])
+        return np.ma.masked_less(np.random.default_rng(0).random((n, 1100, 900), np.float32), 0.1)
+class Dataset(dict):
+    def __init__(self, path): super().__init__(v=Variable(), time=SimpleNamespace(units="h", __getitem__=None))
+    def __enter__(self): return self
+    def __exit__(self, *_): pass
+class Axis:
+    units = "hours"
+    def __getitem__(self, at): return np.arange(24)[at]
+Dataset.__getitem__ = lambda self, k: Axis() if k == "time" else Variable()
+sys.modules["netCDF4"] = SimpleNamespace(Dataset=Dataset, num2date=lambda h, u, **_: [datetime.datetime.fromtimestamp(int(k) * 3600, datetime.timezone.utc) for k in h])
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = missing = 0
+for batch in netcdf.record_batches("v")("x.nc"):
+    rows += len(batch)
+    missing += batch.column("v").null_count
+print(rows, missing, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT, timeout=120)
+    rows, missing, mb = map(int, out.stdout.split())
+    assert rows == 24 * 1100 * 900 and 0.05 < missing / rows < 0.15 and mb < 300
+
+
+def test_members_that_are_no_whole_day_fail_by_name(spark):
+    day = 17897 * 86400
+    rows = [("a", 0, "YW_20190101.nc", datetime.date(2019, 1, 1), day + 300 * k, c) for k in range(288) for c in range(2)]
+    schema = "archive string, place int, member string, day date, t long, c int"
+    got = archive.require_days(spark.createDataFrame(rows, schema), cells=2).collect()
+    assert [(r["steps"], r["first"]) for r in got] == [(288, day)]
+    later = [(*r[:4], r[4] + 300, r[5]) for r in rows]
+    for wrong in (rows[:-2], rows[1:], later, [(*r[:3], None, *r[4:]) for r in rows], [(*r[:4], r[4] + (r[4] == day + 600) * 60, r[5]) for r in rows]):
+        with pytest.raises(Exception, match="not a whole day: YW_20190101.nc"):
+            archive.require_days(spark.createDataFrame(wrong, schema), cells=2).collect()
