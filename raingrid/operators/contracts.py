@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .verify import exact_quantiles
+
 
 def expect(df: DataFrame, name: str, found: Column, expected: Column | float) -> DataFrame:
     """An aggregate of ``df`` against a number; a missing aggregate counts as not met."""
@@ -40,6 +42,54 @@ def equal_grids(a: DataFrame, b: DataFrame, keys: list[str], values: list[str],
     return expect(both, "L4 equal grids", F.count_if(F.coalesce(differs, F.lit(True))), 0)
 
 
+def with_units(df: DataFrame, **units: str) -> DataFrame:
+    """``df`` with units as metadata of its columns, which Parquet keeps (L2)."""
+    return df.select(*(F.col(c).alias(c, metadata={**df.schema[c].metadata, "units": units[c]}) if c in units else F.col(c) for c in df.columns))
+
+
+def declared(df: DataFrame, dimensions: list[str], units: dict[str, str], shapes: DataFrame | None = None) -> DataFrame:
+    """A row for each column that a cube must have (L2): ``(contract, expected, found, ok)``. Dimensions come first and in order; other columns have the units that their metadata tell.
+
+    What is asked and found are texts: a place among the columns, or units (``none`` where there are none, ``lacking`` for a column that isn't there).
+    """
+    rows = []
+    for k, c in enumerate(dimensions):
+        found = str(df.columns.index(c)) if c in df.columns else "lacking"
+        rows.append((f"L2 dimension {c}", str(k), found, found == str(k)))
+    for c, want in units.items():
+        found = df.schema[c].metadata.get("units", "none") if c in df.columns else "lacking"
+        rows.append((f"L2 units of {c}", want, found, found == want))
+    return df.sparkSession.createDataFrame(rows, "contract string, expected string, found string, ok boolean")
+
+
+def require_declared(df: DataFrame, dimensions: list[str], units: dict[str, str]) -> DataFrame:
+    """``df``; fails if a column, its place or its unit isn't as ``declared``."""
+    wrong = [f"{r['contract']}: {r['found']} instead of {r['expected']}" for r in declared(df, dimensions, units).collect() if not r["ok"]]  # a row a column
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return df
+
+
+def grid_orientation(cells: DataFrame, box: tuple[float, float, float, float]) -> list[DataFrame]:
+    """The contracts of a geolocated grid ``(y, x, py, px, lat, lon, overlap)`` (L4): projected axes are one number a row and a column and increase, latitudes mostly increase with y and longitudes
+    with x (the median step is above 0), and the overlap lies in ``box`` (south, north, west, east)."""
+    out = []
+    for a, p in (("y", "py"), ("x", "px")):
+        axis = cells.groupBy(a).agg(F.min(p).alias("low"), F.max(p).alias("high"))  # a row or column each, so one window is short
+        steps = axis.select((F.col("low") - F.lag("high").over(Window.orderBy(a))).alias("d"), (F.col("high") - F.col("low")).alias("spread"))
+        out.append(expect(steps, f"L4 {p} increases", F.count_if((F.col("d") <= 0) | (F.col("spread") > 1e-8)), 0))
+    for a, across, p, way in (("y", "x", "lat", "north"), ("x", "y", "lon", "east")):
+        before = F.lag(F.struct(a, p)).over(Window.partitionBy(across).orderBy(a))
+        steps = cells.withColumn("_b", before).filter(F.col(f"_b.{a}") == F.col(a) - 1).select((F.col(p) - F.col(f"_b.{p}")).alias("d"))
+        # the median is above 0 if and only if more than half of the steps are, or half are and the two in the middle sum to more than 0
+        middle = exact_quantiles(steps, "d", (0.5,)).select(F.col("q")[0].alias("m"))
+        out.append(expect(middle, f"L4 {way} is up", F.max((F.col("m") > 0).cast("int")), 1))
+    south, north, west, east = box
+    outside = ~(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    out.append(expect(cells.filter("overlap"), "L4 overlap in the box", F.count_if(outside), 0))
+    return out
+
+
 def required_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """L2."""
     lacking = [n for n in names if n not in df.columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +37,29 @@ def tiles(df: DataFrame, value: str, core: int, halo: int, height: int, width: i
 def infer_tiled(df: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], value: str, core: int = 256, halo: int = 112, height: int = 1021, width: int = 900, time: str = "t") -> DataFrame:
     """``(t, y, x, prediction)`` of a model that maps a field to one of the same shape; missing cells are 0 to it.
 
-    ``make_model`` is called once in each task. Predictions are not below 0 and only of a tile's core.
+    ``make_model`` is called once in each task; cells go from Spark's lists to its array without a Python object each. Predictions are not below 0 and only of a tile's core.
     """
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
+        side = core + 2 * halo
         for batch in batches:
-            for t, ty, tx, cells in batch.itertuples(index=False):
-                y = np.array([c["y"] for c in cells]) - ty * core + halo
-                x = np.array([c["x"] for c in cells]) - tx * core + halo
-                v = np.array([np.nan if c["v"] is None else c["v"] for c in cells], np.float32)
-                field = np.zeros((core + 2 * halo, core + 2 * halo), np.float32)
-                field[y, x] = np.nan_to_num(v)
+            cells = batch.column(3)
+            first, flat = cells.offsets.to_numpy() - cells.offsets[0].as_py(), cells.flatten()
+            ys, xs, vs = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "v"))
+            for k, (ty, tx) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at = slice(int(first[k]), int(first[k + 1]))
+                y, x = ys[at] - (ty * core - halo), xs[at] - (tx * core - halo)
+                field = np.zeros((side, side), np.float32)
+                field[y, x] = np.nan_to_num(vs[at])  # missing ones are NaN here
                 out = np.maximum(model(field), 0)
                 own = (y >= halo) & (y < halo + core) & (x >= halo) & (x < halo + core)
-                yield pd.DataFrame({time: t, "y": y[own] + ty * core - halo, "x": x[own] + tx * core - halo, "prediction": out[y[own], x[own]].astype(float)})
+                arrays = [pa.array(ys[at][own], pa.int32()), pa.array(xs[at][own], pa.int32()), pa.array(out[y[own], x[own]].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], int(own.sum())), *arrays], [time, "y", "x", "prediction"])
 
     kind = dict(df.dtypes)[time]
-    return tiles(df, value, core, halo, height, width, time).mapInPandas(predict, f"{time} {kind}, y int, x int, prediction double")
+    own = tiles(df, value, core, halo, height, width, time).select(time, "tile_y", "tile_x", F.transform("cells", lambda c: F.struct(c["y"].cast("int").alias("y"), c["x"].cast("int").alias("x"), c["v"].alias("v"))).alias("cells"))
+    return own.mapInArrow(predict, f"{time} {kind}, y int, x int, prediction double")
 
 
 def to_tiles(df: DataFrame, value: str, size: int, time: str = "t") -> DataFrame:

@@ -316,6 +316,17 @@ ov AS (SELECT i, j, y, x, (least(y + 1, y1) - greatest(y, y0)) * (least(x + 1, x
 z AS (SELECT t, i, j, sum(w * est) / sum(CASE WHEN est IS NOT NULL THEN w END) AS mean, coalesce(sum(CASE WHEN est IS NOT NULL THEN w END), 0) / sum(w) AS s FROM g JOIN ov USING (y, x) WHERE w > 1e-12 GROUP BY t, i, j)
 SELECT t, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN s >= 0.9 THEN round(mean, 6) + 0.0 END AS est, round(s, 6) AS source_valid_fraction FROM z""",
 }
+ORACLES["declared_columns"] = f"""{G} SELECT *, (SELECT count(*) FROM g) AS cells FROM (VALUES ('L2 dimension time_epoch', '0', '0', true), ('L2 dimension y', '1', '1', true), ('L2 dimension x', '2', '2', true),
+('L2 units of truth', 'mm', 'mm', true), ('L2 units of est', 'mm', 'm', false), ('L2 units of syn', 'mm', 'lacking', false)) v(contract, expected, found, ok)"""
+ORACLES["grid_contracts"] = f"""{G}, o AS (SELECT y, x, max(overlap) AS overlap FROM g GROUP BY y, x),
+a AS (SELECT 'whole' AS grid, y, x, overlap, y * 1000.0 AS py, x * 1000.0 AS px, 47 + y * 0.5 + x * 0.01 AS lat, 5 + x * 0.5 - y * 0.01 AS lon FROM o
+UNION ALL SELECT 'turned', y, x, overlap, -y * 1000.0, x * 1000.0, 60 - (47 + y * 0.5 + x * 0.01), CASE WHEN y = 3 AND x = 4 THEN 99 ELSE 5 + x * 0.5 - y * 0.01 END FROM o),
+py AS (SELECT grid, 'L4 py increases' AS contract, 0.0 AS expected, count(*) FILTER (d <= 0)::DOUBLE AS found FROM (SELECT grid, min(py) - lag(max(py)) OVER (PARTITION BY grid ORDER BY y) AS d FROM a GROUP BY grid, y) GROUP BY grid),
+px AS (SELECT grid, 'L4 px increases', 0.0, count(*) FILTER (d <= 0)::DOUBLE FROM (SELECT grid, min(px) - lag(max(px)) OVER (PARTITION BY grid ORDER BY x) AS d FROM a GROUP BY grid, x) GROUP BY grid),
+no AS (SELECT b.grid, 'L4 north is up', 1.0, (median(b.lat - a.lat) > 0)::INT::DOUBLE FROM a JOIN a b ON b.grid = a.grid AND b.x = a.x AND b.y = a.y + 1 GROUP BY b.grid),
+ea AS (SELECT b.grid, 'L4 east is up', 1.0, (median(b.lon - a.lon) > 0)::INT::DOUBLE FROM a JOIN a b ON b.grid = a.grid AND b.y = a.y AND b.x = a.x + 1 GROUP BY b.grid),
+bx AS (SELECT grid, 'L4 overlap in the box', 0.0, count(*) FILTER (NOT (lat BETWEEN 46.5 AND 55 AND lon BETWEEN 2 AND 16))::DOUBLE FROM a WHERE overlap GROUP BY grid)
+SELECT grid, contract, expected::DOUBLE AS expected, found, expected = found AS ok FROM (FROM py UNION ALL FROM px UNION ALL FROM no UNION ALL FROM ea UNION ALL FROM bx)"""
 #: Each coarse cell's polygon is cut by the four sides of a fine cell, one after the other; what is left is measured by the shoelace formula.
 ORACLES["regrid_clipped"] = f"""WITH RECURSIVE {grid_sql(SIDE)}, ll AS (SELECT i, j, k, 9.6::DOUBLE + (j + [0, 1, 1, 0][k]) * 0.4::DOUBLE AS lon, 50::DOUBLE + (i + [0, 0, 1, 1][k]) * 0.25::DOUBLE AS lat
 FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(range(5)) AS j), (SELECT unnest([1, 2, 3, 4]) AS k)),

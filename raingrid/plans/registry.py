@@ -388,6 +388,27 @@ def contract_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(contracts.report(rows))
 
 
+def grid_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Orientation and box of the grid that the cells make, and of one that is turned round (L4)."""
+    g = grid(spark, d).groupBy("y", "x").agg(F.max(F.col("overlap").cast("int")).cast("boolean").alias("overlap"))
+    g = g.withColumns({"py": F.col("y") * 1000.0, "px": F.col("x") * 1000.0, "lat": 47 + F.col("y") * 0.5 + F.col("x") * 0.01, "lon": 5 + F.col("x") * 0.5 - F.col("y") * 0.01})
+    turned = g.withColumns({"py": -F.col("py"), "lat": 60 - F.col("lat"), "lon": F.when((F.col("y") == 3) & (F.col("x") == 4), 99.0).otherwise(F.col("lon"))})
+    rows = [r.withColumn("grid", F.lit(name)) for name, own in (("whole", written(g, "grid")), ("turned", written(turned, "grid"))) for r in contracts.grid_orientation(own, (46.5, 55.0, 2.0, 16.0))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return rounded(out)
+
+
+def declared_columns(spark: SparkSession, d: str) -> DataFrame:
+    """What a cube that was written says of its columns, against what must be, and how many rows it has (A1, A3, L2)."""
+    cube, path = _as_cube(spark, d), new_path(spark, "cube")
+    contracts.with_units(cube, truth="mm", est="m").write.parquet(path)
+    read = spark.read.parquet(path)
+    told = contracts.declared(read, ["time_epoch", "y", "x"], {"truth": "mm", "est": "mm", "syn": "mm"})
+    return rounded(told.crossJoin(F.broadcast(read.agg(F.count("*").alias("cells")))))
+
+
 def coverage_filter(spark: SparkSession, d: str) -> DataFrame:
     """Coarse weekly cells with enough seen of them."""
     g = grid(spark, d)
@@ -686,6 +707,6 @@ QUERIES = {
         preview_hour, first_per_month, month_counts, projection_inverse, unit_scale, normalised_field, scalar_functions, disk_kernel, geometric_edges, contract_report, coverage_filter,
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
-        tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped,
+        tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped, grid_contracts, declared_columns,
     )
 }

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raingrid.functions import scalar
-from raingrid.operators import extremes, regrid, sampling, splits, support, verify
+from raingrid.operators import contracts, extremes, predict, regrid, sampling, splits, support, verify
 from raingrid.sources import archive, reports, tables
 from raingrid.sources.shared import new_path
 
@@ -245,3 +245,30 @@ def test_members_that_are_no_whole_day_fail_by_name(spark):
     for wrong in (rows[:-2], rows[1:], later, [(*r[:3], None, *r[4:]) for r in rows], [(*r[:4], r[4] + (r[4] == day + 600) * 60, r[5]) for r in rows]):
         with pytest.raises(Exception, match="not a whole day: YW_20190101.nc"):
             archive.require_days(spark.createDataFrame(wrong, schema), cells=2).collect()
+
+
+# --- contracts and tiles
+
+
+def test_a_wrong_unit_or_order_fails_by_name(spark):
+    df = contracts.with_units(spark.createDataFrame([(0, 1, 2, 3.0)], "time long, y int, x int, v double"), v="mm")
+    path = new_path(spark, "units")
+    df.write.parquet(path)
+    read = spark.read.parquet(path)
+    assert contracts.require_declared(read, ["time", "y", "x"], {"v": "mm"}).count() == 1
+    for dims, units, said in ((["time", "x", "y"], {}, "L2 dimension x: 2 instead of 1"), ([], {"v": "m"}, "L2 units of v: mm instead of m"), ([], {"w": "m"}, "lacking")):
+        with pytest.raises(ValueError, match=said):
+            contracts.require_declared(read, dims, units)
+
+
+def test_tiles_of_a_large_field_are_arrays_in_the_task(spark):
+    cells = spark.range(300 * 300).select(F.lit(5).cast("long").alias("t"), F.floor(F.col("id") / 300).alias("y"), (F.col("id") % 300).alias("x"), F.when(F.col("id") % 7 != 0, F.col("id") % 11 * 1.0).alias("v"))
+
+    def make():
+        return lambda f: np.pad(f, 1)[2:, 1:-1] - 3  # the cell below, less 3
+
+    got = predict.infer_tiled(cells, make, "v", core=64, halo=2, height=300, width=300)
+    assert "MapInArrow" in plan_of(got) and dict(got.dtypes) == {"t": "bigint", "y": "int", "x": "int", "prediction": "double"}
+    value = lambda y, x: 0.0 if y > 299 or (y * 300 + x) % 7 == 0 else (y * 300 + x) % 11 * 1.0
+    rows = got.collect()
+    assert len(rows) == 90_000 and all(r["prediction"] == max(value(r["y"] + 1, r["x"]) - 3, 0) for r in rows)
