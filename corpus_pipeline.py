@@ -22,6 +22,15 @@ from raingrid.llm.quality import rate
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch. A task holds one batch on Spark's side, the same on Python's, and what is made of it; texts have some kilobytes as a mean.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows, before a stage is planned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, row)`` with a key for each row in place of the id. Written, so that the keys stay."""
     own = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("row"))
@@ -44,18 +53,21 @@ def _unfolded(folded: DataFrame, names: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is likely enough above the lowest (ordinal regression on the ratings of ``labels``)."""
+    _small_batches(spark)
     told = rate(_folded(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _unfolded(told.filter("kept"), docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned, with enough confidence; those without a letter go."""
+    _small_batches(spark)
     told = identify(_folded(docs), fit_language(docs.filter(remainder() != 2)))
     return _unfolded(told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (null ones last) of each group of near copies; one of those with equal ids."""
+    _small_batches(spark)
     keyed = _keyed(docs)
     groups = materialise(near_duplicates(keyed).select("doc_id", "component_id"), "groups")
     ids = keyed.select("doc_id", F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("id"), F.col("doc_id").alias("key")).alias("own"))
@@ -65,12 +77,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
+    _small_batches(spark)
     keyed = _keyed(docs)
     return _without(keyed, find_passages(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
+    _small_batches(spark)
     return pack(docs, word_tokenizer())
 
 
