@@ -117,4 +117,4 @@ def test_registered_with_the_entry():
     entry = importlib.import_module("__spark_entry__")
     own = entry.queries()
     assert {"pipeline"} | {n for n in own if re.match(r"op\d+_", n)} <= set(own)
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in own if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in own if re.match(r"op\d+_", n)) == list(range(1, 14))
