@@ -141,10 +141,11 @@ def exact_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequ
 
 
 def _with_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str], aggregates: list[Column], small: bool, accuracy: int | None = None) -> DataFrame:
-    """Aggregates and ``q``: by one aggregate for small groups or a sketch, else by ``exact_quantiles``."""
+    """Aggregates and ``q``: by one aggregate for small groups or a sketch, else by ``exact_quantiles``, for which ``df`` is written once, as the three passes read it."""
     if small or accuracy is not None:
         q = F.percentile(value, F.array(*(F.lit(q) for q in levels))) if accuracy is None else F.percentile_approx(value, list(levels), accuracy)
         return df.groupBy(*by).agg(*aggregates, q.alias("q"))
+    df = written(df, "amounts")
     out, q = df.groupBy(*by).agg(*aggregates), exact_quantiles(df, value, levels, by)
     if not by:
         return out.crossJoin(F.broadcast(q))
@@ -164,7 +165,7 @@ def distribution(df: DataFrame, support: Column, value: str, by: Sequence[str] =
         F.avg((v > 0).cast("double")).alias("wet_fraction"),
         *(F.avg((v > F.lit(t).cast(kind)).cast("double")).alias(f"fraction_gt_{str(t).replace('.', '_').removesuffix('_0')}") for t in EVENT_THRESHOLDS),
     ]
-    out = _with_quantiles(df.filter(support), value, levels, by, aggregates, small, accuracy)
+    out = _with_quantiles(df.filter(support).select(*by, value), value, levels, by, aggregates, small, accuracy)
     names = [f"p{str(round(100 * q, 3)).removesuffix('.0').replace('.', '_')}" for q in levels]
     return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
@@ -176,7 +177,7 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), small: bool =
         F.count(v).alias("finite"), ratio(F.count_if(v.isNull()), F.count("*")).alias("missing_fraction"), F.count_if(v < -1e-7).alias("negatives"),
         F.min(v).alias("min"), F.max(v).alias("max"),
     ]
-    out = _with_quantiles(df, value, (0.5, 0.95, 0.99), by, aggregates, small)
+    out = _with_quantiles(df.select(*by, value), value, (0.5, 0.95, 0.99), by, aggregates, small)
     return out.select(*(c for c in out.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(("median", "p95", "p99"))))
 
 
