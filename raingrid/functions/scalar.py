@@ -88,10 +88,13 @@ def interpolate(v: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Co
     return F.when(v <= x0, y0).when(v >= x1, y1).otherwise(inside)
 
 
+#: Fixed value: how members of daily files are named.
+DAILY_MEMBER = r"(?:^|/)YW_2017\.002_(20\d{2})(\d{2})(\d{2})\.nc$"
+
+
 def member_date(name: Column) -> Column:
     """The date in an archive member's name, NULL if it isn't one of the daily files."""
-    pattern = r"(?:^|/)YW_2017\.002_(20\d{2})(\d{2})(\d{2})\.nc$"
-    parts = [F.regexp_extract(name, pattern, k) for k in (1, 2, 3)]
+    parts = [F.regexp_extract(name, DAILY_MEMBER, k) for k in (1, 2, 3)]
     return F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", *parts)) if hasattr(F, "try_to_date") else F.to_date(F.concat_ws("-", *parts)))
 
 

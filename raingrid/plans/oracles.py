@@ -344,6 +344,10 @@ ov AS (SELECT i, j, y, x, abs(list_sum(list_transform(range(1, len(p) + 1), lamb
 z AS (SELECT t, i, j, sum(w * est) / sum(CASE WHEN est IS NOT NULL THEN w END) AS mean, coalesce(sum(CASE WHEN est IS NOT NULL THEN w END), 0) / sum(w) AS s FROM g JOIN ov USING (y, x) WHERE w > 1e-9 GROUP BY t, i, j),
 a AS (SELECT i, j, sum(w) AS area FROM ov WHERE w > 1e-9 GROUP BY i, j)
 SELECT t, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN s >= 0.8 THEN round(mean, 6) + 0.0 END AS est, round(s, 6) AS source_valid_fraction, round(area, 6) AS area FROM z JOIN a USING (i, j)"""
+ORACLES["archive_stream_hours"] = f"""WITH {series_sql(1800)}, d AS (SELECT DISTINCT t // 86400 AS day FROM s), k AS (SELECT day * 86400 + n * 1800 AS t FROM d, (SELECT unnest(range(48)) AS n))
+SELECT k.t - k.t % 3600 + 3600 AS hour_end, CASE WHEN count(v) = 2 THEN round(sum(v), 6) + 0.0 END AS amount, count(v) AS seen FROM k LEFT JOIN s USING (t) GROUP BY 1"""
+ORACLES["indexed_days"] = f"""WITH {series_sql(300)}, d AS (SELECT DATE '1970-01-01' + CAST(t // 86400 AS INT) AS day, v FROM s)
+SELECT day, count(*) AS steps, count(v) AS seen, round(sum(v), 6) + 0.0 AS total FROM d WHERE month(day) = 2 GROUP BY day"""
 ORACLES["regrid_map_table"] = ORACLES["regrid_bilinear"]
 
 

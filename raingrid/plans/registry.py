@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -667,6 +668,35 @@ def archive_days(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.join(own, "day", "left").join(sample, "day", "left").fillna(False, ["sampled"]))
 
 
+def _half_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Every half hour of the days that have steps, with its amount if it has one."""
+    own = series(spark, d, 1800)
+    days = own.select(F.floor(F.col("t") / 86400).alias("day")).distinct()
+    return days.select(F.explode(F.sequence(F.col("day") * 86400, F.col("day") * 86400 + 84600, F.lit(1800))).alias("t")).join(own, "t", "left")
+
+
+def archive_stream_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly archives as a stream, a few in a batch, decoded and summed to whole hours by keyed state."""
+    from ..streaming import archives
+    from ..streaming.hourly import run_to_table
+
+    folder = new_path(spark, "archives")
+    _write_archives(_half_hours(spark, d), folder).write.format("noop").mode("overwrite").save()
+    # weeks are written in any order, so one batch takes them all; a stream of a growing folder takes one at a time
+    stream = archives.archive_stream(spark, os.path.dirname(folder), per_batch=1 << 20)
+    steps = archives.decoded_archives(stream, _read_member, "t long, v double").withColumn("series", F.lit("YW"))
+    own = run_to_table(archives.strict_hours(steps, ["series"], step=1800), new_path(spark, "stream"))
+    return rounded(own.select("hour_end", "amount", "seen"))
+
+
+def indexed_days(spark: SparkSession, d: str) -> DataFrame:
+    """The days of one month from archives by an index of their members (A2, A5): only archives that hold such days are opened."""
+    paths = [r["path"] for r in _write_archives(series(spark, d, 300), new_path(spark, "archives")).collect()]  # one row an archive
+    index = archive.update_index(spark, paths, new_path(spark, "index"))
+    own = archive.decoded(archive.indexed_members(index.filter(F.month("day") == 2)), _read_member, "t long, v double")
+    return rounded(own.groupBy("day").agg(F.count("*").alias("steps"), F.count("v").alias("seen"), F.sum("v").alias("total")))
+
+
 #: The fine grid of ``regrid_projected``: corner and step in m; and its coarse cells in degrees.
 FINE = (-20_000.0, -4_300_000.0, 10_000.0)
 
@@ -708,5 +738,6 @@ QUERIES = {
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
         tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped, grid_contracts, declared_columns,
+        archive_stream_hours, indexed_days,
     )
 }

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raingrid.sources import archive, netcdf, reports, tables
-from raingrid.streaming import hourly, replay
+from raingrid.streaming import archives, hourly, replay
 
 
 def test_months_are_written_once_unless_replaced(spark, tmp_path):
@@ -155,3 +155,95 @@ def test_grids_are_written_once_and_read(spark, tmp_path):
         tables.write_grids(f"{tmp_path}/grids", lat=lat)
     tables.write_grids(f"{tmp_path}/grids", overwrite=True, lat=lat.limit(1))
     assert tables.read_grids(spark, f"{tmp_path}/grids", "lat")["lat"].count() == 1
+
+
+def write_archive(path, days, step=3600, skip=(), first=0):
+    """Members of days of 2019 with whole days of steps (as bytes), but for those to skip; a member may begin late."""
+    own = path.with_suffix(".part")
+    with tarfile.open(own, "w:gz") as out:
+        for day in days:
+            low = (datetime.date(2019, 1, day) - datetime.date(1970, 1, 1)).days * 86400
+            data = np.array([t for t in range(low + first, low + 86400, step) if t - low not in skip], "<i8").tobytes()
+            info = tarfile.TarInfo(f"YW_2017.002_201901{day:02d}.nc")
+            info.size = len(data)
+            out.addfile(info, io.BytesIO(data))
+    own.rename(path)
+
+
+@pytest.fixture
+def replayed(spark, tmp_path):
+    """What a folder's archives give, from the checkpoint on."""
+    (tmp_path / "in").mkdir()
+
+    def read_times(path):
+        t = np.fromfile(path, "<i8")
+        yield pd.DataFrame({"t": t, "v": (t // 900 % 7).astype(float)})
+
+    def run():
+        stream = archives.archive_stream(spark, str(tmp_path / "in"), "*.tar.gz")
+        steps = archives.decoded_archives(stream, read_times, "t long, v double").withColumn("series", F.lit("YW"))
+        return hourly.run_to_table(archives.strict_hours(steps, ["series"], step=900), str(tmp_path / "out"))
+
+    return tmp_path / "in", run
+
+
+def test_a_stream_of_archives_goes_on_from_its_checkpoint(replayed):
+    folder, run = replayed
+    write_archive(folder / "a.tar.gz", [2, 1], step=900)
+    assert run().count() == 48
+    write_archive(folder / "b.tar.gz", [3], step=900)
+    got = run().orderBy("hour_end").collect()
+    first = (datetime.date(2019, 1, 1) - datetime.date(1970, 1, 1)).days * 86400
+    want = [(first + 3600 * (k + 1), float(sum((first + 3600 * k + 900 * n) // 900 % 7 for n in range(4))), 4) for k in range(72)]
+    assert [(r["hour_end"], r["amount"], r["seen"]) for r in got] == want
+    assert run().count() == 72
+
+
+@pytest.mark.parametrize(
+    ("days", "options", "message"),
+    [([2], {}, "late or repeated step: YW_2017.002_20190102.nc"), ([1], {}, "late or repeated"), ([3, 3], {}, "late or repeated"), ([3], {"skip": (4500,)}, "without all its steps"), ([3], {"first": 900}, "without all its steps"), ([3], {"first": 60}, "off the cadence")],
+)
+def test_a_stream_of_archives_fails_by_name(replayed, days, options, message):
+    folder, run = replayed
+    write_archive(folder / "a.tar.gz", [2], step=900)
+    run()
+    write_archive(folder / "b.tar.gz", days, 900, **options)
+    with pytest.raises(Exception, match=message):
+        run()
+
+
+def test_a_value_that_lacks_leaves_its_hour_without_amount(spark, tmp_path):
+    spark.createDataFrame([("a", 1800 * k, None if k == 2 else 1.0, "m") for k in range(6)], "s string, t long, v double, member string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("s string, t long, v double, member string").parquet(f"{tmp_path}/in")
+    got = hourly.run_to_table(archives.strict_hours(stream, ["s"], step=1800), f"{tmp_path}/out").orderBy("hour_end").collect()
+    assert [(r["hour_end"], r["amount"], r["seen"]) for r in got] == [(3600, 2.0, 2), (7200, None, 1), (10800, 2.0, 2)]
+
+
+def test_only_members_asked_for_are_read(spark, tmp_path, monkeypatch):
+    for name, days in (("a", [1, 2, 3]), ("b", [4, 5]), ("c", [6])):
+        write_archive(tmp_path / f"{name}.tar.gz", days)
+    paths = [str(tmp_path / f"{n}.tar.gz") for n in ("a", "b", "c")]
+    rows = archive.members(spark, paths, days=(datetime.date(2019, 1, 3), datetime.date(2019, 1, 5)))
+    assert sorted(r["day"].day for r in rows.collect()) == [3, 4, 5]
+    # a filter of one query isn't that of the next on the same table
+    assert (rows.filter(F.col("archive") == paths[0]).count(), rows.count(), rows.filter(F.col("archive") == paths[1]).count()) == (1, 3, 2)
+    read = []
+    monkeypatch.setattr(tarfile.ExFileObject, "read", lambda self, *a, _read=tarfile.ExFileObject.read: read.append(self.name) or _read(self, *a))
+    got = list(archive.member_rows(paths[0], True, match=lambda row: row["day"] == datetime.date(2019, 1, 2)))
+    assert len(got) == 1 and len(set(read)) == 1
+    archive.update_index(spark, paths[:2], str(tmp_path / "index"))
+    assert archive.update_index(spark, paths[:3], str(tmp_path / "index")).count() == 6
+    (tmp_path / "c.tar.gz").write_bytes(b"changed")  # it is in the index, so it isn't opened again
+    index = archive.update_index(spark, paths[:3], str(tmp_path / "index"))
+    got = archive.indexed_members(index.filter("day between '2019-01-03' and '2019-01-04'")).orderBy("day").collect()
+    assert [(r["archive"], r["place"], r["bytes"], len(r["content"])) for r in got] == [(paths[0], 2, 192, 192), (paths[1], 0, 192, 192)]
+
+
+def test_nothing_behind_the_last_member_asked_for_is_unpacked(tmp_path):
+    write_archive(tmp_path / "a.tar.gz", range(1, 32), step=1)
+    whole = (tmp_path / "a.tar.gz").read_bytes()
+    (tmp_path / "b.tar.gz").write_bytes(whole[: len(whole) // 3])
+    assert [m.name[-5:-3] for _, m, _ in archive.walk(str(tmp_path / "b.tar.gz"), [1, 4])] == ["02", "05"]
+    with pytest.raises(Exception, match="(?i)end"):
+        for _, _, file in archive.walk(str(tmp_path / "b.tar.gz")):
+            file.read()
