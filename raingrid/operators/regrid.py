@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,47 @@ def axis_lookup(df: DataFrame, value: str, axis: DataFrame, index: str, point: s
     return df.crossJoin(F.broadcast(points)).withColumn("place", F.when(F.col(value).isNotNull(), at)).withColumn("beyond", (F.col(value) - low) / (high - low)).drop("_a")
 
 
+def axis_merge(df: DataFrame, value: str, axis: DataFrame, index: str, point: str, tasks: int | None = None) -> DataFrame:
+    """``axis_lookup`` on an axis of any length, as an as-of merge (C4, C11): values and the axis's intervals are dealt by ranges and sorted together, and each value takes the last interval that begins at or below it.
+
+    Rows are shuffled once and written once; a task passes its rows in order and keeps one interval. What a range lacks at its beginning is the
+    last interval of the ranges before it, one row a task. Many equal values are spread by a hash of their rows. A null value has no place, one
+    beyond the ends that of the nearest interval, and an axis of fewer than two points gives none. The axis is numbered by one window.
+    """
+    after = F.lead(F.col(point).cast("double")).over(Window.orderBy(index))
+    axis = axis.select((F.row_number().over(Window.orderBy(index)) - 1).alias("_place"), F.col(point).cast("double").alias("_low"), after.alias("_high")).filter("_high is not null")
+    # the first interval begins before all values
+    axis = axis.withColumn("_key", F.when(F.col("_place") == 0, F.lit(float("-inf"))).otherwise(F.col("_low"))).withColumns({"_kind": F.lit(0), "_salt": F.lit(0).cast("long")})
+    hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    own = df.withColumns({"_key": F.col(value).cast("double"), "_kind": F.lit(1), "_salt": F.xxhash64(*hashable)})
+    order = ["_key", "_kind", "_salt"]
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.unionByName(axis, allowMissingColumns=True).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            begins = batch.column("_place").is_valid().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+            for name in ("_place", "_low", "_high"):
+                column = batch.column(name).take(pa.array(at, mask=at < 0))
+                if last is not None:
+                    column = column.fill_null(last[name])
+                batch = batch.set_column(batch.schema.get_field_index(name), batch.schema.field(name), column)
+            if len(at) and batch.column("_place")[-1].is_valid:
+                last = {name: batch.column(name)[-1] for name in ("_place", "_low", "_high")}
+            yield batch
+
+    rows = written(both.mapInArrow(carry, both.schema), "merged")
+    ends = rows.groupBy("_part").agg(F.max(F.struct("_place", "_low", "_high")).alias("_e"))
+    before = F.last(F.when(F.col("_e._place").isNotNull(), F.col("_e")), ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # a row a task
+    filled = rows.filter("_kind = 1").join(F.broadcast(ends.select("_part", before.alias("_b"))), "_part")
+    low, high, place = (F.coalesce(c, F.col(f"_b.{c}")) for c in ("_low", "_high", "_place"))
+    seen = F.col(value).isNotNull()
+    return filled.select(*df.columns, F.when(seen, place).alias("place"), F.when(seen, (F.col(value) - low) / (high - low)).alias("beyond"))
+
+
 def bilinear_map(cells: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], overlap: Column) -> DataFrame:
     """For each fine cell ``(y, x, lat, lon)`` four rows ``(corner, i, j, w)`` with the overlap mask (K7): arithmetic, no join.
 

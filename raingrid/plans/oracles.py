@@ -348,6 +348,11 @@ ORACLES["archive_stream_hours"] = f"""WITH {series_sql(1800)}, d AS (SELECT DIST
 SELECT k.t - k.t % 3600 + 3600 AS hour_end, CASE WHEN count(v) = 2 THEN round(sum(v), 6) + 0.0 END AS amount, count(v) AS seen FROM k LEFT JOIN s USING (t) GROUP BY 1"""
 ORACLES["indexed_days"] = f"""WITH {series_sql(300)}, d AS (SELECT DATE '1970-01-01' + CAST(t // 86400 AS INT) AS day, v FROM s)
 SELECT day, count(*) AS steps, count(v) AS seen, round(sum(v), 6) + 0.0 AS total FROM d WHERE month(day) = 2 GROUP BY day"""
+ORACLES["axis_merge"] = """WITH a AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS place, lead(p) OVER (ORDER BY p) AS nxt FROM (SELECT DISTINCT o_totalprice AS p FROM orders)),
+i AS (SELECT *, CASE WHEN place = 0 THEN '-infinity'::DOUBLE ELSE p END AS low FROM a WHERE nxt IS NOT NULL)
+SELECT l_orderkey, l_linenumber, place, round((l_extendedprice - p) / (nxt - p), 6) + 0.0 AS beyond FROM lineitem ASOF JOIN i ON l_extendedprice >= low"""
+ORACLES["scores_from_states"] = f"""{POINT}, e AS (SELECT method, count(*) FILTER (truth >= 1 AND e >= 1) AS hits, count(*) FILTER (truth >= 1 OR e >= 1) AS any_event FROM l GROUP BY method)
+SELECT method, n, {R('mae', 'rmse', 'bias')}, valid_hours, hits, round(hits / any_event, 6) AS csi FROM p JOIN e USING (method)"""
 ORACLES["regrid_map_table"] = ORACLES["regrid_bilinear"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, scalar
 from ..functions.missing import finite, ratio
-from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, support, timealign, verify
+from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, states, support, timealign, verify
 from ..sources import archive, reports, tables
 from ..sources.shared import new_path, written
 from .oracles import ORACLES
@@ -697,6 +697,24 @@ def indexed_days(spark: SparkSession, d: str) -> DataFrame:
     return rounded(own.groupBy("day").agg(F.count("*").alias("steps"), F.count("v").alias("seen"), F.sum("v").alias("total")))
 
 
+def axis_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of items among the distinct totals of orders, an axis that grows with the table (C4, C11)."""
+    axis = table(spark, d, "orders").select(F.col("o_totalprice").alias("at")).distinct().withColumn("k", F.col("at"))
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rounded(regrid.axis_merge(own, "l_extendedprice", axis, "k", "at").select("l_orderkey", "l_linenumber", "place", "beyond"))
+
+
+def scores_from_states(spark: SparkSession, d: str) -> DataFrame:
+    """Point metrics from states of a cube by months that came in two runs."""
+    path, kept = new_path(spark, "cube"), new_path(spark, "states")
+    cube = grid(spark, d).withColumn("time_epoch", F.col("t") * 604800)
+    for part in (cube.filter(F.col("time_epoch") < 820_454_400), cube):
+        tables.write_months(part, path)
+        own = states.update_states(spark.read.parquet(path), kept, COMMON(), "truth", ["est", "syn"], "time_epoch")
+    events = states.event_scores(own).filter("threshold = 1").select("method", "hits", "csi")
+    return rounded(states.point_scores(own).join(events, "method"))
+
+
 #: The fine grid of ``regrid_projected``: corner and step in m; and its coarse cells in degrees.
 FINE = (-20_000.0, -4_300_000.0, 10_000.0)
 
@@ -738,6 +756,6 @@ QUERIES = {
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
         tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped, grid_contracts, declared_columns,
-        archive_stream_hours, indexed_days,
+        archive_stream_hours, indexed_days, axis_merge, scores_from_states,
     )
 }

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raingrid.functions import scalar
-from raingrid.operators import contracts, extremes, predict, regrid, sampling, splits, support, verify
+from raingrid.operators import contracts, extremes, predict, regrid, sampling, splits, states, support, verify
 from raingrid.sources import archive, reports, tables
 from raingrid.sources.shared import new_path
 
@@ -272,3 +272,64 @@ def test_tiles_of_a_large_field_are_arrays_in_the_task(spark):
     value = lambda y, x: 0.0 if y > 299 or (y * 300 + x) % 7 == 0 else (y * 300 + x) % 11 * 1.0
     rows = got.collect()
     assert len(rows) == 90_000 and all(r["prediction"] == max(value(r["y"] + 1, r["x"]) - 3, 0) for r in rows)
+
+
+# --- as-of merge and states that merge
+
+
+def test_axis_merge_is_the_lookup(spark):
+    rng = np.random.default_rng(4)
+    points = sorted(set(np.round(rng.gamma(2.0, 30.0, 300), 2).tolist()))
+    axis = spark.createDataFrame([(k, p) for k, p in enumerate(points)], "k int, at double")
+    values = [None, float("nan"), float("-inf"), -5.0, 1e9, *points[:5], points[-1], points[-2], *([points[70]] * 900), *np.round(rng.uniform(-1, 300, 1500), 2).tolist()]
+    df = spark.createDataFrame(list(enumerate(values)), "place_id int, v double").repartition(5)
+    key = lambda rows: sorted((r["place_id"], r["place"], str(r["beyond"])) for r in rows)
+    want = key(regrid.axis_lookup(df, "v", axis, "k", "at").collect())
+    for tasks in (1, 7, 64):
+        assert key(regrid.axis_merge(df, "v", axis, "k", "at", tasks).select("place_id", "place", "beyond").collect()) == want
+    assert regrid.axis_merge(df.limit(0), "v", axis, "k", "at").count() == 0
+    assert {r["place"] for r in regrid.axis_merge(df, "v", axis.limit(1), "k", "at").collect()} == {None}
+
+
+def test_axis_merge_of_many_points_has_no_nested_loop(spark):
+    axis = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 1.5 + F.col("id") % 3 * 0.25).alias("at"))
+    # a third of all rows has one value
+    df = spark.range(1_000_000).select("id", F.when(F.col("id") % 3 == 0, 777.0).otherwise((F.col("id") * 7919 % 149_990).cast("double")).alias("v"))
+    own = regrid.axis_merge(df, "v", axis, "k", "at", 8)
+    wrong = own.withColumn("p", F.col("place") * 1.5 + F.col("place") % 3 * 0.25).withColumn("q", (F.col("place") + 1) * 1.5 + (F.col("place") + 1) % 3 * 0.25)
+    got = wrong.agg(F.count("*").alias("n"), F.count_if((F.col("v") < F.col("p")) | (F.col("v") >= F.col("q"))).alias("wrong")).first()
+    assert (got["n"], got["wrong"]) == (1_000_000, 0)
+    assert "NestedLoop" not in plan_of(wrong.agg(F.count("*"))) and "Cartesian" not in plan_of(wrong.agg(F.count("*")))
+
+
+def test_states_add_new_months_without_reading_old_ones(spark, tmp_path):
+    import shutil
+
+    rng = np.random.default_rng(2)
+    first = 1_546_300_800
+    rows = [(first + 3600 * int(h), int(c), float(np.float32(rng.gamma(0.5))), None if rng.random() < 0.1 else float(rng.gamma(0.5)), float(rng.gamma(0.5))) for h in range(0, 24 * 90, 5) for c in range(4)]
+    df = spark.createDataFrame(rows, "t long, c int, truth double, a double, b double")
+    support = F.col("a").isNotNull() & (F.col("c") < 3)
+    cube, kept = f"{tmp_path}/cube", f"{tmp_path}/states"
+    update = lambda: states.update_states(spark.read.schema("t long, c int, truth double, a double, b double, month string").parquet(cube), kept, support, "truth", ["a", "b"], "t", (0.1, 1.0))
+    tables.write_months(df.filter(F.col("t") < first + 59 * 86400), cube, "t")
+    assert update().select("month").distinct().count() == 2
+    tables.write_months(df, cube, "t")
+    for old in glob.glob(f"{cube}/month=2019_01/*.parquet"):
+        with open(old, "wb") as out:  # a file that can't be read
+            out.write(b"broken")
+    own = update()
+    assert own.count() == 3 * 2 * 3
+    assert update().count() == own.count()  # nothing new
+    point = {r["method"]: r for r in states.point_scores(own).collect()}
+    for m in ("a", "b"):
+        want = verify.point_metrics(df, support, "truth", m, time="t").first()
+        assert (point[m]["n"], point[m]["valid_hours"]) == (want["n"], want["valid_hours"])
+        assert [point[m][k] for k in ("mae", "rmse", "bias")] == pytest.approx([want[k] for k in ("mae", "rmse", "bias")], rel=1e-12)
+    key = lambda rows: sorted((r["method"], r["threshold"], r["hits"], r["false_alarms"], r["misses"], r["csi"], r["fss"]) for r in rows)
+    assert key(states.event_scores(own).collect()) == key(verify.event_scores(df, support, "truth", ["a", "b"], (0.1, 1.0)).collect())
+    by_month = {r["month"]: r["n"] for r in states.point_scores(own, ["month"]).filter("method = 'a'").collect()}
+    assert sum(by_month.values()) == point["a"]["n"] and set(by_month) == {"2019_01", "2019_02", "2019_03"}
+    # a month that was made again
+    shutil.rmtree(f"{kept}/month=2019_03")
+    assert update().count() == own.count()
