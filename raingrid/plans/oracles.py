@@ -353,6 +353,12 @@ i AS (SELECT *, CASE WHEN place = 0 THEN '-infinity'::DOUBLE ELSE p END AS low F
 SELECT l_orderkey, l_linenumber, place, round((l_extendedprice - p) / (nxt - p), 6) + 0.0 AS beyond FROM lineitem ASOF JOIN i ON l_extendedprice >= low"""
 ORACLES["scores_from_states"] = f"""{POINT}, e AS (SELECT method, count(*) FILTER (truth >= 1 AND e >= 1) AS hits, count(*) FILTER (truth >= 1 OR e >= 1) AS any_event FROM l GROUP BY method)
 SELECT method, n, {R('mae', 'rmse', 'bias')}, valid_hours, hits, round(hits / any_event, 6) AS csi FROM p JOIN e USING (method)"""
+ORACLES["source_windows"] = f"""WITH {FIELD_SQL}, {MAP}, r AS (SELECT t, y, x, CASE WHEN count(w * v) = 4 THEN sum(w * v) END AS v FROM f JOIN m USING (i, j) GROUP BY t, y, x), n AS (SELECT DISTINCT t FROM f),
+b AS (SELECT t, 'patch' AS mode, 5 AS side, t % 12 AS y0, t * 7 % 13 AS x0, t % 12 + 5 AS y1, t * 7 % 13 + 5 AS x1 FROM n
+UNION ALL SELECT t, 'tile', 10, greatest(0, t % 3 * 6 - 2), greatest(0, t * 2 % 3 * 6 - 2), least(15, t % 3 * 6 + 8), least(15, t * 2 % 3 * 6 + 8) FROM n),
+k AS (SELECT b.*, k, y0 + k // side AS y, x0 + k % side AS x FROM b, (SELECT unnest(range(100)) AS k) WHERE k < side * side)
+SELECT k.t, mode, y0, x0, string_agg((v IS NOT NULL)::INT, '' ORDER BY k) AS available, round(sum((k + 1) * CASE WHEN v IS NOT NULL THEN CAST(ln(1 + greatest(v, 0)) AS FLOAT)::DOUBLE ELSE 0 END), 4) + 0.0 AS moment
+FROM k LEFT JOIN r ON r.t = k.t AND r.y = k.y AND r.x = k.x AND k.y < y1 AND k.x < x1 GROUP BY k.t, mode, y0, x0"""
 ORACLES["regrid_map_table"] = ORACLES["regrid_bilinear"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, scalar
 from ..functions.missing import finite, ratio
-from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, states, support, timealign, verify
+from ..operators import contracts, extremes, ingest, predict, quantmap, regrid, sampling, spatial, splits, states, support, timealign, verify, windows
 from ..sources import archive, reports, tables
 from ..sources.shared import new_path, written
 from .oracles import ORACLES
@@ -715,6 +715,20 @@ def scores_from_states(spark: SparkSession, d: str) -> DataFrame:
     return rounded(states.point_scores(own).join(events, "method"))
 
 
+def source_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Patches and tiles with context of every field, regridded only there, told by their masks and moments."""
+    f, t = field(spark, d), F.col("t")
+    moment = F.aggregate(F.arrays_zip("input", F.sequence(F.lit(1), F.size("input")).alias("k")), F.lit(0.0), lambda s, e: s + e["input"].cast("double") * e["k"])
+    out = []
+    for mode, side, own in (
+        ("patch", 5, windows.patch_windows(f.select("t").distinct().select("t", (t % 12).cast("int").alias("patch_y"), (t * 7 % 13).cast("int").alias("patch_x")), 5)),
+        ("tile", 10, windows.context_windows(f.select("t").distinct().select("t", (t % 3 * 6).cast("int").alias("top"), (t * 2 % 3 * 6).cast("int").alias("left")), 6, 2, 15, 15)),
+    ):
+        got = windows.coarse_inputs(own, f, _mapping(spark), ["t"], side, 8)
+        out.append(got.select("t", F.lit(mode).alias("mode"), "y0", "x0", F.array_join(F.transform("available", lambda a: a.cast("string")), "").alias("available"), moment.alias("moment")))
+    return rounded(out[0].unionByName(out[1]), 4)
+
+
 #: The fine grid of ``regrid_projected``: corner and step in m; and its coarse cells in degrees.
 FINE = (-20_000.0, -4_300_000.0, 10_000.0)
 
@@ -756,6 +770,6 @@ QUERIES = {
         typical_per_bin, tiled_inference, stream_hourly_sum, float_thresholds, axis_steps, axis_lookup, field_reader, split_coverage, preflight, loss_agrees, early_stopping, timestamp_digests,
         paired_report, bin_counts, validation_by_epoch, training_patches, cube_by_months, cube_inventory, regrid_map_table, split_manifest, report_files, finite_values,
         tile_layout, archive_days, regrid_projected, packed_mask_digests, fields_by_time, split_months, regrid_beyond, regrid_clipped, grid_contracts, declared_columns,
-        archive_stream_hours, indexed_days, axis_merge, scores_from_states,
+        archive_stream_hours, indexed_days, axis_merge, scores_from_states, source_windows,
     )
 }

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raingrid.functions import scalar
-from raingrid.operators import contracts, extremes, predict, regrid, sampling, splits, states, support, verify
+from raingrid.operators import contracts, extremes, predict, regrid, sampling, splits, states, support, verify, windows
 from raingrid.sources import archive, reports, tables
 from raingrid.sources.shared import new_path
 
@@ -332,4 +332,53 @@ def test_states_add_new_months_without_reading_old_ones(spark, tmp_path):
     assert sum(by_month.values()) == point["a"]["n"] and set(by_month) == {"2019_01", "2019_02", "2019_03"}
     # a month that was made again
     shutil.rmtree(f"{kept}/month=2019_03")
-    assert update().count() == own.count()
+    assert update().count() == 18
+
+
+# --- windows
+
+
+def dense_regrid(coarse, lat, lon):
+    """The bilinear field at fractional places of a coarse field, missing where a corner is."""
+    i, j = np.minimum(np.floor(lat).astype(int), coarse.shape[0] - 2), np.minimum(np.floor(lon).astype(int), coarse.shape[1] - 2)
+    a, b = (lat - i)[:, None], (lon - j)[None, :]
+    at = lambda k, m: coarse[np.ix_(i + k, j + m)]
+    return (1 - a) * (1 - b) * at(0, 0) + (1 - a) * b * at(0, 1) + a * (1 - b) * at(1, 0) + a * b * at(1, 1)
+
+
+def test_windows_of_a_coarse_field_are_those_of_the_regridded_one(spark):
+    rng, height, width = np.random.default_rng(8), 70, 50
+    fields = rng.gamma(0.5, 4.0, (3, 6, 5))
+    fields[rng.random(fields.shape) < 0.06] = np.nan
+    lat, lon = np.linspace(0, 5, height), np.linspace(0, 4, width)
+    fine = spark.createDataFrame([(y, x, float(lat[y]), float(lon[x])) for y in range(height) for x in range(width)], "y int, x int, lat double, lon double")
+    mapping = regrid.bilinear_map(fine, (0.0, 1.0, 6), (0.0, 1.0, 5), (F.col("y") > 1) | (F.col("x") > 3))
+    want = np.stack([dense_regrid(f, lat, lon) for f in fields])
+    want[:, :2, :4] = np.nan
+    coarse = spark.createDataFrame([(t, i, j, None if np.isnan(v) else float(v)) for (t, i, j), v in np.ndenumerate(fields)], "t int, i int, j int, v double")
+    cells = regrid.regrid_bilinear(coarse, mapping, 5)
+
+    def check(own, side):
+        rows = own.collect()
+        for r in rows:
+            part = want[r["t"], r["y0"] : min(r["y1"], height), r["x0"] : min(r["x1"], width)]
+            value, seen = np.zeros((side, side)), np.zeros((side, side))
+            value[: part.shape[0], : part.shape[1]], seen[: part.shape[0], : part.shape[1]] = np.nan_to_num(np.log1p(part)), ~np.isnan(part)
+            np.testing.assert_allclose(np.array(r["input"]).reshape(side, side), value, rtol=1e-6, atol=1e-7)
+            np.testing.assert_array_equal(np.array(r["available"]).reshape(side, side), seen)
+        return len(rows)
+
+    # the same patch in two epochs, one partly beyond the grid, one wholly outside, one of a time without a field
+    patches = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 0), (0, 1, 30, 31), (0, 2, 60, 45), (0, 2, 90, 90)], "epoch int, t int, patch_y int, patch_x int")
+    keys = ["epoch", "t", "patch_y", "patch_x"]
+    own = windows.patch_windows(patches, 16)
+    assert check(windows.coarse_inputs(own, coarse, mapping, keys, 16, 5), 16) == 5
+    assert check(windows.fine_inputs(own, cells, keys, 16), 16) == 5
+    nothing = windows.coarse_inputs(windows.patch_windows(patches.limit(1).withColumn("t", F.lit(99)), 4), coarse, mapping, keys, 4, 5).first()
+    assert (nothing["input"], nothing["available"]) == ([0.0] * 16, [0] * 16)
+    tiles = spark.createDataFrame([(t, top, left) for t in range(3) for top in (0, 32, 64) for left in (0, 32)], "t int, top int, left int")
+    own = windows.context_windows(tiles, 32, 9, height, width)
+    assert check(windows.coarse_inputs(own, coarse, mapping, ["t", "top", "left"], 50, 5), 50) == 18
+    assert check(windows.fine_inputs(own, cells, ["t", "top", "left"], 50), 50) == 18
+    assert {(r["top"], r["left"], r["core_y"], r["core_x"], r["core_h"], r["core_w"]) for r in own.collect()} >= {(0, 0, 0, 0, 32, 32), (64, 32, 9, 9, 6, 18)}
+    assert windows.coarse_inputs(own.limit(0), coarse, mapping, ["t", "top", "left"], 50, 5).count() == 0
