@@ -631,12 +631,9 @@ def _write_archives(steps: DataFrame, folder: str) -> DataFrame:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         import io
-        import os
         import tarfile
 
         path = f"{folder}-{int(rows['t'].iloc[0]) // 604800}.tar.gz"
-        if "://" not in path:
-            os.makedirs(os.path.dirname("/" + path.removeprefix("file:").lstrip("/")), exist_ok=True)
         with archive.open_file(path, write=True) as stream, tarfile.open(fileobj=stream, mode="w|gz") as out:
             for day, own in rows.sort_values("t").groupby(rows["t"] // 86400):
                 data = own["t"].to_numpy("<i8").tobytes() + own["v"].to_numpy("<f8").tobytes()

@@ -30,9 +30,12 @@ _DDL = "archive string, place int, member string, bytes long, day date, piece in
 
 
 def open_file(path: str, write: bool = False) -> BinaryIO:
-    """A file by its path or URI, as a stream from front to back; other schemes than ``file`` go by Arrow's file systems."""
+    """A file by its path or URI, as a stream from front to back, with its folder if it is written; other schemes than ``file`` go by Arrow's file systems."""
     if "://" not in path or path.startswith("file:"):
-        return open("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path, "wb" if write else "rb")  # noqa: SIM115  the caller closes it
+        own = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+        if write:
+            os.makedirs(os.path.dirname(own) or ".", exist_ok=True)
+        return open(own, "wb" if write else "rb")  # noqa: SIM115  the caller closes it
     from pyarrow.fs import FileSystem
 
     system, inner = FileSystem.from_uri(path)
