@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bilinear_weights, clip
@@ -38,21 +38,51 @@ def axis_lookup(df: DataFrame, value: str, axis: DataFrame, index: str, point: s
     return df.crossJoin(F.broadcast(points)).withColumn("place", F.when(F.col(value).isNotNull(), at)).withColumn("beyond", (F.col(value) - low) / (high - low)).drop("_a")
 
 
+#: Points and values that a task of an as-of merge sorts as a mean, and points of a chunk of an axis that looks for the next points at once.
+ROWS_A_TASK, CHUNK_POINTS = 1_000_000, 1 << 14
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """As many as shuffles have, and more where rows are many."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
+def axis_intervals(axis: DataFrame, index: str, point: str) -> DataFrame:
+    """``(_place, _low, _high)``: each point but the last of an axis of any length, with its place in the order of ``index`` and the next point.
+
+    Places are those in a range-sorted table's own partitions after the counts of the partitions before. The next point is looked for within
+    chunks of places, which have the first point of the chunk after them too. So no task has more than its share of the axis.
+    """
+    spark = axis.sparkSession
+    own = written(axis.select(F.col(index).alias("_index"), F.col(point).cast("double").alias("_low")), "points")
+    tasks = _tasks(spark, own.count())
+    own = own.repartitionByRange(tasks, "_index", "_low").sortWithinPartitions("_index", "_low").select("_low", F.monotonically_increasing_id().alias("_at"))
+    own = written(own, "sorted").withColumn("_run", F.shiftright("_at", 33))
+    # a row a task
+    runs = own.groupBy("_run").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_run")) - F.col("_rows")
+    own = own.join(F.broadcast(runs.select("_run", (before - F.col("_first")).alias("_shift"))), "_run").withColumn("_place", F.col("_at") + F.col("_shift"))
+    chunk = F.floor(F.col("_place") / CHUNK_POINTS)
+    chunks = F.when((F.col("_place") % CHUNK_POINTS == 0) & (F.col("_place") > 0), F.array(chunk - 1, chunk)).otherwise(F.array(chunk))
+    own = own.select("_place", "_low", F.explode(chunks).alias("_chunk")).repartition(tasks, "_chunk")
+    high = F.lead("_low").over(Window.partitionBy("_chunk").orderBy("_place"))
+    return written(own.select(F.col("_place").cast("int").alias("_place"), "_low", high.alias("_high")).filter("_high is not null"), "intervals")
+
+
 def axis_merge(df: DataFrame, value: str, axis: DataFrame, index: str, point: str, tasks: int | None = None) -> DataFrame:
     """``axis_lookup`` on an axis of any length, as an as-of merge (C4, C11): values and the axis's intervals are dealt by ranges and sorted together, and each value takes the last interval that begins at or below it.
 
-    Rows are shuffled once and written once; a task passes its rows in order and keeps one interval. What a range lacks at its beginning is the
+    Rows are counted, shuffled once and written once; a task passes its rows in order and keeps one interval. What a range lacks at its beginning is the
     last interval of the ranges before it, one row a task. Many equal values are spread by a hash of their rows. A null value has no place, one
-    beyond the ends that of the nearest interval, and an axis of fewer than two points gives none. The axis is numbered by one window.
+    beyond the ends that of the nearest interval, and an axis of fewer than two points gives none. Tasks, where they aren't given, grow with the rows.
     """
-    after = F.lead(F.col(point).cast("double")).over(Window.orderBy(index))
-    axis = axis.select((F.row_number().over(Window.orderBy(index)) - 1).alias("_place"), F.col(point).cast("double").alias("_low"), after.alias("_high")).filter("_high is not null")
+    intervals = axis_intervals(axis, index, point)
     # the first interval begins before all values
-    axis = axis.withColumn("_key", F.when(F.col("_place") == 0, F.lit(float("-inf"))).otherwise(F.col("_low"))).withColumns({"_kind": F.lit(0), "_salt": F.lit(0).cast("long")})
+    axis = intervals.withColumn("_key", F.when(F.col("_place") == 0, F.lit(float("-inf"))).otherwise(F.col("_low"))).withColumns({"_kind": F.lit(0), "_salt": F.lit(0).cast("long")})
     hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     own = df.withColumns({"_key": F.col(value).cast("double"), "_kind": F.lit(1), "_salt": F.xxhash64(*hashable)})
     order = ["_key", "_kind", "_salt"]
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or _tasks(df.sparkSession, df.count() + axis.count())
     both = own.unionByName(axis, allowMissingColumns=True).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +100,11 @@ def axis_merge(df: DataFrame, value: str, axis: DataFrame, index: str, point: st
             yield batch
 
     rows = written(both.mapInArrow(carry, both.schema), "merged")
-    ends = rows.groupBy("_part").agg(F.max(F.struct("_place", "_low", "_high")).alias("_e"))
-    before = F.last(F.when(F.col("_e._place").isNotNull(), F.col("_e")), ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # the last place of each task's own intervals, counted in a hash table; a maximum of whole intervals would sort all rows
+    ends = rows.filter("_kind = 0").groupBy("_part").agg(F.max("_place").alias("_place"))
+    ends = intervals.join(F.broadcast(ends), "_place").select("_part", F.struct("_place", "_low", "_high").alias("_e"))
+    ends = df.sparkSession.range(tasks).select(F.col("id").cast("int").alias("_part")).join(F.broadcast(ends), "_part", "left")
+    before = F.last("_e", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     # a row a task
     filled = rows.filter("_kind = 1").join(F.broadcast(ends.select("_part", before.alias("_b"))), "_part")
     low, high, place = (F.coalesce(c, F.col(f"_b.{c}")) for c in ("_low", "_high", "_place"))

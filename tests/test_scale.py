@@ -5,6 +5,7 @@ import glob
 import hashlib
 import os
 import random
+import re
 import subprocess
 import sys
 
@@ -302,6 +303,23 @@ def test_axis_merge_of_many_points_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan_of(wrong.agg(F.count("*"))) and "Cartesian" not in plan_of(wrong.agg(F.count("*")))
 
 
+def test_axis_merge_deals_a_long_axis_over_tasks(spark, monkeypatch):
+    plans = []
+    write = regrid.written
+    monkeypatch.setattr(regrid, "written", lambda df, name: plans.append(plan_of(df)) or write(df, name))
+    monkeypatch.setattr(regrid, "ROWS_A_TASK", 250, raising=False)
+    monkeypatch.setattr(regrid, "CHUNK_POINTS", 64, raising=False)
+    axis = spark.range(1_000).select((F.col("id") * 2).alias("k"), (F.col("id") * 1.5 + F.col("id") % 3 * 0.25).alias("at"))
+    df = spark.range(1_537).select("id", (F.col("id") * 7919 % 1_537 - 20).cast("double").alias("v"))
+    got = regrid.axis_merge(df, "v", axis, "k", "at")
+    key = lambda rows: sorted((r["id"], r["place"], r["beyond"]) for r in rows)
+    assert key(got.collect()) == key(regrid.axis_lookup(df, "v", axis, "k", "at").collect())
+    # no window has the whole axis, no aggregate sorts the rows, and tasks grow with the rows (4 are set)
+    assert all(spec.startswith("_chunk") for p in plans for spec in re.findall(r"(?:lead|row_number)\(.*?windowspecdefinition\((\w+)", p))
+    assert "SortAggregate" not in plan_of(got)
+    assert any(int(n) >= 11 for n in re.findall(r"rangepartitioning\(_key.*?, (\d+)\)", plans[-1]))
+
+
 def test_states_add_new_months_without_reading_old_ones(spark, tmp_path):
     import shutil
 
