@@ -8,9 +8,10 @@ their places by their rank among the pieces of the same length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from .textkit import slices
 CAPACITY, END = 2048, 0
 #: Words that one task keeps the ids of (those of one run more for a time), and bytes of text that are split at a time (a longer text by itself).
 KEPT_WORDS, RUN_BYTES = 500_000, 6 << 20
+#: Stems and marks of words in each half of what is kept of them.
+KEPT_PARTS = 150_000
 #: Pieces of one length in a numbering block as a mean.
 BLOCK_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,13 +37,18 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = "\u0233"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokens:
     """Ids of whole texts, by the ids of their words, which are kept.
 
     The tokenizer of the files drops white space before anything else splits, so a text's ids are its words'
     ids in order; Arrow splits a run of texts and numbers its distinct words, and each is looked up once. A word
     of Latin letters, or one with a run of marks after it, is one pre-token or two, whose ids the vocabulary's
-    model gives at once; any other word goes through the whole tokenizer. Words that a run repeats are kept.
+    model gives at once; any other word goes through the whole tokenizer. Words that a run repeats are kept, and
+    the parts that words were last made of. What is kept changes the time, never the ids.
     """
 
     def __init__(self, path: str):
@@ -49,37 +57,43 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: What the byte-level step makes of each byte of a letter beyond ASCII.
-        self.bytes = {b: alphabet.pre_tokenize_str(bytes([195, b]).decode())[0][0][1] for b in range(128, 192)}
-        self.bytes |= {b: alphabet.pre_tokenize_str(bytes([b, 128]).decode())[0][0][0] for b in range(195, 201)}
+        #: What the byte-level step makes of each letter beyond ASCII; ASCII letters are looked up too, which is faster than to lack.
+        self.letters = {c: alphabet.pre_tokenize_str(chr(c))[0][0] if c > 127 else chr(c) for c in range(ord(_LATIN) + 1) if chr(c).isalpha()}
+        #: Ids of letters and marks that words were made of, packed; the newer and the older half.
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Words met, the ids of all of them, and where each one's ids begin (and the last one's end).
         self.words, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _ask(self, texts: list[str]) -> list[list[int]]:
+    def _ask(self, texts: list[str]) -> list[bytes]:
         ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in ask(texts, add_special_tokens=False)] if texts else []
-
-    def _letters(self, low: str) -> list[int]:
-        """Ids of a lower-case word of Latin letters, which normalisation leaves as they are."""
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(self.bytes)
-        return [t.id for t in self.model.tokenize(low)]
-
-    def _learn(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        known: dict[str, list[int]] = {}
-        for w in words:
-            low = w.lower()
-            ids = None
-            if low.isalpha():
-                if low.isascii() or max(low) <= _LATIN:
-                    ids = known[low] = known.get(low) or self._letters(low)
-            elif stem := low.rstrip(_MARKS):
-                if stem.isalpha() and (stem.isascii() or max(stem) <= _LATIN):
-                    mark = low[len(stem) :]
-                    if mark not in known:
-                        known[mark] = self._ask([mark])[0]
-                    ids = (known.get(stem) or self._letters(stem)) + known[mark]
+        return [_packed(e.ids) for e in ask(texts, add_special_tokens=False)] if texts else []
+
+    def _part(self, low: str) -> bytes:
+        """Ids of a lower-case word of Latin letters, which normalisation leaves as they are, or of a run of marks."""
+        ids = self.older.get(low)
+        if ids is None:
+            if low[0] in _MARKS:
+                ids = self._ask([low])[0]
+            else:
+                ids = _packed([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+        if len(self.parts) >= KEPT_PARTS:
+            self.older, self.parts = self.parts, {}
+        self.parts[low] = ids
+        return ids
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        for low in "\n".join(words).lower().split("\n") if words else []:  # no word has a line end
+            ids = self.parts.get(low)
+            if ids is None:
+                if low.isalpha():
+                    if low.isascii() or max(low) <= _LATIN:
+                        ids = self._part(low)
+                elif stem := low.rstrip(_MARKS):
+                    if stem.isalpha() and (stem.isascii() or max(stem) <= _LATIN):
+                        mark = low[len(stem) :]
+                        ids = (self.parts.get(stem) or self._part(stem)) + (self.parts.get(mark) or self._part(mark))
             out.append(ids)
         rest = iter(self._ask([w for w, ids in zip(words, out, strict=True) if ids is None]))
         return [next(rest) if x is None else x for x in out]
@@ -97,8 +111,8 @@ class WordTokens:
         ids = self._learn(new.to_pylist())
         place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[unknown] = len(self.words) + np.arange(len(new))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)))
-        self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(ids)), "<u4")))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), "<u4")))
         self.words = pa.concat_arrays([self.words, new[: int((counts[unknown] > 1).sum())]])
         return self.at[place], self.at[place + 1]
 
@@ -119,9 +133,15 @@ class WordTokens:
         return [ids[a:b] for _, _, ids, at in self.encode_column(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The words of this process: Spark's Python workers run task after task, and the next one finds the words that those before it met."""
+    return WordTokens(path)
+
+
 def _cut(path: str, capacity: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, end, ids, offsets in tokens.encode_column(batch.column(1)):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, scratch
-from .packing import WordTokens, word_tokenizer
+from .packing import word_tokenizer, word_tokens
 from .warc import _open
 
 #: Fixed values of Simple-8b: ids of a word and bits of an id, by selector (0 and 1 are the escape and the run).
@@ -188,7 +188,7 @@ class _File:
 
 def _writer(folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, tokens = TaskContext.get(), WordTokens(tokenizer)
+        task, tokens = TaskContext.get(), word_tokens(tokenizer)
         file, number = None, 0
 
         def close() -> pa.RecordBatch:

@@ -545,6 +545,34 @@ def test_word_tokens_are_the_tokenizer_s():
         assert own.encode([s])[0].tolist() == whole.encode(s, add_special_tokens=False).ids
 
 
+def test_words_are_kept_from_task_to_task(monkeypatch):
+    import pyarrow as pa
+
+    made, path = [], packing.word_tokenizer()
+
+    class Counted(packing.WordTokens):
+        def __init__(self, path):
+            made.append(path)
+            super().__init__(path)
+
+    monkeypatch.setattr(packing, "WordTokens", Counted)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["Nolvaq nolvaq, BREZIL", None])], ["doc_id", "text"])
+    first, second = ([b.to_pylist() for b in packing._cut(path, 64)(iter([batch]))] for _ in range(2))
+    assert first == second and len(made) <= 1
+
+
+def test_parts_of_words_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_PARTS", 7)
+    whole, own, rng = Tokenizer.from_file(packing.word_tokenizer()), packing.WordTokens(packing.word_tokenizer()), random.Random(2)
+    stems = ["".join(rng.choice("abdeéñßÿơ") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    for _ in range(60):
+        s = " ".join(rng.choice([str.upper, str.title, str])(rng.choice(stems)) + rng.choice(["", "", "!", "...", "#*"]) for _ in range(12))
+        assert own.encode([s])[0].tolist() == whole.encode(s, add_special_tokens=False).ids
+        assert len(own.parts) <= 7 and len(own.older) <= 7
+
+
 # --- archives
 
 
